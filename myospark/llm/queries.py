@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_groups
 from .mixing import ALPHA, SEED, poisson_mix
+from .near_dedup import near_duplicates
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 """
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ SELECT *, md5('{SEED}:' || doc_id || ':' || copy) AS shuffle_key FROM e
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_near_dedup": op5_near_dedup,
     "op8_poisson_mix": op8_poisson_mix,
 }
 ORACLES = {
