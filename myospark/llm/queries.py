@@ -3,13 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id, quality
 from .common import table
+from .decontaminate import contamination
 from .exact_dedup import exact_groups
 from .mixing import ALPHA, SEED, poisson_mix
 from .near_dedup import near_duplicates
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """Ratings of three grades from the labels: 0 bad, 1 good but toxic, 2 good."""
+    return labels.select("doc_id", (F.col("quality") * (2 - F.coalesce("toxic", F.lit(0)))).alias("grade"))
+
+
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.grade(docs, quality.train(docs, graded(table(spark, sf_dir, "labels"))))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -25,6 +38,15 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(table(spark, sf_dir, "documents"))
 
@@ -43,9 +65,12 @@ SELECT *, md5('{SEED}:' || doc_id || ':' || copy) AS shuffle_key FROM e
 """
 
 QUERIES = {
+    "op1_ordinal_quality": op1_ordinal_quality,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op8_poisson_mix": op8_poisson_mix,
+    "op9_language_id": op9_language_id,
+    "op10_decontaminate": op10_decontaminate,
 }
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
