@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality
+from . import language_id, quality, toxicity
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
 from .mixing import ALPHA, SEED, poisson_mix
 from .near_dedup import near_duplicates
+from .secrets import scan_secrets
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -34,6 +35,15 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 """
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -67,7 +77,9 @@ SELECT *, md5('{SEED}:' || doc_id || ':' || copy) AS shuffle_key FROM e
 QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op5_near_dedup": op5_near_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_poisson_mix": op8_poisson_mix,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
