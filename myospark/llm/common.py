@@ -68,3 +68,23 @@ def unit_hash(*parts):
     """A number in [0, 1) from the md5 of the parts joined by ':', 52 bits wide; the same in every SQL dialect."""
     key = F.concat_ws(":", *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52))
+
+
+BROADCAST_ROWS, SALTS = 100_000, 64
+
+
+def join_keyed(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join ``left`` with ``right``, which has one row a key, on ``left[key] <=> right[key]``, whatever the skew of left.
+
+    ``right`` is counted first: up to BROADCAST_ROWS rows it is broadcast; beyond, rows of left are dealt over SALTS
+    salts and the right side is repeated for each, so that no key meets in one task.
+    """
+    names = [c for c in right.columns if c != key]
+    right = materialize(right)
+    if right.count() <= BROADCAST_ROWS:
+        side = F.broadcast(right.withColumnRenamed(key, P + "rk"))
+        return left.join(side, F.col(key).eqNullSafe(F.col(P + "rk")), how).drop(P + "rk")
+    many = right.withColumnRenamed(key, P + "rk").withColumn(P + "rs", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = left.withColumn(P + "ls", F.pmod(F.xxhash64(*[c for c, t in left.dtypes if t in ("bigint", "int", "string")]), F.lit(SALTS)).cast("int"))
+    on = F.col(key).eqNullSafe(F.col(P + "rk")) & (F.col(P + "ls") == F.col(P + "rs"))
+    return dealt.join(many, on, how).select(*left.columns, *names)

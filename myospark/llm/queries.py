@@ -11,7 +11,9 @@ from .decontaminate import contamination
 from .exact_dedup import exact_groups
 from .mixing import ALPHA, SEED, poisson_mix
 from .near_dedup import near_duplicates
+from .personal_data import personal_data
 from .secrets import scan_secrets
+from .url_filter import judge
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -44,6 +46,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents")).drop("span_list")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -78,7 +88,9 @@ QUERIES = {
     "op1_ordinal_quality": op1_ordinal_quality,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_secret_scan": op3_secret_scan,
+    "op4_url_filter": op4_url_filter,
     "op5_near_dedup": op5_near_dedup,
+    "op6_personal_data": op6_personal_data,
     "op7_toxicity": op7_toxicity,
     "op8_poisson_mix": op8_poisson_mix,
     "op9_language_id": op9_language_id,
