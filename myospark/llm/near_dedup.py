@@ -31,6 +31,8 @@ WIDTH, SIMILARITY = 5, (75, 100)
 BANDS, ROWS, SKETCH_BITS = 44, 5, 1024
 SAMPLES, WORDS = BANDS * ROWS, SKETCH_BITS // 64
 SALT_ROWS = 64
+#: Ids of candidates are broadcast up to this number (8 bytes each), to spare the texts a shuffle.
+BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(4_211)
 _XOR = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
@@ -66,11 +68,12 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     for batch in batches:
-        sizes, digests, sigs = [], [], []
+        sizes, digests, sigs, parities = [], [], [], []
         for s in shingle_sets(batch.column(1), WIDTH):
             sizes.append(len(s))
             digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sigs.append(minhash(s))
+            parities.append(np.packbits((np.bincount((s & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)))
         if not sizes:
             continue
         sig = np.array(sigs, dtype=np.uint32)
@@ -87,8 +90,9 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(digests, pa.binary()),
                 pa.ListArray.from_arrays(np.arange(0, (n + 1) * BANDS, BANDS, dtype=np.int32), pa.array(bands.ravel().view(np.int64))),
                 pa.ListArray.from_arrays(np.arange(0, (n + 1) * WORDS, WORDS, dtype=np.int32), pa.array(sketch)),
+                pa.ListArray.from_arrays(np.arange(0, (n + 1) * WORDS, WORDS, dtype=np.int32), pa.array(np.concatenate(parities).view(np.int64))),
             ],
-            names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+            names=["doc_id", "n_shingles", "digest", "bands", "sketch", "parity"],
         )
 
 
@@ -112,9 +116,19 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _apart(x: str, y: str):
+    """Population count of the XOR of two bitmaps."""
+    return reduce(lambda s, k: s + F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])), range(1, WORDS), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+
+
 def _near(x: str, y: str):
-    bits = reduce(lambda s, k: s + F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])), range(1, WORDS), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
-    return bits <= most_bits(SIMILARITY[0] / SIMILARITY[1])
+    """Whether two sketches (structs of sketch, parity and n_shingles) may belong to a similar pair.
+
+    Sets of similarity num/den differ in at most (den - num) / (den + num) of the sum of their sizes, and bitmaps in no more.
+    """
+    num, den = SIMILARITY
+    sizes = F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles")
+    return (_apart(f"{x}.parity", f"{y}.parity") * (den + num) <= sizes * (den - num)) & (_apart(f"{x}.sketch", f"{y}.sketch") <= most_bits(num / den))
 
 
 def _confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -133,23 +147,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are runs of anything but space and tab to carriage return, after lower-casing A-Z. Returns one row per input
     row: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id is the component's own).
     Null and empty texts, or texts without words, have 0 shingles and are linked with nothing. Rows that repeat an id and
-    text share one component; rows that repeat an id with different texts are linked through the id. A row with a null
+    text share one component; ids are expected to name one text each. A row with a null
     id links nothing and stays, with a null component_id, unless its set belongs to a document with an id.
     An empty table gives an empty result; other columns are not read. The integer id is cast to bigint.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    feats = materialize(slim.mapInArrow(features, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"))
+    feats = materialize(slim.mapInArrow(features, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>, parity array<long>"))
     full = feats.where("digest is not null")
     reps = materialize(
-        full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("f")).where("rep is not null").select("digest", "rep", "f.bands", "f.sketch")
+        full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", F.struct("sketch", "parity", "n_shingles").alias("s")), "doc_id").alias("f")).where("rep is not null").select("digest", "rep", "f.bands", "f.s")
     )
     seats = materialize(_shared(reps.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))))
-    sketches = reps.groupBy(F.col("rep").alias("id")).agg(F.first("sketch").alias("sketch"))
-    texts = slim.where("doc_id is not null").withColumnRenamed("doc_id", "id")
+    sketches = reps.groupBy(F.col("rep").alias("id")).agg(F.first("s").alias("s"))
+    involved = materialize(seats.select(F.col("id").alias("doc_id")).distinct())
+    few = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
+    texts = slim.join(few, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
+    texts = materialize(texts)
+
     pairs = seats.where("id <> hub").select("hub", "id").distinct()
-    pairs = pairs.join(sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("hs")), "hub").join(sketches, "id").where(_near("hs", "sketch")).select("hub", "id")
+    pairs = pairs.join(sketches.select(F.col("id").alias("hub"), F.col("s").alias("hs")), "hub").join(sketches, "id").where(_near("hs", "s")).select("hub", "id")
     pairs = materialize(pairs)
     links = materialize(_confirmed(texts, pairs))
     comps = materialize(connected_components(links))
@@ -159,8 +177,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = placed.join(mixed, ["band", "key"], "left_semi").join(sketches, "id")
     hub_comp = placed.where("id = hub").select("band", "key", F.col("comp").alias("hub_comp"))
     open_ = materialize(open_.join(hub_comp, ["band", "key"]))
-    outside = open_.where("comp <> hub_comp and id <> hub").select("band", "key", F.col("id").alias("x"), F.col("comp").alias("xc"), F.col("sketch").alias("xs"))
-    inside = open_.where("id <> hub").select("band", "key", F.col("id").alias("y"), F.col("comp").alias("yc"), F.col("sketch").alias("ys"), (F.col("comp") != F.col("hub_comp")).alias("y_out"))
+    outside = open_.where("comp <> hub_comp and id <> hub").select("band", "key", F.col("id").alias("x"), F.col("comp").alias("xc"), F.col("s").alias("xs"))
+    inside = open_.where("id <> hub").select("band", "key", F.col("id").alias("y"), F.col("comp").alias("yc"), F.col("s").alias("ys"), (F.col("comp") != F.col("hub_comp")).alias("y_out"))
     cross = outside.join(
         inside,
         (outside["band"] == inside["band"])
