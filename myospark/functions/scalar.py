@@ -86,6 +86,11 @@ def or_na(text: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.lit("n/a"))
 
 
+def channel_place(name: Column) -> Column:
+    """The place, from 0, of a channel called CH1, CH2, ..."""
+    return F.substring(name, 3, 10).try_cast("int") - 1
+
+
 def label_part(line: Column, part: str) -> Column:
     """name, sample_frequency or physical_dimension of a label line; null where the line lacks the marker."""
     pattern = {"name": r"Label:(.*?)Sampling", "sample_frequency": r"frequency:\s*(\S+)", "physical_dimension": r"Unit:(.*?)Domain"}[part]

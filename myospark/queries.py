@@ -188,6 +188,29 @@ def plot_per_channel(spark, d):
     return plotframe.plot_frame(events(spark, d, index=True), _order(spark, d), uniform_scale=False).select("channel", "sample_index", "offset", _r("y"))
 
 
+_STACK = "WITH {ev}, o AS (SELECT channel, row_number() OVER (ORDER BY channel) - 1 AS pos FROM (SELECT DISTINCT channel FROM ev)) SELECT channel, sample_index, round({y}, 6) + 0e0 AS y FROM ev JOIN o USING (channel)"
+
+
+@_query(_STACK.format(ev=_EV_SQL, y="value / 2 / (SELECT max(abs(value)) FROM ev) - pos"))
+def plot_stacked_normalized(spark, d):
+    return plotframe.stacked_normalized(events(spark, d, index=True), _order(spark, d)).select("channel", "sample_index", _r("y"))
+
+
+@_query(_STACK.format(ev=_EV_SQL, y="value - pos * 2.5e0"))
+def plot_stacked_shifted(spark, d):
+    return plotframe.stacked_shifted(events(spark, d, index=True), _order(spark, d), 2.5).select("channel", "sample_index", _r("y"))
+
+
+@_query("SELECT name, TRY_CAST(substr(name, 3) AS INTEGER) - 1 AS place FROM (VALUES ('CH1'), ('CH39'), ('CH70')) AS v(name)")
+def channel_place(spark, d):
+    return spark.sql("SELECT * FROM (VALUES ('CH1'), ('CH39'), ('CH70')) AS v(name)").withColumn("place", fn.channel_place(F.col("name")))
+
+
+@_query("SELECT id, coalesce(nullif(trim(x), ''), 'n/a') AS x FROM (VALUES (1, ' mV '), (2, ''), (3, '  '), (4, NULL)) AS v(id, x)")
+def blank_as_na(spark, d):
+    return spark.sql("SELECT * FROM (VALUES (1, ' mV '), (2, ''), (3, '  '), (4, NULL)) AS v(id, x)").select("id", fn.or_na(F.col("x")).alias("x"))
+
+
 _AN_COLS = "n, is_zero, round(range, 6) + 0e0 AS range, round(noise_floor, 6) + 0e0 AS noise_floor, round(dynamic_range_db, 6) + 0e0 AS dynamic_range_db, round(snr_db, 6) + 0e0 AS snr_db"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import os
 from typing import Any
 
 import numpy as np
@@ -14,6 +16,7 @@ from .operators.analysis import analysis_of, channel_stats, precision_loss, quan
 from .schema import CHANNELS, METADATA, SIGNALS
 from .sinks.edf import export_edf
 from .sinks.tsv import channels_tsv
+from .sources.files import read_bytes
 from .sources.registry import importer, register
 
 
@@ -27,10 +30,18 @@ class Recording:
         self.metadata = metadata if metadata is not None else spark.createDataFrame([], METADATA)
 
     @classmethod
-    def from_file(cls, spark: SparkSession, filepath: str, importer_name: str = "trigno", time_base: str = "shared") -> Recording:
-        """Read a file by a named importer: trigno, otb or edf. Only the header is read now."""
+    def from_file(cls, spark: SparkSession, filepath: str, importer_name: str = "trigno", time_base: str = "shared", sidecar: bool = False) -> Recording:
+        """Read a file by a named importer: trigno, otb or edf. Only the header is read now.
+
+        With ``sidecar`` the channel types come from the channels.tsv beside the file, which keeps types that the file's own fields lose.
+        """
         source = importer(importer_name)
         head = source.reader_class.read_header(filepath)
+        if sidecar:
+            table = pd.read_csv(io.BytesIO(read_bytes(os.path.splitext(filepath)[0] + "_channels.tsv")), sep="\t", keep_default_na=False)
+            kinds = {str(n)[:16]: k for n, k in zip(table["name"], table["channel_type"], strict=True)}
+            for c in head.channels:
+                c["channel_type"] = kinds.get(c["channel"][:16], c["channel_type"])
         register(spark)
         names = [f.name for f in CHANNELS.fields]
         rows = [tuple({**{n: None for n in names}, **{k: v for k, v in c.items() if k in names}, "recording_id": filepath, "channel_idx": i}[n] for n in names) for i, c in enumerate(head.channels)]

@@ -159,6 +159,9 @@ def test_round_trip_edf(spark, tmp_path):  # SNK-1..3, AGG-12, B11, B13
     assert h["records"] == 3 and h["reserved"] == "EDF+C" and h["signals"][0]["transducer"] == "EMG sensor"
     back = Recording.from_file(spark, out, "edf")
     assert [c["channel"] for c in back.channels.orderBy("channel_idx").collect()] == ["EMG1", "a channel with a"]
+    assert [c["channel_type"] for c in back.channels.orderBy("channel_idx").collect()] == ["EMG", "OTHER"]
+    typed = Recording.from_file(spark, out, "edf", sidecar=True)
+    assert [c["channel_type"] for c in typed.channels.orderBy("channel_idx").collect()] == ["EMG", "ACC"]
     a, b = np.array(samples(r, "EMG1")), np.array(samples(back, "EMG1"))
     assert len(b) == 3000 and np.abs(a - b[:2500]).max() <= 2000 / 65535
     tsv = (tmp_path / "x_channels.tsv").read_text().splitlines()
