@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, bounded_batches, crc_mod
+from .common import P, bounded_batches, crc_mod, drop_scratch, materialize
 from .linear import Rows, adam, bounded_sample, sigmoid
 from .textkernels import LOWER, chunks
 
@@ -148,64 +148,72 @@ class ToxicityModel:
         return score
 
 
-def fit(texts: list[tuple[set[str], int]]) -> tuple[dict[str, float], float]:
-    """Beginnings that tell the labels apart by chi-square, weighted by ridge logistic regression with balanced classes."""
-    n = len(texts)
-    pos = sum(y for _, y in texts)
+def telling(sample: DataFrame, most: int = MOST_FEATURES, least_docs: int = LEAST_DOCS, least_chi2: float = LEAST_CHI2) -> list[str]:
+    """The beginnings that tell the labels apart best by chi-square. ``sample`` has y and an array of beginnings, words.
+
+    Counting is distributed; at most ``most`` beginnings come to the driver, ties in order of the text.
+    """
+    n, pos = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not n or pos in (0, n):
+        return []
+    seen = sample.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("c1")).where(F.col("c") >= least_docs)
+    e1 = F.col("c") * (pos / n)
+    chi = F.pow(F.col("c1") - e1, 2) / e1 + F.pow(F.col("c1") - e1, 2) / (F.col("c") - e1)
+    best = seen.withColumn("chi", F.round(chi, 6)).where(F.col("chi") >= least_chi2).orderBy(F.desc("chi"), "word").limit(most)
+    return [r["word"] for r in best.collect()]
+
+
+def fit(rows: Rows, y: np.ndarray, dims: int) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression with classes balanced up to a factor of 4."""
+    n, pos = len(y), float(y.sum())
     if not n or pos in (0, n):
-        return {}, 4.0 if n and pos == n else -4.0
-    seen: dict[str, list[int]] = {}
-    for words, y in texts:
-        for w in words:
-            c = seen.setdefault(w, [0, 0])
-            c[y] += 1
-    rated = []
-    for w, (c0, c1) in seen.items():
-        if c0 + c1 >= LEAST_DOCS:
-            expected = (c0 + c1) * pos / n
-            chi = (c1 - expected) ** 2 / expected + (c0 - (c0 + c1 - expected)) ** 2 / (c0 + c1 - expected)
-            if chi >= LEAST_CHI2:
-                rated.append((-chi, w))
-    names = [w for _, w in sorted(rated)[:MOST_FEATURES]]
-    at = {w: i for i, w in enumerate(names)}
-    rows = Rows([(np.array(sorted(at[w] for w in words if w in at), dtype=np.int64), np.ones(sum(w in at for w in words))) for words, _ in texts])
-    y = np.array([y for _, y in texts], dtype=float)
+        return np.zeros(dims), 4.0 if n and pos == n else -4.0
     weight = np.where(y > 0, min(4.0, (n - pos) / pos), 1.0)
     weight /= weight.sum()
-    dims = len(names)
 
     def gradient(p: np.ndarray) -> np.ndarray:
         g = weight * (sigmoid(rows.dot(p[:-1]) + p[-1]) - y)
         return np.append(rows.tdot(g, dims) + 2e-5 * p[:-1], g.sum())
 
     p = adam(gradient, np.zeros(dims + 1), 500, 0.1)
-    return dict(zip(names, p[:-1].tolist(), strict=True)), float(p[-1])
+    return p[:-1], float(p[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> ToxicityModel:
     """Count the character model over all texts, then fit on at most ``sample`` labelled documents with crc32(id) mod 5 <> 0.
 
     The sample holds the smallest id hashes; null labels and ids are not used. Without labels, or with one class only,
-    scores are constant.
+    scores are constant. The driver receives trigram counts, the telling beginnings, and their places in each sampled text.
     """
+    spark = docs.sparkSession
     counts = corpus_trigrams(docs, text_col)
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(crc_mod("id", 5) != 0)
     chosen = bounded_sample(usable, sample, SEED)
     small = F.broadcast(chosen.select(F.col("id").alias(P + "id"), F.col("y").alias(P + "y")))  # at most sample rows
     rows = docs.select(F.col(id_col).alias(P + "doc"), F.coalesce(F.col(text_col), F.lit("")).alias(P + "text")).join(small, F.col(P + "doc") == F.col(P + "id"))
-    known = docs.sparkSession.sparkContext.broadcast(counts)
+    known = spark.sparkContext.broadcast(counts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(known.value)
         for batch in batches:
-            words = [sorted(set(_WORD.findall(decoder.restore(t.as_py())))) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array([" ".join(w) for w in words], pa.string())], names=["id", "y", "words"])
-
-    texts = []
-    for row in rows.select(P + "id", P + "y", P + "text").mapInArrow(run, "id string, y int, words string").orderBy("id", "y", "words").toLocalIterator():
-        texts.append((beginnings(row["words"]), int(row["y"] > 0)))
-    weights, offset = fit(texts)
-    return ToxicityModel(counts, weights, offset)
+            words = [sorted(beginnings(decoder.restore(t.as_py()))) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array([int(v > 0) for v in batch.column(1).to_pylist()], pa.int32()), pa.array(words, pa.list_(pa.string()))], names=["id", "y", "words"])
+
+    found = materialize(rows.select(P + "id", P + "y", P + "text").mapInArrow(restored, "id string, y int, words array<string>"))
+    names = telling(found)
+    places = spark.sparkContext.broadcast({w: i for i, w in enumerate(names)})
+
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = places.value
+        for batch in batches:
+            idx = [sorted(at[w] for w in words if w in at) for words in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(idx, pa.list_(pa.int32()))], names=["id", "y", "idx"])
+
+    got = sorted(found.mapInArrow(located, "id string, y int, idx array<int>").collect(), key=lambda r: (r["id"], r["y"], r["idx"]))
+    drop_scratch(spark, found.scratch_path)
+    x = Rows([(np.array(r["idx"], dtype=np.int64), np.ones(len(r["idx"]))) for r in got])
+    weights, offset = fit(x, np.array([r["y"] for r in got], dtype=float), len(names))
+    return ToxicityModel(counts, dict(zip(names, weights.tolist(), strict=True)), offset)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
