@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,8 +36,9 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
 
 
 def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        drop_scratch(spark, path)
+    with contextlib.suppress(Exception):  # the session may be gone, and the table with it
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+            drop_scratch(spark, path)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def window_entropy(text: str, width: int = WINDOW) -> float:
     if n < width:
         return 0.0
     counts: dict[str, int] = {}
-    part = [0.0] + [c * log2(c) for c in range(1, width + 1)]
+    part = [0.0] + [c * log2(c) for c in range(1, width + 2)]
     total = 0.0
     least = None
     for i, ch in enumerate(text):
