@@ -13,7 +13,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, P, materialize
+from .common import BROADCAST_ROWS, P, join_keyed, materialize
 
 #: The patterns of the base kinds, in their order.
 _LOCAL = "A-Za-z0-9._%+-"
@@ -125,6 +125,11 @@ def _contexts(found: DataFrame) -> DataFrame:
     return one.select("entity", F.lower(near).alias("near")).select("entity", F.xxhash64("near").alias("context"), F.explode(F.array_distinct(F.regexp_extract_all("near", F.lit(TERM), F.lit(0)))).alias("term"))
 
 
+def _words(docs: DataFrame) -> DataFrame:
+    """(doc_id, term), once for each document."""
+    return docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, posterior: float = POSTERIOR, bits: float = BITS) -> tuple[DataFrame, DataFrame] | None:
     """Terms that disclose an entity, with figures, and the documents that hold each; None if no term has the support.
 
@@ -133,13 +138,15 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
     ``posterior`` and exceeds the entity's share of all documents by ``bits`` bits.
     """
     pairs = _contexts(found).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= support)
+    # A term is in at least as many documents as it is among those with entities: that alone rules out common words.
     pairs = materialize(pairs)
-    terms = pairs.groupBy("term").agg(F.max("n_pair").alias("n_pair"))
-    n_terms = terms.count()
+    among = _words(found).groupBy("term").agg(F.count(F.lit(1)).alias("n_among"))
+    terms = pairs.groupBy("term").agg(F.max("n_pair").alias("n_pair")).join(among, "term").where(F.col("n_pair") >= posterior * F.col("n_among"))
+    known = materialize(terms.select("term"))
+    n_terms = known.count()
     if n_terms == 0:
         return None
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    known = terms.select("term")
+    words = _words(docs)
     held = materialize(words.join(F.broadcast(known) if n_terms <= BROADCAST_ROWS else known, "term"))
     df = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     total = docs.count()
@@ -165,10 +172,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     else:
         per_doc = told[1].groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("terms"))
         pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))
-        hit = slim.join(per_doc, "doc_id").withColumn("pattern", pattern)
+        hit = join_keyed(slim, per_doc, "doc_id", "inner").withColumn("pattern", pattern)
         hit = hit.withColumn("m", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
         hit = hit.select("doc_id", placed(F.col("text"), F.col("pattern"), len(KINDS), F.col("m")).alias("term_spans")).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("term_spans"))).alias("term_spans"))
-        full = found.drop("text").join(hit, "doc_id", "left")
+        full = join_keyed(found.drop("text"), hit, "doc_id")
         free = F.filter(F.coalesce("term_spans", F.array().cast(_SPAN)), lambda x: ~F.exists("spans", lambda s: (s["start"] < x["stop"]) & (x["start"] < s["stop"])))
         full = full.select("doc_id", "spans", F.array_sort(F.concat("spans", free)).alias("span_list"))
     counts = [F.size(F.filter("span_list", partial(_is_kind, k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate([*KINDS, "term"])]
