@@ -90,7 +90,7 @@ def has_letter(texts: pa.Array) -> Iterator[bool]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, dims: int = DIMS, steps: int = STEPS) -> LanguageModel:
-    """Fit on at most ``sample`` whole texts of each language, those of smallest id hash among documents not held out.
+    """Fit on at most ``sample`` whole texts in all (but up to 200 of each language), those of smallest id hash among documents not held out.
 
     Only text and lang of documents with crc32(id) mod 3 <> 1 and a non-null lang are read. The languages, whose number is
     that of the corpus' distinct non-null ``lang`` values, are counted over all such rows.

@@ -205,6 +205,6 @@ def _shared(seats: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, with all its columns: that with the smallest id."""
+    """One document of each component, with all its columns: that with the smallest id. Rows with a null id stay."""
     gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(P + "id"))
     return docs.join(gone, F.col(id_col).cast("bigint") == F.col(P + "id"), "left_anti")
