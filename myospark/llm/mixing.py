@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, unit_hash
+from .common import P, join_keyed, unit_hash
 
 SEED, ALPHA = 13, 0.5
 
@@ -74,7 +74,7 @@ def poisson_mix(
     """
     rates = source_rates(docs, source_col, weights, alpha, total)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    drawn = docs.join(rates, F.col(source_col).eqNullSafe(F.col(P + "source")))
+    drawn = join_keyed(docs.withColumn(P + "source", F.col(source_col)), rates, P + "source", "inner")
     n = poisson_count(F.col(P + "u"), F.col(P + "rate"))
     drawn = drawn.withColumn(P + "u", unit_hash(F.lit(seed), ident)).withColumn(P + "n", n).where(F.col(P + "n") > 0)
     kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
