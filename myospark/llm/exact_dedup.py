@@ -13,14 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P
+from .common import P, materialize
 
 RUNS, FAN_IN = 64, 8
 
 
 def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z only; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Lower-case A-Z only; null counts as empty. Pure ASCII texts take the faster general function."""
+    known = F.coalesce(text, F.lit(""))
+    ascii_only = F.octet_length(known) == F.char_length(known)
+    return F.when(ascii_only, F.lower(known)).otherwise(F.translate(known, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def exact_groups(
@@ -37,11 +39,11 @@ def exact_groups(
         raise ValueError("keep must be 'min' or 'max'")
     best = F.min if keep == "min" else F.max
     low = F.encode(lower_ascii(F.col(text_col)), "UTF-8")
-    rows = docs.select(F.col(id_col).alias("doc_id"), low.alias(P + "low")).select(
+    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), low.alias(P + "low")).select(
         "doc_id",
         F.unhex(F.sha2(P + "low", 256)).alias(P + "sha"),
         F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(runs)).cast("int").alias(P + "run"),
-    )
+    ))
     key = F.xxhash64(P + "sha").alias(P + "key")
     level = rows.groupBy(key, P + "sha", P + "run").agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     leaves, width = level, runs
