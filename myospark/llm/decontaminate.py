@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
 
-RATE, LEAST_EXACT, BLOCK_CHARS = 0.05, 20, 1_000_000
+RATE, LEAST_EXACT, BLOCK_CHARS = 0.08, 20, 1_000_000
 
 
 def normalize(text: str | None) -> str:
