@@ -32,6 +32,7 @@ _S = re.escape(_SIGNS)
 #: Words with a sign before a letter, or one or two at the end. Possessive throughout: linear in the text, whatever its words.
 _LEET_WORD = re.compile(rf"(?<![\w{_S}])(?:[^\W\d_]*+[{_S}]++[^\W\d_][\w{_S}]*+|[^\W\d_]++[0-9@$]{{1,2}}+(?![\w{_S}]))")
 _SPACED = re.compile(rf"(?<![^\W_])(?:[a-z{_S}][ .\-_*]{{1,2}}){{3,}}[a-z{_S}](?![^\W_])")
+_SIGN = re.compile(f"[{_S}]")
 _TRIPLE = re.compile(r"([a-z])\1\1")
 _LETTERS = re.compile(r"[a-z]+")
 _WORD = re.compile(rf"(?<![\w{re.escape(_SIGNS)}])(?=[^\s]*[a-z])[a-z{re.escape(_SIGNS)}]*[a-z{re.escape(_SIGNS)}](?![\w{re.escape(_SIGNS)}])")
@@ -115,7 +116,8 @@ class Decoder:
     def restore(self, text: str) -> str:
         """The lower-case text with disguised words restored."""
         text = _SPACED.sub(lambda m: self.word(re.sub(r"[ .\-_*]", "", m[0])), text.lower())
-        text = _LEET_WORD.sub(lambda m: self.word(m[0]), text)
+        if _SIGN.search(text):
+            text = _LEET_WORD.sub(lambda m: self.word(m[0]), text)
         if _TRIPLE.search(text):
             text = _LETTERS.sub(lambda m: self.word(m[0]) if _TRIPLE.search(m[0]) else m[0], text)
         return text
@@ -133,11 +135,14 @@ class ToxicityModel:
 
     def scorer(self):
         decoder, weights = Decoder(self.counts), self.weights
+        least = min(PREFIXES)
+        stems = {w[:least] for w in weights}  # a word whose first letters open no weighted beginning has no weight
 
         def score(text: str) -> float:
-            words = set(_WORD.findall(decoder.restore(text)))
             hit = set()
-            for w in words:
+            for w in set(_WORD.findall(decoder.restore(text))):
+                if w[:least] not in stems:
+                    continue
                 if w in weights:
                     hit.add(w)
                 for n in PREFIXES:
