@@ -114,33 +114,53 @@ def rendered(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
 
 
+def _text_key() -> Column:
+    return F.xxhash64("text").alias("text_key")
+
+
 def _contexts(found: DataFrame) -> DataFrame:
-    """(entity, context, term): words within WINDOW characters of a protected entity, once for each different context."""
+    """(entity, context, text_key, term): words within WINDOW characters of a protected entity.
+
+    One character more is read on either side: a word that the window cuts reaches it and goes, one that the text's end or a
+    sign bounds stays.
+    """
+    start, stop = F.col("s.start"), F.col("s.stop")
     one = found.select(F.explode("spans").alias("s"), "text").select(
         F.xxhash64(F.col("s.kind"), F.lower("s.value")).alias("entity"),
-        F.substring(F.col("text"), F.greatest(F.col("s.start") - WINDOW + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(WINDOW))).alias("before"),
-        F.substring(F.col("text"), F.col("s.stop") + 1, F.lit(WINDOW)).alias("after"),
+        _text_key(),
+        F.substring(F.col("text"), F.greatest(start - WINDOW, F.lit(1)), F.least(start, F.lit(WINDOW + 1))).alias("before"),
+        F.substring(F.col("text"), stop + 1, F.lit(WINDOW + 1)).alias("after"),
+    )
+    before = F.when(F.length("before") > WINDOW, F.regexp_replace("before", r"^[\p{L}\p{N}]++", "")).otherwise(F.col("before"))
+    after = F.when(F.length("after") > WINDOW, F.regexp_replace("after", r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++\z", "")).otherwise(F.col("after"))
+    near = F.lower(F.concat_ws(" ", before, after))
+    return one.select("entity", "text_key", near.alias("near")).select(
+        "entity", F.xxhash64("near").alias("context"), "text_key", F.explode(F.array_distinct(F.regexp_extract_all("near", F.lit(TERM), F.lit(0)))).alias("term")
     )
-    near = F.concat_ws(" ", F.regexp_extract("before", r"(?s)^\S*+(.*)$", 1), F.regexp_replace("after", r"\S+$", ""))
-    return one.select("entity", F.lower(near).alias("near")).select("entity", F.xxhash64("near").alias("context"), F.explode(F.array_distinct(F.regexp_extract_all("near", F.lit(TERM), F.lit(0)))).alias("term"))
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    """(doc_id, term), once for each document."""
-    return docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    """(doc_id, text_key, term), once for each document."""
+    return docs.select("doc_id", _text_key(), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+
+
+def _texts(words: DataFrame, key: str, name: str) -> DataFrame:
+    """How many different texts hold each key."""
+    return words.select(key, "text_key").distinct().groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT, posterior: float = POSTERIOR, bits: float = BITS) -> tuple[DataFrame, DataFrame] | None:
     """Terms that disclose an entity, with figures, and the documents that hold each; None if no term has the support.
 
-    A pair counts the different contexts of an entity that hold the term; copies of one context count once. Candidates
-    have ``support`` such contexts. Of these, a term discloses the entity if contexts / documents holding the term reaches
-    ``posterior`` and exceeds the entity's share of all documents by ``bits`` bits.
+    Candidates are pairs of an entity and a term with ``support`` different contexts of the entity that hold the term. All
+    shares are of different texts, so that copies of a document count once above and below: a term discloses the entity if
+    texts that hold it beside the entity / texts that hold it reaches ``posterior`` and exceeds the entity's share of all
+    texts by ``bits`` bits.
     """
-    pairs = _contexts(found).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= support)
-    # A term is in at least as many documents as it is among those with entities: that alone rules out common words.
+    pairs = _contexts(found).groupBy("entity", "term").agg(F.count_distinct("context").alias("n_context"), F.count_distinct("text_key").alias("n_pair")).where(F.col("n_context") >= support)
+    # A term is in at least as many texts as it is among those with entities: that alone rules out common words.
     pairs = materialize(pairs)
-    among = _words(found).groupBy("term").agg(F.count(F.lit(1)).alias("n_among"))
+    among = _texts(_words(found), "term", "n_among")
     terms = pairs.groupBy("term").agg(F.max("n_pair").alias("n_pair")).join(among, "term").where(F.col("n_pair") >= posterior * F.col("n_among"))
     known = materialize(terms.select("term"))
     n_terms = known.count()
@@ -148,13 +168,13 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT,
         return None
     words = _words(docs)
     held = materialize(words.join(F.broadcast(known) if n_terms <= BROADCAST_ROWS else known, "term"))
-    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.count()
-    entity = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.xxhash64(F.col("s.kind"), F.lower("s.value")).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    df = _texts(held, "term", "n_term")
+    total = docs.select(_text_key()).distinct().count()
+    entity = _texts(found.select(_text_key(), F.explode("spans").alias("s")).select("text_key", F.xxhash64(F.col("s.kind"), F.lower("s.value")).alias("entity")), "entity", "n_entity")
     rated = pairs.join(df, "term").join(entity, "entity").withColumn("p", F.least(F.lit(1.0), F.col("n_pair") / F.col("n_term")))
     rated = rated.withColumn("bits", F.log2(F.col("p") * F.lit(float(total)) / F.col("n_entity")))
     telling = materialize(rated.where((F.col("p") >= posterior) & (F.col("bits") >= bits)).groupBy("term").agg(F.max("p").alias("p"), F.max("bits").alias("bits")))
-    return telling, held.join(telling.select("term"), "term")
+    return telling, held.drop("text_key").join(telling.select("term"), "term")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from myospark.llm import language_id, quality, toxicity
 from myospark.llm.decontaminate import budget, contamination, drop_contaminated, myers_within, normalize, pieces
 from myospark.llm.linear import Rows
-from myospark.llm.personal_data import personal_data, sanitise
+from myospark.llm.personal_data import _contexts, base_spans, personal_data, sanitise
 from myospark.llm.secrets import scan_secrets, window_entropy
 
 SECRETS = [
@@ -130,6 +130,22 @@ def test_disclosing_terms(make):
     assert all(r["n_term"] == 0 for r in copies)  # one context, however often it is copied
 
 
+def test_disclosing_terms_among_copies(make):
+    noise = [f"plain{i} words{i} stand{i} alone{i}" for i in range(60)]
+    letters = [f"{w} zorblatt wrote from boss@corp.example {w} again" for w in ("monday", "tuesday", "friday")]
+    rows = {r["doc_id"]: r["n_term"] for r in personal_data(make([letters[0]] * 10 + letters[1:] + noise)).collect()}
+    assert all(rows[i] >= 1 for i in range(12)) and all(rows[i] == 0 for i in range(12, 72))
+    others = [f"zorblatt {w}" for w in noise[:5]]  # copies of a letter add nothing to the share
+    rows = {r["doc_id"]: r["n_term"] for r in personal_data(make([letters[0]] * 10 + letters[1:] + others + noise)).collect()}
+    assert all(v == 0 for i, v in rows.items() if i >= 12)
+
+
+def test_context_words_at_the_edges(make):
+    texts = ["zorblatt boss@corp.example on", "on boss@corp.example zorblatt", f"zorblatt {'x' * 90} boss@corp.example on", f"zorblatt {'y' * 79} boss@corp.example on"]
+    near = _contexts(base_spans(make(texts).select("doc_id", "text"), "text")).collect()
+    assert sorted(r["term"] for r in near) == ["y" * 79, "zorblatt", "zorblatt"]  # the window begins inside the x
+
+
 def edit_distance_within(pattern, text):
     row = list(range(len(pattern) + 1))
     best = row[-1]
