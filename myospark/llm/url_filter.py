@@ -6,6 +6,8 @@ pages the rules block, against links: who links to a blocked host is suspect. Da
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from .exact_dedup import lower_ascii
 
 #: Fixed values: (verdict, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-DAMPING, ITERATIONS, TOLERANCE, THRESHOLD = 0.85, 12, 1e-4, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-4, 0.5
 LINK = r"""(?i)(?:href|src)\s*+=\s*+["']?+(?:[a-z][a-z0-9+.-]*+:)?//([^/?#"'\s<>]++)"""
 
 
@@ -36,12 +38,13 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return text, verdict
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank both ways over ``edges`` (src, dst, n): host, trust, distrust.
 
     ``seeds`` has host, trust, distrust in [0, 1]. A host passes its trust on by its links' shares and receives distrust
     from the hosts it links to by their shares of incoming links. Scores are in units of the seeds: a host without links
-    keeps its own. Rounds end early once no score moves by ``tolerance``.
+    keeps its own. Rounds go on until what is still to come, summed over all hosts, is below ``tolerance``: a round passes on
+    at most ``damping`` of what moved in the last one. ``iterations`` stops them before.
     """
     e = edges.where("src <> dst")
     out_n = e.groupBy("src").agg(F.sum("n").alias("all_out"))
@@ -57,20 +60,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
     ranks, last = seeds.select("host", F.col("s_t").alias("trust"), F.col("s_d").alias("distrust")), None
     if both.isEmpty():
         return ranks
-    for _ in range(iterations):
+    for _ in count() if iterations is None else range(iterations):
         flow = ranks.join(both, ranks["host"] == both["a"]).groupBy(F.col("b").alias("host")).agg(F.sum(F.col("trust") * F.col("wt")).alias("f_t"), F.sum(F.col("distrust") * F.col("wd")).alias("f_d"))
         step = seeds.join(flow, "host", "left").join(ranks, "host").select(
             "host",
             (F.col("s_t") + damping * F.coalesce("f_t", F.lit(0.0))).alias("trust"),
             (F.col("s_d") + damping * F.coalesce("f_d", F.lit(0.0))).alias("distrust"),
-            F.greatest(F.abs(F.col("s_t") + damping * F.coalesce("f_t", F.lit(0.0)) - F.col("trust")), F.abs(F.col("s_d") + damping * F.coalesce("f_d", F.lit(0.0)) - F.col("distrust"))).alias("moved"),
+            F.abs(F.col("s_t") + damping * F.coalesce("f_t", F.lit(0.0)) - F.col("trust")).alias("moved_t"),
+            F.abs(F.col("s_d") + damping * F.coalesce("f_d", F.lit(0.0)) - F.col("distrust")).alias("moved_d"),
         )
         after = materialize(step)
-        moved = after.agg(F.max("moved")).first()[0] or 0.0
+        moved = max(v or 0.0 for v in after.agg(F.sum("moved_t"), F.sum("moved_d")).first())
         if last is not None:
             drop_scratch(ranks.sparkSession, last.scratch_path)
         last, ranks = after, after.select("host", "trust", "distrust")
-        if moved < tolerance:
+        if moved * damping / (1 - damping) < tolerance:
             break
     return ranks
 

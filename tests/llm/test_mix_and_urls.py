@@ -113,3 +113,10 @@ def test_propagate_against_iteration(spark):
         )
     for h in seeds:
         assert got[h] == pytest.approx((t[h], d[h]))
+
+
+def test_propagate_until_converged(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("a", 0.0, 0.15), ("b", 0.0, 0.0)], "host string, trust double, distrust double")
+    got = {r["host"]: r["distrust"] for r in propagate(edges, seeds, tolerance=0.02).collect()}
+    assert got == pytest.approx({"a": 0.15 / (1 - 0.85**2), "b": 0.85 * 0.15 / (1 - 0.85**2)}, abs=0.02)
