@@ -31,12 +31,16 @@ _SIGNS = "".join(LEET)
 _S = re.escape(_SIGNS)
 #: Words with a sign before a letter, or one or two at the end. Possessive throughout: linear in the text, whatever its words.
 _LEET_WORD = re.compile(rf"(?<![\w{_S}])(?:[^\W\d_]*+[{_S}]++[^\W\d_][\w{_S}]*+|[^\W\d_]++[0-9@$]{{1,2}}+(?![\w{_S}]))")
-_SPACED = re.compile(rf"(?<![^\W_])(?:[a-z{_S}][ .\-_*]{{1,2}}){{3,}}[a-z{_S}](?![^\W_])")
+#: Runs of three or more parts of one or two characters, however set apart.
+_SPACED = re.compile(rf"(?<![^\W_])(?:[a-z{_S}]{{1,2}}[ .\-_*/]++){{2,}}[a-z{_S}]{{1,2}}(?![^\W_])")
+_SEPARATORS = " .-_*/"
+_SEPARATOR = re.compile(f"[{re.escape(_SEPARATORS)}]")
+#: Cost in nats of a digit or currency sign, or of another sign between letters, that stands for itself: mostly such a one is a disguise.
+ITSELF = 6.0
 _SIGN = re.compile(f"[{_S}]")
 _TRIPLE = re.compile(r"([a-z])\1\1")
 _LETTERS = re.compile(r"[a-z]+")
 _WORD = re.compile(rf"(?<![\w{re.escape(_SIGNS)}])(?=[^\s]*[a-z])[a-z{re.escape(_SIGNS)}]*[a-z{re.escape(_SIGNS)}](?![\w{re.escape(_SIGNS)}])")
-_SPACED = re.compile(rf"(?<![^\W_])(?:[a-z{re.escape(_SIGNS)}][ .\-_*]{{1,2}}){{3,}}[a-z{re.escape(_SIGNS)}](?![^\W_])")
 _REPEATED = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
 _HINT = re.compile(rf"[{re.escape(_SIGNS)}]|([a-z])\1\1|(?<![^\W_])[a-z][ .\-_*]{{1,2}}[a-z][ .\-_*]{{1,2}}[a-z](?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -81,41 +85,64 @@ class Decoder:
         self.word = lru_cache(maxsize=50_000)(self._word)
 
     @staticmethod
-    def lattice(text: str) -> list[list[str]]:
-        """For each stretch of equal characters, the strings it may stand for."""
+    def lattice(text: str) -> list[list[tuple[str, str, float]]]:
+        """For each stretch of equal characters, or of separators: what it may stand for, how that is written, and its cost.
+
+        A sign may stand for letters or for itself, which bounds words; separators for a boundary or for nothing.
+        """
         out, i = [], 0
         while i < len(text):
-            j = i
+            j = i + 1
+            if text[i] in _SEPARATORS:
+                while j < len(text) and text[j] in _SEPARATORS:
+                    j += 1
+                out.append([(" ", text[i:j], 0.0), ("", "", 0.0)])
+                i = j
+                continue
             while j < len(text) and text[j] == text[i]:
                 j += 1
+            sign = text[i] in LEET
             options = LEET.get(text[i], text[i])
+            own = ITSELF if text[i].isdigit() or text[i] in "$€" or (i and text[i - 1].isalpha() and j < len(text) and text[j].isalpha()) else 0.0
             if j - i >= 3:
-                out.append([x * n for x in options for n in (1, 2)])
+                out.append([(x * n, x * n, 0.0) for x in options for n in (1, 2)] + [(text[i] * 2, text[i:j], 2 * own)] * sign)
             else:
-                out += [list(options)] * (j - i)  # signs that stand for no letter stay as they are
+                out += [[(x, x, 0.0) for x in options] + [(text[i], text[i], own)] * sign] * (j - i)
             i = j
         return out
 
     def _word(self, text: str) -> str:
-        """The most likely word: paths are kept apart by their last two symbols."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for options in [*self.lattice(text), [" "]]:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+        """The most likely reading: paths are kept apart by their last two symbols, and what they wrote is linked backwards."""
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for options in [*self.lattice(text), [(" ", "", 0.0)]]:
+            coded = [([ord(ch) - 96 if "a" <= ch <= "z" else 27 if ch.isalpha() else 0 for ch in seen], written, cost) for seen, written, cost in options]
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, done) in best.items():
-                for option in options:
-                    x, y, c = a, b, cost
-                    for ch in option:
-                        z = ord(ch) - 96 if "a" <= ch <= "z" else 0 if ch == " " else 27
+                for codes, written, more in coded:
+                    x, y, c = a, b, cost + more
+                    for z in codes:
+                        if z == y == 0:  # a boundary beside a boundary is the same one
+                            x = 0
+                            continue
                         c -= self.logp[x][y][z]
                         x, y = y, z
                     if (x, y) not in after or c < after[(x, y)][0]:
-                        after[(x, y)] = (c, done + option)
+                        after[(x, y)] = (c, (done, written))
             best = after
-        return min(best.values())[1].rstrip(" ")
+        done, parts = min(best.values(), key=lambda v: v[0])[1], []
+        while done is not None:
+            done, written = done
+            parts.append(written)
+        return "".join(reversed(parts))
+
+    def spaced(self, run: str) -> str:
+        """Both readings of a run of letters set apart: its most likely segments, and all of it as one word where that differs."""
+        parts, whole = self.word(run), self.word(_SEPARATOR.sub("", run))
+        return parts if parts == whole else f"{parts} {whole}"
 
     def restore(self, text: str) -> str:
         """The lower-case text with disguised words restored."""
-        text = _SPACED.sub(lambda m: self.word(re.sub(r"[ .\-_*]", "", m[0])), text.lower())
+        text = _SPACED.sub(lambda m: self.spaced(m[0]), text.lower())
         if _SIGN.search(text):
             text = _LEET_WORD.sub(lambda m: self.word(m[0]), text)
         if _TRIPLE.search(text):

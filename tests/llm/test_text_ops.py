@@ -264,6 +264,23 @@ def test_decoder(make):
     assert decoder.restore(big)
 
 
+def _decoder(make):
+    corpus = make(["you are an idiot and a stupid worthless moron, what a clown and loser " * 3] * 5 + ["the thing that was there then with them"] * 20)
+    return toxicity.Decoder(toxicity.corpus_trigrams(corpus))
+
+
+def test_decoder_keeps_signs_that_bound_words(make):
+    decoder = _decoder(make)
+    for seen, meant in (("(idiot)", "idiot"), ("@moron", "moron"), ("|stupid|", "stupid"), ("(1d10t)", "idiot"), ("and!stupid", "stupid"), ("$tup1d", "stupid")):
+        assert meant in toxicity.beginnings(decoder.restore(seen)), (seen, decoder.restore(seen))
+
+
+def test_decoder_segments_spaced_runs(make):
+    decoder = _decoder(make)
+    for seen, meant in (("you are a s t u p i d person", "stupid"), ("what a i d i o t", "idiot"), ("y o u i d i o t", "idiot"), ("s / t / u / p / i / d", "stupid"), ("s    t    u    p    i    d", "stupid"), ("st up id", "stupid")):
+        assert meant in toxicity.beginnings(decoder.restore(seen)), (seen, decoder.restore(seen))
+
+
 def test_corpus_trigrams_count_everything(make):
     texts = ["ab", "ÉÀ b", None, "", "aba aba"]
     counts = toxicity.corpus_trigrams(make(texts))
