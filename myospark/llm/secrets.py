@@ -30,6 +30,8 @@ CLASSES = [
     ("alphanumeric", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 3.8),
     ("base64", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"), 3.9),
 ]
+#: Maximal runs of a class, long enough for a window, with its least entropy.
+_RUNS = [(re.compile(f"[{re.escape(''.join(sorted(chars)))}]{{{WINDOW},}}"), bits) for _, chars, bits in CLASSES]
 #: Strings that look random but are not secret: UUIDs, dates and times, words and paths without digits, plain numbers.
 ALLOW = re.compile(
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-]?[0-9]*|[^0-9]+|[0-9=_/+-]+"
@@ -75,6 +77,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _random_run(word: str, at: int, taken: list[tuple[int, int, int]], allow: re.Pattern) -> bool:
+    """Whether a maximal run of one class inside a candidate, which a sign or another class bounds, is random for its class."""
+    for run, bits in _RUNS:
+        for m in run.finditer(word):
+            a, b = at + m.start(), at + m.end()
+            if window_entropy(m[0]) >= bits and not allow.fullmatch(m[0]) and not any(s <= a and b <= e for s, _, e in taken):
+                return True
+    return False
+
+
 def entropy_spans(text: str, taken: list[tuple[int, int, int]], allow: re.Pattern = ALLOW) -> list[tuple[int, int]]:
     """Candidate strings with a window of high entropy for their class, which no base span holds and no allow-list entry names."""
     out = []
@@ -83,7 +95,7 @@ def entropy_spans(text: str, taken: list[tuple[int, int, int]], allow: re.Patter
         if allow.fullmatch(word) or any(s <= a and b <= e for s, _, e in taken):
             continue
         kind = character_class(word)
-        if kind and window_entropy(word) >= kind[1]:
+        if kind and window_entropy(word) >= kind[1] or _random_run(word, a, taken, allow):
             out.append((a, b))
     return out
 

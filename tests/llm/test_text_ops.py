@@ -14,7 +14,7 @@ from myospark.llm import language_id, quality, toxicity
 from myospark.llm.decontaminate import budget, contamination, drop_contaminated, myers_within, normalize, pieces
 from myospark.llm.linear import Rows
 from myospark.llm.personal_data import _contexts, base_spans, personal_data, sanitise
-from myospark.llm.secrets import scan_secrets, window_entropy
+from myospark.llm.secrets import entropy_spans, scan_secrets, window_entropy
 
 SECRETS = [
     'password = "Tr0ub4dor&3xyzabc" and api_key: abcdefghijkl',
@@ -64,6 +64,15 @@ def test_window_entropy():
     assert window_entropy("short") == 0.0
 
 
+@pytest.mark.parametrize("prefix", ["", "ID=", "ID-", "key_"])
+def test_secrets_behind_a_prefix(prefix):
+    rng = random.Random(5)
+    words = [prefix + "".join(rng.choice("0123456789ABCDEF") for _ in range(32)) for _ in range(500)]
+    assert sum(entropy_spans(w, []) == [(0, len(w))] for w in words) > 480
+    for quiet in ("id-20240101120000123456", "123e4567-e89b-12d3-a456-426614174000", "path/to/a-word-of-many-letters1"):
+        assert entropy_spans(quiet, []) == []
+
+
 PERSONAL = [
     "a@b.c_d@e.f then x.y+z@host-1.example.org. and @no.where",
     "ip 10.0.0.1 256.1.1.1 1.2.3.4.5.6.7.8 0001.2.3.4 9.9.9",
