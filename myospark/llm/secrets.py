@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from math import log2
 
 import pyarrow as pa
@@ -23,18 +25,23 @@ BASE = [
 _HEX_LONG = re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
-#: Classes in order of their size: name, characters, least entropy in bits of a window of 20 characters.
+#: Classes: name, characters, least entropy in bits of a window of 20 characters. Words of prose stay below 3.75 in any class.
+#: Digits alone are no class: a run of 16 or more is a base match of kind hex already, as is one of lower-case hexadecimal.
+_LOWER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 CLASSES = [
-    ("digits", frozenset("0123456789"), 3.1),
-    ("hexadecimal", frozenset("0123456789abcdefABCDEF"), 3.2),
-    ("alphanumeric", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 3.8),
-    ("base64", frozenset("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"), 3.9),
+    ("hexadecimal", _DIGITS + "abcdefABCDEF", 3.2),
+    ("lower case", _LOWER, 3.85),
+    ("upper case", _LOWER.upper(), 3.85),
+    ("letters", _LOWER + _LOWER.upper(), 3.8),
+    ("alphanumeric", _DIGITS + _LOWER + _LOWER.upper(), 3.8),
+    ("base64", _DIGITS + _LOWER + _LOWER.upper() + "+/_=-", 3.9),
 ]
 #: Maximal runs of a class, long enough for a window, with its least entropy.
-_RUNS = [(re.compile(f"[{re.escape(''.join(sorted(chars)))}]{{{WINDOW},}}"), bits) for _, chars, bits in CLASSES]
-#: Strings that look random but are not secret: UUIDs, dates and times, words and paths without digits, plain numbers.
+_RUNS = [(re.compile(f"[{re.escape(chars)}]{{{WINDOW},}}"), bits) for _, chars, bits in CLASSES]
+#: Strings that look random but are not secret: UUIDs, dates and times, numbers or words of some letters joined by signs, digits in order.
 ALLOW = re.compile(
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-]?[0-9]*|[^0-9]+|[0-9=_/+-]+"
+    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-]?[0-9]*"
+    r"|[/_=+-]*[A-Za-z]{1,15}(?:[/_=+-]+[A-Za-z]{1,15})+[/_=+-]*|[/_=+-]*[0-9]{1,8}(?:[/_=+-]+[0-9]{1,8})+[/_=+-]*|0?(?:1234567890)+(?:123456789)?"
 )
 
 
@@ -61,12 +68,6 @@ def window_entropy(text: str, width: int = WINDOW) -> float:
     return log2(width) - least / width
 
 
-def character_class(text: str) -> tuple[str, float] | None:
-    """The smallest class that holds all characters, with its least entropy."""
-    have = set(text)
-    return next(((name, bits) for name, chars, bits in CLASSES if have <= chars), None)
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of all base matches, by start and kind."""
     out = []
@@ -77,27 +78,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _random_run(word: str, at: int, taken: list[tuple[int, int, int]], allow: re.Pattern) -> bool:
-    """Whether a maximal run of one class inside a candidate, which a sign or another class bounds, is random for its class."""
-    for run, bits in _RUNS:
-        for m in run.finditer(word):
-            a, b = at + m.start(), at + m.end()
-            if window_entropy(m[0]) >= bits and not allow.fullmatch(m[0]) and not any(s <= a and b <= e for s, _, e in taken):
-                return True
-    return False
+def entropy_spans(text: str, taken: list[tuple[int, int, int]], allow: re.Pattern = ALLOW) -> list[tuple[int, int]]:
+    """Candidate strings with a run of one class that is random for it, which no base span holds and no allow-list entry names.
+
+    A run is maximal, so that a sign or a character of another class bounds it; it is random if one of its windows has the
+    class' least entropy. ``taken`` has the base spans in order.
+    """
+    starts, furthest = [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
+
+    def held(a: int, b: int) -> bool:
+        n = bisect_right(starts, a)
+        return n > 0 and furthest[n - 1] >= b
 
+    def random(word: str, at: int) -> bool:
+        return any(
+            not held(at + m.start(), at + m.end()) and not allow.fullmatch(m[0]) and window_entropy(m[0]) >= bits for run, bits in _RUNS for m in run.finditer(word)
+        )
 
-def entropy_spans(text: str, taken: list[tuple[int, int, int]], allow: re.Pattern = ALLOW) -> list[tuple[int, int]]:
-    """Candidate strings with a window of high entropy for their class, which no base span holds and no allow-list entry names."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        word, (a, b) = m[0], m.span()
-        if allow.fullmatch(word) or any(s <= a and b <= e for s, _, e in taken):
-            continue
-        kind = character_class(word)
-        if kind and window_entropy(word) >= kind[1] or _random_run(word, a, taken, allow):
-            out.append((a, b))
-    return out
+    return [m.span() for m in CANDIDATE.finditer(text) if not held(*m.span()) and not allow.fullmatch(m[0]) and random(m[0], m.start())]
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: str | None = None) -> DataFrame:
@@ -106,7 +104,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A span is kind:start:end in code points, end exclusive, ordered by start and then kind (assign, access, hex, entropy)
     and joined by commas; base_sha256 is over the base spans alone. ``allow`` is a pattern of strings, besides the built-in
     ones, that the entropy kind passes over; base spans always stay. Null and empty texts have no spans. Texts are read
-    whole, and time is linear in their length but for the few candidates inside many base spans.
+    whole, and time is linear in their length, but for a search among base spans for each candidate.
     """
     bounded_batches(docs.sparkSession)
     names = [b[0] for b in BASE]
