@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import P, join_keyed, unit_hash
 
 SEED, ALPHA = 13, 0.5
+#: exp(-rate) is far from the smallest double up to this rate.
+MOST_RATE = 500.0
 
 
 def source_rates(docs: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = ALPHA, total: float | None = None) -> DataFrame:
@@ -33,26 +35,35 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: dict[str,
     return n.join(F.broadcast(sums)).select(P + "source", (expected * share / F.col(P + "n")).alias(P + "rate"))  # sums is one row
 
 
-def poisson_count(u, rate):
-    """The inverse of the Poisson distribution: how many of the cumulative probabilities lie at or below u.
+def _walk(u: Column, rate: Column) -> Column:
+    """The inverse of the Poisson distribution at u: how many of the cumulative probabilities lie at or below it.
 
     The number of steps is the rate plus ten deviations and 20, beyond which less than 1e-15 of the mass lies.
-    A rate above 700 is treated as whole repetitions of rate 500 and a rest, so that exp() does not vanish.
     """
-    rest = F.when(rate > 700, rate - F.floor(rate / 500) * 500).otherwise(rate)
-    whole = F.when(rate > 700, F.floor(rate / 500) * 500).otherwise(F.lit(0)).cast("bigint")
-    steps = F.ceil(rest + 10 * F.sqrt(rest) + 20).cast("int")
-    walk = F.aggregate(
+    steps = F.ceil(rate + 10 * F.sqrt(rate) + 20).cast("int")
+    return F.aggregate(
         F.sequence(F.lit(1), steps),
-        F.struct(F.exp(-rest).alias("p"), F.exp(-rest).alias("cum"), F.when(u >= F.exp(-rest), 1).otherwise(0).cast("bigint").alias("n")),
+        F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cum"), F.when(u >= F.exp(-rate), 1).otherwise(0).cast("bigint").alias("n")),
         lambda s, k: F.struct(
-            (s["p"] * rest / k).alias("p"),
-            (s["cum"] + s["p"] * rest / k).alias("cum"),
-            (s["n"] + F.when(u >= s["cum"] + s["p"] * rest / k, 1).otherwise(0)).cast("bigint").alias("n"),
+            (s["p"] * rate / k).alias("p"),
+            (s["cum"] + s["p"] * rate / k).alias("cum"),
+            (s["n"] + F.when(u >= s["cum"] + s["p"] * rate / k, 1).otherwise(0)).cast("bigint").alias("n"),
         ),
         lambda s: s["n"],
     )
-    return F.when(rate > 0, walk + whole).otherwise(F.lit(0)).cast("bigint")
+
+
+def poisson_count(seed: Column, ident: Column, rate: Column) -> Column:
+    """A Poisson number with mean ``rate``, from numbers hashed from seed and ident.
+
+    A sum of independent Poisson numbers is one with the sum of their means: the rate is cut into equal parts of at most
+    MOST_RATE, each inverted at a number of its own, so that exp() never vanishes and the distribution holds at any rate.
+    The work is proportional to the rate, as is the number of copies.
+    """
+    parts = F.greatest(F.ceil(rate / MOST_RATE), F.lit(1)).cast("int")
+    first = _walk(unit_hash(seed, ident), rate / parts)
+    more = F.aggregate(F.sequence(F.lit(1), parts - 1), F.lit(0).cast("bigint"), lambda n, k: n + _walk(unit_hash(seed, F.lit("part"), ident, k), rate / parts))
+    return F.when(rate > 0, F.when(parts > 1, first + more).otherwise(first)).otherwise(F.lit(0)).cast("bigint")
 
 
 def poisson_mix(
@@ -66,8 +77,8 @@ def poisson_mix(
 ) -> DataFrame:
     """Repeat each row by a Poisson count with its source's mean rate, and shuffle all copies globally.
 
-    The count of a row inverts the Poisson distribution at a number hashed from seed and id, so a run repeats exactly
-    and needs no state. Returns the input's columns, ``copy`` (0, 1, ...) and ``shuffle_key``: rows are dealt
+    The count of a row inverts the Poisson distribution at a number hashed from seed and id (several for a rate above
+    MOST_RATE), so a run repeats exactly and needs no state. Returns the input's columns, ``copy`` (0, 1, ...) and ``shuffle_key``: rows are dealt
     to partitions by the key and sorted by it within each. Rows whose count is 0 go. Rows that repeat an id get the same
     count; a null id hashes as the empty text. Empty input gives an empty result. Input columns named copy or
     shuffle_key are replaced.
@@ -75,8 +86,8 @@ def poisson_mix(
     rates = source_rates(docs, source_col, weights, alpha, total)
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     drawn = join_keyed(docs.withColumn(P + "source", F.col(source_col)), rates, P + "source", "inner")
-    n = poisson_count(F.col(P + "u"), F.col(P + "rate"))
-    drawn = drawn.withColumn(P + "u", unit_hash(F.lit(seed), ident)).withColumn(P + "n", n).where(F.col(P + "n") > 0)
+    n = poisson_count(F.lit(seed), ident, F.col(P + "rate"))
+    drawn = drawn.withColumn(P + "n", n).where(F.col(P + "n") > 0)
     kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     copies = drawn.select(*kept, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(P + "n") - 1)).alias("copy"))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), ident, F.col("copy")).cast("binary")))

@@ -9,7 +9,7 @@ from . import language_id, quality, toxicity
 from .common import table
 from .decontaminate import contamination
 from .exact_dedup import exact_groups
-from .mixing import ALPHA, SEED, poisson_mix
+from .mixing import ALPHA, MOST_RATE, SEED, poisson_mix
 from .near_dedup import near_duplicates
 from .personal_data import personal_data
 from .secrets import scan_secrets
@@ -73,14 +73,16 @@ def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = f"""
 WITH RECURSIVE n AS (SELECT source, count(*) AS n, count(*)::DOUBLE ^ {ALPHA} AS want FROM documents GROUP BY source),
-r AS (SELECT source, (SELECT sum(n) FROM n)::DOUBLE * (want / (SELECT sum(want) FROM n)) / n AS rate FROM n),
+w AS (SELECT source, (SELECT sum(n) FROM n)::DOUBLE * (want / (SELECT sum(want) FROM n)) / n AS rate FROM n),
+r AS (SELECT source, greatest(ceil(rate / {MOST_RATE}), 1)::INT AS parts, rate / greatest(ceil(rate / {MOST_RATE}), 1)::INT AS rate FROM w),
 p AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cum FROM r
       UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), cum + p * rate / (k + 1) FROM p
       WHERE k + 1 <= ceil(rate + 10 * sqrt(rate) + 20)),
-c AS (SELECT source, list(cum ORDER BY k) AS cums FROM p GROUP BY source),
-d AS (SELECT documents.*, ('0x' || substr(md5('{SEED}:' || doc_id), 1, 13))::BIGINT / {2**52}.0::DOUBLE AS u FROM documents),
-m AS (SELECT d.*, len(list_filter(cums, lambda x: u >= x)) AS m FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source),
-e AS (SELECT * EXCLUDE (u, m), unnest(range(m)) AS copy FROM m)
+c AS (SELECT r.source, parts, cums FROM r JOIN (SELECT source, list(cum ORDER BY k) AS cums FROM p GROUP BY source) AS q ON r.source IS NOT DISTINCT FROM q.source),
+d AS (SELECT documents.*, parts, cums, list_transform(range(parts), lambda j: ('0x' || substr(md5(CASE WHEN j = 0 THEN '{SEED}:' || doc_id ELSE '{SEED}:part:' || doc_id || ':' || j END), 1, 13))::BIGINT / {2**52}.0::DOUBLE) AS us
+      FROM documents JOIN c ON documents.source IS NOT DISTINCT FROM c.source),
+m AS (SELECT *, list_sum(list_transform(us, lambda u: len(list_filter(cums, lambda x: u >= x))))::BIGINT AS m FROM d),
+e AS (SELECT * EXCLUDE (parts, cums, us, m), unnest(range(m)) AS copy FROM m)
 SELECT *, md5('{SEED}:' || doc_id || ':' || copy) AS shuffle_key FROM e
 """
 
