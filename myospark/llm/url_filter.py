@@ -11,7 +11,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, drop_scratch, join_keyed, materialize
+from .common import P, hot_keys, join_hot, join_keyed, materialize, release
 from .exact_dedup import lower_ascii
 
 #: Fixed values: (verdict, host, path).
@@ -38,30 +38,46 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
     return text, verdict
 
 
+def _hot(sizes: DataFrame) -> DataFrame | None:
+    """Hosts with so many links that their rows must not meet in one task. ``sizes`` has a host and its rows."""
+    known = materialize(sizes)
+    found = hot_keys(known, "rows", known.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0])
+    release(known)
+    return found
+
+
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank both ways over ``edges`` (src, dst, n): host, trust, distrust.
 
     ``seeds`` has host, trust, distrust in [0, 1]. A host passes its trust on by its links' shares and receives distrust
     from the hosts it links to by their shares of incoming links. Scores are in units of the seeds: a host without links
     keeps its own. Rounds go on until what is still to come, summed over all hosts, is below ``tolerance``: a round passes on
-    at most ``damping`` of what moved in the last one. ``iterations`` stops them before.
+    at most ``damping`` of what moved in the last one. ``iterations`` stops them before. Hosts with very many links are
+    joined by broadcast, so that their links stay where they are.
     """
-    e = edges.where("src <> dst")
-    out_n = e.groupBy("src").agg(F.sum("n").alias("all_out"))
-    in_n = e.groupBy("dst").agg(F.sum("n").alias("all_in"))
+    e = materialize(edges.where("src <> dst").select("src", "dst", "n"))
+    if e.isEmpty():
+        release(e)
+        return seeds.select("host", "trust", "distrust")
+    shares = []
+    for end, name in (("src", "all_out"), ("dst", "all_in")):
+        sums = e.groupBy(end).agg(F.sum("n").alias(name), F.count(F.lit(1)).alias("rows"))
+        hot = _hot(sums.select(end, "rows"))
+        shares.append(join_hot(e, sums.drop("rows"), [end], hot))
+    out, into = shares
     both = (
-        e.join(out_n, "src").select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("n") / F.col("all_out")).alias("wt"), F.lit(0.0).alias("wd"))
-        .unionByName(e.join(in_n, "dst").select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("wt"), (F.col("n") / F.col("all_in")).alias("wd")))
+        out.select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("n") / F.col("all_out")).alias("wt"), F.lit(0.0).alias("wd"))
+        .unionByName(into.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(0.0).alias("wt"), (F.col("n") / F.col("all_in")).alias("wd")))
         .groupBy("a", "b").agg(F.sum("wt").alias("wt"), F.sum("wd").alias("wd"))
     )
-    both = materialize(both)
+    both = materialize(both.withColumnRenamed("a", "host"))
+    release(e)
     nodes = seeds.select("host").union(both.select("b")).distinct()
     seeds = materialize(nodes.join(seeds, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("s_t"), F.coalesce("distrust", F.lit(0.0)).alias("s_d")))
     ranks, last = seeds.select("host", F.col("s_t").alias("trust"), F.col("s_d").alias("distrust")), None
-    if both.isEmpty():
-        return ranks
+    hot = _hot(both.groupBy("host").agg(F.count(F.lit(1)).alias("rows")))
     for _ in count() if iterations is None else range(iterations):
-        flow = ranks.join(both, ranks["host"] == both["a"]).groupBy(F.col("b").alias("host")).agg(F.sum(F.col("trust") * F.col("wt")).alias("f_t"), F.sum(F.col("distrust") * F.col("wd")).alias("f_d"))
+        flow = join_hot(both, ranks, ["host"], hot).groupBy(F.col("b").alias("host")).agg(F.sum(F.col("trust") * F.col("wt")).alias("f_t"), F.sum(F.col("distrust") * F.col("wd")).alias("f_d"))
         step = seeds.join(flow, "host", "left").join(ranks, "host").select(
             "host",
             (F.col("s_t") + damping * F.coalesce("f_t", F.lit(0.0))).alias("trust"),
@@ -72,7 +88,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
         after = materialize(step)
         moved = max(v or 0.0 for v in after.agg(F.sum("moved_t"), F.sum("moved_d")).first())
         if last is not None:
-            drop_scratch(ranks.sparkSession, last.scratch_path)
+            release(last)
         last, ranks = after, after.select("host", "trust", "distrust")
         if moved * damping / (1 - damping) < tolerance:
             break

@@ -3,26 +3,56 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from myospark.llm import common
-from myospark.llm.mixing import poisson_mix
+from myospark.llm.mixing import poisson_count, poisson_mix
 from myospark.llm.url_filter import RULES, host_links, judge, propagate
 
 
 def brute_count(seed, doc_id, rate):
-    u = int(hashlib.md5(f"{seed}:{doc_id if doc_id is not None else ''}".encode()).hexdigest()[:13], 16) / 2**52
-    whole = 0
-    if rate > 700:
-        whole, rate = math.floor(rate / 500) * 500, rate - math.floor(rate / 500) * 500
-    if rate <= 0:
-        return whole
-    k, p = 0, math.exp(-rate)
-    cum = p
-    while u >= cum and k < math.ceil(rate + 10 * math.sqrt(rate) + 20):
-        k += 1
-        p *= rate / k
-        cum += p
-    return k + whole
+    ident = doc_id if doc_id is not None else ""
+    parts, total = max(1, math.ceil(rate / 500)), 0
+    for j in range(parts if rate > 0 else 0):
+        u = int(hashlib.md5((f"{seed}:part:{ident}:{j}" if j else f"{seed}:{ident}").encode()).hexdigest()[:13], 16) / 2**52
+        mean, k = rate / parts, 0
+        p = cum = math.exp(-mean)
+        while u >= cum and k < math.ceil(mean + 10 * math.sqrt(mean) + 20):
+            k += 1
+            p *= mean / k
+            cum += p
+        total += k
+    return total
+
+
+@pytest.mark.parametrize("rate", [499.0, 501.0, 1000.0, 5000.0])
+def test_poisson_at_any_rate(spark, rate):
+    n = 400
+    rows = spark.range(n).select("id", poisson_count(F.lit(13), F.col("id").cast("string"), F.lit(rate)).alias("n")).collect()
+    counts = [r["n"] for r in rows]
+    assert counts[:20] == [brute_count(13, i, rate) for i in range(20)]
+    mean = sum(counts) / n
+    variance = sum((c - mean) ** 2 for c in counts) / (n - 1)
+    assert abs(mean - rate) < 5 * math.sqrt(rate / n)
+    assert 0.65 < variance / rate < 1.45  # five deviations of the variance of 400 Poisson numbers
+
+
+def test_poisson_sql_at_high_rates(spark):
+    import duckdb
+
+    from myospark.llm.queries import OP8_SQL
+
+    docs = spark.createDataFrame([(i, f"t{i}", "big" if i else "small") for i in range(6000)], "doc_id long, text string, source string")
+    ours = poisson_mix(docs, alpha=0.5).count()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert con.sql(f"SELECT count(*) FROM ({OP8_SQL})").fetchall()[0][0] == ours
+    raised = OP8_SQL.replace("(SELECT sum(n) FROM n)::DOUBLE *", "700 * (SELECT sum(n) FROM n)::DOUBLE *")
+    few = docs.limit(20)
+    con.register("documents", few.toPandas())
+    want = {r[0]: r[1] for r in con.sql(f"SELECT doc_id, count(*) FROM ({raised}) GROUP BY ALL").fetchall()}
+    got = {r["doc_id"]: r["count"] for r in poisson_mix(few, total=700 * 20).groupBy("doc_id").count().collect()}
+    assert got == want and max(got.values()) > 1000
 
 
 @pytest.mark.parametrize("most", [100_000, 1])
@@ -120,3 +150,53 @@ def test_propagate_until_converged(spark):
     seeds = spark.createDataFrame([("a", 0.0, 0.15), ("b", 0.0, 0.0)], "host string, trust double, distrust double")
     got = {r["host"]: r["distrust"] for r in propagate(edges, seeds, tolerance=0.02).collect()}
     assert got == pytest.approx({"a": 0.15 / (1 - 0.85**2), "b": 0.85 * 0.15 / (1 - 0.85**2)}, abs=0.02)
+
+
+@pytest.mark.parametrize("hot_rows", [10_000, 0])
+def test_judge_against_brute_force(spark, monkeypatch, hot_rows):
+    """Every verdict of a linked web: rules, shares of ruled pages, trust and distrust summed until nothing moves."""
+    import random
+    import re
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot_rows)  # at 0 every host counts as hot
+    rng = random.Random(11)
+    hosts = [f"bad{i}.net" for i in range(4)] + [f"site{i}.info" for i in range(25)] + ["www.example.net", "a.example.com", "good.org"]
+    rows = []
+    for i in range(260):
+        host = rng.choice(hosts)
+        to = rng.sample(hosts[:4] if host in hosts[4:16] and rng.random() < 0.8 else hosts, rng.randrange(0, 4))
+        html = "".join(f'<a href="http://{h.upper() if rng.random() < 0.2 else h}/x">x</a>' for h in to)
+        rows.append((i, f"http://{host}/{rng.choice(['en', 'de', 'fr', 'x'])}/{i}", html if i % 17 else None))
+    rows += [(990, None, '<a href="//bad0.net/">x</a>'), (991, "no scheme", ""), (0, "http://site0.info/again", "")]
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in judge(spark.createDataFrame(rows, "page_id long, url string, html string")).na.fill("-", ["rule"]).collect())
+
+    parts = [(i, *split(u), html) for i, u, html in rows]
+    said = [brute_rule(h, p) if h else None for _, h, p, _ in parts]
+    pages, ruled = Counter(), Counter()
+    links = Counter()
+    for (_, h, _, html), rule in zip(parts, said, strict=True):
+        if h:
+            pages[h] += 1
+            if rule:
+                ruled[h, rule[1]] += 1
+            for dst in {x.lower() for x in re.findall(r'href="(?:http:)?//([^/"]+)', html or "")}:
+                if dst != h:
+                    links[h, dst] += 1
+    nodes = set(pages) | {b for _, b in links}
+    seed = {h: (ruled[h, "allow"] / pages[h], ruled[h, "block"] / pages[h]) if pages[h] else (0.0, 0.0) for h in nodes}
+    out_n, in_n = Counter(), Counter()
+    for (a, b), n in links.items():
+        out_n[a] += n
+        in_n[b] += n
+    t, d = {h: seed[h][0] for h in nodes}, {h: seed[h][1] for h in nodes}
+    for _ in range(400):
+        nt, nd = {h: seed[h][0] for h in nodes}, {h: seed[h][1] for h in nodes}
+        for (a, b), n in links.items():
+            nt[b] += 0.85 * t[a] * n / out_n[a]
+            nd[a] += 0.85 * d[b] * n / in_n[b]
+        t, d = nt, nd
+    assert all(abs(d[h] - t[h] - 0.5) > 1e-3 for h in nodes)
+    want = sorted((i, h, p, rule[0] if rule else "-", rule[1] if rule else "block" if h and d[h] - t[h] >= 0.5 else "allow") for (i, h, p, _), rule in zip(parts, said, strict=True))
+    assert got == want
+    by_method = [w for w in want if w[3] == "-"]
+    assert sum(w[4] == "block" for w in by_method) > 20 and sum(w[4] == "allow" for w in by_method) > 20
