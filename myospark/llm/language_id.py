@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P, bounded_batches, crc_mod
+from .common import P, bounded_batches, crc_mod, materialize, release
 from .linear import Rows, adam, sigmoid, trigram_rows
 from .textkernels import LOWER, chunks
 
@@ -23,7 +24,11 @@ FAMILIES = {
 }
 DIMS, SAMPLE, SEED, STEPS = 1 << 14, 4000, 3, 150
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: A machine takes dims floats: 64 KB. Languages of one family are parted in pairs, so that 200 make some 60 MB at worst in families of 40.
+MOST_LANGUAGES = 200
+#: One sampled text in CALIBRATE is not fitted; all of those but a share of STRAY count as in a learned language.
+CALIBRATE, STRAY, SHORT = 5, 0.002, 8
+_WORDLIKE = re.compile(r"[^\W\d_]+")
 
 
 def family_of(lang: str) -> str:
@@ -45,90 +50,151 @@ def _machine(rows: Rows, y: np.ndarray, dims: int, steps: int) -> tuple[np.ndarr
 
 
 class LanguageModel:
-    """``machines`` holds (level, positive class, negative class, weights, offset, slope); ``families`` the learned languages of each."""
+    """``machines`` holds (level, positive class, negative class, weights, offset, slope); ``families`` the learned languages of each.
+
+    A machine without a negative class parts its class from all others of its level. ``seen`` marks the features that two or
+    more learned texts hold; a text is in a learned language if a share of ``least`` of its features, by weight, is seen.
+    """
 
     def __init__(self, families: dict[str, list[str]], machines: list[tuple], dims: int) -> None:
-        self.families, self.machines, self.dims = families, machines, dims
-
-    def _vote(self, classes: list[str], level: str, probs: dict) -> tuple[np.ndarray, np.ndarray]:
-        """One-versus-one: the class with the largest sum of pairwise probabilities, and its mean over its pairs."""
-        n = len(next(iter(probs.values()))) if probs else 0
-        if len(classes) == 1:
-            return np.zeros(n, dtype=int), np.ones(n)
-        total = np.zeros((len(classes), n))
-        for a, b in combinations(range(len(classes)), 2):
+        self.families, self.machines, self.dims, self.seen, self.least = families, machines, dims, np.zeros(dims, dtype=bool), 0.0
+
+    def known(self, rows: Rows) -> np.ndarray:
+        """The share of each text's features that is seen; features have unit length, so squares sum to 1."""
+        return np.bincount(rows.row, weights=rows.val * rows.val * self.seen[rows.idx], minlength=rows.n)
+
+    @staticmethod
+    def _one_versus_rest(classes: list[str], probs: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The class whose machine says most, and its probability. Of two classes, one machine tells both."""
+        first = probs[("family", classes[0], None)]
+        each = np.stack([first, 1 - first] if len(classes) == 2 else [probs[("family", c, None)] for c in classes])
+        return each.argmax(axis=0), each.max(axis=0)
+
+    @staticmethod
+    def _one_versus_one(classes: list[str], level: str, probs: dict) -> tuple[np.ndarray, np.ndarray]:
+        """The class with the largest sum of pairwise probabilities, and the least of its own pairs' probabilities."""
+        k = len(classes)
+        pair = {}
+        for a, b in combinations(range(k), 2):
             p = probs[(level, classes[a], classes[b])]
-            total[a] += p
-            total[b] += 1 - p
-        best = total.argmax(axis=0)
-        return best, total.max(axis=0) / (len(classes) - 1)
-
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        rows = Rows(list(trigram_rows(texts, self.dims)))
+            pair[a, b], pair[b, a] = p, 1 - p
+        best = np.stack([sum(pair[a, b] for b in range(k) if b != a) for a in range(k)]).argmax(axis=0)
+        least = np.stack([np.min([pair[a, b] for b in range(k) if b != a], axis=0) for a in range(k)])
+        return best, least[best, np.arange(len(best))]
+
+    def score_rows(self, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+        """Languages and scores of feature rows: the probability of the family times that of the language within it."""
+        langs, score = np.full(rows.n, UNDETERMINED, dtype=object), np.zeros(rows.n)
+        if not self.families or not rows.n:
+            return langs, score
         probs = {(lv, a, b): sigmoid((rows.dot(w) + c) * slope) for lv, a, b, w, c, slope in self.machines}
-        probs.setdefault(("", "", ""), np.ones(rows.n))
         names = sorted(self.families)
-        fam, fp = self._vote(names, "family", probs)
-        langs = np.full(rows.n, UNDETERMINED, dtype=object)
-        score = np.zeros(rows.n)
+        fam, fp = self._one_versus_rest(names, probs) if len(names) > 1 else (np.zeros(rows.n, int), np.ones(rows.n))
         for k, name in enumerate(names):
-            own = fam == k
-            pick, lp = self._vote(self.families[name], name, probs)
-            langs[own] = np.array(self.families[name], dtype=object)[pick[own]]
+            own, inside = fam == k, self.families[name]
+            pick, lp = self._one_versus_one(inside, name, probs) if len(inside) > 1 else (np.zeros(rows.n, int), np.ones(rows.n))
+            langs[own] = np.array(inside, dtype=object)[pick[own]]
             score[own] = (fp * lp)[own]
+        return langs, score
+
+    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Languages, scores, and the share of each text that the model knows."""
+        rows = Rows(list(trigram_rows(texts, self.dims)))
+        langs, score = self.score_rows(rows)
         bare = ~np.array(list(has_letter(texts)), dtype=bool)
         langs[bare], score[bare] = UNDETERMINED, 0.0
-        return langs.tolist(), score
+        return langs.tolist(), score, self.known(rows)
 
 
 def has_letter(texts: pa.Array) -> Iterator[bool]:
+    """Whether each text holds a character of a letter category (Lu, Ll, Lt, Lm or Lo)."""
     for _, _, data, offs in chunks(texts):
         low = LOWER[data]
         ascii_letters = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122))])
         for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-            yield bool(ascii_letters[b] > ascii_letters[a]) or bool(_LETTER.search(data[a:b].tobytes().decode("utf-8", "replace")))
+            if ascii_letters[b] > ascii_letters[a]:
+                yield True
+            else:  # the pattern also finds number signs, such as halves
+                yield any(ch.isalpha() for m in _WORDLIKE.finditer(data[a:b].tobytes().decode("utf-8", "ignore")) for ch in m[0])
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, dims: int = DIMS, steps: int = STEPS) -> LanguageModel:
-    """Fit on at most ``sample`` whole texts in all (but up to 200 of each language), those of smallest id hash among documents not held out.
+    """Fit on at most ``sample`` whole texts, those of smallest id hash among documents not held out, the same number of each language.
 
-    Only text and lang of documents with crc32(id) mod 3 <> 1 and a non-null lang are read. The languages, whose number is
-    that of the corpus' distinct non-null ``lang`` values, are counted over all such rows.
+    Only text and lang of documents with crc32(id) mod 3 <> 1 and a non-null lang are read. One scan finds the sample: each
+    task keeps its smallest hashes of each language. Families are parted one versus the rest, and only languages of one
+    family one versus one, so machines grow with the number of languages; at most MOST_LANGUAGES, the most frequent, are
+    learned. Every CALIBRATE-th sampled text is kept from the fit and sets the model's ``least`` share of seen features:
+    half way from what a random text would have to what all of those but STRAY have.
     """
+    spark = docs.sparkSession
     pool = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang is not null and id is not null").where(crc_mod("id", 3) != 1)
-    langs = sorted(r["lang"] for r in pool.select("lang").distinct().collect())
+    frequent = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    langs = sorted(r["lang"] for r in frequent)
     if not langs:
         return LanguageModel({}, [], dims)
-    share = max(200, sample // len(langs))
+    share = max(sample // len(langs), 20)
     order = F.md5(F.concat_ws(":", F.lit(SEED), F.col("id")).cast("binary"))
-    picks = None
-    for lang in langs:
-        one = pool.where(F.col("lang") == lang).orderBy(order, "id").limit(share)
-        picks = one if picks is None else picks.union(one)
+    smallest = pool.where(F.col("lang").isin(langs)).select("lang", order.alias("h"), F.col("id").cast("string").alias("id"))
+    picks = materialize(_smallest(smallest, share))
     small = F.broadcast(picks.select(F.col("id").alias(P + "id"), F.col("lang").alias(P + "lang")))  # at most share rows a language
-    rows = docs.select(F.col(id_col).alias(P + "doc"), F.coalesce(F.col(text_col), F.lit("")).alias(P + "text")).join(small, F.col(P + "doc") == F.col(P + "id"))
-    feats = rows.select(P + "lang", P + "id", P + "text").mapInArrow(_featurize(dims), "lang string, id string, idx array<int>, val array<float>")
-    got = sorted(feats.collect(), key=lambda r: (r["lang"], r["id"]))
+    rows = docs.select(F.col(id_col).cast("string").alias(P + "doc"), F.col(lang_col).alias(P + "own"), F.coalesce(F.col(text_col), F.lit("")).alias(P + "text"))
+    rows = rows.join(small, (F.col(P + "doc") == F.col(P + "id")) & (F.col(P + "own") == F.col(P + "lang")))
+    bounded_batches(spark)
+    feats = rows.select(P + "lang", P + "id", P + "text").mapInArrow(_featurize(dims), "lang string, id string, idx binary, val binary")
+    got = sorted(feats.collect(), key=lambda r: (r["lang"], r["id"], r["idx"]))
+    release(picks)
+    parts = [(np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32)) for r in got]
     label = np.array([r["lang"] for r in got], dtype=object)
-    x = Rows([(np.array(r["idx"], dtype=np.int64), np.array(r["val"])) for r in got])
+    kept = np.array([zlib.crc32(r["id"].encode()) // 3 % CALIBRATE != 0 for r in got])
+    if not all((kept & (label == v)).any() for v in langs):
+        kept[:] = True
     families: dict[str, list[str]] = {}
     for lang in langs:
         families.setdefault(family_of(lang), []).append(lang)
     kin = np.array([family_of(v) for v in label], dtype=object)
+    fitted = np.flatnonzero(kept)
 
-    def fit(level: str, classes: list[str], names: np.ndarray) -> list[tuple]:
-        out = []
-        for a, b in combinations(classes, 2):
-            use = np.flatnonzero((names == a) | (names == b))
-            part = Rows([(x.idx[x.start[i] : x.start[i + 1]], x.val[x.start[i] : x.start[i + 1]]) for i in use])
-            w, c, slope = _machine(part, np.where(names[use] == a, 1.0, -1.0), dims, steps)
-            out.append((level, a, b, w.astype(np.float32), c, slope))
-        return out
+    def rows_of(which: np.ndarray) -> Rows:
+        return Rows([parts[i] for i in which])
 
-    machines = fit("family", sorted(families), kin)
+    def fit(which: np.ndarray, positive: np.ndarray) -> tuple:
+        w, c, slope = _machine(rows_of(which), np.where(positive, 1.0, -1.0), dims, steps)
+        return w.astype(np.float32), c, slope
+
+    names = sorted(families)
+    machines = [("family", name, None, *fit(fitted, kin[fitted] == name)) for name in (names if len(names) > 2 else names[: len(names) - 1])]
     for name, own in families.items():
-        machines += fit(name, own, label)
-    return LanguageModel(families, machines, dims)
+        for a, b in combinations(own, 2):
+            which = fitted[(label[fitted] == a) | (label[fitted] == b)]
+            machines.append((name, a, b, *fit(which, label[which] == a)))
+    model = LanguageModel(families, machines, dims)
+    x = rows_of(fitted)
+    model.seen = np.bincount(x.idx, minlength=dims) >= 2  # an entry for each text that holds a feature
+    aside = rows_of(np.array([i for i in np.flatnonzero(~kept) if len(parts[i][0])], dtype=int))
+    if aside.n:
+        chance, usual = float(model.seen.mean()), float(np.sort(model.known(aside))[int(STRAY * aside.n)])
+        model.least = max(0.0, (chance + usual) / 2) if usual > chance else 0.0
+    return model
+
+
+def _smallest(pool: DataFrame, share: int) -> DataFrame:
+    """The ``share`` rows of each language (lang, h, id) with the smallest hashes: each task sends on its own, at most ``share`` a language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, list[tuple[str, str]]] = {}
+        for batch in batches:
+            for lang, h, i in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                best.setdefault(lang, []).append((h, i))
+            for lang, got in best.items():
+                if len(got) > share:
+                    best[lang] = sorted(got)[:share]
+        rows = [(lang, h, i) for lang, got in best.items() for h, i in got]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["lang", "h", "id"])
+
+    few = pool.mapInArrow(run, "lang string, h string, id string")
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
+    return ranked.where(F.col("rank") <= share).select("lang", "id").distinct()
 
 
 def _featurize(dims: int):
@@ -136,7 +202,7 @@ def _featurize(dims: int):
         for batch in batches:
             rows = list(trigram_rows(batch.column(2), dims))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1).cast(pa.string()), pa.array([i.astype(np.int32) for i, _ in rows], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in rows], pa.list_(pa.float32()))],
+                [batch.column(0), batch.column(1), pa.array([i.astype(np.int32).tobytes() for i, _ in rows], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in rows], pa.binary())],
                 names=["lang", "id", "idx", "val"],
             )
 
@@ -150,12 +216,12 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     nothing was learned. Null ids have a null held_out. Texts are read whole; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(model)  # dims * pairs of languages floats: bounded by the number of languages
+    known = docs.sparkSession.sparkContext.broadcast(model)  # dims floats a machine, see MOST_LANGUAGES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         for batch in batches:
-            langs, score = m.predict(batch.column(1)) if m.families else ([UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows))
+            langs, score, _ = m.predict(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -164,17 +230,22 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return out.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.25) -> DataFrame:
-    """The documents in a learned language with a score of at least ``least``, with all their columns; the rest goes."""
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float | None = None) -> DataFrame:
+    """The documents in a learned language, with all their columns; those without a letter or in no learned language go.
+
+    A document is in a learned language if the model knows a share of ``least`` of it, by default the model's own, set on
+    texts kept from the fit. Texts with a letter but under SHORT bytes stay, as little tells about them.
+    """
     bounded_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at, floor = docs.columns.index(text_col), model.least if least is None else least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         for batch in batches:
-            langs, score = m.predict(batch.column(at)) if m.families else ([UNDETERMINED] * batch.num_rows, np.zeros(batch.num_rows))
-            good = [lang != UNDETERMINED and s >= least for lang, s in zip(langs, score.tolist(), strict=True)]
+            langs, _, share = m.predict(batch.column(at))
+            short = np.array([len((t.as_py() or "").encode()) < SHORT for t in batch.column(at)], dtype=bool)
+            good = [lang != UNDETERMINED and ok for lang, ok in zip(langs, (short | (share >= floor)).tolist(), strict=True)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
