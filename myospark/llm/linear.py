@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import P
-from .textkernels import LOWER, chunks, words
+from .textkernels import CHUNK_BYTES, chunks, windows, words
 
 #: The 64 byte classes of letter trigrams. Letters A-Z and a-z are 1 to 26, other ASCII bytes 0, bytes of multi-byte characters 27 to 63.
 SYMBOL = np.zeros(256, dtype=np.int64)
@@ -31,7 +31,13 @@ class Rows:
         self.n = len(parts)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=self.val * w[self.idx], minlength=self.n)
+        if not len(self.idx):
+            return np.zeros(self.n)
+        at = self.start[:-1]
+        full = self.start[1:] > at  # reduceat gives an empty row the entry at its place
+        out = np.zeros(self.n)
+        out[full] = np.add.reduceat(self.val * w[self.idx], at[full])
+        return out
 
     def tdot(self, g: np.ndarray, dims: int) -> np.ndarray:
         return np.bincount(self.idx, weights=self.val * g[self.row], minlength=dims)
@@ -57,20 +63,32 @@ def squashed(counts: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum())
 
 
+def _counted(n: int, places: Callable[[int, int], np.ndarray], dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places of a text's n bytes, less two, and how often each occurs; a long text is counted window by window."""
+    if n <= CHUNK_BYTES:
+        return np.unique(places(0, n), return_counts=True)
+    total = np.zeros(dims, dtype=np.int64)
+    for a, b in windows(n, 2):
+        if b - a > 2:
+            total += np.bincount(places(a, b), minlength=dims)
+    idx = np.flatnonzero(total)
+    return idx, total[idx]
+
+
 def trigram_rows(texts: pa.Array, dims: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashed letter trigrams of each whole text: indices and log counts of unit length."""
+
+    def grams(raw: np.ndarray) -> np.ndarray:
+        s = SYMBOL[raw]
+        return ((((s[:-2] << 12) | (s[1:-1] << 6) | s[2:]) * 0x9E3779B1) >> 8) % dims
+
     for _, _, data, offs in chunks(texts):
-        s = SYMBOL[data]
-        n = len(s)
-        grams = np.zeros(n, dtype=np.int64)
-        if n > 2:
-            code = (s[:-2] << 12) | (s[1:-1] << 6) | s[2:]
-            grams[: n - 2] = ((code * 0x9E3779B1) >> 8) % dims
+        whole = grams(data) if 2 < len(data) <= CHUNK_BYTES else None
         for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
             if b - a < 3:
                 yield np.zeros(0, np.int64), np.zeros(0)
                 continue
-            idx, counts = np.unique(grams[a : b - 2], return_counts=True)
+            idx, counts = _counted(b - a, lambda x, y, a=a: grams(data[x:y]) if whole is None else whole[a + x : a + y - 2], dims)
             yield idx, squashed(counts)
 
 
@@ -80,26 +98,26 @@ def text_rows(texts: pa.Array, dims: int) -> Iterator[tuple[np.ndarray, np.ndarr
     Half of the dimensions are for words, half for trigrams; the last is the share of words that repeat the word before.
     """
     half = dims // 2
+
+    def grams(raw: np.ndarray) -> np.ndarray:
+        raw = raw.astype(np.int64)
+        return half + ((((raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]) * 0x9E3779B1) >> 9) % half
+
     for _, _, data, offs in chunks(texts):
-        h, _, _, first = words(data, offs)
+        h, first = words(data, offs)
         w = (h % np.uint64(half - 1)).astype(np.int64)
         again = np.zeros(len(h) + 1, dtype=np.int64)
         if len(h) > 1:
             again[2:] = np.cumsum(h[1:] == h[:-1])
-        raw = data.astype(np.int64)
-        n = len(raw)
-        grams = np.zeros(n, dtype=np.int64)
-        if n > 2:
-            code = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]
-            grams[: n - 2] = half + ((code * 0x9E3779B1) >> 9) % half
+        whole = grams(data) if 2 < len(data) <= CHUNK_BYTES else None
         for a, b, c, d in zip(offs[:-1].tolist(), offs[1:].tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
-            wi, wc = np.unique(w[c:d], return_counts=True)
-            gi, gc = np.unique(grams[a : max(a, b - 2)], return_counts=True)
             parts_i, parts_v = [], []
-            if len(wi):
+            if d > c:
+                wi, wc = np.unique(w[c:d], return_counts=True)
                 parts_i.append(wi)
                 parts_v.append(squashed(wc))
-            if len(gi):
+            if b - a > 2:
+                gi, gc = _counted(b - a, lambda x, y, a=a: grams(data[x:y]) if whole is None else whole[a + x : a + y - 2], dims)
                 parts_i.append(gi)
                 parts_v.append(squashed(gc))
             if d - c > 1:

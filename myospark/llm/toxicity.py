@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import P, bounded_batches, crc_mod, drop_scratch, materialize
 from .linear import Rows, adam, bounded_sample, sigmoid
-from .textkernels import LOWER, chunks
+from .textkernels import LOWER, chunks, windows
 
 SAMPLE, SEED, MOST_FEATURES, LEAST_DOCS, LEAST_CHI2 = 10_000, 11, 2_000, 4, 12.0
 PREFIXES = (4, 5, 6, 7)
@@ -40,9 +40,6 @@ ITSELF = 6.0
 _SIGN = re.compile(f"[{_S}]")
 _TRIPLE = re.compile(r"([a-z])\1\1")
 _LETTERS = re.compile(r"[a-z]+")
-_WORD = re.compile(rf"(?<![\w{re.escape(_SIGNS)}])(?=[^\s]*[a-z])[a-z{re.escape(_SIGNS)}]*[a-z{re.escape(_SIGNS)}](?![\w{re.escape(_SIGNS)}])")
-_REPEATED = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
-_HINT = re.compile(rf"[{re.escape(_SIGNS)}]|([a-z])\1\1|(?<![^\W_])[a-z][ .\-_*]{{1,2}}[a-z][ .\-_*]{{1,2}}[a-z](?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]+")
 SYMBOLS = 28  # word boundary, a to z, any other letter
 _CODE = np.zeros(256, dtype=np.int64)
@@ -57,15 +54,21 @@ def corpus_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, dtype=np.int64)
+
+        def count(code: np.ndarray) -> None:
+            if len(code) > 2:
+                total[:] += np.bincount((code[:-2] * SYMBOLS + code[1:-1]) * SYMBOLS + code[2:], minlength=SYMBOLS**3)
+
         for batch in batches:
             for _, _, data, offs in chunks(batch.column(0)):
-                code = _CODE[LOWER[data]]
-                edge = np.zeros(len(data) + 1, dtype=bool)
-                edge[offs] = True
-                code = np.concatenate([np.where(edge[:-1] & (code < 0), 0, code), [0, 0]])
-                code = code[code >= 0]  # continuation bytes belong to the letter before
-                if len(code) > 2:
-                    total += np.bincount((code[:-2] * SYMBOLS + code[1:-1]) * SYMBOLS + code[2:], minlength=SYMBOLS**3)
+                last = np.zeros(0, dtype=np.int64)
+                for a, b in windows(len(data)):
+                    code = _CODE[LOWER[data[a:b]]]
+                    full = code >= 0  # continuation bytes belong to the letter before
+                    edges = offs[(offs >= a) & (offs <= b if b == len(data) else offs < b)] - a
+                    code = np.concatenate([last, np.insert(code[full], np.repeat(np.concatenate([[0], np.cumsum(full)])[edges], 2), 0)])
+                    count(code)
+                    last = code[-2:]
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["gram", "n"])
 
