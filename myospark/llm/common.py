@@ -44,7 +44,8 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder: it outlives executors, and its size is known.
 
-    The table goes when the driver ends; ``drop_scratch(spark, df.scratch_path)`` frees it earlier.
+    ``release`` frees it after its last use; what is left goes when the driver ends. A driver that is killed leaves tables
+    named scratch-* in the folder, which may be deleted once no job runs.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
@@ -55,10 +56,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for df in tables:
+        drop_scratch(df.sparkSession, df.scratch_path)
+
+
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4_194_304}
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in bytes as well as in rows; documents differ in length by a factor of 10,000."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4194304")
+    """Keep Arrow batches small in bytes as well as in rows; documents differ in length by a factor of 10,000.
+
+    Plans read these settings when they run, so they stay set in the session; lower settings of the caller are kept.
+    """
+    for key, most in BATCH.items():
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def crc_mod(id_col: str, n: int):
@@ -73,6 +88,29 @@ def unit_hash(*parts):
 
 
 BROADCAST_ROWS, SALTS = 100_000, 64
+#: A key is hot from HOT_ROWS rows on, and only with more than a HOT_KEYS-th of all rows: so there are fewer than HOT_KEYS of them.
+HOT_ROWS, HOT_KEYS = 10_000, 20_000
+
+
+def hot_keys(sizes: DataFrame, n: str, rows: int) -> DataFrame | None:
+    """The keys of ``sizes`` (one row a key) whose number of rows ``n`` is hot among ``rows`` rows; None if there are none.
+
+    They are fewer than HOT_KEYS whatever the input: the table may be broadcast.
+    """
+    hot = materialize(sizes.where(F.col(n) > max(HOT_ROWS, rows // HOT_KEYS)).drop(n))
+    if hot.isEmpty():
+        release(hot)
+        return None
+    return hot
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """Inner join with ``right``, which has one row a key: rows of ``hot`` keys never move, the rest is shuffled by key."""
+    if hot is None:
+        return left.join(right, keys)
+    few = F.broadcast(hot.select(*keys))  # fewer than HOT_KEYS rows
+    rest = left.join(few, keys, "left_anti").join(right, keys)
+    return rest.unionByName(left.join(F.broadcast(right.join(few, keys, "left_semi")), keys))
 
 
 def join_keyed(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize
+from .common import materialize, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -14,8 +14,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round links the larger neighbours of a node to its smallest neighbour, then the smaller ones; the edge set never
     grows and ends as one star for each component, after a number of rounds logarithmic in the longest chain. The driver
     sees only whether a round changed anything. Null nodes and self loops are ignored; an empty table has no components.
+    The result reads a scratch table, named by its ``scratch_path``.
     """
-    spark = edges.sparkSession
     e = materialize(edges.where("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
     while True:
         both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
@@ -29,8 +29,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # a star for each component: no node is both a centre and a leaf, and no leaf has two centres
         chained = after.select(F.col("hi").alias("x")).join(after.select(F.col("lo").alias("x")).distinct(), "x", "left_semi").limit(1).count()
         twice = 0 if chained else after.groupBy("hi").count().where("count > 1").limit(1).count()
-        drop_scratch(spark, e.scratch_path)
+        release(e)
         e = after
         if not chained and not twice:
             break
-    return e.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(e.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
+    out = e.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(e.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
+    out.scratch_path = e.scratch_path
+    return out

@@ -10,7 +10,9 @@
    the result. In the others, members outside the hub's component meet the bucket's members of other components, by
    sketch, and what is near is confirmed as before. After that no pair of a bucket is left open.
 
-Rows of one hub are dealt over tasks by a salt, with one copy of the hub's text for each; each task streams over them.
+Hot buckets and hubs never meet in one task: joins on them broadcast the few hot keys (``join_hot``) and shuffle the rest;
+rows to confirm are dealt by hub and salt, with one copy of the hub's text for each SALT_ROWS of them; the members of an
+open bucket meet in blocks of BLOCK_ROWS by BLOCK_ROWS. A task streams over what it is dealt.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, bounded_batches, materialize
+from .common import P, bounded_batches, hot_keys, join_hot, materialize, release
 from .components import connected_components
 from .textkernels import mix64, shingle_sets
 
 WIDTH, SIMILARITY = 5, (75, 100)
 BANDS, ROWS, SKETCH_BITS = 44, 5, 1024
 SAMPLES, WORDS = BANDS * ROWS, SKETCH_BITS // 64
-SALT_ROWS = 64
+SALT_ROWS, BLOCK_ROWS = 256, 1_024
 #: Ids of candidates are broadcast up to this number (8 bytes each), to spare the texts a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -131,16 +133,49 @@ def _near(x: str, y: str):
     return (_apart(f"{x}.parity", f"{y}.parity") * (den + num) <= sizes * (den - num)) & (_apart(f"{x}.sketch", f"{y}.sketch") <= most_bits(num / den))
 
 
-def _confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (hub, id) whose full sets are similar, as edges a, b."""
-    per_hub = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).select("hub", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
-    members = pairs.join(per_hub, "hub").select("hub", F.pmod(F.xxhash64("id", F.lit(5)), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "id")
-    own = per_hub.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("id"))
-    rows = members.unionByName(own).join(texts, "id").select("hub", "salt", "role", "id", "text")
-    dealt = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "id")
+def _hot_hubs(pairs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """How many pairs each hub has, and the hot ones."""
+    of_hub = materialize(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")))
+    return of_hub, hot_keys(of_hub, "n", _total(of_hub))
+
+
+def _total(sizes: DataFrame) -> int:
+    return sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _confirmed(texts: DataFrame, pairs: DataFrame, of_hub: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """The pairs (hub, id) whose full sets are similar, as edges a, b; a hub's pairs are dealt over salts."""
+    salts = of_hub.select("hub", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
+    members = join_hot(pairs, salts, ["hub"], hot).select("hub", F.pmod(F.xxhash64("id", F.lit(5)), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "id")
+    rows = members.join(texts, "id").select("hub", "salt", "role", "id", "text")
+    own = salts.join(texts, salts["hub"] == texts["id"]).select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "id", "text")
+    dealt = rows.unionByName(own).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "id")
     return dealt.mapInArrow(confirm, "a long, b long")
 
 
+def _across(placed: DataFrame, sketches: DataFrame, tried: DataFrame) -> DataFrame:
+    """(hub, id): near pairs across components that a bucket still holds open, but for those tried before.
+
+    ``placed`` has band, key, hub, id, comp. Members outside the component of the bucket's hub meet all members of other
+    components; the two sides are cut into blocks, and each block of one meets each of the other in a task of its own.
+    """
+    mixed = placed.groupBy("band", "key").agg(
+        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("id") == F.col("hub"), F.col("comp"))).alias("hub_comp")
+    ).where("c0 <> c1 and n > 2")
+    buckets = materialize(mixed.select("band", "key", "hub_comp", "n", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
+    hot = hot_keys(buckets.select("band", "key", "n"), "n", _total(buckets))
+    members = join_hot(placed, buckets.drop("n"), ["band", "key"], hot).where("id <> hub")
+    open_ = materialize(members.join(sketches, "id").select("band", "key", "id", "comp", "s", "blocks", (F.col("comp") != F.col("hub_comp")).alias("out"), F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int").alias("block")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    outside = open_.where("out").select("band", "key", F.col("block").alias("bx"), every.alias("by"), F.col("id").alias("x"), F.col("comp").alias("xc"), F.col("s").alias("xs"))
+    inside = open_.select("band", "key", every.alias("bx"), F.col("block").alias("by"), F.col("id").alias("y"), F.col("comp").alias("yc"), F.col("s").alias("ys"), F.col("out").alias("y_out"))
+    on = reduce(lambda a, b: a & b, [outside[c] == inside[c] for c in ("band", "key", "bx", "by")])
+    met = outside.join(inside, on & (F.col("xc") != F.col("yc")) & (~F.col("y_out") | (F.col("x") < F.col("y"))) & _near("xs", "ys"))
+    cross = materialize(met.select(F.col("x").alias("hub"), F.col("y").alias("id")).distinct().join(tried, ["hub", "id"], "left_anti"))
+    _free(buckets, open_, hot)
+    return cross
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents whose sets of 5-word shingles have a Jaccard similarity of 0.75 or more.
 
@@ -157,54 +192,59 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     feats = materialize(slim.mapInArrow(features, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>, parity array<long>"))
     full = feats.where("digest is not null")
     reps = materialize(
-        full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", F.struct("sketch", "parity", "n_shingles").alias("s")), "doc_id").alias("f")).where("rep is not null").select("digest", "rep", "f.bands", "f.s")
+        full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("bands", F.struct("sketch", "parity", "n_shingles").alias("s")), "doc_id").alias("f")).select("digest", "rep", "n", "f.bands", "f.s")
     )
-    seats = materialize(_shared(reps.select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key"))))
-    sketches = reps.groupBy(F.col("rep").alias("id")).agg(F.first("s").alias("s"))
+    seats = _shared(reps.where("rep is not null").select(F.col("rep").alias("id"), F.posexplode("bands").alias("band", "key")))
+    sketches = reps.where("rep is not null").groupBy(F.col("rep").alias("id")).agg(F.first("s").alias("s"))
     involved = materialize(seats.select(F.col("id").alias("doc_id")).distinct())
     few = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
-    texts = slim.join(few, "doc_id", "left_semi").withColumnRenamed("doc_id", "id")
-    texts = materialize(texts)
-
-    pairs = seats.where("id <> hub").select("hub", "id").distinct()
-    pairs = pairs.join(sketches.select(F.col("id").alias("hub"), F.col("s").alias("hs")), "hub").join(sketches, "id").where(_near("hs", "s")).select("hub", "id")
-    pairs = materialize(pairs)
-    links = materialize(_confirmed(texts, pairs))
-    comps = materialize(connected_components(links))
-
-    placed = seats.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).select("band", "key", "hub", "id", "comp")
-    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 <> c1 and n > 2").select("band", "key")
-    open_ = placed.join(mixed, ["band", "key"], "left_semi").join(sketches, "id")
-    hub_comp = placed.where("id = hub").select("band", "key", F.col("comp").alias("hub_comp"))
-    open_ = materialize(open_.join(hub_comp, ["band", "key"]))
-    outside = open_.where("comp <> hub_comp and id <> hub").select("band", "key", F.col("id").alias("x"), F.col("comp").alias("xc"), F.col("s").alias("xs"))
-    inside = open_.where("id <> hub").select("band", "key", F.col("id").alias("y"), F.col("comp").alias("yc"), F.col("s").alias("ys"), (F.col("comp") != F.col("hub_comp")).alias("y_out"))
-    cross = outside.join(
-        inside,
-        (outside["band"] == inside["band"])
-        & (outside["key"] == inside["key"])
-        & (F.col("xc") != F.col("yc"))
-        & (~F.col("y_out") | (F.col("x") < F.col("y")))
-        & _near("xs", "ys"),
-    ).select(F.col("x").alias("hub"), F.col("y").alias("id"))
-    cross = materialize(cross.distinct().join(pairs, ["hub", "id"], "left_anti"))
-    more = _confirmed(texts, cross)
-    both = materialize(comps.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more))
-    again = connected_components(both)
-
+    texts = materialize(slim.join(few, "doc_id", "left_semi").withColumnRenamed("doc_id", "id"))
+    _free(involved)
+
+    found = materialize(seats.where("id <> hub").select("hub", "id").distinct())
+    of_hub, hot = _hot_hubs(found)
+    hub_sketches = sketches.select(F.col("id").alias("hub"), F.col("s").alias("hs"))
+    pairs = materialize(join_hot(found, hub_sketches, ["hub"], hot).join(sketches, "id").where(_near("hs", "s")).select("hub", "id"))
+    _free(found, of_hub, hot)
+    of_hub, hot = _hot_hubs(pairs)
+    comps = connected_components(_confirmed(texts, pairs, of_hub, hot))
+    _free(of_hub, hot)
+
+    placed = materialize(seats.join(comps, "id", "left").select("band", "key", "hub", "id", F.coalesce("component", "id").alias("comp")))
+    fresh = _across(placed, sketches, pairs)
+    of_hub, hot = _hot_hubs(fresh)
+    known = comps.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+    again = connected_components(known.unionByName(_confirmed(texts, fresh, of_hub, hot)))
+    _free(seats, texts, pairs, comps, placed, fresh, of_hub, hot)
+
+    copies = reps.select("digest", "n")
+    hot = hot_keys(copies, "n", _total(copies))
     of_rep = reps.select("digest", "rep").join(again.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = feats.select("doc_id", "n_shingles", "digest").join(of_rep, "digest", "left")
+    rows = feats.select("doc_id", "n_shingles", "digest")
+    out = join_hot(rows.where("digest is not null"), of_rep, ["digest"], hot).unionByName(rows.where("digest is null").withColumn("component", F.col("doc_id")))
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def _shared(seats: DataFrame) -> DataFrame:
     """The members of each bucket that has two or more, with its hub, the smallest id."""
-    hubs = seats.groupBy("band", "key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last").select("band", "key", "hub")
-    return seats.join(hubs, ["band", "key"])
+    hubs = seats.groupBy("band", "key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("hub <> last")
+    hubs = materialize(hubs.select("band", "key", "hub", "n"))
+    hot = hot_keys(hubs.select("band", "key", "n"), "n", _total(hubs))
+    out = materialize(join_hot(seats, hubs.drop("n"), ["band", "key"], hot))
+    _free(hubs, hot)
+    return out
+
+
+def _free(*tables: DataFrame | None) -> None:
+    release(*[t for t in tables if t is not None])
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, with all its columns: that with the smallest id. Rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(P + "id"))
-    return docs.join(gone, F.col(id_col).cast("bigint") == F.col(P + "id"), "left_anti")
+    """One document of each component, with all its columns: that with the smallest id. Rows with a null id stay.
+
+    Texts stay where they are as long as the ids that go are at most BROADCAST_IDS; beyond, both sides are shuffled by id.
+    """
+    gone = materialize(near_duplicates(docs, id_col, text_col).where("not kept and doc_id is not null").select(F.col("doc_id").alias(P + "id")).distinct())
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(few, F.col(id_col).cast("bigint") == F.col(P + "id"), "left_anti")
