@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-FLOAT64_EPS, FLOAT32_EPS = 2.0**-52, 2.0**-23
+from .rules import EDF_KINDS, LABEL_PARTS, OTB_KINDS, OTHER_UNIT, TRIGNO_KINDS, UNITS, kind_column, millivolts_per_step
 
-#: Amplifier models whose adapters carry muscle signals.
-EMG_ADAPTERS = ["Due", "Muovi", "Sessantaquattro", "Novecento", "Quattro", "Quattrocento"]
+FLOAT64_EPS, FLOAT32_EPS = 2.0**-52, 2.0**-23
 
 
 def sample_time(sample_index: Column, rate: Column) -> Column:
@@ -37,43 +32,25 @@ def combine_24bit(hi: Column, lo: Column) -> Column:
 def otb_gain_scale(raw: Column, channel_type: Column, bits: int, gain: Column) -> Column:
     """Millivolts at the electrode for muscle channels (3.3 V supply); other types keep raw units. A gain of 0 is an error."""
     safe = F.when(gain == 0, F.raise_error(F.lit("adapter gain is 0"))).otherwise(gain)
-    return F.when(channel_type == "EMG", raw * (3.3 / 2**bits * 1000) / safe).otherwise(raw.cast("double"))
-
-
-def _has(text: Column, word: str) -> Column:
-    return F.coalesce(text, F.lit("")).contains(word)
+    return F.when(channel_type == "EMG", raw * millivolts_per_step(bits, safe)).otherwise(raw.cast("double"))
 
 
 def classify_edf(label: Column, transducer: Column) -> Column:
     """Channel type from label and transducer, in any case."""
-    lab, tra = F.upper(label), F.upper(transducer)
-    return (
-        F.when(_has(lab, "EMG") | _has(tra, "EMG"), "EMG")
-        .when(_has(lab, "ACC") | _has(tra, "ACCELEROMETER"), "ACC")
-        .when(_has(lab, "GYRO") | _has(tra, "GYROSCOPE"), "GYRO")
-        .when(_has(lab, "TRIG") | _has(tra, "TRIGGER"), "TRIG")
-        .otherwise("OTHER")
-    )
+    return kind_column(EDF_KINDS, label=F.upper(label), transducer=F.upper(transducer))
 
 
 def classify_trigno(label: Column) -> Column:
-    return F.when(_has(label, "EMG"), "EMG").when(_has(label, "ACC"), "ACC").when(_has(label, "GYRO"), "GYRO").otherwise("OTHER")
+    return kind_column(TRIGNO_KINDS, label=label)
 
 
 def classify_otb(adapter: Column, description: Column, channel_id: Column) -> Column:
-    emg = reduce(lambda a, b: a | b, [_has(adapter, m) for m in EMG_ADAPTERS])
-    return (
-        F.when(emg, "EMG")
-        .when(_has(adapter, "ACC") | _has(description, "Acceleration"), "ACC")
-        .when(_has(adapter, "GYRO") | _has(description, "Gyroscope"), "GYRO")
-        .when(_has(channel_id, "Quaternion"), "QUAT")
-        .when(_has(adapter, "Control"), "CTRL")
-        .otherwise("OTHER")
-    )
+    return kind_column(OTB_KINDS, adapter=adapter, description=description, channel_id=channel_id)
 
 
 def unit_of(channel_type: Column) -> Column:
-    return F.when(channel_type == "EMG", "mV").when(channel_type.isin("ACC", "GYRO"), "g").when(channel_type == "QUAT", "rad").otherwise("a.u.")
+    units = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
+    return F.coalesce(F.try_element_at(units, channel_type), F.lit(OTHER_UNIT))
 
 
 def prefilter_text(highpass: Column, lowpass: Column) -> Column:
@@ -93,21 +70,25 @@ def channel_place(name: Column) -> Column:
 
 def label_part(line: Column, part: str) -> Column:
     """name, sample_frequency or physical_dimension of a label line; null where the line lacks the marker."""
-    pattern = {"name": r"Label:(.*?)Sampling", "sample_frequency": r"frequency:\s*(\S+)", "physical_dimension": r"Unit:(.*?)Domain"}[part]
-    got = F.nullif(F.trim(F.regexp_extract(line, pattern, 1)), F.lit(""))
+    got = F.nullif(F.trim(F.regexp_extract(line, LABEL_PARTS[part], 1)), F.lit(""))
     return got.try_cast("double") if part == "sample_frequency" else got
 
 
-def round_physical_value(value: float) -> float:
-    """The value rounded to the most decimals, 6 at most, at which its general format has up to 8 characters."""
-    for decimals in range(6, -1, -1):
-        rounded = round(value, decimals)
-        if len(f"{rounded:g}") <= 8:
-            return rounded
-    return float(round(value))
-
-
-@F.pandas_udf(T.DoubleType())
-def round_physical(values: pd.Series) -> pd.Series:
-    """``round_physical_value`` over per-channel rows; NaN and null stay."""
-    return values.map(lambda v: v if pd.isna(v) else round_physical_value(v))
+def round_physical(value: Column) -> Column:
+    """The value rounded to the most decimals, 6 at most, at which its general format (6 digits) has up to 8 characters.
+
+    Between 1 and a million any value fits with its sign, and so do tiny ones, whose 6 decimals leave two digits. A sign
+    before ``0.123456`` is one character too many, so such values get 5 decimals. From a million on the format has an
+    exponent: few digits fit as they are, and others are rounded to whole numbers.
+    """
+    known = F.when(F.isnan(value), F.lit(0.0)).otherwise(value)
+    six = F.bround(known, 6)
+    size, sign = F.abs(six), F.when(six < 0, 1).otherwise(0)
+    fraction = (sign == 1) & (size >= 1e-4) & (size < 1) & (F.abs(F.bround(known, 5) - six) > 5e-7)
+    power = F.floor(F.log10(size)).cast("double")
+    lead = F.rint(size / F.pow(F.lit(10.0), power - 5))  # the six digits shown; 1e6 if they round up
+    digits = F.when(lead % 100000 == 0, 1).when(lead % 10000 == 0, 2).when(lead % 1000 == 0, 3).otherwise(6)
+    shown = power + F.when(lead >= 1e6, 1).otherwise(0)
+    chars = sign + digits + F.when(digits > 1, 1).otherwise(0) + F.when(shown >= 100, 5).otherwise(4)
+    large = (size >= 999999.5) & (chars > 8)
+    return F.when(F.isnan(value), value).when(fraction, F.bround(known, 5)).when(large, F.bround(known, 0)).otherwise(six)

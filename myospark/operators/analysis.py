@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rules import to_digital, to_physical
 from ..functions.scalar import FLOAT32_EPS, FLOAT64_EPS, is_close, log10_signed, round_physical
 
 KEYS = ["recording_id", "channel"]
@@ -17,6 +18,19 @@ DIGITAL = {16: (-32768, 32767), 24: (-8388608, 8388607)}
 EDF_RANGE_DB, BDF_RANGE_DB, MARGIN_DB, LARGE = 96, 144, 6, 1e5
 
 
+#: Per-channel rows come to the driver, and are broadcast from there, up to this number.
+CHANNEL_ROWS = 100_000
+
+
+def known_rows(rows: DataFrame) -> DataFrame:
+    """Per-channel rows, computed once: samples then stay where they are, as the other side of a join is known to be small.
+
+    Beyond CHANNEL_ROWS the rows stay a plan of their own, and samples are shuffled over that many channels.
+    """
+    few = rows.limit(CHANNEL_ROWS + 1).collect()
+    return rows if len(few) > CHANNEL_ROWS else F.broadcast(rows.sparkSession.createDataFrame(few, rows.schema))
+
+
 def channel_stats(signals: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """n, has_nan, min, max, mean, std and largest magnitude in one pass. NaN samples make all of a channel's figures NaN."""
     v = F.col("value")
@@ -97,7 +111,7 @@ def scaling(stats: DataFrame, bits: int | Column, rounded: bool = False) -> Data
     out = stats.withColumns({"physical_min": pmin, "physical_max": pmax, "digital_min": dmin, "digital_max": dmax})
     out = out.withColumn("scaling_factor", (F.col("digital_max") - F.col("digital_min") - 1) / (F.col("physical_max") - F.col("physical_min")))
     if rounded:
-        out = out.withColumns({"physical_min": round_physical("physical_min"), "physical_max": round_physical("physical_max")})
+        out = out.withColumns({"physical_min": round_physical(F.col("physical_min")), "physical_max": round_physical(F.col("physical_max"))})
     return out
 
 
@@ -106,7 +120,7 @@ def quantize(signals: DataFrame, bits: int, keys: list[str] | None = None) -> Da
     keys = keys or KEYS
     steps = channel_stats(signals, keys).select(*keys, ((F.col("v_max") - F.col("v_min")) / 2.0**bits).alias("step_size"))
     q = F.when(F.col("step_size") == 0, F.lit(NAN)).otherwise(F.rint(F.col("value") / F.nullif(F.col("step_size"), F.lit(0.0))) * F.col("step_size"))
-    errors = signals.join(steps, keys).withColumn("_e", F.col("value") - q)
+    errors = signals.join(known_rows(steps), keys).withColumn("_e", F.col("value") - q)
     out = errors.groupBy(*keys, "step_size").agg(
         F.max(F.abs("_e")).alias("max_error"), F.avg(F.col("_e") * F.col("_e")).alias("_noise"), F.avg(F.col("value") * F.col("value")).alias("_power")
     )
@@ -121,7 +135,7 @@ def precision_loss(signals: DataFrame, limits: DataFrame, keys: list[str] | None
     clips. 0 if no sample is above the bound; 1e-6 if no such error shows but some sample differs.
     """
     keys = keys or KEYS
-    joined = signals.join(limits.select(*keys, "n", "scaling_factor", "digital_min", "digital_max"), keys)
+    joined = signals.join(known_rows(limits.select(*keys, "n", "scaling_factor", "digital_min", "digital_max")), keys)
     v, f = F.col("value"), F.col("scaling_factor")
     back = F.greatest(F.least(F.rint(v * f), F.col("digital_max").cast("double")), F.col("digital_min").cast("double")) / f
     above = F.abs(v) > FLOAT32_EPS * 1e3
@@ -140,13 +154,13 @@ def digitize(signals: DataFrame, limits: DataFrame, keys: list[str] | None = Non
     """Add digital: the sample on the digital scale between its channel's physical limits, rounded half to even and clamped."""
     keys = keys or KEYS
     lim = limits.select(*keys, "physical_min", "physical_max", "digital_min", "digital_max")
-    x = (F.col("value") - F.col("physical_min")) * (F.col("digital_max") - F.col("digital_min")) / (F.col("physical_max") - F.col("physical_min")) + F.col("digital_min")
+    x = to_digital(*(F.col(c) for c in ("value", "physical_min", "physical_max", "digital_min", "digital_max")))
     code = F.least(F.greatest(F.rint(x), F.col("digital_min").cast("double")), F.col("digital_max").cast("double")).cast("int")
-    return signals.join(lim, keys).withColumn("digital", code)
+    return signals.join(known_rows(lim), keys).withColumn("digital", code)
 
 
 def physical(digital: Column, pmin: Column, pmax: Column, dmin: Column, dmax: Column) -> Column:
-    return (digital - dmin) * (pmax - pmin) / (dmax - dmin) + pmin
+    return to_physical(digital, pmin, pmax, dmin, dmax)
 
 
 def type_summary(suited: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from .functions import scalar as fn
 from .operators import analysis as an
 from .operators import plotframe
 from .plans.adapters import from_arrays, from_long, from_wide, with_ordinal
-from .recording import latest_metadata, select_channels
+from .recording import Recording, latest_metadata
 from .sinks.tsv import channels_tsv, edf_header_fields
 
 LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -122,32 +122,43 @@ def wide_to_long(spark, d):
 @_query(f"WITH {_LI_SQL} SELECT channel, CASE channel WHEN 'l_tax' THEN 0 ELSE 1 END::INTEGER AS channel_idx, count(*) AS n, round(sum(value), 4) AS total FROM li WHERE channel IN ('l_tax', 'l_quantity') GROUP BY ALL")
 def select_by_name(spark, d):
     names = ["l_tax", "l_quantity"]
-    return select_channels(lineitem(spark, d, names), names).groupBy("channel", "channel_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("channel", "channel_idx", "n", _r("total", 4))
+    rec = Recording(spark, lineitem(spark, d), lineitem_channels(spark)).select_channels(names)
+    return rec.signals.groupBy("channel", "channel_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("channel", "channel_idx", "n", _r("total", 4))
+
+
+def embeddings_recording(spark: SparkSession, d: str) -> Recording:
+    channels = _t(spark, d, "embeddings").select(F.lit("recording").alias("recording_id"), F.col("vec_id").cast("int").alias("channel_idx"), F.col("vec_id").cast("string").alias("channel"), F.col("label").cast("string").alias("channel_type"))
+    return Recording(spark, embeddings(spark, d), channels)
 
 
 @_query("WITH " + _EM_SQL + " SELECT channel, sample_index, value FROM em WHERE channel_type = '1'")
 def select_by_type(spark, d):
-    return embeddings(spark, d).where("channel_type = '1'").select("channel", "sample_index", "value")
+    return embeddings_recording(spark, d).select_channels(channel_type="1").signals.select("channel", "sample_index", "value")
 
 
 @_query("WITH " + _EM_SQL + " SELECT channel, sample_index, value FROM em WHERE channel_type = '1' AND channel IN ('1', '2', '3', '5', '8', '13', '21')")
 def select_name_and_type(spark, d):
-    return embeddings(spark, d).where(F.col("channel").isin("1", "2", "3", "5", "8", "13", "21") & (F.col("channel_type") == "1")).select("channel", "sample_index", "value")
+    rec = embeddings_recording(spark, d)
+    try:
+        rec = rec.select_channels(["1", "2", "3", "5", "8", "13", "21"], "1")
+    except ValueError:  # none of them is of the type
+        return rec.signals.where("false").select("channel", "sample_index", "value")
+    return rec.signals.select("channel", "sample_index", "value")
 
 
 @_query("SELECT DISTINCT label::VARCHAR AS channel_type FROM embeddings")
 def channel_types(spark, d):
-    return _t(spark, d, "embeddings").select(F.col("label").cast("string").alias("channel_type")).distinct()
+    return spark.createDataFrame([(k,) for k in embeddings_recording(spark, d).get_channel_types()], "channel_type string")
 
 
 @_query("SELECT vec_id::VARCHAR AS channel FROM embeddings WHERE label = 2")
 def channels_by_type(spark, d):
-    return _t(spark, d, "embeddings").where("label = 2").select(F.col("vec_id").cast("string").alias("channel"))
+    return spark.createDataFrame([(c,) for c in embeddings_recording(spark, d).get_channels_by_type("2")], "channel string")
 
 
 @_query("SELECT label::VARCHAR AS channel_type, count(*) AS n FROM embeddings GROUP BY label")
 def channel_counts(spark, d):
-    return _t(spark, d, "embeddings").groupBy(F.col("label").cast("string").alias("channel_type")).agg(F.count(F.lit(1)).alias("n"))
+    return embeddings_recording(spark, d).channel_counts().withColumnRenamed("count", "n")
 
 
 @_query("SELECT user_id::VARCHAR AS recording_id, 'k' AS key, arg_max(json_extract_string(props, '$.k'), ts) AS value FROM events GROUP BY user_id")
@@ -312,8 +323,7 @@ def quantization_24(spark, d):
     SELECT channel, round(CASE WHEN NOT above THEN 0e0 WHEN pct < {_EPS32} AND diff THEN 1e-6 ELSE pct END, 6) AS precision_loss FROM a"""
 )
 def precision_loss(spark, d):
-    e = events(spark, d, index=True)
-    return an.precision_loss(e, an.scaling(an.channel_stats(e), 16)).select("channel", _r("precision_loss"))
+    return an.precision_loss(events(spark, d, index=True), an.scaling(an.channel_stats(events(spark, d)), 16)).select("channel", _r("precision_loss"))
 
 
 def _digit_sql(bits: int, tail: str) -> str:
@@ -322,8 +332,7 @@ def _digit_sql(bits: int, tail: str) -> str:
 
 
 def _digits(spark, d, bits):
-    e = events(spark, d, index=True)
-    return an.digitize(e, an.scaling(an.channel_stats(e), bits))
+    return an.digitize(events(spark, d, index=True), an.scaling(an.channel_stats(events(spark, d)), bits))
 
 
 @_query(_digit_sql(16, "SELECT channel, sample_index, digital FROM g"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .operators import plotframe
 from .operators.analysis import analysis_of, channel_stats, precision_loss, quantize, scaling, suitability, summary_text, type_summary
-from .schema import CHANNELS, METADATA, SIGNALS
+from .schema import CHANNELS, METADATA, SIGNALS, read_back, written
 from .sinks.edf import export_edf
 from .sinks.tsv import channels_tsv
 from .sources.files import read_bytes
@@ -45,7 +45,7 @@ class Recording:
         register(spark)
         names = [f.name for f in CHANNELS.fields]
         rows = [tuple({**{n: None for n in names}, **{k: v for k, v in c.items() if k in names}, "recording_id": filepath, "channel_idx": i}[n] for n in names) for i, c in enumerate(head.channels)]
-        meta = [(filepath, k, v, i) for i, (k, v) in enumerate(head.metadata)]
+        meta = [(filepath, k, v, i, "text") for i, (k, v) in enumerate(head.metadata)]
         signals = spark.read.format(source.name()).option("timebase", time_base).load(filepath) if rows else None
         return cls(spark, signals, spark.createDataFrame(rows, CHANNELS), spark.createDataFrame(meta, METADATA))
 
@@ -80,15 +80,15 @@ class Recording:
     def select_channels(self, channels: str | list[str] | None = None, channel_type: str | None = None, inplace: bool = False) -> Recording:
         """Channels by name, in the order asked for, by type, or by both; repeated names count once."""
         self._loaded()
-        kinds = {r["channel"]: r["channel_type"] for r in self.channels.orderBy("channel_idx").select("channel", "channel_type").collect()}
         if channels is None and channel_type is None:
             raise ValueError("give channels or a channel_type")
         if channels is None:
-            wanted = [c for c, k in kinds.items() if k == channel_type]
+            wanted = self.get_channels_by_type(channel_type)
             if not wanted:
                 raise ValueError(f"No channels found of type: {channel_type}")
         else:
             wanted = list(dict.fromkeys([channels] if isinstance(channels, str) else channels))
+            kinds = {r["channel"]: r["channel_type"] for r in self.channels.where(F.col("channel").isin(wanted)).select("channel", "channel_type").collect()}
             missing = [c for c in wanted if c not in kinds]
             if missing:
                 raise ValueError(f"Channels not found: {missing}")
@@ -112,17 +112,20 @@ class Recording:
         return self.channels.groupBy("channel_type").count()
 
     def set_metadata(self, key: str, value: Any) -> None:
+        """Keep a value under a key: text, numbers, booleans, dates, None, and lists or dicts of these. The last one written counts."""
         seq = (self.metadata.agg(F.max("seq")).first()[0] or 0) + 1
-        self.metadata = self.metadata.unionByName(self.spark.createDataFrame([("recording", key, None if value is None else str(value), seq)], METADATA))
+        text, kind = written(value)
+        self.metadata = self.metadata.unionByName(self.spark.createDataFrame([("recording", key, text, seq, kind)], METADATA))
 
-    def get_metadata(self, key: str) -> str | None:
+    def get_metadata(self, key: str) -> Any:
+        """The value last written under a key, of the type it had; None without one."""
         row = self.metadata.where(F.col("key") == key).orderBy(F.desc("seq")).first()
-        return row["value"] if row else None
+        return read_back(row["value"], row["kind"]) if row else None
 
     def analysis(self) -> DataFrame:
         """Per channel: range, noise floor, dynamic range, SNR, format and reason, with the channel's attributes."""
         self._loaded()
-        return suitability(analysis_of(channel_stats(self.signals))).join(self.channels.drop("recording_id", "physical_min", "physical_max", "digital_min", "digital_max"), "channel")
+        return suitability(analysis_of(channel_stats(self.signals))).join(self.channels.drop("physical_min", "physical_max", "digital_min", "digital_max"), ["recording_id", "channel"])
 
     def quantization(self, bits: int) -> DataFrame:
         self._loaded()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from datetime import date, datetime
+
 from pyspark.sql import types as T
 
 SIGNALS = T.StructType(
@@ -42,5 +45,23 @@ METADATA = T.StructType(
         T.StructField("key", T.StringType()),
         T.StructField("value", T.StringType()),
         T.StructField("seq", T.LongType()),
+        T.StructField("kind", T.StringType()),
     ]
 )
+
+
+def written(value: object) -> tuple[str | None, str]:
+    """A metadata value as text, and the kind that ``read_back`` needs: text stays as it is, all else is JSON or an ISO date."""
+    if value is None or isinstance(value, str):
+        return value, "text"
+    if isinstance(value, (datetime, date)):
+        return value.isoformat(), type(value).__name__
+    return json.dumps(value), "json"
+
+
+def read_back(value: str | None, kind: str | None) -> object:
+    if value is None or kind in (None, "text"):
+        return value
+    if kind == "json":
+        return json.loads(value)
+    return (datetime if kind == "datetime" else date).fromisoformat(value)

@@ -1,11 +1,13 @@
 """EDF+ and BDF+ writer: executors encode ranges of data records, the driver puts the header before the ordered parts.
 
-Only per-channel figures come to the driver; samples are digitized and packed on executors, written as part files beside
-the target, and joined by streaming copies, since one binary file has one order.
+Only per-channel figures come to the driver; samples are digitized and packed on executors, written as part files in the
+folder that the cluster shares (spark.checkpoint.dir; beside the target where none is named), and joined by streaming
+copies, since one binary file has one order. What is done is told to the logger of this module.
 """
 
 from __future__ import annotations
 
+import logging
 import os
 import uuid
 import warnings
@@ -14,12 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators.analysis import analysis_of, channel_stats, file_format, scaling, suitability
+from ..operators.analysis import analysis_of, channel_stats, digitize, file_format, scaling, suitability, summary_text, type_summary
 from ..sources.edf import SIGNAL_FIELDS
 from ..sources.files import locate
-from .tsv import channels_tsv
+from .tsv import channels_tsv, edf_header_fields
 
 RECORDS_PER_PART = 64
+LOG = logging.getLogger(__name__)
 
 
 def _field(text: object, width: int) -> bytes:
@@ -55,12 +58,17 @@ def _annotation(record: int, duration: float) -> bytes:
 
 
 def plan_export(signals, channels):
-    """Per-channel rows with analysis, format and rounded limits, and the recording's format: (rows, use_bdf, reason)."""
+    """Per-channel rows with analysis, format and rounded limits, the recording's format, and a summary: (rows, use_bdf, reason, text).
+
+    The samples are reduced once; what follows works on the few rows that come of it.
+    """
     info = channels.select("recording_id", "channel", "channel_idx", "channel_type", "sample_frequency", "physical_dimension", "prefilter")
     suited = suitability(analysis_of(channel_stats(signals))).join(info, ["recording_id", "channel"])
+    suited = signals.sparkSession.createDataFrame(suited.collect(), suited.schema)  # one row per channel
     choice = file_format(suited).first()
     use_bdf = bool(choice and choice["use_bdf"])
-    return scaling(suited, 24 if use_bdf else 16, rounded=True), use_bdf, choice["bdf_reason"] if choice else None
+    planned = scaling(suited, 24 if use_bdf else 16, rounded=True).join(edf_header_fields(channels).drop("sample_frequency", "prefilter"), "channel_idx")
+    return planned.orderBy("channel_idx").collect(), use_bdf, choice["bdf_reason"] if choice else None, summary_text(type_summary(suited))
 
 
 def export_edf(signals, channels, filepath: str, precision_threshold: float = 0.01) -> str:
@@ -70,8 +78,7 @@ def export_edf(signals, channels, filepath: str, precision_threshold: float = 0.
     channels without samples are an error. Rates are whole numbers in the file; the last data record is padded with each
     channel's last value. One data record is a second.
     """
-    planned, use_bdf, reason = plan_export(signals, channels)
-    rows = planned.orderBy("channel_idx").collect()  # one row per channel
+    rows, use_bdf, reason, text = plan_export(signals, channels)
     if not rows:
         raise ValueError("No signals loaded")
     if any(r["has_nan"] for r in rows):
@@ -80,6 +87,8 @@ def export_edf(signals, channels, filepath: str, precision_threshold: float = 0.
     target = stem + (".bdf" if use_bdf else ".edf")
     if use_bdf:
         warnings.warn(f"Using BDF format to preserve precision. Reason: {reason}", stacklevel=2)
+    LOG.info("Signal analysis:%s", text)
+    LOG.info("Writing %s with %d channels", target, len(rows))
     specs = []
     for r in rows:
         pmin, pmax = float(_number(r["physical_min"])), float(_number(r["physical_max"]))
@@ -88,17 +97,23 @@ def export_edf(signals, channels, filepath: str, precision_threshold: float = 0.
         rate = int(r["sample_frequency"])
         if rate < 1:
             raise ValueError(f"channel {r['channel']}: the rate {r['sample_frequency']} is below 1")
-        specs.append({"channel": r["channel"], "rate": rate, "pmin": pmin, "pmax": pmax, "dmin": r["digital_min"], "dmax": r["digital_max"], "n": r["n"]})
-    records = max(-(-s["n"] // s["rate"]) for s in specs)
+        specs.append({"channel": r["channel"], "rate": rate, "pmin": pmin, "pmax": pmax, "dmin": r["digital_min"], "dmax": r["digital_max"]})
+    spark = signals.sparkSession
+    limits = spark.createDataFrame([(s["channel"], s["rate"], s["pmin"], s["pmax"], s["dmin"], s["dmax"]) for s in specs], "channel string, rate int, physical_min double, physical_max double, digital_min int, digital_max int")
+    coded = digitize(signals, limits, ["channel"])
+    ends = {r["channel"]: r for r in coded.groupBy("channel").agg((F.max("sample_index") + 1).alias("length"), F.max_by("digital", "sample_index").alias("last")).collect()}  # one row per channel
+    for s in specs:
+        s["length"], s["last"] = ends[s["channel"]]["length"], ends[s["channel"]]["last"]
+    records = max(-(-s["length"] // s["rate"]) for s in specs)
     heads = [
-        {"label": r["channel"][:16], "transducer": f"{r['channel_type']} sensor", "dimension": r["physical_dimension"], "pmin": _number(s["pmin"]), "pmax": _number(s["pmax"]), "dmin": s["dmin"], "dmax": s["dmax"], "prefilter": r["prefilter"], "samples": s["rate"], "reserved": ""}
+        {"label": r["label"], "transducer": r["transducer"], "dimension": r["dimension"], "pmin": _number(s["pmin"]), "pmax": _number(s["pmax"]), "dmin": s["dmin"], "dmax": s["dmax"], "prefilter": r["prefilter"], "samples": s["rate"], "reserved": ""}
         for r, s in zip(rows, specs, strict=True)
     ]
-    parts_dir = f"{target}.parts-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    parts_dir = f"{shared.rstrip('/')}/parts-{uuid.uuid4().hex}" if shared else f"{target}.parts-{uuid.uuid4().hex}"
     system, at = locate(target)
-    _, parts_at = locate(parts_dir)
-    system.create_dir(parts_at)
-    by_name = {s["channel"]: k for k, s in enumerate(specs)}
+    parts_system, parts_at = locate(parts_dir)
+    parts_system.create_dir(parts_at)
     width = 3 if use_bdf else 2
 
     def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -108,33 +123,35 @@ def export_edf(signals, channels, filepath: str, precision_threshold: float = 0.
         for s in specs:
             own = pdf[pdf["channel"] == s["channel"]].sort_values("sample_index")
             digital = np.full((end - first) * s["rate"], np.nan)
-            digital[own["sample_index"].to_numpy() - first * s["rate"]] = own["value"].to_numpy()
+            digital[own["sample_index"].to_numpy() - first * s["rate"]] = own["digital"].to_numpy()
             if np.isnan(digital).any():
-                digital = pd.Series(digital).ffill().fillna(s["pmin"]).to_numpy()
-            code = np.rint((digital - s["pmin"]) * (s["dmax"] - s["dmin"]) / (s["pmax"] - s["pmin"]) + s["dmin"])
-            code = np.clip(code, s["dmin"], s["dmax"]).astype("<i4")
-            blocks.append(code.view(np.uint8).reshape(end - first, s["rate"], 4)[:, :, :width].reshape(end - first, -1))
+                digital = pd.Series(digital).ffill().fillna(s["last"] if len(own) == 0 else s["dmin"]).to_numpy()
+            blocks.append(digital.astype("<i4").view(np.uint8).reshape(end - first, s["rate"], 4)[:, :, :width].reshape(end - first, -1))
         notes = np.stack([np.frombuffer(_annotation(k, 1.0), np.uint8) for k in range(first, end)])
         where, name = locate(f"{parts_dir}/{part:010d}-{uuid.uuid4().hex}")
         with where.open_output_stream(name) as out:
             out.write(np.concatenate([*blocks, notes], axis=1).tobytes())
         return pd.DataFrame({"part": [part], "file": [name]})
 
-    rate = F.element_at(F.create_map(*[x for s in specs for x in (F.lit(s["channel"]), F.lit(s["rate"]))]), F.col("channel"))
-    chosen = signals.where(F.col("channel").isin(list(by_name))).withColumn("part", F.floor(F.col("sample_index") / (rate * RECORDS_PER_PART)).cast("bigint"))
-    done = chosen.select("part", "channel", "sample_index", "value").groupBy("part").applyInPandas(encode, "part long, file string")
+    placed = coded.join(F.broadcast(limits.select("channel", "rate")), "channel")  # one row per channel
+    chosen = placed.select(F.floor(F.col("sample_index") / (F.col("rate") * RECORDS_PER_PART)).cast("bigint").alias("part"), "channel", "sample_index", "digital")
+    # every part of the file is written, also one in which no channel has a sample
+    every = spark.range(-(-records // RECORDS_PER_PART)).select(F.col("id").alias("part"), F.lit(None).cast("string").alias("channel"), F.lit(-1).cast("bigint").alias("sample_index"), F.lit(0).alias("digital"))
+    done = chosen.unionByName(every).groupBy("part").applyInPandas(encode, "part long, file string")
     files = {r["part"]: r["file"] for r in done.collect()}  # one row for 64 records
+    LOG.info("Encoded %d data records in %d parts", records, len(files))
     try:
         with system.open_output_stream(at) as out:
             out.write(header_bytes(heads, records, use_bdf))
             for part in sorted(files):
-                with system.open_input_stream(files[part]) as f:
+                with parts_system.open_input_stream(files[part]) as f:
                     while block := f.read(1 << 24):
                         out.write(block)
     finally:
-        system.delete_dir(parts_at)
+        parts_system.delete_dir(parts_at)
     tsv_system, tsv_at = locate(stem + "_channels.tsv")
     with tsv_system.open_output_stream(tsv_at) as out:
         out.write(channels_tsv(channels).toPandas().to_csv(sep="\t", index=False).encode())
+    LOG.info("Wrote %s", target)
     return target
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import inf
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..schema import SIGNALS
 
@@ -36,12 +37,13 @@ class Slice(InputPartition):
 
 
 class RecordingReader(DataSourceReader, ABC):
-    """Reads slices of samples; a filter on channel is applied before decoding."""
+    """Reads slices of samples; a filter on channel is applied before decoding, and one on sample_index or t chooses slices."""
 
     def __init__(self, path: str, options: dict) -> None:
         self.path, self.options = path, options
         self.header = self.read_header(path)
         self.wanted: set[str] | None = None
+        self.bounds: dict[str, list[float]] = {"sample_index": [-inf, inf], "t": [-inf, inf]}
 
     @staticmethod
     @abstractmethod
@@ -54,26 +56,52 @@ class RecordingReader(DataSourceReader, ABC):
     def decode(self, part: Slice, idx: int) -> tuple[int, np.ndarray]:
         """The first sample index and the values of channel number ``idx`` in a slice."""
 
+    def index_range(self, part: Slice, idx: int) -> tuple[float, float]:
+        """Bounds of the sample indices of channel number ``idx`` in a slice, end exclusive."""
+        return -inf, inf
+
+    def _rate(self, idx: int) -> float:
+        """The rate that times of a channel follow from: the first channel's, unless each has its own time base."""
+        return self.header.channels[0 if self.options.get("timebase", "shared") == "shared" else idx]["sample_frequency"]
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Channel filters are applied here; bounds are noted, and Spark applies them again to the rows."""
         for f in filters:
-            names = {f.value} if isinstance(f, EqualTo) and f.attribute == ("channel",) else set(f.value) if isinstance(f, In) and f.attribute == ("channel",) else None
-            if names is None:
-                yield f
-            else:
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if column == "channel" and isinstance(f, (EqualTo, In)):
+                names = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 self.wanted = names if self.wanted is None else self.wanted & names
+                continue
+            if column in self.bounds and isinstance(getattr(f, "value", None), (int, float)):
+                low, high = self.bounds[column]
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                    low = max(low, f.value)
+                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                    high = min(high, f.value)
+                self.bounds[column] = [low, high]
+            yield f
+
+    def _holds_some(self, part: Slice) -> bool:
+        """Whether a slice may hold a sample within the bounds of a wanted channel; a sample beside a time's bound counts."""
+        for idx, ch in enumerate(self.header.channels):
+            if self.wanted is None or ch["channel"] in self.wanted:
+                first, end = self.index_range(part, idx)
+                low = max(self.bounds["sample_index"][0], self.bounds["t"][0] * self._rate(idx) - 1)
+                high = min(self.bounds["sample_index"][1], self.bounds["t"][1] * self._rate(idx) + 1)
+                if first <= high and low < end:
+                    return True
+        return False
 
     def partitions(self) -> list[InputPartition]:
-        return self.slices()
+        return [p for p in self.slices() if self._holds_some(p)] or [Slice(0, 0)]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        shared = self.options.get("timebase", "shared") == "shared"
-        rates = [c["sample_frequency"] for c in self.header.channels]
         for idx, ch in enumerate(self.header.channels):
             if self.wanted is not None and ch["channel"] not in self.wanted:
                 continue
             first, values = self.decode(partition, idx)
             at = np.arange(first, first + len(values), dtype=np.int64)
-            rate = rates[0] if shared else rates[idx]
+            rate = self._rate(idx)
             n = len(values)
             for a in range(0, n, BLOCK_SAMPLES):
                 b = min(n, a + BLOCK_SAMPLES)

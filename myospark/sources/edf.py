@@ -6,6 +6,7 @@ from datetime import datetime
 
 import numpy as np
 
+from ..functions.rules import EDF_KINDS, kind_of, to_physical
 from .base import BLOCK_SAMPLES, Header, RecordingReader, RecordingSource, Slice
 from .files import file_size, read_bytes
 
@@ -16,16 +17,6 @@ SIGNAL_FIELDS = [
 _MONTHS = ["JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"]
 
 
-def channel_type(label: str, transducer: str) -> str:
-    lab, tra = label.upper(), transducer.upper()
-    if "EMG" in lab or "EMG" in tra:
-        return "EMG"
-    for kind, word in (("ACC", "ACCELEROMETER"), ("GYRO", "GYROSCOPE"), ("TRIG", "TRIGGER")):
-        if kind in lab or word in tra:
-            return kind
-    return "OTHER"
-
-
 def _start(date: str, time: str) -> datetime:
     d, m, y = (int(x) for x in date.split("."))
     h, mi, s = (int(x) for x in time.split("."))
@@ -88,7 +79,7 @@ class EdfReader(RecordingReader):
                 at += s["samples"]
                 continue
             ch = {
-                "channel": s["label"], "channel_type": channel_type(s["label"], s["transducer"]), "sample_frequency": s["samples"] / h["duration"] if h["duration"] else float(s["samples"]),
+                "channel": s["label"], "channel_type": kind_of(EDF_KINDS, label=s["label"].upper(), transducer=s["transducer"].upper()), "sample_frequency": s["samples"] / h["duration"] if h["duration"] else float(s["samples"]),
                 "physical_dimension": s["dimension"] or "n/a", "prefilter": s["prefilter"] or "n/a", "physical_min": float(s["pmin"]), "physical_max": float(s["pmax"]),
                 "digital_min": int(s["dmin"]), "digital_max": int(s["dmax"]), "transducer": s["transducer"], "at": at, "samples": s["samples"],
             }
@@ -112,11 +103,14 @@ class EdfReader(RecordingReader):
         step = max(1, BLOCK_SAMPLES * 8 // max(1, lay["record_bytes"]))
         return [Slice(a, min(lay["records"], a + step)) for a in range(0, lay["records"], step)] or [Slice(0, 0)]
 
+    def index_range(self, part: Slice, idx: int) -> tuple[float, float]:
+        samples = self.header.channels[idx]["samples"]
+        return part.first * samples, part.end * samples
+
     def read(self, partition: Slice):
         lay = self.header.layout
         raw = read_bytes(self.path, lay["header_bytes"] + partition.first * lay["record_bytes"], (partition.end - partition.first) * lay["record_bytes"])
-        data = np.frombuffer(raw, dtype=np.uint8).reshape(partition.end - partition.first, -1)
-        self._bytes = data if partition.end > partition.first else np.zeros((0, lay["record_bytes"]), np.uint8)
+        self._bytes = np.frombuffer(raw, dtype=np.uint8).reshape(-1, max(1, lay["record_bytes"]))
         yield from super().read(partition)
 
     def decode(self, part: Slice, idx: int) -> tuple[int, np.ndarray]:
@@ -126,8 +120,7 @@ class EdfReader(RecordingReader):
             code = raw.view("<i2").ravel().astype(np.int32)
         else:
             code = raw[:, 0].astype(np.int32) | (raw[:, 1].astype(np.int32) << 8) | (raw[:, 2].view(np.int8).astype(np.int32) << 16)
-        gain = (ch["physical_max"] - ch["physical_min"]) / (ch["digital_max"] - ch["digital_min"])
-        return part.first * ch["samples"], (code - ch["digital_min"]) * gain + ch["physical_min"]
+        return part.first * ch["samples"], to_physical(code, ch["physical_min"], ch["physical_max"], ch["digital_min"], ch["digital_max"])
 
 
 class EdfSource(RecordingSource):

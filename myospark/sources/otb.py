@@ -1,45 +1,51 @@
 """OTB and OTB+ archives: a tar of an XML description and a file of interleaved little-endian 16-bit words.
 
-The archive is never unpacked: members are found by their offsets, and executors read byte ranges of whole sample rows.
+A plain archive is never unpacked: members are found by their offsets, and executors read byte ranges of whole sample
+rows. A compressed one has no such ranges; one task reads its samples.
 """
 
 from __future__ import annotations
 
+import lzma
 import os
 import tarfile
 import xml.etree.ElementTree as ET
+import zlib
 
 import numpy as np
 
-from ..functions.scalar import EMG_ADAPTERS
+from ..functions.rules import OTB_KINDS, OTHER_UNIT, UNITS, kind_of, millivolts_per_step
 from .base import BLOCK_SAMPLES, Header, RecordingReader, RecordingSource, Slice
 from .files import locate, must_exist, read_bytes
 
 
-def members(path: str) -> dict[str, tuple[int, int]]:
-    """Name to offset and size of the archive's files."""
-    system, at = locate(path)
-    try:
-        with system.open_input_file(at) as raw, tarfile.open(fileobj=raw, mode="r:") as tar:
-            return {m.name: (m.offset_data, m.size) for m in tar if m.isfile()}
-    except (tarfile.TarError, EOFError) as e:
-        raise ValueError(f"Error extracting OTB file: {e}") from e
+def members(path: str) -> tuple[dict[str, tuple[int, int]], bool]:
+    """Name to offset and size of the archive's files, and whether it is compressed, when offsets are those of the plain archive."""
+    for mode in ("r:", "r:*"):
+        try:
+            with _open(path) as raw, tarfile.open(fileobj=raw, mode=mode) as tar:
+                return {m.name: (m.offset_data, m.size) for m in tar if m.isfile()}, mode == "r:*"
+        except (tarfile.TarError, EOFError, OSError, zlib.error, lzma.LZMAError) as e:
+            if mode == "r:*":
+                raise ValueError(f"Error extracting OTB file: {e}") from e
+    raise AssertionError
 
 
-def _first(attrs: dict, *names: str) -> str:
-    return next((attrs[n] for n in names if attrs.get(n)), "")
+def _open(path: str):
+    system, at = locate(path)
+    return system.open_input_file(at)
 
 
-def _kind(adapter: str, description: str, channel_id: str) -> str:
-    if any(model in adapter for model in EMG_ADAPTERS):
-        return "EMG"
-    for kind, word in (("ACC", "Acceleration"), ("GYRO", "Gyroscope")):
-        if kind in adapter or word in description:
-            return kind
-    return "QUAT" if "Quaternion" in channel_id else "CTRL" if "Control" in adapter else "OTHER"
+def member_bytes(path: str, name: str, found: dict[str, tuple[int, int]], packed: bool) -> bytes:
+    """The whole of one file of the archive."""
+    if not packed:
+        return read_bytes(path, *found[name])
+    with _open(path) as raw, tarfile.open(fileobj=raw, mode="r:*") as tar:
+        return tar.extractfile(name).read()
 
 
-_UNITS = {"EMG": "mV", "ACC": "g", "GYRO": "g", "QUAT": "rad"}
+def _first(attrs: dict, *names: str) -> str:
+    return next((attrs[n] for n in names if attrs.get(n)), "")
 
 
 def parse_xml(text: bytes) -> tuple[dict, list[dict]]:
@@ -63,12 +69,12 @@ def parse_xml(text: bytes) -> tuple[dict, list[dict]]:
         for channel in adapter.findall(".//Channel"):
             c = channel.attrib
             place = int(x.get("ChannelStartIndex", 0)) + int(c.get("Index", 0))
-            kind = _kind(x.get("ID", ""), c.get("Description", ""), c.get("ID", ""))
+            kind = kind_of(OTB_KINDS, adapter=x.get("ID", ""), description=c.get("Description", ""), channel_id=c.get("ID", ""))
             gain = float(x.get("Gain", 1.0))
             if kind == "EMG" and gain == 0:
                 raise ValueError(f"adapter {x.get('ID', '')} has gain 0")
             channels[f"CH{place + 1}"] = {
-                "channel": f"CH{place + 1}", "place": place, "channel_type": kind, "physical_dimension": _UNITS.get(kind, "a.u."),
+                "channel": f"CH{place + 1}", "place": place, "channel_type": kind, "physical_dimension": UNITS.get(kind, OTHER_UNIT),
                 "prefilter": " ".join(filters) or "n/a", "sample_frequency": rate, "adapter": x.get("ID", ""), "gain": gain,
                 "description": c.get("Description", ""), "muscle": c.get("Muscle", ""),
             }
@@ -79,14 +85,14 @@ class OtbReader(RecordingReader):
     @staticmethod
     def read_header(path: str) -> Header:
         must_exist(path)
-        found = members(path)
+        found, packed = members(path)
         sig = next((n for n in found if n.endswith(".sig")), None)
         if sig is None:
             raise ValueError("No .sig file found in OTB archive")
         xml = os.path.splitext(sig)[0] + ".xml"
         if xml not in found:
             raise ValueError(f"No matching .xml file for {sig}")
-        info, channels = parse_xml(read_bytes(path, *found[xml]))
+        info, channels = parse_xml(member_bytes(path, xml, found, packed))
         if info["sampling_frequency"] <= 0:
             raise ValueError("the device has no sampling rate above 0")
         width = info["total"] or len(channels)
@@ -97,16 +103,21 @@ class OtbReader(RecordingReader):
         if rest or (info["ad_bits"] == 24 and rows % 2):
             raise ValueError(f"{sig} does not hold whole sample rows of {width} channels")
         meta = [("source_file", path), ("device", info["name"]), ("signal_resolution", str(info["ad_bits"]))]
-        return Header(channels, meta, {"offset": offset, "rows": rows, "width": width, "bits": info["ad_bits"]})
+        return Header(channels, meta, {"offset": offset, "rows": rows, "width": width, "bits": info["ad_bits"], "packed": sig if packed else None})
 
     def slices(self) -> list[Slice]:
         lay = self.header.layout
-        step = max(2, BLOCK_SAMPLES * 8 // lay["width"]) // 2 * 2
+        step = max(2, lay["rows"] if lay["packed"] else BLOCK_SAMPLES * 8 // lay["width"]) // 2 * 2 or 2  # a compressed file has no places to start from
         return [Slice(a, min(lay["rows"], a + step)) for a in range(0, lay["rows"], step)] or [Slice(0, 0)]
 
+    def index_range(self, part: Slice, idx: int) -> tuple[float, float]:
+        rows = 2 if self.header.layout["bits"] == 24 else 1
+        return part.first // rows, -(-part.end // rows)
+
     def read(self, partition: Slice):
         lay = self.header.layout
-        raw = read_bytes(self.path, lay["offset"] + partition.first * 2 * lay["width"], (partition.end - partition.first) * 2 * lay["width"])
+        at, size = partition.first * 2 * lay["width"], (partition.end - partition.first) * 2 * lay["width"]
+        raw = read_bytes(self.path, lay["offset"] + at, size) if lay["packed"] is None else member_bytes(self.path, lay["packed"], {}, True)[at : at + size]
         self._words = np.frombuffer(raw, dtype="<i2").reshape(-1, lay["width"])
         yield from super().read(partition)
 
@@ -115,7 +126,7 @@ class OtbReader(RecordingReader):
         x, first = self._words[:, ch["place"]].astype(np.int32), part.first
         if bits == 24:
             x, first = (x[0::2] << 8) | (x[1::2] & 0xFF), first // 2
-        scale = 3.3 / 2**bits * 1000 / ch["gain"] if ch["channel_type"] == "EMG" else 1.0
+        scale = millivolts_per_step(bits, ch["gain"]) if ch["channel_type"] == "EMG" else 1.0
         return first, x * scale
 
 

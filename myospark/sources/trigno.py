@@ -5,20 +5,22 @@ from __future__ import annotations
 import csv
 import io
 import re
+from array import array
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from typing import TextIO
 
 import numpy as np
 
+from ..functions.rules import LABEL_PARTS, TRIGNO_KINDS, kind_of
 from .base import Header, RecordingReader, RecordingSource, Slice
-from .files import must_exist, read_bytes
+from .files import locate, must_exist
 
 DEVICE = "Delsys Trigno"
-_NAME, _RATE, _UNIT = re.compile(r"Label:(.*?)Sampling"), re.compile(r"frequency:\s*(\S+)"), re.compile(r"Unit:(.*?)Domain")
-
-
-def csv_structure(text: str) -> tuple[list[str], int, str]:
-    """The lines before the header that are not blank, the header's line number from 1, and the header."""
+def csv_structure(lines: Iterable[str] | str) -> tuple[list[str], int, str]:
+    """The lines before the header that are not blank, the header's line number from 1, and the header. Lines after it are not read."""
     before = []
-    for number, line in enumerate(io.StringIO(text), 1):
+    for number, line in enumerate(io.StringIO(lines) if isinstance(lines, str) else lines, 1):
         line = line.strip()
         if "X[s]" in line:
             return before, number, line
@@ -33,23 +35,27 @@ def label_lines(lines: list[str]) -> dict[str, dict]:
     for line in lines:
         if not line.startswith("Label:"):
             continue
-        name, rate, unit = _NAME.search(line), _RATE.search(line), _UNIT.search(line)
+        name, rate, unit = (re.search(LABEL_PARTS[part], line) for part in ("name", "sample_frequency", "physical_dimension"))
         if not (name and rate and unit):
             raise ValueError(f"incomplete label line: {line}")
         out[name[1].strip()] = {"sample_frequency": float(rate[1]), "physical_dimension": unit[1].strip()}
     return out
 
 
-def channel_type(label: str) -> str:
-    return next((kind for kind in ("EMG", "ACC", "GYRO") if kind in label), "OTHER")
+@contextmanager
+def text_lines(path: str) -> Iterator[TextIO]:
+    """The file as a stream of lines, read a block at a time."""
+    system, at = locate(path)
+    with system.open_input_stream(at) as raw, io.TextIOWrapper(raw, encoding="utf-8-sig", newline="") as lines:
+        yield lines
 
 
 class TrignoReader(RecordingReader):
     @staticmethod
     def read_header(path: str) -> Header:
         must_exist(path)
-        text = read_bytes(path).decode("utf-8-sig")
-        before, number, header = csv_structure(text)
+        with text_lines(path) as lines:
+            before, number, header = csv_structure(lines)
         info = label_lines(before)
         seen: dict[str, int] = {}
         columns = []
@@ -59,7 +65,7 @@ class TrignoReader(RecordingReader):
                 seen[name] = at
                 columns.append((at, name))
         channels = [
-            {"channel": name, "channel_type": channel_type(name), "prefilter": "n/a", **info[name]} for _, name in columns
+            {"channel": name, "channel_type": kind_of(TRIGNO_KINDS, label=name), "prefilter": "n/a", **info[name]} for _, name in columns
         ]
         return Header(channels, [("source_file", path), ("device", DEVICE)], {"skip": number, "columns": [at for at, _ in columns]})
 
@@ -67,18 +73,18 @@ class TrignoReader(RecordingReader):
         return [Slice(0, -1)]  # rows of text have no fixed width, and a sample's index is its row's ordinal
 
     def read(self, partition: Slice):
-        lines = io.StringIO(read_bytes(self.path).decode("utf-8-sig"))
-        for _ in range(self.header.layout["skip"]):
-            next(lines)
         cols = self.header.layout["columns"]
-        values: list[list[float]] = [[] for _ in cols]
-        for row in csv.reader(lines):
-            if not any(cell.strip() for cell in row):
-                continue
-            for k, at in enumerate(cols):
-                cell = row[at].strip() if at < len(row) else ""
-                values[k].append(float(cell) if cell else np.nan)
-        self._values = [np.array(v) for v in values]
+        values = [array("d") for _ in cols]
+        with text_lines(self.path) as lines:
+            for _ in range(self.header.layout["skip"]):
+                next(lines)
+            for row in csv.reader(lines):
+                if not any(cell.strip() for cell in row):
+                    continue
+                for k, at in enumerate(cols):
+                    cell = row[at].strip() if at < len(row) else ""
+                    values[k].append(float(cell) if cell else np.nan)
+        self._values = [np.frombuffer(v) if len(v) else np.zeros(0) for v in values]
         if self.options.get("timebase", "shared") != "shared":
             self._values = [v[: np.flatnonzero(~np.isnan(v))[-1] + 1] if np.any(~np.isnan(v)) else v[:0] for v in self._values]
         yield from super().read(partition)

@@ -186,3 +186,46 @@ def test_export_errors(spark, tmp_path):
     r = Recording(spark).add_channel("n", [1.0, float("nan"), 3.0], 10, "mV")
     with pytest.raises(ValueError, match="missing samples"):
         r.to_edf(str(tmp_path / "z.edf"))
+
+
+def test_a_part_without_samples_is_written(spark, tmp_path):
+    """Records that hold no sample of any channel still count."""
+    r = Recording(spark).add_channel("a", np.sin(np.arange(1400) / 9), 10, "mV")
+    kept = r.signals.where("sample_index < 10 or sample_index >= 1390")
+    out = Recording(spark, kept.withColumn("sample_index", kept["sample_index"]), r.channels).to_edf(str(tmp_path / "gap.edf"))
+    h = parse_header(out)
+    assert os.path.getsize(out) == h["header_bytes"] + h["records"] * h["record_bytes"]
+
+
+def test_bounds_choose_slices(spark, tmp_path, monkeypatch):
+    from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
+
+    from myospark.sources import edf as source
+
+    monkeypatch.setattr(source, "BLOCK_SAMPLES", 1)
+    reader = source.EdfReader(edf(tmp_path / "a.edf"), {})
+    assert len(reader.partitions()) == 2
+    assert len(list(reader.pushFilters([GreaterThanOrEqual(("sample_index",), 4)]))) == 1
+    assert [(p.first, p.end) for p in reader.partitions()] == [(1, 2)]
+    timed = source.EdfReader(edf(tmp_path / "b.edf"), {})
+    list(timed.pushFilters([LessThan(("t",), 0.5)]))
+    assert [(p.first, p.end) for p in timed.partitions()] == [(0, 1)]
+
+
+@pytest.mark.parametrize("how", ["gz", "bz2", "xz"])
+def test_compressed_otb(spark, tmp_path, how):
+    import bz2
+    import gzip
+    import lzma
+
+    plain = otb(tmp_path / "a.otb+", [[100, 1], [-100, 2], [50, 3]])
+    packed = tmp_path / "b.otb+"
+    packed.write_bytes({"gz": gzip, "bz2": bz2, "xz": lzma}[how].compress(open(plain, "rb").read()))
+    r = Recording.from_file(spark, str(packed), "otb")
+    assert samples(r, "CH2") == [1, 2, 3] and samples(r, "CH1") == samples(Recording.from_file(spark, plain, "otb"), "CH1")
+
+
+def test_the_export_is_logged(spark, tmp_path, caplog):  # SNK-4
+    with caplog.at_level("INFO", logger="myospark"):
+        make(spark).to_edf(str(tmp_path / "log.edf"))
+    assert "Channel Type: EMG (1 channels)" in caplog.text and "log.edf" in caplog.text

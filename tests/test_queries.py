@@ -7,7 +7,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from myospark.queries import ORACLES, QUERIES
+from myospark import file_queries, queries
+
+QUERIES, ORACLES = queries.QUERIES | file_queries.QUERIES, queries.ORACLES | file_queries.ORACLES
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
