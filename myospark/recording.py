@@ -45,7 +45,7 @@ class Recording:
         register(spark)
         names = [f.name for f in CHANNELS.fields]
         rows = [tuple({**{n: None for n in names}, **{k: v for k, v in c.items() if k in names}, "recording_id": filepath, "channel_idx": i}[n] for n in names) for i, c in enumerate(head.channels)]
-        meta = [(filepath, k, v, i, "text") for i, (k, v) in enumerate(head.metadata)]
+        meta = [(filepath, k, text, i, kind) for i, (k, v) in enumerate(head.metadata) for text, kind in [written(v)]]
         signals = spark.read.format(source.name()).option("timebase", time_base).load(filepath) if rows else None
         return cls(spark, signals, spark.createDataFrame(rows, CHANNELS), spark.createDataFrame(meta, METADATA))
 

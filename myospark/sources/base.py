@@ -22,7 +22,7 @@ class Header:
     """What the driver knows of a file: channels in order, recording metadata, and what the reader needs to find samples."""
 
     channels: list[dict]
-    metadata: list[tuple[str, str]]
+    metadata: list[tuple[str, object]]
     layout: dict = field(default_factory=dict)
 
 

@@ -91,11 +91,11 @@ class EdfReader(RecordingReader):
             else:
                 seen[s["label"]] = len(channels)
                 channels.append(ch)
-        fields = {"startdate": h["start"].isoformat(sep=" ")}
+        fields = {"startdate": h["start"]}
         fields |= _plus_fields(h["patient"], h["recording"]) if plus else {"patientcode": h["patient"], "recording_additional": h["recording"]}
         meta = [(k, v) for k, v in fields.items() if v]
         kind = (3 if plus else 2) if h["bdf"] else (1 if plus else 0)
-        meta += [("source_file", path), ("filetype", str(kind)), ("number_of_signals", str(len(channels))), ("file_duration", repr(h["records"] * h["duration"])), ("datarecord_duration", repr(h["duration"]))]
+        meta += [("source_file", path), ("filetype", kind), ("number_of_signals", len(channels)), ("file_duration", h["records"] * h["duration"]), ("datarecord_duration", h["duration"])]
         return Header(channels, meta, {k: h[k] for k in ("header_bytes", "records", "record_bytes", "width")})
 
     def slices(self) -> list[Slice]:

@@ -102,7 +102,7 @@ class OtbReader(RecordingReader):
         rows, rest = divmod(size, 2 * width)
         if rest or (info["ad_bits"] == 24 and rows % 2):
             raise ValueError(f"{sig} does not hold whole sample rows of {width} channels")
-        meta = [("source_file", path), ("device", info["name"]), ("signal_resolution", str(info["ad_bits"]))]
+        meta = [("source_file", path), ("device", info["name"]), ("signal_resolution", info["ad_bits"])]
         return Header(channels, meta, {"offset": offset, "rows": rows, "width": width, "bits": info["ad_bits"], "packed": sig if packed else None})
 
     def slices(self) -> list[Slice]:

@@ -124,8 +124,8 @@ def test_edf_read(spark, tmp_path, bdf):  # SRC-10..12
     assert [(c["channel"], c["channel_type"], c["prefilter"], c["sample_frequency"]) for c in r.channels.orderBy("channel_idx").collect()] == [("EMG1", "EMG", "n/a", 4.0), ("left", "ACC", "n/a", 4.0)]
     gain = 2 / 65535
     assert samples(r, "EMG1") == pytest.approx([(x + 32768) * gain - 1 for x in (-32768, 0, 100, 32767, -32767, 1, 101, 32767)])
-    assert r.get_metadata("number_of_signals") == "2" and r.get_metadata("gender") is None
-    assert r.get_metadata("filetype") == ("3" if bdf else "1")
+    assert r.get_metadata("number_of_signals") == 2 and r.get_metadata("gender") is None
+    assert r.get_metadata("filetype") == (3 if bdf else 1) and r.get_metadata("datarecord_duration") == 1.0 and r.get_metadata("startdate").year == 1985
 
 
 def test_edf_errors(spark, tmp_path):
