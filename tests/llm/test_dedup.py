@@ -182,3 +182,58 @@ def test_features_and_confirm_empty():
     empty = pa.RecordBatch.from_pydict({"d": pa.array([], pa.int64()), "t": pa.array([], pa.string())})
     assert list(features(iter([empty]))) == []
     assert list(confirm(iter([]))) == []
+
+
+def test_recall_against_all_rows(spark, sf):
+    """Every document whose id is divisible by 20 against all rows of the 0.1 tables: no link may be lost."""
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/documents.parquet").select("doc_id", "text")
+    found = {r["doc_id"]: r for r in near_duplicates(docs).collect()}
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    sets = brute_sets([t for _, t in rows])
+    holders = defaultdict(list)
+    for k, s in enumerate(sets):
+        for shingle in s:
+            holders[shingle].append(k)
+    links = kept = 0
+    for k, (doc, _) in enumerate(rows):
+        assert found[doc]["n_shingles"] == len(sets[k])
+        if doc % 20:
+            continue
+        shared = defaultdict(int)
+        for shingle in sets[k]:
+            for other in holders[shingle]:
+                shared[other] += 1
+        for other, both in shared.items():
+            if other != k and 100 * both >= 75 * (len(sets[k]) + len(sets[other]) - both):
+                links += 1
+                kept += found[doc]["component_id"] == found[rows[other][0]]["component_id"]
+    assert links > 50 and kept == links
+
+
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_runs_of_many_partitions_merge(make, keep):
+    """Thirteen runs in rounds of two; one group holds a third of all rows, and some of its ids are null or repeated."""
+    rng = random.Random(3)
+    texts = [rng.choice(["HOT copy", "hot COPY", None, "", f"t{rng.randrange(40)}", f"T{rng.randrange(40)}"]) for _ in range(400)]
+    ids = [None if i % 29 == 0 else i // 2 if i % 5 == 0 else i for i in range(400)]
+    got = exact_groups(make(texts, ids=ids).repartition(13), keep=keep, fan_in=2).collect()
+    groups = defaultdict(list)
+    for i, t in zip(ids, texts, strict=True):
+        groups[hashlib.sha256((t or "").translate(FOLD).encode()).hexdigest()].append(i)
+    best = min if keep == "min" else max
+    want = []
+    for sha, own in groups.items():
+        stays = best([i for i in own if i is not None], default=None)
+        want += [(i, stays, len(own), i == stays, sha) for i in own]
+    assert sorted(map(str, ((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got))) == sorted(map(str, want))
+    left = drop_copies(make(texts, ids=ids).repartition(13), keep=keep, fan_in=2).collect()
+    assert len(left) == sum(w[3] for w in want)
+
+
+def test_equal_ids_with_other_texts_stay(make, monkeypatch):
+    from myospark.llm import exact_dedup
+
+    docs = make(["a", "A", "b", "c"], ids=[1, 2, 1, None])
+    for most in (250_000, 0):  # both ways of the join
+        monkeypatch.setattr(exact_dedup, "BROADCAST_GONE", most)
+        assert sorted(r["text"] for r in drop_copies(docs, keep="max").collect()) == ["A", "b", "c"]

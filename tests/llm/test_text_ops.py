@@ -319,3 +319,10 @@ def test_toxicity_edges(make, spark):
 
 def test_large_offsets():
     assert list(language_id.has_letter(pa.array(["é", None, "12", "a"], pa.large_string()))) == [True, False, False, True]
+
+
+def test_contamination_by_any_kind_of_id(make, spark):
+    bench = spark.createDataFrame([("b-2", "a passage that is long enough to be told apart"), ("a-1", "quite another passage, of no less length than it"), (None, "a passage"), ("a-1", "short one")], "item_id string, text string")
+    docs = make(["it says: a passage that is long enuogh to be told apart. quite another passage, of no less length than it", "short  ONE", "short 0ne"])
+    got = {r["doc_id"]: (r["item_ids"], r["distances"]) for r in contamination(docs, bench).collect()}
+    assert got == {0: (["a-1", "b-2"], [0, 2]), 1: (["a-1"], [0]), 2: ([], [])}
