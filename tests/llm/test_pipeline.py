@@ -7,18 +7,20 @@ import pytest
 
 import corpus_pipeline
 from myospark.llm import language_id, queries
+from myospark.llm.common import materialize
 from myospark.llm.decontaminate import budget, normalize
 
 from .test_dedup import FOLD, brute_components, brute_sets
 from .test_mix_and_urls import brute_count
+from .test_models import plain_language
 from .test_text_ops import edit_distance_within
 
 
 def test_run(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = language_id.train(docs)
-    said = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
-    rows = [r for r in docs.collect() if said[r["doc_id"]]["lang_pred"] != "und" and said[r["doc_id"]]["score"] >= 0.25]
+    said = {r["doc_id"]: plain_language(model, r["text"]) for r in docs.collect()}
+    rows = [r for r in docs.collect() if said[r["doc_id"]][0] != "und" and (said[r["doc_id"]][2] >= model.least or len(r["text"].encode()) < language_id.SHORT)]
     best = {}
     for r in rows:
         key = (r["text"] or "").translate(FOLD)
@@ -49,6 +51,18 @@ def test_stages_keep_columns_and_take_empty_tables(spark, sf):
         assert docs.count() == 0
 
 
+def test_stages_take_odd_rows(make, spark, sf):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing columns pass through every stage."""
+    long = " ".join(f"w{i * 7919 % 5000}" for i in range(60_000))
+    texts = ["the thing and that other thing with them " * 3, None, "", long, long, "le chose et la autre chose avec eux pour nous " * 3, "½ ²", "the thing and that other thing with them " * 3]
+    docs = make(texts, ["en", None, None, "en", "en", "fr", None, "en"], [None, "s", "s", "s", "s", None, "s", "s"], [1, 2, None, 4, 4, 6, 7, None])
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.columns
+        docs = materialize(stage(spark, docs, sf))
+        assert [c for c in docs.columns if c in before] == before, name
+        assert docs.count() == {"language_id": 5, "exact_dedup": 4, "near_dedup": 4, "decontaminate": 4}.get(name, docs.count()), name
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
