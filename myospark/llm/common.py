@@ -89,19 +89,17 @@ def unit_hash(*parts):
 
 BROADCAST_ROWS, SALTS = 100_000, 64
 #: A key is hot from HOT_ROWS rows on, and only with more than a HOT_KEYS-th of all rows: so there are fewer than HOT_KEYS of them.
-HOT_ROWS, HOT_KEYS = 10_000, 20_000
+HOT_ROWS, HOT_KEYS = 1_000, 20_000
 
 
 def hot_keys(sizes: DataFrame, n: str, rows: int) -> DataFrame | None:
     """The keys of ``sizes`` (one row a key) whose number of rows ``n`` is hot among ``rows`` rows; None if there are none.
 
-    They are fewer than HOT_KEYS whatever the input: the table may be broadcast.
+    They are fewer than HOT_KEYS whatever the input: they pass through the driver, and may be broadcast.
     """
-    hot = materialize(sizes.where(F.col(n) > max(HOT_ROWS, rows // HOT_KEYS)).drop(n))
-    if hot.isEmpty():
-        release(hot)
-        return None
-    return hot
+    found = sizes.where(F.col(n) > max(HOT_ROWS, rows // HOT_KEYS)).drop(n)
+    hot = found.collect()  # fewer than HOT_KEYS rows of a key
+    return sizes.sparkSession.createDataFrame(hot, found.schema) if hot else None
 
 
 def join_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:

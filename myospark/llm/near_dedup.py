@@ -172,7 +172,7 @@ def _across(placed: DataFrame, sketches: DataFrame, tried: DataFrame) -> DataFra
     on = reduce(lambda a, b: a & b, [outside[c] == inside[c] for c in ("band", "key", "bx", "by")])
     met = outside.join(inside, on & (F.col("xc") != F.col("yc")) & (~F.col("y_out") | (F.col("x") < F.col("y"))) & _near("xs", "ys"))
     cross = materialize(met.select(F.col("x").alias("hub"), F.col("y").alias("id")).distinct().join(tried, ["hub", "id"], "left_anti"))
-    _free(buckets, open_, hot)
+    release(buckets, open_)
     return cross
 
 
@@ -199,23 +199,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     involved = materialize(seats.select(F.col("id").alias("doc_id")).distinct())
     few = F.broadcast(involved) if involved.count() <= BROADCAST_IDS else involved
     texts = materialize(slim.join(few, "doc_id", "left_semi").withColumnRenamed("doc_id", "id"))
-    _free(involved)
+    release(involved)
 
     found = materialize(seats.where("id <> hub").select("hub", "id").distinct())
     of_hub, hot = _hot_hubs(found)
     hub_sketches = sketches.select(F.col("id").alias("hub"), F.col("s").alias("hs"))
     pairs = materialize(join_hot(found, hub_sketches, ["hub"], hot).join(sketches, "id").where(_near("hs", "s")).select("hub", "id"))
-    _free(found, of_hub, hot)
+    release(found, of_hub)
     of_hub, hot = _hot_hubs(pairs)
     comps = connected_components(_confirmed(texts, pairs, of_hub, hot))
-    _free(of_hub, hot)
+    release(of_hub)
 
     placed = materialize(seats.join(comps, "id", "left").select("band", "key", "hub", "id", F.coalesce("component", "id").alias("comp")))
     fresh = _across(placed, sketches, pairs)
     of_hub, hot = _hot_hubs(fresh)
     known = comps.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
     again = connected_components(known.unionByName(_confirmed(texts, fresh, of_hub, hot)))
-    _free(seats, texts, pairs, comps, placed, fresh, of_hub, hot)
+    release(seats, texts, pairs, comps, placed, fresh, of_hub)
 
     copies = reps.select("digest", "n")
     hot = hot_keys(copies, "n", _total(copies))
@@ -232,14 +232,10 @@ def _shared(seats: DataFrame) -> DataFrame:
     hubs = materialize(hubs.select("band", "key", "hub", "n"))
     hot = hot_keys(hubs.select("band", "key", "n"), "n", _total(hubs))
     out = materialize(join_hot(seats, hubs.drop("n"), ["band", "key"], hot))
-    _free(hubs, hot)
+    release(hubs)
     return out
 
 
-def _free(*tables: DataFrame | None) -> None:
-    release(*[t for t in tables if t is not None])
-
-
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, with all its columns: that with the smallest id. Rows with a null id stay.
 
