@@ -14,6 +14,7 @@ from .near_dedup import near_duplicates
 from .personal_data import personal_data
 from .secrets import scan_secrets
 from .url_filter import judge
+from .whitening import whiten
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -71,6 +72,10 @@ def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 OP8_SQL = f"""
 WITH RECURSIVE n AS (SELECT source, count(*) AS n, count(*)::DOUBLE ^ {ALPHA} AS want FROM documents GROUP BY source),
 w AS (SELECT source, (SELECT sum(n) FROM n)::DOUBLE * (want / (SELECT sum(want) FROM n)) / n AS rate FROM n),
@@ -97,6 +102,7 @@ QUERIES = {
     "op8_poisson_mix": op8_poisson_mix,
     "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
+    "op11_whitening": op11_whitening,
 }
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
