@@ -13,6 +13,7 @@ from .exact_dedup import exact_groups
 from .mixing import ALPHA, MOST_RATE, SEED, poisson_mix
 from .near_dedup import near_duplicates
 from .personal_data import personal_data
+from .repeats import drop_repeats
 from .secrets import scan_secrets
 from .url_filter import judge
 from .whitening import whiten
@@ -77,6 +78,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(table(spark, sf_dir, "conversations"))
 
@@ -152,6 +157,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_whitening": op11_whitening,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
