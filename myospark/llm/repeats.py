@@ -121,22 +121,22 @@ def entries(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for doc, uid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _raw(batch.column(2)), strict=True):
                 if len(raw) < THRESHOLD:
                     continue
                 gram, context, start, n = (np.concatenate(x) for x in zip(*runs_of(raw), strict=True))
                 again = _seen(gram, context)
-                # decided runs that adjoin are one row
-                head = ~again | ~np.concatenate([[False], again[:-1]])
-                group = np.cumsum(head) - 1
-                total = np.bincount(group, weights=n).astype(np.int64)
-                gram, context, start, again = gram[head], context[head], start[head], again[head]
-                spread = _mixed(gram.view(np.uint64) ^ _U(uid & (2**64 - 1)), start.astype(np.uint64)).view(np.int64)
+                if again.any():  # decided runs that adjoin are one row
+                    head = ~again | ~np.concatenate([[False], again[:-1]])
+                    n = np.add.reduceat(n, np.flatnonzero(head))
+                    gram, context, start, again = gram[head], context[head], start[head], again[head]
+                found.append((gram, context, np.full(len(gram), doc), np.full(len(gram), uid), start, n, again))
+            if found:
+                gram, context, doc, uid, start, n, again = (np.concatenate(x) for x in zip(*found, strict=True))
+                spread = _mixed((gram ^ uid).view(np.uint64), start.astype(np.uint64)).view(np.int64)
                 deal = np.where(again | np.isin(gram, hot), spread, gram)
-                m = len(gram)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(context), pa.array(np.full(m, doc)), pa.array(np.full(m, uid)), pa.array(start.astype(np.int32)), pa.array(total.astype(np.int32)), pa.array(again), pa.array(deal)], schema=ENTRIES
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((gram, context, doc, uid, start, n, again, deal), ENTRIES.types, strict=True)], schema=ENTRIES)
 
     return docs.select("doc", "uid", "text").mapInArrow(cut, "gram long, context long, doc long, uid long, start int, n int, again boolean, deal long")
 
@@ -241,14 +241,21 @@ def beside_texts(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return docs.join(side, ["doc", "uid"], how)
 
 
-def _listed_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
-    """Of each text, a thousand of its listed runs at a time: doc, uid, start, n and bytes."""
+def _listed_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Listed runs of the texts, about a thousand at a time: doc, uid, start, n and bytes."""
+    held, bodies = [], []
     for batch in batches:
         for doc, uid, at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), _raw(batch.column(3)), strict=True):
             packed = at.values.to_numpy()
             for part in (packed[k : k + 1000] for k in range(0, len(packed), 1000)):
                 start, n = part >> 32, part & 0xFFFFFFFF
-                yield doc, uid, start, n, [raw[x : x + y + THRESHOLD - 1].tobytes() for x, y in zip(start.tolist(), n.tolist(), strict=True)]
+                held.append((np.full(len(part), doc), np.full(len(part), uid), start, n))
+                bodies += [raw[x : x + y + THRESHOLD - 1].tobytes() for x, y in zip(start.tolist(), n.tolist(), strict=True)]
+                if len(bodies) >= 1000:
+                    yield *(np.concatenate(x) for x in zip(*held, strict=True)), bodies
+                    held, bodies = [], []
+    if bodies:
+        yield *(np.concatenate(x) for x in zip(*held, strict=True)), bodies
 
 
 def open_windows(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -257,10 +264,9 @@ def open_windows(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, uid, start, n, bodies in _listed_bodies(batches):
-            row, _, gram, _ = windows_of(start, n, bodies)
-            first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            m = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(np.full(m, doc)), pa.array(np.full(m, uid)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(bodies, pa.binary())], names=["gram", *RUN.names, "body"])
+            grams, _, place = least_grams(np.frombuffer(b"".join(bodies), dtype=np.uint8))
+            gram = grams[place[np.cumsum(n + THRESHOLD - 1) - (n + THRESHOLD - 1)]].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), *[pa.array(x, t) for x, t in zip((doc, uid, start, n), RUN.types, strict=True)], pa.array(bodies, pa.binary())], names=["gram", *RUN.names, "body"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "gram"):
@@ -300,9 +306,8 @@ def hot_windows(docs: DataFrame, runs: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, uid, start, n, bodies in _listed_bodies(batches):
-            _, at, gram, h = windows_of(start, n, bodies)
-            m = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(h), pa.array(np.full(m, doc)), pa.array(np.full(m, uid)), pa.array(at.astype(np.int32))], names=["gram", "window", "doc", "uid", "start"])
+            row, at, gram, h = windows_of(start, n, bodies)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(h), pa.array(doc[row]), pa.array(uid[row]), pa.array(at, pa.int32())], names=["gram", "window", "doc", "uid", "start"])
 
     keys = ["gram", "window"]
     each = beside_texts(docs, lists, "inner").select("doc", "uid", "at", "text").mapInArrow(read, "gram long, window long, doc long, uid long, start int")
