@@ -180,12 +180,13 @@ def hot_grams(docs: DataFrame) -> np.ndarray:
 REPEAT, OPEN, HOT = 1, 2, 3
 RUN = pa.schema([("doc", pa.int64()), ("uid", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 RUN_COLUMNS = "doc long, uid long, start int, n int"
-AT_ONCE = 1 << 16
+#: Rows that a task sorts at once: runs, and runs with all their windows.
+AT_ONCE, WINDOWED_AT_ONCE = 1 << 16, 1 << 12
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of some ten thousand rows of a stream sorted by ``key``, none of which ends within a group."""
-    held, rows, most = [], 0, AT_ONCE
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, at_once: int) -> Iterator[pa.Table]:
+    """Tables of some ``at_once`` rows of a stream sorted by ``key``, none of which ends within a group."""
+    held, rows, most = [], 0, at_once
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
@@ -196,7 +197,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
             if end:
                 yield table.slice(0, end)
             held, rows = table.slice(end).to_batches(), rows - end
-            most = AT_ONCE + 2 * rows
+            most = at_once + 2 * rows
     if rows:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -208,7 +209,7 @@ def settled(runs: DataFrame) -> DataFrame:
     """
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "deal"):
+        for table in whole_groups(batches, "deal", AT_ONCE):
             deal, gram, context, doc, again = (table[c].to_numpy() for c in ("deal", "gram", "context", "doc", "again"))
             order = np.lexsort((doc, context, deal))
             d, c = deal[order], context[order]
@@ -269,7 +270,7 @@ def open_windows(docs: DataFrame, runs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(gram), *[pa.array(x, t) for x, t in zip((doc, uid, start, n), RUN.types, strict=True)], pa.array(bodies, pa.binary())], names=["gram", *RUN.names, "body"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "gram"):
+        for table in whole_groups(batches, "gram", WINDOWED_AT_ONCE):
             doc, uid, start, n = (table[c].to_numpy() for c in RUN.names)
             row, at, gram, h = windows_of(start.astype(np.int64), n.astype(np.int64), table["body"].to_pylist())
             d, u = doc[row], uid[row]

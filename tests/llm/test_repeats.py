@@ -88,6 +88,7 @@ def test_by_shuffle(spark, monkeypatch):
 def test_stretches_and_groups_of_any_size(spark, monkeypatch):
     monkeypatch.setattr(repeats, "STRETCH", 64)
     monkeypatch.setattr(repeats, "AT_ONCE", 7)
+    monkeypatch.setattr(repeats, "WINDOWED_AT_ONCE", 3)
     rows = corpus(6, 60) + EDGES
     assert found(spark, rows) == brute(rows)
 
