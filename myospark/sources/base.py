@@ -1,7 +1,12 @@
-"""The frame of a recording source: a header read on the driver, and samples read on executors as Arrow batches."""
+"""The frame of a recording source: headers, and samples read on executors as Arrow batches.
+
+One file is planned from its header. Many files are planned from their names and sizes alone: byte ranges are packed into
+partitions of even size, and the task that gets a range reads the file's header and takes the units that begin in it.
+"""
 
 from __future__ import annotations
 
+import json
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -12,14 +17,17 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..schema import SIGNALS
+from .files import is_one_file, list_files
 
 _ARROW = pa.schema([("recording_id", pa.string()), ("channel_idx", pa.int32()), ("channel", pa.string()), ("sample_index", pa.int64()), ("t", pa.float64()), ("value", pa.float64())])
 BLOCK_SAMPLES = 1 << 20
+#: Bytes of files in one partition, and what opening a file counts for, unless the options packbytes and opencost say otherwise.
+PACK_BYTES, OPEN_COST = 128 << 20, 1 << 20
 
 
 @dataclass
 class Header:
-    """What the driver knows of a file: channels in order, recording metadata, and what the reader needs to find samples."""
+    """What is known of a file: channels in order, recording metadata, and what the reader needs to find samples."""
 
     channels: list[dict]
     metadata: list[tuple[str, object]]
@@ -36,21 +44,79 @@ class Slice(InputPartition):
         self.first, self.end = first, end
 
 
-class RecordingReader(DataSourceReader, ABC):
-    """Reads slices of samples; a filter on channel is applied before decoding, and one on sample_index or t chooses slices."""
+@dataclass
+class Pack(InputPartition):
+    """Byte ranges of files: path, first byte, end."""
 
-    def __init__(self, path: str, options: dict) -> None:
-        self.path, self.options = path, options
-        self.header = self.read_header(path)
+    ranges: list[tuple[str, int, int]]
+
+    def __init__(self, ranges: list[tuple[str, int, int]]) -> None:
+        super().__init__(tuple(ranges))
+        self.ranges = ranges
+
+
+def packed(files: list[tuple[str, int]], most: int, opening: int) -> list[Pack]:
+    """Cut files into ranges of at most ``most`` bytes and put them, large ones first, into packs that hold no more."""
+    ranges = [(path, a, min(size, a + most)) for path, size in files for a in range(0, max(1, size), most)]
+    packs: list[Pack] = []
+    room = 0
+    for one in sorted(ranges, key=lambda r: (r[1] - r[2], r[0], r[1])):
+        need = one[2] - one[1] + opening
+        if need > room or not packs:
+            packs.append(Pack([]))
+            room = most + opening
+        packs[-1].ranges.append(one)
+        room -= need
+    return packs
+
+
+class Pushdown:
+    """What filters ask for: names of channels and recordings are settled by the reader, bounds on sample_index or t only save work."""
+
+    def __init__(self) -> None:
         self.wanted: set[str] | None = None
+        self.recordings: set[str] | None = None
         self.bounds: dict[str, list[float]] = {"sample_index": [-inf, inf], "t": [-inf, inf]}
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Bounds are noted, and Spark applies them again to the rows."""
+        for f in filters:
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            if column in ("channel", "recording_id") and isinstance(f, (EqualTo, In)):
+                names, kept = {f.value} if isinstance(f, EqualTo) else set(f.value), "wanted" if column == "channel" else "recordings"
+                now = getattr(self, kept)
+                setattr(self, kept, names if now is None else now & names)
+                continue
+            if column in self.bounds and isinstance(getattr(f, "value", None), (int, float)):
+                low, high = self.bounds[column]
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                    low = max(low, f.value)
+                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                    high = min(high, f.value)
+                self.bounds[column] = [low, high]
+            yield f
+
+
+class RecordingReader(Pushdown, DataSourceReader, ABC):
+    """Reads slices of one file's samples: units of a fixed number of bytes, or a whole file that has no such units."""
+
+    #: Names of files that a folder of recordings may hold.
+    extensions: tuple[str, ...] = ()
+
+    def __init__(self, path: str, options: dict, asked: Pushdown | None = None) -> None:
+        super().__init__()
+        self.path, self.options = path, options
+        self.header = self.read_header(path)
+        if asked is not None:
+            self.wanted, self.recordings, self.bounds = asked.wanted, asked.recordings, asked.bounds
+
     @staticmethod
     @abstractmethod
     def read_header(path: str) -> Header: ...
 
     @abstractmethod
-    def slices(self) -> list[Slice]: ...
+    def units(self) -> tuple[int, int, int, int]:
+        """Number of units, the first one's byte, bytes of a unit (0: the file cannot be entered midway), and units in a slice."""
 
     @abstractmethod
     def decode(self, part: Slice, idx: int) -> tuple[int, np.ndarray]:
@@ -64,68 +130,91 @@ class RecordingReader(DataSourceReader, ABC):
         """The rate that times of a channel follow from: the first channel's, unless each has its own time base."""
         return self.header.channels[0 if self.options.get("timebase", "shared") == "shared" else idx]["sample_frequency"]
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Channel filters are applied here; bounds are noted, and Spark applies them again to the rows."""
-        for f in filters:
-            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if column == "channel" and isinstance(f, (EqualTo, In)):
-                names = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.wanted = names if self.wanted is None else self.wanted & names
-                continue
-            if column in self.bounds and isinstance(getattr(f, "value", None), (int, float)):
-                low, high = self.bounds[column]
-                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
-                    low = max(low, f.value)
-                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
-                    high = min(high, f.value)
-                self.bounds[column] = [low, high]
-            yield f
+    def times(self, part: Slice, idx: int, first: int, n: int) -> np.ndarray:
+        return np.arange(first, first + n, dtype=np.int64) / self._rate(idx)
+
+    def time_bounds(self, idx: int) -> tuple[float, float]:
+        """Bounds of the sample indices of a channel that the bounds on t leave; a sample beside them counts."""
+        low, high = self.bounds["t"]
+        return low * self._rate(idx) - 1, high * self._rate(idx) + 1
+
+    def slices(self, begin: float = 0, stop: float = inf) -> list[Slice]:
+        """Slices of the units whose first byte lies in a range of bytes."""
+        n, offset, size, step = self.units()
+        if not size:
+            return [Slice(0, n)] if begin <= 0 else []
+        first, end = (0 if x <= offset else n if x == inf else min(n, -int(-(x - offset) // size)) for x in (begin, stop))
+        return [Slice(a, min(end, a + step)) for a in range(first, end, step)]
 
     def _holds_some(self, part: Slice) -> bool:
-        """Whether a slice may hold a sample within the bounds of a wanted channel; a sample beside a time's bound counts."""
+        """Whether a slice may hold a sample within the bounds of a wanted channel."""
         for idx, ch in enumerate(self.header.channels):
             if self.wanted is None or ch["channel"] in self.wanted:
                 first, end = self.index_range(part, idx)
-                low = max(self.bounds["sample_index"][0], self.bounds["t"][0] * self._rate(idx) - 1)
-                high = min(self.bounds["sample_index"][1], self.bounds["t"][1] * self._rate(idx) + 1)
+                low, high = self.time_bounds(idx)
+                low, high = max(self.bounds["sample_index"][0], low), min(self.bounds["sample_index"][1], high)
                 if first <= high and low < end:
                     return True
         return False
 
+    def within(self, begin: float = 0, stop: float = inf) -> list[Slice]:
+        if self.recordings is not None and self.path not in self.recordings:
+            return []
+        return [p for p in self.slices(begin, stop) if self._holds_some(p)]
+
     def partitions(self) -> list[InputPartition]:
-        return [p for p in self.slices() if self._holds_some(p)] or [Slice(0, 0)]
+        return self.within() or [Slice(0, 0)]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         for idx, ch in enumerate(self.header.channels):
             if self.wanted is not None and ch["channel"] not in self.wanted:
                 continue
             first, values = self.decode(partition, idx)
-            at = np.arange(first, first + len(values), dtype=np.int64)
-            rate = self._rate(idx)
             n = len(values)
+            t = self.times(partition, idx, first, n)
             for a in range(0, n, BLOCK_SAMPLES):
                 b = min(n, a + BLOCK_SAMPLES)
-                m = b - a
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([self.path] * m if m < 64 else np.full(m, self.path, dtype=object), pa.string()),
-                        pa.array(np.full(m, idx, dtype=np.int32)),
-                        pa.array(np.full(m, ch["channel"], dtype=object), pa.string()),
-                        pa.array(at[a:b]),
-                        pa.array(at[a:b] / rate),
+                        pa.repeat(self.path, b - a),
+                        pa.repeat(pa.scalar(idx, pa.int32()), b - a),
+                        pa.repeat(pa.scalar(ch["channel"], pa.string()), b - a),
+                        pa.array(np.arange(first + a, first + b, dtype=np.int64)),
+                        pa.array(np.ascontiguousarray(t[a:b])),
                         pa.array(np.ascontiguousarray(values[a:b], dtype=np.float64)),
                     ],
                     schema=_ARROW,
                 )
 
 
+class FolderReader(Pushdown, DataSourceReader):
+    """Reads many files of one kind. The driver knows their names and sizes; headers are read where the samples are."""
+
+    def __init__(self, kind: type[RecordingReader], files: list[tuple[str, int]], options: dict) -> None:
+        super().__init__()
+        self.kind, self.files, self.options = kind, files, options
+
+    def partitions(self) -> list[InputPartition]:
+        files = [f for f in self.files if self.recordings is None or f[0] in self.recordings]
+        return packed(files, int(self.options.get("packbytes", PACK_BYTES)), int(self.options.get("opencost", OPEN_COST))) or [Pack([])]
+
+    def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
+        for path, begin, stop in partition.ranges:
+            one = self.kind(path, self.options, self)
+            for part in one.within(begin, stop):
+                yield from one.read(part)
+
+
 class RecordingSource(DataSource):
-    """Base of the registered formats; the one option that must be given is path, by load(path)."""
+    """Base of the registered formats: load takes a file, a folder, a pattern, or a list of files."""
 
     reader_class: type[RecordingReader]
 
     def schema(self):
         return SIGNALS
 
-    def reader(self, schema) -> RecordingReader:
-        return self.reader_class(self.options["path"], dict(self.options))
+    def reader(self, schema) -> DataSourceReader:
+        path, options = self.options.get("path") or json.loads(self.options["paths"]), dict(self.options)
+        if is_one_file(path):
+            return self.reader_class(path, options)
+        return FolderReader(self.reader_class, list_files(path, self.reader_class.extensions), options)

@@ -1,8 +1,15 @@
-"""EDF, EDF+, BDF and BDF+ files, from the published layout: a fixed-width header, then data records."""
+"""EDF, EDF+, BDF and BDF+ files, from the published layout: a fixed-width header, then data records.
+
+In the discontinuous variants (EDF+D, BDF+D) each record says when it begins, in the first time-stamped annotation list
+of its annotation signal. Samples get their time from their record's onset, and a bound on t is turned into a range of
+records by bisection, which reads a few onsets.
+"""
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
+from math import inf
 
 import numpy as np
 
@@ -65,7 +72,48 @@ def parse_header(path: str) -> dict:
     return out | {"width": width, "record_bytes": size}
 
 
+#: The time-keeping list of a record: its onset in seconds, no duration, and an empty first annotation.
+_ONSET = re.compile(rb"([+-][0-9]+(?:\.[0-9]*)?)\x14\x14")
+
+
+def onset_of(notes: bytes, record: int) -> float:
+    """When a record begins, from the bytes of its annotation signal."""
+    found = _ONSET.match(notes)
+    if not found:
+        raise ValueError(f"data record {record} of a discontinuous file does not say when it begins")
+    return float(found[1])
+
+
+class RecordClock:
+    """Onsets of a discontinuous file's records, read where they are asked for; records follow each other in time."""
+
+    def __init__(self, path: str, layout: dict) -> None:
+        self.path, self.layout = path, layout
+        self.known: dict[int, float] = {}
+
+    def onset(self, record: int) -> float:
+        if record not in self.known:
+            at, size = self.layout["notes"]
+            raw = read_bytes(self.path, self.layout["header_bytes"] + record * self.layout["record_bytes"] + at * self.layout["width"], size * self.layout["width"])
+            self.known[record] = onset_of(raw, record)
+        return self.known[record]
+
+    def first_from(self, t: float) -> int:
+        """The first record that begins after ``t``; the number of records if none does."""
+        low, high = 0, self.layout["records"]
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if self.onset(mid) > t else (mid + 1, high)
+        return low
+
+
 class EdfReader(RecordingReader):
+    extensions = (".edf", ".bdf")
+
+    def __init__(self, *args) -> None:
+        super().__init__(*args)
+        self._ranges: dict[tuple[float, float], tuple[int, int]] = {}
+
     @staticmethod
     def read_header(path: str) -> Header:
         try:
@@ -73,9 +121,10 @@ class EdfReader(RecordingReader):
         except Exception as e:
             raise ValueError(f"Error reading EDF file: {e}") from e
         plus = h["reserved"][:5] in ("EDF+C", "EDF+D", "BDF+C", "BDF+D")
-        channels, seen, at = [], {}, 0
+        channels, seen, at, notes = [], {}, 0, None
         for s in h["signals"]:
             if plus and s["label"] in ("EDF Annotations", "BDF Annotations"):
+                notes = notes or (at, s["samples"])
                 at += s["samples"]
                 continue
             ch = {
@@ -96,12 +145,32 @@ class EdfReader(RecordingReader):
         meta = [(k, v) for k, v in fields.items() if v]
         kind = (3 if plus else 2) if h["bdf"] else (1 if plus else 0)
         meta += [("source_file", path), ("filetype", kind), ("number_of_signals", len(channels)), ("file_duration", h["records"] * h["duration"]), ("datarecord_duration", h["duration"])]
-        return Header(channels, meta, {k: h[k] for k in ("header_bytes", "records", "record_bytes", "width")})
+        gaps = h["reserved"][:5] in ("EDF+D", "BDF+D")
+        if gaps and notes is None:
+            raise ValueError("Error reading EDF file: a discontinuous file without an annotation signal has no times")
+        return Header(channels, meta, {k: h[k] for k in ("header_bytes", "records", "record_bytes", "width", "duration")} | {"notes": notes if gaps else None})
 
-    def slices(self) -> list[Slice]:
+    def units(self) -> tuple[int, int, int, int]:
         lay = self.header.layout
-        step = max(1, BLOCK_SAMPLES * 8 // max(1, lay["record_bytes"]))
-        return [Slice(a, min(lay["records"], a + step)) for a in range(0, lay["records"], step)] or [Slice(0, 0)]
+        return lay["records"], lay["header_bytes"], max(1, lay["record_bytes"]), max(1, BLOCK_SAMPLES * 8 // max(1, lay["record_bytes"]))
+
+    def time_bounds(self, idx: int) -> tuple[float, float]:
+        if not self.header.layout["notes"]:
+            return super().time_bounds(idx)
+        low, high = self.bounds["t"]
+        if (low, high) not in self._ranges:
+            clock, length = RecordClock(self.path, self.header.layout), self.header.layout["duration"]
+            self._ranges[low, high] = 0 if low == -inf else max(0, clock.first_from(low - length) - 1), self.header.layout["records"] if high == inf else clock.first_from(high)
+        first, end = self._ranges[low, high]
+        samples = self.header.channels[idx]["samples"]
+        return first * samples, end * samples - 1
+
+    def times(self, part: Slice, idx: int, first: int, n: int) -> np.ndarray:
+        """In a discontinuous file every channel's times follow from the onsets and its own rate."""
+        if not self.header.layout["notes"]:
+            return super().times(part, idx, first, n)
+        ch = self.header.channels[idx]
+        return (self._onsets[:, None] + np.arange(ch["samples"]) / ch["sample_frequency"]).ravel()
 
     def index_range(self, part: Slice, idx: int) -> tuple[float, float]:
         samples = self.header.channels[idx]["samples"]
@@ -111,6 +180,9 @@ class EdfReader(RecordingReader):
         lay = self.header.layout
         raw = read_bytes(self.path, lay["header_bytes"] + partition.first * lay["record_bytes"], (partition.end - partition.first) * lay["record_bytes"])
         self._bytes = np.frombuffer(raw, dtype=np.uint8).reshape(-1, max(1, lay["record_bytes"]))
+        if lay["notes"]:
+            a, b = lay["notes"][0] * lay["width"], sum(lay["notes"]) * lay["width"]
+            self._onsets = np.array([onset_of(row[a:b].tobytes(), partition.first + k) for k, row in enumerate(self._bytes)])
         yield from super().read(partition)
 
     def decode(self, part: Slice, idx: int) -> tuple[int, np.ndarray]:

@@ -82,6 +82,8 @@ def parse_xml(text: bytes) -> tuple[dict, list[dict]]:
 
 
 class OtbReader(RecordingReader):
+    extensions = (".otb", ".otb+")
+
     @staticmethod
     def read_header(path: str) -> Header:
         must_exist(path)
@@ -105,33 +107,33 @@ class OtbReader(RecordingReader):
         meta = [("source_file", path), ("device", info["name"]), ("signal_resolution", info["ad_bits"])]
         return Header(channels, meta, {"offset": offset, "rows": rows, "width": width, "bits": info["ad_bits"], "packed": sig if packed else None})
 
-    def slices(self) -> list[Slice]:
+    def units(self) -> tuple[int, int, int, int]:
         lay = self.header.layout
-        step = max(2, lay["rows"] if lay["packed"] else BLOCK_SAMPLES * 8 // lay["width"]) // 2 * 2 or 2  # a compressed file has no places to start from
-        return [Slice(a, min(lay["rows"], a + step)) for a in range(0, lay["rows"], step)] or [Slice(0, 0)]
+        rows = 2 if lay["bits"] == 24 else 1  # a compressed file has no places to start from
+        return lay["rows"] // rows, lay["offset"], 0 if lay["packed"] else 2 * lay["width"] * rows, max(1, BLOCK_SAMPLES * 8 // (lay["width"] * rows))
 
     def index_range(self, part: Slice, idx: int) -> tuple[float, float]:
-        rows = 2 if self.header.layout["bits"] == 24 else 1
-        return part.first // rows, -(-part.end // rows)
+        return part.first, part.end
 
     def read(self, partition: Slice):
         lay = self.header.layout
-        at, size = partition.first * 2 * lay["width"], (partition.end - partition.first) * 2 * lay["width"]
+        row = 2 * lay["width"] * (2 if lay["bits"] == 24 else 1)
+        at, size = partition.first * row, (partition.end - partition.first) * row
         raw = read_bytes(self.path, lay["offset"] + at, size) if lay["packed"] is None else member_bytes(self.path, lay["packed"], {}, True)[at : at + size]
         self._words = np.frombuffer(raw, dtype="<i2").reshape(-1, lay["width"])
         yield from super().read(partition)
 
     def decode(self, part: Slice, idx: int) -> tuple[int, np.ndarray]:
         ch, bits = self.header.channels[idx], self.header.layout["bits"]
-        x, first = self._words[:, ch["place"]].astype(np.int32), part.first
+        x = self._words[:, ch["place"]].astype(np.int32)
         if bits == 24:
-            x, first = (x[0::2] << 8) | (x[1::2] & 0xFF), first // 2
+            x = (x[0::2] << 8) | (x[1::2] & 0xFF)
         scale = millivolts_per_step(bits, ch["gain"]) if ch["channel_type"] == "EMG" else 1.0
-        return first, x * scale
+        return part.first, x * scale
 
 
 class OtbSource(RecordingSource):
-    """``format("otb")``: partitions are ranges of sample rows."""
+    """``format("otb")``: partitions are ranges of samples."""
 
     reader_class = OtbReader
 

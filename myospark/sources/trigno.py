@@ -51,6 +51,8 @@ def text_lines(path: str) -> Iterator[TextIO]:
 
 
 class TrignoReader(RecordingReader):
+    extensions = (".csv",)
+
     @staticmethod
     def read_header(path: str) -> Header:
         must_exist(path)
@@ -69,8 +71,8 @@ class TrignoReader(RecordingReader):
         ]
         return Header(channels, [("source_file", path), ("device", DEVICE)], {"skip": number, "columns": [at for at, _ in columns]})
 
-    def slices(self) -> list[Slice]:
-        return [Slice(0, -1)]  # rows of text have no fixed width, and a sample's index is its row's ordinal
+    def units(self) -> tuple[int, int, int, int]:
+        return 1, 0, 0, 1  # rows of text have no fixed width, and a sample's index is its row's ordinal
 
     def read(self, partition: Slice):
         cols = self.header.layout["columns"]
