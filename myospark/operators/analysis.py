@@ -31,9 +31,13 @@ def known_rows(rows: DataFrame) -> DataFrame:
     return rows if len(few) > CHANNEL_ROWS else F.broadcast(rows.sparkSession.createDataFrame(few, rows.schema))
 
 
-def channel_stats(signals: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """n, has_nan, min, max, mean, std and largest magnitude in one pass. NaN samples make all of a channel's figures NaN."""
+def channel_stats(signals: DataFrame, keys: list[str] | None = None, ends: bool = False) -> DataFrame:
+    """n, has_nan, min, max, mean, std and largest magnitude in one pass. NaN samples make all of a channel's figures NaN.
+
+    With ``ends`` also length (the last sample_index plus 1) and the last value.
+    """
     v = F.col("value")
+    more = [(F.max("sample_index") + 1).alias("length"), F.max_by(v, "sample_index").alias("last")] if ends else []
     out = signals.groupBy(*(keys or KEYS)).agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.bool_or(F.isnan(v) | v.isNull()), F.lit(False)).alias("has_nan"),
@@ -42,6 +46,7 @@ def channel_stats(signals: DataFrame, keys: list[str] | None = None) -> DataFram
         F.avg(v).alias("v_mean"),
         F.stddev_pop(v).alias("v_std"),
         F.max(F.abs(v)).alias("v_abs"),
+        *more,
     )
     cols = {c: F.when(F.col("has_nan"), F.lit(NAN)).otherwise(F.col(c)) for c in ("v_min", "v_max", "v_mean", "v_std", "v_abs")}
     return out.withColumns(cols)
@@ -150,13 +155,17 @@ def precision_loss(signals: DataFrame, limits: DataFrame, keys: list[str] | None
     return out.select(*keys, F.when(~F.col("_any"), 0.0).when((pct < FLOAT32_EPS) & F.col("_diff"), 1e-6).otherwise(pct).alias("precision_loss"))
 
 
+def digital_code() -> Column:
+    """The sample on the digital scale between its channel's physical limits, rounded half to even and clamped."""
+    x = to_digital(*(F.col(c) for c in ("value", "physical_min", "physical_max", "digital_min", "digital_max")))
+    return F.least(F.greatest(F.rint(x), F.col("digital_min").cast("double")), F.col("digital_max").cast("double")).cast("int")
+
+
 def digitize(signals: DataFrame, limits: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Add digital: the sample on the digital scale between its channel's physical limits, rounded half to even and clamped."""
+    """Add digital, the ``digital_code`` of each sample."""
     keys = keys or KEYS
     lim = limits.select(*keys, "physical_min", "physical_max", "digital_min", "digital_max")
-    x = to_digital(*(F.col(c) for c in ("value", "physical_min", "physical_max", "digital_min", "digital_max")))
-    code = F.least(F.greatest(F.rint(x), F.col("digital_min").cast("double")), F.col("digital_max").cast("double")).cast("int")
-    return signals.join(known_rows(lim), keys).withColumn("digital", code)
+    return signals.join(known_rows(lim), keys).withColumn("digital", digital_code())
 
 
 def physical(digital: Column, pmin: Column, pmax: Column, dmin: Column, dmax: Column) -> Column:

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-import io
-import os
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import plotframe
-from .operators.analysis import analysis_of, channel_stats, precision_loss, quantize, scaling, suitability, summary_text, type_summary
+from .operators.analysis import KEYS, analysis_of, channel_stats, precision_loss, quantize, scaling, suitability, summary_text, type_summary
 from .schema import CHANNELS, METADATA, SIGNALS, read_back, written
-from .sinks.edf import export_edf
+from .sinks.edf import export_edf, export_recordings
 from .sinks.tsv import channels_tsv
-from .sources.files import read_bytes
+from .sources.catalogue import catalogue, channel_rows, header_of, metadata_rows
+from .sources.files import is_one_file, list_files
 from .sources.registry import importer, register
 
+#: Up to so many channels are named to the readers of files.
+FEW_NAMES = 100
+
 
 class Recording:
     """Handles are cheap: every operation is a plan over the three tables, and runs when rows are asked for."""
@@ -30,27 +32,26 @@ class Recording:
         self.metadata = metadata if metadata is not None else spark.createDataFrame([], METADATA)
 
     @classmethod
-    def from_file(cls, spark: SparkSession, filepath: str, importer_name: str = "trigno", time_base: str = "shared", sidecar: bool = False) -> Recording:
+    def from_file(cls, spark: SparkSession, filepath: str | list[str], importer_name: str = "trigno", time_base: str = "shared", sidecar: bool = False) -> Recording:
         """Read a file by a named importer: trigno, otb or edf. Only the header is read now.
 
-        With ``sidecar`` the channel types come from the channels.tsv beside the file, which keeps types that the file's own fields lose.
+        A folder, a pattern or a list of files makes one handle for all of them, each a recording by its path: now they are
+        only listed, and tasks read the headers. With ``sidecar`` channel types come from each file's channels.tsv.
         """
         source = importer(importer_name)
-        head = source.reader_class.read_header(filepath)
-        if sidecar:
-            table = pd.read_csv(io.BytesIO(read_bytes(os.path.splitext(filepath)[0] + "_channels.tsv")), sep="\t", keep_default_na=False)
-            kinds = {str(n)[:16]: k for n, k in zip(table["name"], table["channel_type"], strict=True)}
-            for c in head.channels:
-                c["channel_type"] = kinds.get(c["channel"][:16], c["channel_type"])
         register(spark)
-        names = [f.name for f in CHANNELS.fields]
-        rows = [tuple({**{n: None for n in names}, **{k: v for k, v in c.items() if k in names}, "recording_id": filepath, "channel_idx": i}[n] for n in names) for i, c in enumerate(head.channels)]
-        meta = [(filepath, k, text, i, kind) for i, (k, v) in enumerate(head.metadata) for text, kind in [written(v)]]
-        signals = spark.read.format(source.name()).option("timebase", time_base).load(filepath) if rows else None
-        return cls(spark, signals, spark.createDataFrame(rows, CHANNELS), spark.createDataFrame(meta, METADATA))
+        load = spark.read.format(source.name()).option("timebase", time_base).load
+        if not is_one_file(filepath):
+            files = list_files(filepath, source.reader_class.extensions)
+            return cls(spark, load(filepath), *catalogue(spark, source.reader_class, files, sidecar))
+        head = header_of(source.reader_class, filepath, sidecar)
+        rows = channel_rows(filepath, head)
+        return cls(spark, load(filepath) if rows else None, spark.createDataFrame(rows, CHANNELS), spark.createDataFrame(metadata_rows(filepath, head), METADATA))
 
     def _names(self) -> list[str]:
-        return [r["channel"] for r in self.channels.orderBy("channel_idx").select("channel").collect()]
+        """Names of channels in order; one that several recordings have counts once."""
+        first = self.channels.groupBy("channel").agg(F.min("channel_idx").alias("at"))
+        return [r["channel"] for r in first.orderBy("at", "channel").collect()]
 
     def _loaded(self) -> None:
         if self.signals is None:
@@ -83,20 +84,27 @@ class Recording:
         if channels is None and channel_type is None:
             raise ValueError("give channels or a channel_type")
         if channels is None:
-            wanted = self.get_channels_by_type(channel_type)
-            if not wanted:
+            chans = of_type(self.channels, channel_type)
+            if chans.limit(1).count() == 0:
                 raise ValueError(f"No channels found of type: {channel_type}")
+            signals = selected_samples(self.signals, chans)
         else:
             wanted = list(dict.fromkeys([channels] if isinstance(channels, str) else channels))
-            kinds = {r["channel"]: r["channel_type"] for r in self.channels.where(F.col("channel").isin(wanted)).select("channel", "channel_type").collect()}
+            kinds: dict[str, set[str]] = {}
+            for r in self.channels.where(F.col("channel").isin(wanted)).select("channel", "channel_type").distinct().collect():
+                kinds.setdefault(r["channel"], set()).add(r["channel_type"])
             missing = [c for c in wanted if c not in kinds]
             if missing:
                 raise ValueError(f"Channels not found: {missing}")
             if channel_type is not None:
-                wanted = [c for c in wanted if kinds[c] == channel_type]
+                wanted = [c for c in wanted if channel_type in kinds[c]]
                 if not wanted:
                     raise ValueError(f"None of the selected channels are of type: {channel_type}")
-        signals, chans = select_channels(self.signals, wanted), select_channels(self.channels, wanted)
+            signals, chans = select_channels(self.signals, wanted), select_channels(self.channels, wanted)
+            if channel_type is not None:
+                chans = chans.where(F.col("channel_type") == channel_type)
+                if any(len(kinds[c]) > 1 for c in wanted):  # of another type in some recording
+                    signals = selected_samples(signals, chans)
         if inplace:
             self.signals, self.channels = signals, chans
             return self
@@ -164,8 +172,15 @@ class Recording:
     def to_edf(self, filepath: str, **kwargs: Any) -> str:
         """Write EDF+ or BDF+ and channels.tsv; returns the path written."""
         self._loaded()
+        register(self.spark)
         return export_edf(self.signals, self.channels, filepath, **kwargs)
 
+    def to_edf_folder(self, folder: str, **kwargs: Any) -> DataFrame:
+        """Write each recording to a file of its own in one go; one row per channel, with its file and format."""
+        self._loaded()
+        register(self.spark)
+        return export_recordings(self.signals, self.channels, folder, **kwargs)
+
 
 def select_channels(table: DataFrame, wanted: list[str]) -> DataFrame:
     """Rows of the wanted channels, numbered anew in the order asked for."""
@@ -173,6 +188,24 @@ def select_channels(table: DataFrame, wanted: list[str]) -> DataFrame:
     return table.where(F.col("channel").isin(wanted)).withColumn("channel_idx", place)
 
 
+def of_type(channels: DataFrame, channel_type: str) -> DataFrame:
+    """Channels of a type, numbered anew in the order that each recording has them."""
+    order = Window.partitionBy("recording_id").orderBy("channel_idx")
+    return channels.where(F.col("channel_type") == channel_type).withColumn("channel_idx", F.row_number().over(order) - 1)
+
+
+def selected_samples(signals: DataFrame, channels: DataFrame) -> DataFrame:
+    """Samples of the channels that a table lists, with its numbers: a join whose plan does not grow with their number.
+
+    Spark broadcasts the table where it is small, and else may filter the samples by a bloom filter of it. Readers of files
+    are told the names of up to FEW_NAMES channels, so that they decode no others.
+    """
+    names = [r["channel"] for r in channels.select("channel").distinct().limit(FEW_NAMES + 1).collect()]
+    if len(names) <= FEW_NAMES:
+        signals = signals.where(F.col("channel").isin(names))
+    return signals.drop("channel_idx").join(channels.select(*KEYS, "channel_idx"), KEYS)
+
+
 def latest_metadata(metadata: DataFrame) -> DataFrame:
     """The last written value of each key: recording_id, key, value."""
     return metadata.groupBy("recording_id", "key").agg(F.max_by("value", "seq").alias("value"))

@@ -1,27 +1,38 @@
-"""EDF+ and BDF+ writer: executors encode ranges of data records, the driver puts the header before the ordered parts.
+"""EDF+ and BDF+ writer: ``df.write.format("edf")`` over placed samples, for one recording or many in one write.
 
-Only per-channel figures come to the driver; samples are digitized and packed on executors, written as part files in the
-folder that the cluster shares (spark.checkpoint.dir; beside the target where none is named), and joined by streaming
-copies, since one binary file has one order. What is done is told to the logger of this module.
+Two scans of the samples: figures for each channel, then codes. A code knows its file, its part (some records of the
+file, PART_BYTES or one record) and its slot in that part, so tasks put codes where they belong and need no order within
+a part. Memory is one part, however many channels there are. Every attempt of a task writes files of its own; the commit
+takes those of the winners, moves or joins them into place, and drops the rest. What is done is told to the logger of this module.
 """
 
 from __future__ import annotations
 
+import json
 import logging
 import os
 import uuid
 import warnings
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
-from ..operators.analysis import analysis_of, channel_stats, digitize, file_format, scaling, suitability, summary_text, type_summary
+from ..functions.rules import to_digital
+from ..operators.analysis import CHANNEL_ROWS, KEYS, analysis_of, channel_stats, digital_code, file_format, known_rows, scaling, suitability, summary_text, type_summary
 from ..sources.edf import SIGNAL_FIELDS
 from ..sources.files import locate
-from .tsv import channels_tsv, edf_header_fields
+from .tsv import edf_header_fields, tsv_text
 
-RECORDS_PER_PART = 64
+#: Bytes of a part (at least one record), and parts that one task writes in a row to one attempt file.
+PART_BYTES, PARTS_IN_A_ROW = 4 << 20, 16
 LOG = logging.getLogger(__name__)
 
 
@@ -57,101 +68,244 @@ def _annotation(record: int, duration: float) -> bytes:
     return f"+{record * duration:g}\x14\x14\x00".encode().ljust(ANNOTATION_BYTES, b"\x00")
 
 
-def plan_export(signals, channels):
-    """Per-channel rows with analysis, format and rounded limits, the recording's format, and a summary: (rows, use_bdf, reason, text).
+LAYOUT = (
+    "recording_id string, channel string, channel_idx int, channel_type string, physical_dimension string, is_zero boolean, range double, dynamic_range_db double, snr_db double, use_bdf boolean, file_bdf boolean, bdf_reason string, "
+    "physical_min double, physical_max double, digital_min int, digital_max int, rate int, at int, size int, records_in_part int, parts long, spec string, tsv string, error string"
+)
 
-    The samples are reduced once; what follows works on the few rows that come of it.
+
+def lay_out(rows: pd.DataFrame, part_bytes: int = PART_BYTES) -> pd.DataFrame:
+    """The file of one recording, from its channels' rows: limits as the header has them, places in a record, and what a part needs."""
+    rows = rows.sort_values("channel_idx").reset_index(drop=True)
+    bdf = bool(rows["file_bdf"][0])
+    out = rows.reindex(columns=[c.split()[0] for c in LAYOUT.split(", ")])
+    out[["spec", "tsv", "error"]] = None
+    limits = rows[["physical_min", "physical_max"]].map(lambda v: _number(v) if v == v else "nan")
+    out["physical_min"], out["physical_max"], out["rate"] = limits["physical_min"].astype(float), limits["physical_max"].astype(float), rows["sample_frequency"].fillna(0).astype(int)
+    for wrong, what in ((rows["has_nan"].fillna(True).astype(bool), "channels with missing samples cannot be written"), (out["physical_min"] == out["physical_max"], "the physical range vanishes in 8 characters"), (out["rate"] < 1, "the rate is below 1")):
+        if wrong.any():
+            out["error"] = f"{what}: {rows['channel'][wrong].tolist()}"
+            out[["rate", "at", "size", "records_in_part", "parts"]] = 0
+            return out
+    size = int(out["rate"].sum())
+    width = 3 if bdf else 2
+    records = int(max(-(-rows["length"] // out["rate"])))
+    in_part = max(1, part_bytes // (width * size))
+    out["at"], out["size"], out["records_in_part"], out["parts"] = out["rate"].cumsum() - out["rate"], size, in_part, -(-records // in_part)
+    place = np.rint(to_digital(rows["last"], out["physical_min"], out["physical_max"], rows["digital_min"], rows["digital_max"]))
+    last = np.minimum(np.maximum(place, rows["digital_min"]), rows["digital_max"]).astype(int)
+    heads = [
+        {"label": r.label, "transducer": r.transducer, "dimension": r.dimension, "pmin": low, "pmax": high, "dmin": r.digital_min, "dmax": r.digital_max, "prefilter": r.prefilter, "samples": rate, "reserved": ""}
+        for r, low, high, rate in zip(rows.itertuples(), limits["physical_min"], limits["physical_max"], out["rate"], strict=True)
+    ]
+    channels = [[int(v) for v in c] for c in zip(out["at"], out["rate"], rows["digital_min"], last, strict=True)]
+    out.loc[0, "spec"] = json.dumps({"header": header_bytes(heads, records, bdf).decode("latin-1"), "records": records, "in_part": in_part, "width": width, "size": size, "channels": channels})
+    out.loc[0, "tsv"] = tsv_text(rows)
+    return out
+
+
+class Part:
+    """The codes of some records, put in place as they come."""
+
+    def __init__(self, spec: dict, part: int) -> None:
+        self.spec, self.first = spec, part * spec["in_part"]
+        self.records = min(spec["in_part"], spec["records"] - self.first)
+        self.codes = np.zeros(self.records * spec["size"], dtype=np.int32)
+        self.known = np.zeros(len(self.codes), dtype=bool)
+
+    def put(self, slots: np.ndarray, codes: np.ndarray) -> None:
+        self.codes[slots], self.known[slots] = codes, True
+
+    def _fill(self) -> None:
+        """A missing sample repeats the one before; before the first one it is the digital minimum, and in a part without any the channel's last."""
+        codes, known = self.codes.reshape(self.records, -1), self.known.reshape(self.records, -1)
+        for at, rate, low, last in self.spec["channels"]:
+            there = known[:, at : at + rate].ravel()
+            if not there.all():
+                before = np.maximum.accumulate(np.where(there, np.arange(len(there)), -1))
+                own = codes[:, at : at + rate].ravel()
+                codes[:, at : at + rate] = np.where(before < 0, low if there.any() else last, own[before]).reshape(self.records, rate)
+
+    def body(self) -> bytes:
+        """The part's bytes: records of all signals, each with its time-keeping annotation; the file's header before the first."""
+        if not self.known.all():
+            self._fill()
+        coded = self.codes.astype("<i4").view(np.uint8).reshape(self.records, self.spec["size"], 4)[:, :, : self.spec["width"]].reshape(self.records, -1)
+        notes = np.stack([np.frombuffer(_annotation(k, 1.0), np.uint8) for k in range(self.first, self.first + self.records)])
+        return (self.spec["header"].encode("latin-1") if self.first == 0 else b"") + np.concatenate([coded, notes], axis=1).tobytes()
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """What one task wrote: name of the file, first part, number of parts, and where."""
+
+    runs: list[tuple[str, int, int, str]] = field(default_factory=list)
+
+
+class EdfWriter(DataSourceArrowWriter):
+    """Writes rows of ``placed_samples``, dealt so that a part is whole in its task and its row with a spec comes first."""
+
+    def __init__(self, folder: str, staging: str, overwrite: bool) -> None:
+        self.folder, self.staging, self.overwrite = folder, staging, overwrite
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        done, now, part, out = Written(), None, None, None
+        system, at = locate(self.staging)
+        system.create_dir(at, recursive=True)
+
+        def finish() -> None:
+            if now is not None:
+                out.write(part if isinstance(part, bytes) else part.body())
+
+        try:
+            for batch in iterator:
+                names = pc.dictionary_encode(batch.column("file"))
+                key = names.indices.to_numpy(), batch.column("part").to_numpy()
+                change = np.flatnonzero(np.concatenate([[True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])]))
+                slots, codes = batch.column("slot").to_numpy(), batch.column("digital").to_numpy()
+                for a, b in zip(change.tolist(), [*change[1:].tolist(), batch.num_rows], strict=True):
+                    one = names.dictionary[int(key[0][a])].as_py(), int(key[1][a])
+                    if one != now:
+                        finish()
+                        spec = batch.column("spec")[a]
+                        if not spec.is_valid:
+                            raise ValueError(f"part {one[1]} of {one[0]} does not begin with its spec: write rows of placed_samples")
+                        if now is None or now[0] != one[0] or now[1] + 1 != one[1]:
+                            if out is not None:
+                                out.close()
+                            path = f"{at}/{uuid.uuid4().hex}"
+                            out = system.open_output_stream(path)
+                            done.runs.append((*one, 0, path))
+                        done.runs[-1] = (*done.runs[-1][:2], done.runs[-1][2] + 1, done.runs[-1][3])
+                        told = json.loads(spec.as_py())
+                        now, part, a = one, told["raw"].encode() if "raw" in told else Part(told, one[1]), a + 1
+                    if b > a:
+                        part.put(slots[a:b], codes[a:b])
+            finish()
+        finally:
+            if out is not None:
+                out.close()
+        return done
+
+    def commit(self, messages: list[Written | None]) -> None:
+        """Put the winners' files into place: a file of one run is moved, one of several is joined in order."""
+        runs: dict[str, list[tuple[int, int, str]]] = {}
+        for message in messages:
+            for name, first, n, path in message.runs if message else []:
+                runs.setdefault(name, []).append((first, n, path))
+        source, staged = locate(self.staging)
+        try:
+            for name, own in runs.items():
+                target, at = locate(f"{self.folder.rstrip('/')}/{name}")
+                own.sort()
+                if [r[0] for r in own] != list(np.cumsum([0, *[r[1] for r in own[:-1]]])):
+                    raise ValueError(f"parts of {name} are missing")
+                if not self.overwrite and target.get_file_info(at).type != fs.FileType.NotFound:
+                    raise FileExistsError(f"{name} is there already")
+                target.create_dir(os.path.dirname(at), recursive=True)
+                if len(own) == 1 and type(source) is type(target):
+                    source.move(own[0][2], at)
+                    continue
+                with target.open_output_stream(at) as out:
+                    for _, _, path in own:
+                        with source.open_input_stream(path) as f:
+                            while block := f.read(1 << 24):
+                                out.write(block)
+            LOG.info("Wrote %d files to %s", len(runs), self.folder)
+        finally:
+            self._drop(source, staged)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._drop(*locate(self.staging))
+
+    @staticmethod
+    def _drop(system: fs.FileSystem, at: str) -> None:
+        if system.get_file_info(at).type == fs.FileType.Directory:
+            system.delete_dir(at)
+
+
+def _settled(rows: DataFrame, folder: str) -> DataFrame:
+    """Per-channel rows, computed once: on the driver up to CHANNEL_ROWS, else as a table beside the staging folder, which stays for the caller."""
+    few = rows.limit(CHANNEL_ROWS + 1).collect()
+    if len(few) <= CHANNEL_ROWS:
+        return rows.sparkSession.createDataFrame(few, rows.schema)
+    rows.write.parquet(f"{folder}-layout")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}-layout")
+
+
+def planned_files(signals: DataFrame, channels: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """One row per channel of each recording: figures, the file's format, limits and place (LAYOUT). The samples are reduced once."""
+    fields = edf_header_fields(channels, KEYS).drop("sample_frequency", "prefilter", "channel_idx")
+    info = channels.select(*KEYS, "channel_idx", "channel_type", "sample_frequency", "physical_dimension", "prefilter").join(fields, KEYS)
+    suited = suitability(analysis_of(channel_stats(signals, ends=True))).join(info, KEYS)
+    formats = file_format(suited).withColumnRenamed("use_bdf", "file_bdf")
+    both = suited.join(formats, "recording_id")
+    scaled = scaling(both, F.when(F.col("file_bdf"), 24).otherwise(16), rounded=True)
+    return scaled.groupBy("recording_id").applyInPandas(lambda rows: lay_out(rows, part_bytes), LAYOUT)
+
+
+def placed_samples(signals: DataFrame, layout: DataFrame) -> DataFrame:
+    """What ``format("edf")`` writes: file, part, slot, digital and, in a row of its own before a part's codes, spec.
+
+    ``layout`` has LAYOUT and file, the name without its extension.
     """
-    info = channels.select("recording_id", "channel", "channel_idx", "channel_type", "sample_frequency", "physical_dimension", "prefilter")
-    suited = suitability(analysis_of(channel_stats(signals))).join(info, ["recording_id", "channel"])
-    suited = signals.sparkSession.createDataFrame(suited.collect(), suited.schema)  # one row per channel
-    choice = file_format(suited).first()
-    use_bdf = bool(choice and choice["use_bdf"])
-    planned = scaling(suited, 24 if use_bdf else 16, rounded=True).join(edf_header_fields(channels).drop("sample_frequency", "prefilter"), "channel_idx")
-    return planned.orderBy("channel_idx").collect(), use_bdf, choice["bdf_reason"] if choice else None, summary_text(type_summary(suited))
+    ending = F.concat("file", F.when(F.col("file_bdf"), ".bdf").otherwise(".edf"))
+    places = layout.select(*KEYS, ending.alias("file"), "physical_min", "physical_max", "digital_min", "digital_max", "rate", "at", "size", "records_in_part")
+    record = F.floor(F.col("sample_index") / F.col("rate"))
+    slot = (record % F.col("records_in_part")) * F.col("size") + F.col("at") + F.col("sample_index") % F.col("rate")
+    codes = signals.join(known_rows(places), KEYS).select("file", F.floor(record / F.col("records_in_part")).cast("long").alias("part"), slot.cast("int").alias("slot"), digital_code().alias("digital"), F.lit(None).cast("string").alias("spec"))
+    heads = layout.where("spec is not null")
+    blank = F.lit(0).alias("slot"), F.lit(0).alias("digital")
+    starts = heads.select(ending.alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *blank, "spec")
+    texts = heads.select(F.concat("file", F.lit("_channels.tsv")).alias("file"), F.lit(0).cast("long").alias("part"), *blank, F.to_json(F.struct(F.col("tsv").alias("raw"))).alias("spec"))
+    rows = codes.unionByName(starts).unionByName(texts)
+    return rows.repartition("file", F.floor(F.col("part") / PARTS_IN_A_ROW)).sortWithinPartitions("file", "part", F.col("spec").isNull())
+
 
+def staging_folder(signals: DataFrame, folder: str) -> str:
+    """Where tasks and driver meet: the folder that the cluster shares, else one within the target."""
+    shared = signals.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not shared and ("://" not in folder and not signals.sparkSession.sparkContext.master.startswith("local")):
+        raise ValueError("name a folder that driver and executors share: set spark.checkpoint.dir, or write to a URI")
+    return f"{(shared or folder).rstrip('/')}/_parts-{uuid.uuid4().hex}"
 
-def export_edf(signals, channels, filepath: str, precision_threshold: float = 0.01) -> str:
-    """Write one recording as EDF+, or BDF+ if a channel needs it, and its channels.tsv; returns the path written.
 
-    The extension is replaced by that of the format. ``precision_threshold`` is accepted and not used. NaN samples and
-    channels without samples are an error. Rates are whole numbers in the file; the last data record is padded with each
-    channel's last value. One data record is a second.
+def export_recordings(signals: DataFrame, channels: DataFrame, folder: str, name: Column | None = None, overwrite: bool = True, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Write every recording as EDF+, or BDF+ if a channel of it needs that, and its channels.tsv; one row per channel comes back.
+
+    ``name`` is the file's name without an extension, from recording_id; by default the last part of the id without its
+    extension. Two recordings of one name are an error, and so are NaN samples, channels without samples and rates below 1.
+    Rates are whole numbers in the file; a data record is a second, and the last one is padded with each channel's last value.
+    """
+    staging = staging_folder(signals, folder)
+    own = F.regexp_extract("recording_id", r"([^/]+?)(\.[^./]*)?$", 1) if name is None else name
+    layout = _settled(planned_files(signals, channels, part_bytes).withColumn("file", own), staging)
+    wrong = layout.where("error is not null").first()
+    if wrong:
+        raise ValueError(wrong["error"])
+    twice = layout.groupBy("file").agg(F.count_distinct("recording_id").alias("n")).where("n > 1 or file = ''").first()
+    if twice:
+        raise ValueError(f"{twice['n']} recordings would be written to one file: {twice['file']}")
+    placed_samples(signals, layout).write.format("edf").mode("overwrite" if overwrite else "append").option("staging", staging).save(folder)
+    return layout
+
+
+def export_edf(signals: DataFrame, channels: DataFrame, filepath: str, precision_threshold: float = 0.01) -> str:
+    """Write one recording; returns the path written. The extension is replaced by that of the format.
+
+    ``precision_threshold`` is accepted and not used.
     """
-    rows, use_bdf, reason, text = plan_export(signals, channels)
-    if not rows:
+    stem = os.path.splitext(filepath)[0] if os.path.splitext(filepath)[1] else filepath
+    folder, name = stem.rsplit("/", 1) if "/" in stem else (".", stem)
+    if channels.limit(1).count() == 0:
         raise ValueError("No signals loaded")
-    if any(r["has_nan"] for r in rows):
-        raise ValueError(f"channels with missing samples cannot be written: {[r['channel'] for r in rows if r['has_nan']]}")
-    stem = filepath[: -len(os.path.splitext(filepath)[1])] if os.path.splitext(filepath)[1] else filepath
-    target = stem + (".bdf" if use_bdf else ".edf")
-    if use_bdf:
-        warnings.warn(f"Using BDF format to preserve precision. Reason: {reason}", stacklevel=2)
-    LOG.info("Signal analysis:%s", text)
-    LOG.info("Writing %s with %d channels", target, len(rows))
-    specs = []
-    for r in rows:
-        pmin, pmax = float(_number(r["physical_min"])), float(_number(r["physical_max"]))
-        if pmin == pmax:
-            raise ValueError(f"channel {r['channel']}: the physical range vanishes in 8 characters")
-        rate = int(r["sample_frequency"])
-        if rate < 1:
-            raise ValueError(f"channel {r['channel']}: the rate {r['sample_frequency']} is below 1")
-        specs.append({"channel": r["channel"], "rate": rate, "pmin": pmin, "pmax": pmax, "dmin": r["digital_min"], "dmax": r["digital_max"]})
-    spark = signals.sparkSession
-    limits = spark.createDataFrame([(s["channel"], s["rate"], s["pmin"], s["pmax"], s["dmin"], s["dmax"]) for s in specs], "channel string, rate int, physical_min double, physical_max double, digital_min int, digital_max int")
-    coded = digitize(signals, limits, ["channel"])
-    ends = {r["channel"]: r for r in coded.groupBy("channel").agg((F.max("sample_index") + 1).alias("length"), F.max_by("digital", "sample_index").alias("last")).collect()}  # one row per channel
-    for s in specs:
-        s["length"], s["last"] = ends[s["channel"]]["length"], ends[s["channel"]]["last"]
-    records = max(-(-s["length"] // s["rate"]) for s in specs)
-    heads = [
-        {"label": r["label"], "transducer": r["transducer"], "dimension": r["dimension"], "pmin": _number(s["pmin"]), "pmax": _number(s["pmax"]), "dmin": s["dmin"], "dmax": s["dmax"], "prefilter": r["prefilter"], "samples": s["rate"], "reserved": ""}
-        for r, s in zip(rows, specs, strict=True)
-    ]
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    parts_dir = f"{shared.rstrip('/')}/parts-{uuid.uuid4().hex}" if shared else f"{target}.parts-{uuid.uuid4().hex}"
-    system, at = locate(target)
-    parts_system, parts_at = locate(parts_dir)
-    parts_system.create_dir(parts_at)
-    width = 3 if use_bdf else 2
-
-    def encode(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(key[0])
-        first, end = part * RECORDS_PER_PART, min(records, (part + 1) * RECORDS_PER_PART)
-        blocks = []
-        for s in specs:
-            own = pdf[pdf["channel"] == s["channel"]].sort_values("sample_index")
-            digital = np.full((end - first) * s["rate"], np.nan)
-            digital[own["sample_index"].to_numpy() - first * s["rate"]] = own["digital"].to_numpy()
-            if np.isnan(digital).any():
-                digital = pd.Series(digital).ffill().fillna(s["last"] if len(own) == 0 else s["dmin"]).to_numpy()
-            blocks.append(digital.astype("<i4").view(np.uint8).reshape(end - first, s["rate"], 4)[:, :, :width].reshape(end - first, -1))
-        notes = np.stack([np.frombuffer(_annotation(k, 1.0), np.uint8) for k in range(first, end)])
-        where, name = locate(f"{parts_dir}/{part:010d}-{uuid.uuid4().hex}")
-        with where.open_output_stream(name) as out:
-            out.write(np.concatenate([*blocks, notes], axis=1).tobytes())
-        return pd.DataFrame({"part": [part], "file": [name]})
-
-    placed = coded.join(F.broadcast(limits.select("channel", "rate")), "channel")  # one row per channel
-    chosen = placed.select(F.floor(F.col("sample_index") / (F.col("rate") * RECORDS_PER_PART)).cast("bigint").alias("part"), "channel", "sample_index", "digital")
-    # every part of the file is written, also one in which no channel has a sample
-    every = spark.range(-(-records // RECORDS_PER_PART)).select(F.col("id").alias("part"), F.lit(None).cast("string").alias("channel"), F.lit(-1).cast("bigint").alias("sample_index"), F.lit(0).alias("digital"))
-    done = chosen.unionByName(every).groupBy("part").applyInPandas(encode, "part long, file string")
-    files = {r["part"]: r["file"] for r in done.collect()}  # one row for 64 records
-    LOG.info("Encoded %d data records in %d parts", records, len(files))
-    try:
-        with system.open_output_stream(at) as out:
-            out.write(header_bytes(heads, records, use_bdf))
-            for part in sorted(files):
-                with parts_system.open_input_stream(files[part]) as f:
-                    while block := f.read(1 << 24):
-                        out.write(block)
-    finally:
-        parts_system.delete_dir(parts_at)
-    tsv_system, tsv_at = locate(stem + "_channels.tsv")
-    with tsv_system.open_output_stream(tsv_at) as out:
-        out.write(channels_tsv(channels).toPandas().to_csv(sep="\t", index=False).encode())
-    LOG.info("Wrote %s", target)
+    layout = export_recordings(signals, channels, folder or "/", F.lit(name))
+    first = layout.where("spec is not null").first()
+    if first is None:
+        raise ValueError("No signals loaded")
+    target = stem + (".bdf" if first["file_bdf"] else ".edf")
+    if first["file_bdf"]:
+        warnings.warn(f"Using BDF format to preserve precision. Reason: {first['bdf_reason']}", stacklevel=2)
+    LOG.info("Signal analysis:%s", summary_text(type_summary(layout)))
+    LOG.info("Wrote %s with %d channels", target, layout.count())
     return target
-

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +14,15 @@ def channels_tsv(channels: DataFrame) -> DataFrame:
     )
 
 
-def edf_header_fields(channels: DataFrame) -> DataFrame:
+def tsv_text(rows: pd.DataFrame) -> str:
+    """The same as text, of one recording's channels in order."""
+    table = rows[["channel", "channel_type", "physical_dimension", "sample_frequency"]].rename(columns={"channel": "name"})
+    return table.assign(reference="n/a", status="good").to_csv(sep="\t", index=False)
+
+
+def edf_header_fields(channels: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The text fields of a channel's header: label of 16 characters, unit, whole rate, prefilter, transducer."""
     return channels.select(
-        "channel_idx", F.substring("channel", 1, 16).alias("label"), F.col("physical_dimension").alias("dimension"), F.col("sample_frequency").cast("int").alias("sample_frequency"),
+        *(keys or []), "channel_idx", F.substring("channel", 1, 16).alias("label"), F.col("physical_dimension").alias("dimension"), F.col("sample_frequency").cast("int").alias("sample_frequency"),
         "prefilter", F.concat(F.col("channel_type"), F.lit(" sensor")).alias("transducer"),
     )

@@ -55,9 +55,9 @@ class Pack(InputPartition):
         self.ranges = ranges
 
 
-def packed(files: list[tuple[str, int]], most: int, opening: int) -> list[Pack]:
-    """Cut files into ranges of at most ``most`` bytes and put them, large ones first, into packs that hold no more."""
-    ranges = [(path, a, min(size, a + most)) for path, size in files for a in range(0, max(1, size), most)]
+def packed(files: list[tuple[str, int]], most: int, opening: int, cut: bool = True) -> list[Pack]:
+    """Cut files into ranges of at most ``most`` bytes and put them, large ones first, into packs that hold no more; a file that must stay whole may be a larger pack."""
+    ranges = [(path, a, min(size, a + most) if cut else size) for path, size in files for a in range(0, max(1, size), most if cut else max(1, size))]
     packs: list[Pack] = []
     room = 0
     for one in sorted(ranges, key=lambda r: (r[1] - r[2], r[0], r[1])):
@@ -102,6 +102,8 @@ class RecordingReader(Pushdown, DataSourceReader, ABC):
 
     #: Names of files that a folder of recordings may hold.
     extensions: tuple[str, ...] = ()
+    #: Whether byte ranges of a file may be read by different tasks.
+    splittable = True
 
     def __init__(self, path: str, options: dict, asked: Pushdown | None = None) -> None:
         super().__init__()
@@ -196,7 +198,8 @@ class FolderReader(Pushdown, DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         files = [f for f in self.files if self.recordings is None or f[0] in self.recordings]
-        return packed(files, int(self.options.get("packbytes", PACK_BYTES)), int(self.options.get("opencost", OPEN_COST))) or [Pack([])]
+        most = int(self.options.get("packbytes", PACK_BYTES))
+        return packed(files, most, int(self.options.get("opencost", OPEN_COST)), self.kind.splittable) or [Pack([])]
 
     def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
         for path, begin, stop in partition.ranges:

@@ -8,6 +8,7 @@ records by bisection, which reads a few onsets.
 from __future__ import annotations
 
 import re
+import uuid
 from datetime import datetime
 from math import inf
 
@@ -196,10 +197,18 @@ class EdfReader(RecordingReader):
 
 
 class EdfSource(RecordingSource):
-    """``format("edf")``: partitions are ranges of data records."""
+    """``format("edf")``: partitions are ranges of data records. It writes rows of ``sinks.edf.placed_samples``."""
 
     reader_class = EdfReader
 
     @classmethod
     def name(cls) -> str:
         return "edf"
+
+    def writer(self, schema, overwrite: bool):
+        from ..sinks.edf import EdfWriter
+
+        if schema.fieldNames() != ["file", "part", "slot", "digital", "spec"]:
+            raise ValueError("format edf writes rows of placed_samples: use export_recordings or Recording.to_edf")
+        folder = self.options["path"]
+        return EdfWriter(folder, self.options.get("staging") or f"{folder.rstrip('/')}/_parts-{uuid.uuid4().hex}", overwrite)

@@ -52,6 +52,7 @@ def text_lines(path: str) -> Iterator[TextIO]:
 
 class TrignoReader(RecordingReader):
     extensions = (".csv",)
+    splittable = False
 
     @staticmethod
     def read_header(path: str) -> Header:
