@@ -148,12 +148,12 @@ def select_name_and_type(spark, d):
 
 @_query("SELECT DISTINCT label::VARCHAR AS channel_type FROM embeddings")
 def channel_types(spark, d):
-    return spark.createDataFrame([(k,) for k in embeddings_recording(spark, d).get_channel_types()], "channel_type string")
+    return embeddings_recording(spark, d).channel_types()
 
 
 @_query("SELECT vec_id::VARCHAR AS channel FROM embeddings WHERE label = 2")
 def channels_by_type(spark, d):
-    return spark.createDataFrame([(c,) for c in embeddings_recording(spark, d).get_channels_by_type("2")], "channel string")
+    return embeddings_recording(spark, d).channels_of_type("2").select("channel")
 
 
 @_query("SELECT label::VARCHAR AS channel_type, count(*) AS n FROM embeddings GROUP BY label")
@@ -172,6 +172,17 @@ def time_range(spark, d):
     return plotframe.time_range(events(spark, d, index=True), 0.1, 0.25).select("channel", "sample_index", "value")
 
 
+@_query(
+    f"""WITH {_EV_SQL}, b AS (SELECT channel, max(sample_index) / {RATE}e0 AS t1 FROM ev GROUP BY channel),
+    p AS (SELECT channel, sample_index, value, floor(sample_index / {RATE}e0 / (SELECT max(t1) FROM b) * 200) AS px FROM ev),
+    x AS (SELECT channel, min(sample_index) AS a, max(sample_index) AS b, arg_min(sample_index, (value, sample_index)) AS c, arg_min(sample_index, (-value, sample_index)) AS d FROM p GROUP BY channel, least(px, 199))
+    SELECT DISTINCT channel, sample_index, value FROM (SELECT channel, unnest([a, b, c, d]) AS sample_index FROM x) JOIN ev USING (channel, sample_index)"""
+)
+def plot_in_pixels(spark, d):
+    """First, last, least and largest sample of each of 200 pixel columns: what a plot of that width shows of all samples."""
+    return plotframe.in_pixels(events(spark, d, index=True), 200).select("channel", "sample_index", "value")
+
+
 @_query(f"WITH {_EV_SQL}, m AS (SELECT channel, avg(value) AS m FROM ev GROUP BY channel) SELECT channel, sample_index, round(value - m, 6) + 0e0 AS value FROM ev JOIN m USING (channel)")
 def detrend(spark, d):
     return plotframe.detrended(events(spark, d, index=True)).select("channel", "sample_index", _r("value"))
@@ -212,14 +223,28 @@ def plot_stacked_shifted(spark, d):
     return plotframe.stacked_shifted(events(spark, d, index=True), _order(spark, d), 2.5).select("channel", "sample_index", _r("y"))
 
 
-@_query("SELECT name, TRY_CAST(substr(name, 3) AS INTEGER) - 1 AS place FROM (VALUES ('CH1'), ('CH39'), ('CH70')) AS v(name)")
+def _shared(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    """Rows that the query and its oracle derive from a given table by the same statement."""
+    for name in ("customer", "events", "lineitem", "orders", "part", "supplier"):
+        if f"FROM {name}" in sql:
+            return spark.sql(sql.replace(f"FROM {name}", "FROM {given}"), given=_t(spark, d, name))
+    raise ValueError(sql)
+
+
+_PLACES = "SELECT DISTINCT concat('CH', user_id + 1) AS name FROM events"
+
+
+@_query(f"SELECT name, TRY_CAST(substr(name, 3) AS INTEGER) - 1 AS place FROM ({_PLACES})")
 def channel_place(spark, d):
-    return spark.sql("SELECT * FROM (VALUES ('CH1'), ('CH39'), ('CH70')) AS v(name)").withColumn("place", fn.channel_place(F.col("name")))
+    return _shared(spark, d, _PLACES).withColumn("place", fn.channel_place(F.col("name")))
+
+
+_BLANKS = "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN concat(' ', o_orderpriority, ' ') WHEN 1 THEN '' WHEN 2 THEN '   ' END AS x FROM orders"
 
 
-@_query("SELECT id, coalesce(nullif(trim(x), ''), 'n/a') AS x FROM (VALUES (1, ' mV '), (2, ''), (3, '  '), (4, NULL)) AS v(id, x)")
+@_query(f"SELECT o_orderkey, coalesce(nullif(trim(x), ''), 'n/a') AS x FROM ({_BLANKS})")
 def blank_as_na(spark, d):
-    return spark.sql("SELECT * FROM (VALUES (1, ' mV '), (2, ''), (3, '  '), (4, NULL)) AS v(id, x)").select("id", fn.or_na(F.col("x")).alias("x"))
+    return _shared(spark, d, _BLANKS).select("o_orderkey", fn.or_na(F.col("x")).alias("x"))
 
 
 _AN_COLS = "n, is_zero, round(range, 6) + 0e0 AS range, round(noise_floor, 6) + 0e0 AS noise_floor, round(dynamic_range_db, 6) + 0e0 AS dynamic_range_db, round(snr_db, 6) + 0e0 AS snr_db"
@@ -239,17 +264,18 @@ def analyze_frames(spark, d):
     return _rounded_analysis(an.analyze(embeddings(spark, d)), "channel")
 
 
-_EDGE = "SELECT * FROM (VALUES ('zero', 0e0), ('zero', 0e0), ('zero', 1e-9), ('constant', 5e0), ('constant', 5e0), ('nan', 1e0), ('nan', {nan}), ('ramp', -1e0), ('ramp', 3e0)) AS v(channel, value)"
+_EDGE = """SELECT CASE l_orderkey % 4 WHEN 0 THEN 'zero' WHEN 1 THEN 'constant' WHEN 2 THEN 'nan' ELSE 'ramp' END AS channel,
+    CASE l_orderkey % 4 WHEN 0 THEN l_tax * 1e-9 WHEN 1 THEN 5e0 WHEN 2 THEN CASE WHEN l_linenumber % 2 = 0 THEN CAST('NaN' AS DOUBLE) ELSE l_tax END ELSE l_quantity - 20 END AS value FROM lineitem"""
 
 
 @_query(
-    "WITH e AS (" + _EDGE.format(nan="'nan'::DOUBLE") + f"""), {_stats_sql("(SELECT * FROM e WHERE channel <> 'nan')")}, {_analysis_sql()}, {_suit_sql()}
+    f"""WITH e AS ({_EDGE}), {_stats_sql("(SELECT * FROM e WHERE channel <> 'nan')")}, {_analysis_sql()}, {_suit_sql()}
     SELECT channel, {_AN_COLS}, use_bdf, reason FROM su UNION ALL
-    SELECT 'nan', 2, false, 'nan'::DOUBLE, 'nan'::DOUBLE, 'nan'::DOUBLE, 'nan'::DOUBLE, true, 'Signal may require higher resolution than BDF (DR: nan dB)'"""
+    SELECT channel, count(*), false, 'nan'::DOUBLE, 'nan'::DOUBLE, 'nan'::DOUBLE, 'nan'::DOUBLE, true, 'Signal may require higher resolution than BDF (DR: nan dB)' FROM e WHERE channel = 'nan' GROUP BY channel HAVING bool_or(isnan(value))"""
 )
 def analyze_edge_cases(spark, d):
-    edge = spark.sql(_EDGE.format(nan="double('NaN')"))
-    out = an.suitability(an.analyze(edge, ["channel"]))
+    """All-zero, constant and one-sided channels, and one with NaN samples."""
+    out = an.suitability(an.analyze(_shared(spark, d, _EDGE), ["channel"]))
     return out.select("channel", "n", "is_zero", _r("range"), _r("noise_floor"), _r("dynamic_range_db"), _r("snr_db"), "use_bdf", "reason")
 
 
@@ -359,11 +385,13 @@ def fn_physical():
 @_query(
     f"""WITH {_EM_SQL}, {_stats_sql('em', keys='channel, channel_type')}, {_analysis_sql(keys='channel, channel_type')}, {_suit_sql()}
     SELECT channel_type, count(*) AS n_channels, round(min(range) FILTER (WHERE NOT is_zero), 6) AS range_min, round(max(range) FILTER (WHERE NOT is_zero), 6) AS range_max,
-    round(avg(range) FILTER (WHERE NOT is_zero), 6) AS range_mean, count(*) FILTER (WHERE NOT is_zero AND NOT use_bdf) AS n_edf, count(*) FILTER (WHERE NOT is_zero AND use_bdf) AS n_bdf FROM su GROUP BY channel_type"""
+    round(avg(range) FILTER (WHERE NOT is_zero), 6) AS range_mean, arg_min('unit ' || channel, channel::INTEGER) AS unit, round(min(dynamic_range_db) FILTER (WHERE NOT is_zero), 6) AS dr_min, round(max(dynamic_range_db) FILTER (WHERE NOT is_zero), 6) AS dr_max,
+    round(avg(dynamic_range_db) FILTER (WHERE NOT is_zero), 6) AS dr_mean, round(min(snr_db) FILTER (WHERE NOT is_zero), 6) AS snr_min, round(max(snr_db) FILTER (WHERE NOT is_zero), 6) AS snr_max, round(avg(snr_db) FILTER (WHERE NOT is_zero), 6) AS snr_mean, count(*) FILTER (WHERE NOT is_zero AND NOT use_bdf) AS n_edf, count(*) FILTER (WHERE NOT is_zero AND use_bdf) AS n_bdf FROM su GROUP BY channel_type"""
 )
 def type_summary(spark, d):
-    suited = an.suitability(an.analyze(embeddings(spark, d), ["channel", "channel_type"])).withColumns({"channel_idx": F.col("channel").cast("int"), "physical_dimension": F.lit("a.u.")})
-    return an.type_summary(suited).select("channel_type", "n_channels", _r("range_min"), _r("range_max"), _r("range_mean"), "n_edf", "n_bdf")
+    suited = an.suitability(an.analyze(embeddings(spark, d), ["channel", "channel_type"])).withColumns({"channel_idx": F.col("channel").cast("int"), "physical_dimension": F.concat(F.lit("unit "), "channel")})
+    figures = [f"{of}_{what}" for of in ("range", "dr", "snr") for what in ("min", "max", "mean")]
+    return an.type_summary(suited).select("channel_type", "n_channels", "unit", *[_r(c) for c in figures], "n_edf", "n_bdf")
 
 
 @_query(
@@ -381,7 +409,8 @@ def combine_24bit(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fn.combine_24bit(F.col("l_partkey") % 65536 - 32768, F.col("l_suppkey")).alias("value"))
 
 
-_LABELS = "SELECT * FROM (VALUES ('EMG1', ''), ('Biceps', 'EMG sensor'), ('acc x', ''), ('left', 'Accelerometer'), ('left', 'ACC sensor'), ('gyro', ''), ('rot', 'gyroscope'), ('Trig', ''), ('in', 'trigger box'), ('other', 'n/a')) AS v(label, transducer)"
+_LABELS = """SELECT event_id, concat(CASE event_id % 6 WHEN 0 THEN 'EMG' WHEN 1 THEN 'acc ' WHEN 2 THEN 'ACC' WHEN 3 THEN 'GYRO' WHEN 4 THEN 'Trig' ELSE '' END, event_type, event_id) AS label,
+    CASE user_id % 7 WHEN 0 THEN 'EMG sensor' WHEN 1 THEN 'Accelerometer' WHEN 2 THEN 'ACC sensor' WHEN 3 THEN 'gyroscope' WHEN 4 THEN 'trigger box' WHEN 5 THEN 'n/a' ELSE '' END AS transducer FROM events"""
 
 
 @_query(
@@ -389,57 +418,60 @@ _LABELS = "SELECT * FROM (VALUES ('EMG1', ''), ('Biceps', 'EMG sensor'), ('acc x
     WHEN contains(upper(label), 'GYRO') OR contains(upper(transducer), 'GYROSCOPE') THEN 'GYRO' WHEN contains(upper(label), 'TRIG') OR contains(upper(transducer), 'TRIGGER') THEN 'TRIG' ELSE 'OTHER' END AS channel_type FROM ({_LABELS})"""
 )
 def classify_edf(spark, d):
-    return spark.sql(_LABELS).select("label", "transducer", fn.classify_edf(F.col("label"), F.col("transducer")).alias("channel_type"))
+    return _shared(spark, d, _LABELS).select("label", "transducer", fn.classify_edf(F.col("label"), F.col("transducer")).alias("channel_type"))
 
 
 @_query(f"SELECT label, CASE WHEN contains(label, 'EMG') THEN 'EMG' WHEN contains(label, 'ACC') THEN 'ACC' WHEN contains(label, 'GYRO') THEN 'GYRO' ELSE 'OTHER' END AS channel_type FROM ({_LABELS})")
 def classify_trigno(spark, d):
-    return spark.sql(_LABELS).select("label", fn.classify_trigno(F.col("label")).alias("channel_type"))
+    return _shared(spark, d, _LABELS).select("label", fn.classify_trigno(F.col("label")).alias("channel_type"))
 
 
-_ADAPTERS = "SELECT * FROM (VALUES ('Due+', '', ''), ('Sessantaquattro', 'Acceleration X', ''), ('ACC1', '', ''), ('Aux', 'Acceleration Y', ''), ('GYRO', '', ''), ('Aux', 'Gyroscope', ''), ('Aux', '', 'Quaternion 1'), ('Control', '', ''), ('Aux', '', '')) AS v(adapter, description, channel_id)"
+_ADAPTERS = """SELECT event_id, concat(CASE user_id % 8 WHEN 0 THEN 'Due+' WHEN 1 THEN 'Sessantaquattro' WHEN 2 THEN 'ACC' WHEN 3 THEN 'GYRO' WHEN 4 THEN 'Control' ELSE 'Aux' END, user_id) AS adapter,
+    CASE event_id % 5 WHEN 0 THEN 'Acceleration X' WHEN 1 THEN 'Gyroscope' ELSE event_type END AS description, CASE event_id % 3 WHEN 0 THEN 'Quaternion 1' ELSE '' END AS channel_id FROM events"""
 _OTB_KIND = "CASE WHEN regexp_matches(adapter, 'Due|Muovi|Sessantaquattro|Novecento|Quattro|Quattrocento') THEN 'EMG' WHEN contains(adapter, 'ACC') OR contains(description, 'Acceleration') THEN 'ACC' WHEN contains(adapter, 'GYRO') OR contains(description, 'Gyroscope') THEN 'GYRO' WHEN contains(channel_id, 'Quaternion') THEN 'QUAT' WHEN contains(adapter, 'Control') THEN 'CTRL' ELSE 'OTHER' END"
 
 
-@_query(f"SELECT adapter, description, channel_id, {_OTB_KIND} AS channel_type FROM ({_ADAPTERS})")
+@_query(f"SELECT event_id, adapter, description, channel_id, {_OTB_KIND} AS channel_type FROM ({_ADAPTERS})")
 def classify_otb(spark, d):
-    return spark.sql(_ADAPTERS).withColumn("channel_type", fn.classify_otb(F.col("adapter"), F.col("description"), F.col("channel_id")))
+    return _shared(spark, d, _ADAPTERS).withColumn("channel_type", fn.classify_otb(F.col("adapter"), F.col("description"), F.col("channel_id")))
 
 
 @_query(f"SELECT t AS channel_type, CASE WHEN t = 'EMG' THEN 'mV' WHEN t IN ('ACC', 'GYRO') THEN 'g' WHEN t = 'QUAT' THEN 'rad' ELSE 'a.u.' END AS unit FROM (SELECT DISTINCT {_OTB_KIND} AS t FROM ({_ADAPTERS}))")
 def unit_by_type(spark, d):
-    kinds = spark.sql(_ADAPTERS).select(fn.classify_otb(F.col("adapter"), F.col("description"), F.col("channel_id")).alias("channel_type")).distinct()
+    kinds = _shared(spark, d, _ADAPTERS).select(fn.classify_otb(F.col("adapter"), F.col("description"), F.col("channel_id")).alias("channel_type")).distinct()
     return kinds.withColumn("unit", fn.unit_of(F.col("channel_type")))
 
 
-_LINES = "SELECT * FROM (VALUES ('Label: EMG1 Sampling frequency: 1000.0 Unit: mV Domain: 1'), ('Label: ACC X Sampling frequency: 148.148 Hz Unit: g Domain: 2'), ('no label here'), ('Label: broken')) AS v(line)"
+_LINES = """SELECT CASE c_custkey % 4 WHEN 0 THEN concat('Label: ', c_name, ' Sampling frequency: ', c_custkey + 1000, '.5 Unit: mV Domain: ', c_nationkey)
+    WHEN 1 THEN concat('Label: ACC ', c_name, ' Sampling frequency: 148.148 Hz Unit: ', c_mktsegment, ' Domain: 2') WHEN 2 THEN c_name ELSE concat('Label: ', c_name) END AS line FROM customer"""
 
 
 @_query(f"SELECT nullif(trim(regexp_extract(line, 'Label:(.*?)Sampling', 1)), '') AS name, TRY_CAST(regexp_extract(line, 'frequency:\\s*(\\S+)', 1) AS DOUBLE) AS sample_frequency, nullif(trim(regexp_extract(line, 'Unit:(.*?)Domain', 1)), '') AS physical_dimension FROM ({_LINES}) WHERE starts_with(line, 'Label:')")
 def trigno_label_parse(spark, d):
-    lines = spark.sql(_LINES).where(F.col("line").startswith("Label:"))
+    lines = _shared(spark, d, _LINES).where(F.col("line").startswith("Label:"))
     return lines.select(*[fn.label_part(F.col("line"), p).alias(p) for p in ("name", "sample_frequency", "physical_dimension")])
 
 
-_FILTERS = "SELECT * FROM (VALUES (1, '10', '500'), (2, '10', ''), (3, NULL, '500'), (4, NULL, NULL), (5, '', '')) AS v(id, hp, lp)"
+_FILTERS = "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN concat(p_size, '') WHEN 1 THEN '' END AS hp, CASE p_partkey % 5 WHEN 0 THEN concat(p_size * 10, '') WHEN 1 THEN '' WHEN 2 THEN concat(p_partkey, '') END AS lp FROM part"
 
 
 @_query(f"SELECT id, coalesce(nullif(concat_ws(' ', 'HP:' || nullif(hp, '') || 'Hz', 'LP:' || nullif(lp, '') || 'Hz'), ''), 'n/a') AS prefilter FROM ({_FILTERS})")
 def otb_prefilter_text(spark, d):
-    return spark.sql(_FILTERS).select("id", fn.prefilter_text(F.col("hp"), F.col("lp")).alias("prefilter"))
+    return _shared(spark, d, _FILTERS).select("id", fn.prefilter_text(F.col("hp"), F.col("lp")).alias("prefilter"))
 
 
-_CH_SQL = "ch AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {i}, '{LI_TYPE[c]}', {RATE}e0, '{'mV' if LI_TYPE[c] == 'EMG' else 'g'}', 'n/a')" for i, c in enumerate(LI)) + ") AS v(channel, channel_idx, channel_type, sample_frequency, physical_dimension, prefilter))"
+_CHANNELS = """SELECT 'recording' AS recording_id, concat(s_name, ' of nation ', s_nationkey) AS channel, CAST(s_suppkey AS INTEGER) AS channel_idx, CASE s_nationkey % 3 WHEN 0 THEN 'EMG' WHEN 1 THEN 'ACC' ELSE 'OTHER' END AS channel_type,
+    CAST(s_nationkey AS DOUBLE) + 1000.75 AS sample_frequency, CASE s_nationkey % 3 WHEN 0 THEN 'mV' ELSE 'g' END AS physical_dimension, 'n/a' AS prefilter FROM supplier"""
 
 
-@_query(f"WITH {_CH_SQL} SELECT channel_idx, substr(channel, 1, 16) AS label, physical_dimension AS dimension, trunc(sample_frequency)::INTEGER AS sample_frequency, prefilter, channel_type || ' sensor' AS transducer FROM ch")
+@_query(f"SELECT channel_idx, substr(channel, 1, 16) AS label, physical_dimension AS dimension, trunc(sample_frequency)::INTEGER AS sample_frequency, prefilter, channel_type || ' sensor' AS transducer FROM ({_CHANNELS})")
 def edf_header_projection(spark, d):
-    return edf_header_fields(lineitem_channels(spark))
+    return edf_header_fields(_shared(spark, d, _CHANNELS))
 
 
-@_query(f"WITH {_CH_SQL} SELECT channel AS name, channel_type, physical_dimension, sample_frequency, 'n/a' AS reference, 'good' AS status FROM ch")
+@_query(f"SELECT channel AS name, channel_type, physical_dimension, sample_frequency, 'n/a' AS reference, 'good' AS status FROM ({_CHANNELS})")
 def channels_tsv_rows(spark, d):
-    return channels_tsv(lineitem_channels(spark))
+    return channels_tsv(_shared(spark, d, _CHANNELS))
 
 
 @_query(f"WITH {_LI_SQL} SELECT max(abs(value)) AS v_abs FROM li")

@@ -110,11 +110,19 @@ class Recording:
             return self
         return Recording(self.spark, signals, chans, self.metadata)
 
+    def channel_types(self) -> DataFrame:
+        return self.channels.select("channel_type").distinct()
+
+    def channels_of_type(self, channel_type: str) -> DataFrame:
+        return self.channels.where(F.col("channel_type") == channel_type)
+
     def get_channel_types(self) -> list[str]:
-        return sorted(r["channel_type"] for r in self.channels.select("channel_type").distinct().collect())
+        """The same as ``channel_types``, as a list."""
+        return sorted(r["channel_type"] for r in self.channel_types().collect())
 
     def get_channels_by_type(self, channel_type: str) -> list[str]:
-        return [r["channel"] for r in self.channels.where(F.col("channel_type") == channel_type).orderBy("channel_idx").collect()]
+        """Names of ``channels_of_type`` as a list, in order."""
+        return [r["channel"] for r in self.channels_of_type(channel_type).orderBy("channel_idx").select("channel").collect()]
 
     def channel_counts(self) -> DataFrame:
         return self.channels.groupBy("channel_type").count()
@@ -159,12 +167,13 @@ class Recording:
         order = self.spark.createDataFrame([(c, i, len(wanted)) for i, c in enumerate(wanted)], "channel string, pos int, n int")
         return plotframe.plot_frame(data, order, offset_scale, uniform_scale, detrend)
 
-    def plot_signals(self, channels: str | list[str] | None = None, plt_module: Any = None, grid: bool = True, title: str | None = None, show: bool = True, **frame: Any) -> None:
+    def plot_signals(self, channels: str | list[str] | None = None, plt_module: Any = None, grid: bool = True, title: str | None = None, show: bool = True, columns: int | None = plotframe.FIGURE["columns"], **frame: Any) -> None:
+        """Draw stacked traces, each by what ``columns`` pixel columns show of it; None brings every sample to the driver."""
         if plt_module is None:
             import matplotlib.pyplot as plt_module
         plot = self.plot_frame(channels, **frame)
         wanted = self._names() if channels is None else [channels] if isinstance(channels, str) else list(channels)
-        plotframe.render(plot, wanted, plt_module, grid, title, show)
+        plotframe.render(plot, wanted, plt_module, grid, title, show, columns)
 
     def channels_tsv(self) -> DataFrame:
         return channels_tsv(self.channels)

@@ -31,7 +31,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "events", "embeddings"):
+    for t in ("customer", "embeddings", "events", "lineitem", "orders", "part", "supplier"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     ours, theirs = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
