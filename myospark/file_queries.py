@@ -1,24 +1,26 @@
-"""Queries that read and write files: made by rule in a scratch folder, read back by the sources, compared with SQL by the same rule."""
+"""Queries that read and write files: made from the given tables in a scratch folder, read back by the sources, compared with SQL on the tables."""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gzip
-import io
 import tarfile
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .plans.adapters import with_ordinal
 from .recording import Recording
 from .sinks.edf import ANNOTATION_BYTES, header_bytes
 from .sources.files import locate
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-ROWS, RECORDS, RATE = 1000, 40, 25
 
 
 def _query(sql: str):
@@ -29,18 +31,52 @@ def _query(sql: str):
     return add
 
 
-def scratch_file(spark: SparkSession, name: str, data: bytes | None = None) -> str:
-    """A new path in the folder that the cluster shares, or a temporary one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+def _drop(folder: str) -> None:
+    with contextlib.suppress(Exception):
+        system, at = locate(folder)
+        system.delete_dir(at)
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder where the cluster shares one, or a temporary one on a local master; it goes when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.gettempdir()
     folder = f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
     system, at = locate(folder)
     system.create_dir(at)
-    if data is not None:
-        with system.open_output_stream(f"{at}/{name}") as out:
-            out.write(data)
+    atexit.register(_drop, folder)
+    return folder
+
+
+def scratch_file(spark: SparkSession, name: str, blocks: Iterable[bytes]) -> str:
+    """A new file of the blocks, written one by one."""
+    folder = scratch_folder(spark)
+    system, at = locate(folder)
+    with system.open_output_stream(f"{at}/{name}") as out:
+        for block in blocks:
+            out.write(block)
     return f"{folder}/{name}"
 
 
+def _rows(spark: SparkSession, d: str, columns: list, most: int = 10_000) -> Iterable[list]:
+    """Events in order of their id, in lists of rows: the driver holds one partition at a time."""
+    held = []
+    for row in spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("_at"), *columns).orderBy("_at").drop("_at").toLocalIterator():
+        held.append(tuple(row))
+        if len(held) == most:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+_US = "epoch_us(ts)"
+_NUMBERED = f"n AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i, ({_US} - (SELECT min({_US}) FROM events)) / 1e6 AS since FROM events)"
+
+
 def _samples(rec: Recording) -> DataFrame:
     return rec.signals.join(F.broadcast(rec.channels.select("channel", "channel_type", "physical_dimension", "prefilter")), "channel").where(~F.isnan("value")).select(
         "channel", "channel_type", "physical_dimension", "prefilter", "sample_index", F.round("t", 9).alias("t"), (F.round("value", 9) + F.lit(0.0)).alias("value")
@@ -48,94 +84,157 @@ def _samples(rec: Recording) -> DataFrame:
 
 
 @_query(
-    f"""SELECT 'EMG1' AS channel, 'EMG' AS channel_type, 'mV' AS physical_dimension, 'n/a' AS prefilter, i AS sample_index, round(i / 2000e0, 9) AS t, (i % 7 - 3) + 0.5e0 AS value FROM range({ROWS}) r(i)
-    UNION ALL SELECT 'ACC 1', 'ACC', 'g', 'n/a', i, round(i / 2000e0, 9), round(i * 1e-2, 9) FROM range(100) r(i)"""
+    f"""WITH {_NUMBERED} SELECT 'EMG1' AS channel, 'EMG' AS channel_type, 'mV' AS physical_dimension, 'n/a' AS prefilter, i AS sample_index, round(i / 2000e0, 9) AS t, round(value, 9) + 0e0 AS value FROM n
+    UNION ALL SELECT 'ACC 1', 'ACC', 'g', 'n/a', i, round(i / 2000e0, 9), user_id FROM n WHERE event_type <> 'error'"""
 )
 def trigno_read(spark, d):
-    """A header of label lines, a repeated time column, and a group of columns that ends early."""
-    lines = ["Label: EMG1 Sampling frequency: 2000.0 Unit: mV Domain: time", "Label: ACC 1 Sampling frequency: 148.1481 Unit: g Domain: time", "", 'X[s],"EMG1","X[s]","ACC 1"']
-    lines += [f"{i / 2000},{i % 7 - 2.5},{i / 148.1481},{i * 0.01}" if i < 100 else f"{i / 2000},{i % 7 - 2.5},," for i in range(ROWS)]
-    return _samples(Recording.from_file(spark, scratch_file(spark, "t.csv", "\n".join(lines).encode()), "trigno"))
+    """A text of all events: label lines, a repeated time column, and a column with blank cells."""
+
+    def text() -> Iterable[bytes]:
+        yield b'Label: EMG1 Sampling frequency: 2000.0 Unit: mV Domain: time\nLabel: ACC 1 Sampling frequency: 148.1481 Unit: g Domain: time\n\nX[s],"EMG1","X[s]","ACC 1"\n'
+        for rows in _rows(spark, d, ["value", "user_id", "event_type"]):
+            yield "".join(f"0,{v},0,{'' if kind == 'error' else u}\n" for v, u, kind in rows).encode()
+
+    return _samples(Recording.from_file(spark, scratch_file(spark, "t.csv", text()), "trigno"))
+
 
+def _words(spark: SparkSession, d: str, bits: int) -> Iterable[bytes]:
+    """Sample rows of two channels from all events; with 24 bits a sample is a row of high words and one of low ones."""
+    for rows in _rows(spark, d, ["event_id", "user_id"]):
+        e, u = np.array(rows, dtype=np.int64).T
+        words = np.stack([e * 37 % 2001 - 1000, u % 100], axis=1)
+        if bits == 24:
+            words = np.stack([e * 91 % 65536 - 32768, u * 17 % 65536 - 32768, e * 7 % 256, u % 256], axis=1)
+        yield words.astype("<i2").tobytes()
 
-def otb_bytes(words: np.ndarray, bits: int) -> bytes:
+
+def otb_blocks(words: Iterable[bytes], size: int, bits: int) -> Iterable[bytes]:
+    """An archive of samples and their description, block by block."""
     xml = f"""<Device Name="Q" SampleFrequency="2000" ad_bits="{bits}" DeviceTotalChannels="2"><Channels>
     <Adapter ID="Due" Gain="200" ChannelStartIndex="0" HighPassFilter="10" LowPassFilter="500"><Channel Index="0" Muscle="TA"/></Adapter>
-    <Adapter ID="Aux" ChannelStartIndex="1"><Channel Index="0" Description="Acceleration X"/></Adapter></Channels></Device>"""
-    out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w") as tar:
-        for name, data in (("s.sig", words.astype("<i2").tobytes()), ("s.xml", xml.encode())):
-            info = tarfile.TarInfo(name)
-            info.size = len(data)
-            tar.addfile(info, io.BytesIO(data))
-    return out.getvalue()
+    <Adapter ID="Aux" ChannelStartIndex="1"><Channel Index="0" Description="Acceleration X"/></Adapter></Channels></Device>""".encode()
+    for name, n, blocks in (("s.sig", size, words), ("s.xml", len(xml), [xml])):
+        info = tarfile.TarInfo(name)
+        info.size = n
+        yield info.tobuf()
+        yield from blocks
+        yield b"\0" * (-n % 512)
+    yield b"\0" * 1024
 
 
-def _otb_sql(bits: int, first: str, second: str) -> str:
-    head = "i AS sample_index, round(i / 2000e0, 9) AS t"
-    return f"""SELECT 'CH1' AS channel, 'EMG' AS channel_type, 'mV' AS physical_dimension, 'HP:10Hz LP:500Hz' AS prefilter, {head}, round(({first}) * (3.3e0 / {2**bits} * 1000) / 200, 9) + 0e0 AS value FROM range({ROWS}) r(i)
-    UNION ALL SELECT 'CH2', 'ACC', 'g', 'n/a', {head}, ({second})::DOUBLE FROM range({ROWS}) r(i)"""
+def _otb(spark: SparkSession, d: str, bits: int, packed: bool = False) -> DataFrame:
+    n = spark.read.parquet(f"{d}/events.parquet").count()
+    blocks = otb_blocks(_words(spark, d, bits), n * (8 if bits == 24 else 4), bits)
+    return _samples(Recording.from_file(spark, scratch_file(spark, "s.otb+", (gzip.compress(b) for b in blocks) if packed else blocks), "otb"))
 
 
-_OTB_16 = _otb_sql(16, "i * 37 % 2001 - 1000", "i % 100")
+def _otb_sql(bits: int, first: str, second: str) -> str:
+    head = "i AS sample_index, round(i / 2000e0, 9) AS t"
+    return f"""WITH {_NUMBERED} SELECT 'CH1' AS channel, 'EMG' AS channel_type, 'mV' AS physical_dimension, 'HP:10Hz LP:500Hz' AS prefilter, {head}, round(({first}) * (3.3e0 / {2**bits} * 1000) / 200, 9) + 0e0 AS value FROM n
+    UNION ALL SELECT 'CH2', 'ACC', 'g', 'n/a', {head}, ({second})::DOUBLE FROM n"""
 
 
-def _otb_16() -> np.ndarray:
-    i = np.arange(ROWS)
-    return np.stack([i * 37 % 2001 - 1000, i % 100], axis=1)
+_OTB_16 = _otb_sql(16, "event_id * 37 % 2001 - 1000", "user_id % 100")
 
 
 @_query(_OTB_16)
 def otb_read_16(spark, d):
-    return _samples(Recording.from_file(spark, scratch_file(spark, "s.otb+", otb_bytes(_otb_16(), 16)), "otb"))
+    return _otb(spark, d, 16)
 
 
 @_query(_OTB_16)
 def otb_read_compressed(spark, d):
-    return _samples(Recording.from_file(spark, scratch_file(spark, "s.otb+", gzip.compress(otb_bytes(_otb_16(), 16))), "otb"))
+    return _otb(spark, d, 16, True)
 
 
-@_query(_otb_sql(24, "(i * 91 % 65536 - 32768) * 256 + i * 7 % 256", "(i * 17 % 65536 - 32768) * 256 + i * 5 % 256"))
+@_query(_otb_sql(24, "(event_id * 91 % 65536 - 32768) * 256 + event_id * 7 % 256", "(user_id * 17 % 65536 - 32768) * 256 + user_id % 256"))
 def otb_read_24(spark, d):
     """A value is two consecutive words of its channel: the signed high one, and one whose low byte counts."""
-    i = np.arange(ROWS)
-    high, low = np.stack([i * 91 % 65536 - 32768, i * 17 % 65536 - 32768], axis=1), np.stack([i * 7 % 256, i * 5 % 256], axis=1)
-    return _samples(Recording.from_file(spark, scratch_file(spark, "s.otb", otb_bytes(np.stack([high, low], axis=1).reshape(-1, 2), 24)), "otb"))
+    return _otb(spark, d, 24)
 
 
-def edf_bytes(bdf: bool) -> bytes:
-    top = 2**23 if bdf else 2**15
-    signal = {"dimension": "mV", "pmin": "-2.5", "pmax": "2.5", "dmin": -top, "dmax": top - 1, "samples": RATE, "reserved": ""}
+def edf_blocks(spark: SparkSession, d: str, bdf: bool, gaps: bool = False) -> Iterable[bytes]:
+    """A record for each event, of one sample of each of two channels; with ``gaps`` it begins when the event did."""
+    top, width, kind = (2**23, 3, b"BDF") if bdf else (2**15, 2, b"EDF")
+    signal = {"dimension": "mV", "pmin": "-2.5", "pmax": "2.5", "dmin": -top, "dmax": top - 1, "samples": 1, "reserved": ""}
     heads = [signal | {"label": "EMG1", "transducer": "EMG sensor", "prefilter": "HP:20Hz LP:500Hz"}, signal | {"label": "left", "transducer": "Accelerometer", "prefilter": "", "dimension": "g"}]
-    i = np.arange(RECORDS * RATE)
-    both = np.stack([(i * 31 % (2 * top) - top).reshape(RECORDS, RATE), (i * 1009 % (2 * top) - top).reshape(RECORDS, RATE)], axis=1)
-    width = 3 if bdf else 2
-    body = both.astype("<i4").view(np.uint8).reshape(RECORDS, -1, 4)[:, :, :width].reshape(RECORDS, -1)
-    return header_bytes(heads, RECORDS, bdf) + np.concatenate([body, np.zeros((RECORDS, ANNOTATION_BYTES), np.uint8)], axis=1).tobytes()
-
-
-def _edf_sql(top: int) -> str:
+    events = spark.read.parquet(f"{d}/events.parquet")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    first = events.agg(F.min(us)).first()[0]
+    head = header_bytes(heads, events.count(), bdf)
+    yield head.replace(kind + b"+C", kind + b"+D") if gaps else head
+    at = 0
+    for rows in _rows(spark, d, ["event_id", "user_id", us]):
+        e, u, t = np.array(rows, dtype=np.int64).T
+        codes = np.stack([e * 31 % (2 * top) - top, u * 1009 % (2 * top) - top], axis=1).astype("<i4").view(np.uint8).reshape(len(rows), 2, 4)[:, :, :width].reshape(len(rows), -1)
+        onsets = [f"+{(x - first) // 1_000_000}.{(x - first) % 1_000_000:06d}" if gaps else f"+{at + k}" for k, x in enumerate(t.tolist())]
+        notes = [f"{o}\x14\x14\x00".encode().ljust(ANNOTATION_BYTES, b"\0") for o in onsets]
+        yield np.concatenate([codes, np.frombuffer(b"".join(notes), np.uint8).reshape(len(rows), -1)], axis=1).tobytes()
+        at += len(rows)
+
+
+def _edf_sql(top: int, t: str = "i / 1e0") -> str:
     value = f"round((({{x}}) + {top}) * 5e0 / {2 * top - 1} - 2.5e0, 9) + 0e0"
-    head = f"i AS sample_index, round(i / {RATE}e0, 9) AS t"
-    return f"""SELECT 'EMG1' AS channel, 'EMG' AS channel_type, 'mV' AS physical_dimension, 'HP:20Hz LP:500Hz' AS prefilter, {head}, {value.format(x=f"i * 31 % {2 * top} - {top}")} AS value FROM range({RECORDS * RATE}) r(i)
-    UNION ALL SELECT 'left', 'ACC', 'g', 'n/a', {head}, {value.format(x=f"i * 1009 % {2 * top} - {top}")} FROM range({RECORDS * RATE}) r(i)"""
+    head = f"i AS sample_index, round({t}, 9) AS t"
+    return f"""WITH {_NUMBERED} SELECT 'EMG1' AS channel, 'EMG' AS channel_type, 'mV' AS physical_dimension, 'HP:20Hz LP:500Hz' AS prefilter, {head}, {value.format(x=f"event_id * 31 % {2 * top} - {top}")} AS value FROM n
+    UNION ALL SELECT 'left', 'ACC', 'g', 'n/a', {head}, {value.format(x=f"user_id * 1009 % {2 * top} - {top}")} FROM n"""
 
 
 @_query(_edf_sql(2**15))
 def edf_read(spark, d):
-    return _samples(Recording.from_file(spark, scratch_file(spark, "a.edf", edf_bytes(False)), "edf"))
+    return _samples(Recording.from_file(spark, scratch_file(spark, "a.edf", edf_blocks(spark, d, False)), "edf"))
 
 
 @_query(_edf_sql(2**23))
 def bdf_read(spark, d):
-    return _samples(Recording.from_file(spark, scratch_file(spark, "a.bdf", edf_bytes(True)), "edf"))
+    return _samples(Recording.from_file(spark, scratch_file(spark, "a.bdf", edf_blocks(spark, d, True)), "edf"))
 
 
-@_query(f"SELECT * FROM ({_edf_sql(2**15)}) WHERE channel = 'left' AND t BETWEEN 1e-1 AND 6e-1")
+def _between(rec: Recording, low: float, high: float) -> Recording:
+    rec = rec.select_channels("left")
+    return Recording(rec.spark, rec.signals.where(F.col("t").between(low, high)), rec.channels)
+
+
+@_query(f"SELECT * FROM ({_edf_sql(2**15)}) WHERE channel = 'left' AND t BETWEEN 1e2 AND 4e2")
 def edf_read_a_second(spark, d):
     """A channel and a range of time: both reach the reader."""
-    rec = Recording.from_file(spark, scratch_file(spark, "a.edf", edf_bytes(False)), "edf").select_channels("left")
-    return _samples(Recording(spark, rec.signals.where(F.col("t").between(0.1, 0.6)), rec.channels))
+    return _samples(_between(Recording.from_file(spark, scratch_file(spark, "a.edf", edf_blocks(spark, d, False)), "edf"), 100.0, 400.0))
+
+
+@_query(_edf_sql(2**15, "since"))
+def edf_read_gaps(spark, d):
+    """A discontinuous file: every event is a record with an onset of its own."""
+    return _samples(Recording.from_file(spark, scratch_file(spark, "a.edf", edf_blocks(spark, d, False, True)), "edf"))
+
+
+@_query(f"SELECT * FROM ({_edf_sql(2**23, 'since')}) WHERE channel = 'left' AND t BETWEEN 1e5 AND 1.5e6")
+def bdf_read_gaps_a_range(spark, d):
+    """Bounds on time in a discontinuous file become a range of records, found by bisection."""
+    return _samples(_between(Recording.from_file(spark, scratch_file(spark, "a.bdf", edf_blocks(spark, d, True, True)), "edf"), 1e5, 1.5e6))
+
+
+@_query(
+    """WITH n AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
+    SELECT user_id::VARCHAR AS recording, event_type AS channel, n AS n_written, max(n) OVER (PARTITION BY user_id) AS n_read, true AS within_a_step FROM n"""
+)
+def folder_round_trip(spark, d):
+    """Events of each user as a recording: all written in one go, and the folder read as one table."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    e = with_ordinal(e, ["user_id", "event_type"], ["us", "event_id"], F.floor(F.col("us") / 3_600_000_000))
+    signals = e.select(F.concat(F.lit("user-"), "user_id").alias("recording_id"), F.col("event_type").alias("channel"), F.lit(0).alias("channel_idx"), "sample_index", F.col("sample_index").cast("double").alias("t"), F.col("value").cast("double").alias("value"))
+    place = F.dense_rank().over(Window.partitionBy("recording_id").orderBy("channel"))
+    channels = signals.select("recording_id", "channel").distinct().select("recording_id", "channel", (place - 1).alias("channel_idx"), F.lit("EMG").alias("channel_type"), F.lit(1.0).alias("sample_frequency"), F.lit("mV").alias("physical_dimension"), F.lit("n/a").alias("prefilter"))
+    folder = scratch_folder(spark)
+    Recording(spark, signals, channels).to_edf_folder(folder)
+    back = Recording.from_file(spark, folder, "edf")
+    name = F.regexp_extract("recording_id", r"user-(\d+)\.edf$", 1)
+    steps = back.channels.select("recording_id", "channel", ((F.col("physical_max") - F.col("physical_min")) / (F.col("digital_max") - F.col("digital_min")) * 1.001 + (F.col("physical_max") - F.col("physical_min")) * 1e-5 + 1e-9).alias("step"))
+    read = back.signals.join(steps, ["recording_id", "channel"]).select(name.alias("recording"), "channel", "sample_index", F.col("value").alias("read"), "step")
+    was = signals.select(F.substring("recording_id", 6, 20).alias("recording"), "channel", "sample_index", "value")
+    both = read.join(was, ["recording", "channel", "sample_index"], "left")
+    return both.groupBy("recording", "channel").agg(
+        F.count("value").alias("n_written"), F.count(F.lit(1)).alias("n_read"), F.bool_and(F.abs(F.col("read") - F.col("value")) <= F.col("step")).alias("within_a_step")
+    )
 
 
 def _events_recording(spark: SparkSession, d: str, factor: float) -> Recording:
@@ -153,7 +252,7 @@ _BACK_SQL = "SELECT event_type AS channel, 'EMG' AS channel_type, count(*) AS n,
 def _there_and_back(spark: SparkSession, d: str, factor: float) -> DataFrame:
     """Limits have 8 characters in a header, so values at the ends may lie beyond them by some millionths of the range."""
     rec = _events_recording(spark, d, factor)
-    path = rec.to_edf(scratch_file(spark, "out.dat"))
+    path = rec.to_edf(f"{scratch_folder(spark)}/out.dat")
     back = Recording.from_file(spark, path, "edf")
     limits = back.channels.select("channel", "channel_type", ((F.col("physical_max") - F.col("physical_min")) / (F.col("digital_max") - F.col("digital_min"))).alias("step"), ((F.col("physical_max") - F.col("physical_min")) * 1e-5).alias("limit"))
     both = back.signals.select("channel", "sample_index", F.col("value").alias("read")).join(rec.signals.select("channel", "sample_index", "value"), ["channel", "sample_index"], "left").join(F.broadcast(limits), "channel")
