@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from myospark.llm import language_id
-from myospark.llm.common import materialize, table
+from myospark.llm.common import materialize, release, table
 from myospark.llm.decontaminate import drop_contaminated
 from myospark.llm.exact_dedup import drop_copies
 from myospark.llm.mixing import poisson_mix
@@ -55,8 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents table of ``sf_dir``. A stage's table goes once the next one's is written, so there are two at most."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

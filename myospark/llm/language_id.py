@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +26,10 @@ FAMILIES = {
 }
 DIMS, SAMPLE, SEED, STEPS = 1 << 14, 4000, 3, 150
 UNDETERMINED = "und"
-#: A machine takes dims floats: 64 KB. Languages of one family are parted in pairs, so that 200 make some 60 MB at worst in families of 40.
-MOST_LANGUAGES = 200
+#: A machine takes dims floats. All languages are learned; so that their machines fit in MODEL_BYTES, dims are halved from some 2,000 languages on.
+MODEL_BYTES, LEAST_DIMS = 128 << 20, 1 << 10
 #: One sampled text in CALIBRATE is not fitted; all of those but a share of STRAY count as in a learned language.
-CALIBRATE, STRAY, SHORT = 5, 0.002, 8
+CALIBRATE, STRAY = 5, 0.002
 _WORDLIKE = re.compile(r"[^\W\d_]+")
 
 
@@ -35,6 +37,12 @@ def family_of(lang: str) -> str:
     return next((name for name, langs in FAMILIES.items() if lang in langs), lang)
 
 
+def machines_for(langs: list[str]) -> int:
+    """One for each family, and one for each pair of languages within a family."""
+    sizes = Counter(family_of(lang) for lang in langs)
+    return len(sizes) + sum(n * (n - 1) // 2 for n in sizes.values())
+
+
 def _machine(rows: Rows, y: np.ndarray, dims: int, steps: int) -> tuple[np.ndarray, float, float]:
     """A squared-hinge linear SVM with balanced classes, and the slope that turns its margin into a probability."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
@@ -60,8 +68,9 @@ class LanguageModel:
         self.families, self.machines, self.dims, self.seen, self.least = families, machines, dims, np.zeros(dims, dtype=bool), 0.0
 
     def known(self, rows: Rows) -> np.ndarray:
-        """The share of each text's features that is seen; features have unit length, so squares sum to 1."""
-        return np.bincount(rows.row, weights=rows.val * rows.val * self.seen[rows.idx], minlength=rows.n)
+        """The share of each text's features that is seen; features have unit length, so squares sum to 1. A text without features holds nothing unknown."""
+        share = np.bincount(rows.row, weights=rows.val * rows.val * self.seen[rows.idx], minlength=rows.n)
+        return np.where(np.diff(rows.start) > 0, share, 1.0)
 
     @staticmethod
     def _one_versus_rest(classes: list[str], probs: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -122,17 +131,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on at most ``sample`` whole texts, those of smallest id hash among documents not held out, the same number of each language.
 
     Only text and lang of documents with crc32(id) mod 3 <> 1 and a non-null lang are read. One scan finds the
-    sample, by a bound on the hashes. Families are parted one versus the rest, and only languages of one
-    family one versus one, so machines grow with the number of languages; at most MOST_LANGUAGES, the most frequent, are
-    learned. Every CALIBRATE-th sampled text is kept from the fit and sets the model's ``least`` share of seen features:
+    sample, by a bound on the hashes; of many languages each has 20 texts. Families are parted one versus the rest, and only
+    languages of one family one versus one, so machines grow with the number of languages. Every CALIBRATE-th sampled text is kept from the fit and sets the model's ``least`` share of seen features:
     half way from what a random text would have to what all of those but STRAY have.
     """
     spark = docs.sparkSession
     pool = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("lang is not null and id is not null").where(crc_mod("id", 3) != 1)
-    frequent = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("id", 0.02).alias("ids")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    frequent = pool.groupBy("lang").agg(F.approx_count_distinct("id", 0.02).alias("ids")).collect()  # one row a language
     langs = sorted(r["lang"] for r in frequent)
     if not langs:
         return LanguageModel({}, [], dims)
+    while dims > LEAST_DIMS and 4 * dims * machines_for(langs) > MODEL_BYTES:
+        dims //= 2
     share = max(sample // len(langs), 20)
     picks = _smallest(pool, {r["lang"]: r["ids"] for r in frequent}, share)
     small = F.broadcast(picks.select(F.col("id").alias(P + "id"), F.col("lang").alias(P + "lang")))  # at most share rows a language
@@ -214,7 +224,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     nothing was learned. Null ids have a null held_out. Texts are read whole; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
-    known = docs.sparkSession.sparkContext.broadcast(model)  # dims floats a machine, see MOST_LANGUAGES
+    known = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES, or LEAST_DIMS floats a machine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
@@ -232,18 +242,16 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
     """The documents in a learned language, with all their columns; those without a letter or in no learned language go.
 
     A document is in a learned language if the model knows a share of ``least`` of it, by default the model's own, set on
-    texts kept from the fit. Texts with a letter but under SHORT bytes stay, as little tells about them.
+    texts kept from the fit. A text with a letter but without features (under three bytes) holds nothing unknown and stays.
+    Only texts go to Python.
     """
     bounded_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
-    at, floor = docs.columns.index(text_col), model.least if least is None else least
+    floor = model.least if least is None else least
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = known.value
-        for batch in batches:
-            langs, _, share = m.predict(batch.column(at))
-            short = np.array([len((t.as_py() or "").encode()) < SHORT for t in batch.column(at)], dtype=bool)
-            good = [lang != UNDETERMINED and ok for lang, ok in zip(langs, (short | (share >= floor)).tolist(), strict=True)]
-            yield batch.filter(pa.array(good, pa.bool_()))
+    @F.pandas_udf("boolean")
+    def stays(texts: pd.Series) -> pd.Series:
+        langs, _, share = known.value.predict(pa.array(texts, pa.string()))
+        return pd.Series((np.array(langs, dtype=object) != UNDETERMINED) & (share >= floor))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(stays(F.col(text_col)))

@@ -35,7 +35,7 @@ def language_features(text, dims):
 def plain_language(model, text):
     """(language, score, known share) by the rules of the two levels, one text and one machine at a time."""
     x = language_features(text, model.dims)
-    known = sum(v * v for k, v in x.items() if model.seen[k])
+    known = sum(v * v for k, v in x.items() if model.seen[k]) if x else 1.0
     if not any(ch.isalpha() for ch in text or ""):
         return "und", 0.0, known
     p = {(level, a, b): sigmoid((sum(v * float(w[k]) for k, v in x.items()) + c) * slope) for level, a, b, w, c, slope in model.machines}
@@ -65,7 +65,7 @@ def test_language_against_plain_python(spark, sf):
     for r in rows:
         lang, score, known = plain_language(model, r["text"])
         assert got[r["doc_id"]]["lang_pred"] == lang and got[r["doc_id"]]["score"] == pytest.approx(score, abs=1e-5)
-        assert (r["doc_id"] in kept) == (lang != "und" and (known >= model.least or len(r["text"].encode()) < language_id.SHORT))
+        assert (r["doc_id"] in kept) == (lang != "und" and known >= model.least)
 
 
 def test_three_families_and_unlearned_languages(make):
@@ -87,6 +87,23 @@ def test_three_families_and_unlearned_languages(make):
     assert kept == set(range(50))  # texts in no learned language go, clean ones stay
 
 
+def test_short_texts_go_by_the_same_rule(make):
+    docs = make(["the thing that was there with them and then"] * 40 + ["le chose et la autre avec eux pour dans que"] * 40, ["en"] * 40 + ["fr"] * 40)
+    probe = ["z9q", "xq", "the", "ab", "q", "then", "qqqq zzz qqq zzz kkk", "1", ""]
+    model = language_id.train(docs)
+    kept = {r["doc_id"] for r in language_id.keep_identified(make(probe), model).collect()}
+    assert kept == {1, 2, 3, 4, 5}  # a text under three bytes holds nothing unknown
+
+
+def test_all_languages_are_learned(make, monkeypatch):
+    langs = [f"x{i}" for i in range(260)]
+    docs = make([f"word{lang} of{lang} {lang}talk and {lang}more" for lang in langs for _ in range(8)], [lang for lang in langs for _ in range(8)])
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 260 * 4 * 2048)
+    model = language_id.train(docs, steps=2)
+    assert model.dims == 2048 and sorted(v for own in model.families.values() for v in own) == sorted(langs)
+    assert len(model.machines) == language_id.machines_for(langs) == 260
+
+
 def test_the_sample_holds_the_smallest_hashes(spark):
     import hashlib
 

@@ -20,7 +20,7 @@ def test_run(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = language_id.train(docs)
     said = {r["doc_id"]: plain_language(model, r["text"]) for r in docs.collect()}
-    rows = [r for r in docs.collect() if said[r["doc_id"]][0] != "und" and (said[r["doc_id"]][2] >= model.least or len(r["text"].encode()) < language_id.SHORT)]
+    rows = [r for r in docs.collect() if said[r["doc_id"]][0] != "und" and said[r["doc_id"]][2] >= model.least]
     best = {}
     for r in rows:
         key = (r["text"] or "").translate(FOLD)
@@ -66,7 +66,8 @@ def test_stages_take_odd_rows(make, spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for given in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {given} AS SELECT * FROM '{sf}/{given}.parquet'")
     ours, theirs = queries.QUERIES[name](spark, sf).toPandas(), con.sql(queries.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     cols = sorted(ours.columns)
@@ -74,5 +75,15 @@ def test_against_sql(spark, sf, name):
     assert rows(ours) == rows(theirs)
 
 
-def test_ten_operators_are_registered():
-    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 11))
+def test_all_operators_are_registered():
+    assert {int(k[2:].split("_")[0]) for k in queries.QUERIES} == set(range(1, 14))
+
+
+def test_a_run_keeps_two_tables_at_most(spark, sf, monkeypatch):
+    made, gone = [], []
+    keep = corpus_pipeline.materialize
+    monkeypatch.setattr(corpus_pipeline, "materialize", lambda df: made.append(keep(df)) or made[-1])
+    drop = corpus_pipeline.release
+    monkeypatch.setattr(corpus_pipeline, "release", lambda df: (gone.append(df.scratch_path), drop(df)))
+    corpus_pipeline.run(spark, sf).count()
+    assert gone == [df.scratch_path for df in made[:-1]]
