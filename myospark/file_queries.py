@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +99,47 @@ def trigno_read(spark, d):
     return _samples(Recording.from_file(spark, scratch_file(spark, "t.csv", text()), "trigno"))
 
 
+def scratch_text(spark: SparkSession, name: str, head: bytes, lines: DataFrame) -> str:
+    """A new file of a head and the lines that tasks wrote, partition by partition, in the order of these."""
+    folder = scratch_folder(spark)
+    lines.write.text(f"{folder}/parts" if "://" in folder or folder.startswith("file:") else f"file://{folder}/parts")
+    system, at = locate(folder)
+    parts = sorted(i.path for i in system.get_file_info(fs.FileSelector(f"{at}/parts")) if i.path.rsplit("/", 1)[1].startswith("part-"))
+    with system.open_output_stream(f"{at}/{name}") as out:
+        out.write(head)
+        for part in parts:
+            with system.open_input_stream(part) as f:
+                while block := f.read(4 << 20):
+                    out.write(block)
+    return f"{folder}/{name}"
+
+
+_LINES = "WITH n AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i FROM lineitem)"
+_LINES_SQL = f"""{_LINES} SELECT 'EMG1' AS channel, 'EMG' AS channel_type, 'mV' AS physical_dimension, 'n/a' AS prefilter, i AS sample_index, round(i / 2000e0, 9) AS t, round(l_extendedprice, 9) + 0e0 AS value FROM n
+    UNION ALL SELECT 'ACC 1', 'ACC', 'g', 'n/a', i, round(i / 2000e0, 9), l_quantity FROM n WHERE l_returnflag <> 'R'"""
+
+
+def _lines_recording(spark: SparkSession, d: str) -> Recording:
+    """A text of all rows of lineitem, in order, read by ranges of a quarter of a megabyte."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber")
+    lines = rows.select(F.concat_ws(",", F.lit("0"), "l_extendedprice", F.lit("0"), F.when(F.col("l_returnflag") == "R", "").otherwise(F.col("l_quantity").cast("string"))))
+    head = b'Label: EMG1 Sampling frequency: 2000.0 Unit: mV Domain: time\nLabel: ACC 1 Sampling frequency: 148.1481 Unit: g Domain: time\n\nX[s],"EMG1","X[s]","ACC 1"\n'
+    return Recording.from_file(spark, scratch_text(spark, "lines.csv", head, lines), "trigno", pack_bytes=1 << 18)
+
+
+@_query(_LINES_SQL)
+def trigno_read_ranges(spark, d):
+    """A large text in many partitions: tasks count the rows of each range, then read ranges with the ordinals of their first rows."""
+    return _samples(_lines_recording(spark, d))
+
+
+@_query(f"SELECT * FROM ({_LINES_SQL}) WHERE channel = 'ACC 1' AND sample_index BETWEEN 20000 AND 40000")
+def trigno_read_some_ranges(spark, d):
+    """A channel and a range of samples: ranges of the text without them are not opened, and other columns are not parsed."""
+    rec = _lines_recording(spark, d).select_channels("ACC 1")
+    return _samples(Recording(spark, rec.signals.where(F.col("sample_index").between(20_000, 40_000)), rec.channels))
+
+
 def _words(spark: SparkSession, d: str, bits: int) -> Iterable[bytes]:
     """Sample rows of two channels from all events; with 24 bits a sample is a row of high words and one of low ones."""
     for rows in _rows(spark, d, ["event_id", "user_id"]):

@@ -14,8 +14,9 @@ from .operators.analysis import KEYS, analysis_of, channel_stats, precision_loss
 from .schema import CHANNELS, METADATA, SIGNALS, read_back, written
 from .sinks.edf import export_edf, export_recordings
 from .sinks.tsv import channels_tsv
-from .sources.catalogue import catalogue, channel_rows, header_of, metadata_rows
-from .sources.files import is_one_file, list_files
+from .sources.base import PACK_BYTES
+from .sources.catalogue import catalogue, channel_rows, counted, header_of, metadata_rows
+from .sources.files import file_size, is_one_file, list_files
 from .sources.registry import importer, register
 
 #: Up to so many channels are named to the readers of files.
@@ -32,19 +33,25 @@ class Recording:
         self.metadata = metadata if metadata is not None else spark.createDataFrame([], METADATA)
 
     @classmethod
-    def from_file(cls, spark: SparkSession, filepath: str | list[str], importer_name: str = "trigno", time_base: str = "shared", sidecar: bool = False) -> Recording:
-        """Read a file by a named importer: trigno, otb or edf. Only the header is read now.
+    def from_file(cls, spark: SparkSession, filepath: str | list[str], importer_name: str = "trigno", time_base: str = "shared", sidecar: bool = False, pack_bytes: int = PACK_BYTES) -> Recording:
+        """Read a file by a named importer: trigno, otb or edf. Only the header is read now; of texts larger than
+        ``pack_bytes``, tasks count the rows first, so that ranges of them can be read apart.
 
         A folder, a pattern or a list of files makes one handle for all of them, each a recording by its path: now they are
         only listed, and tasks read the headers. With ``sidecar`` channel types come from each file's channels.tsv.
         """
         source = importer(importer_name)
         register(spark)
-        load = spark.read.format(source.name()).option("timebase", time_base).load
-        if not is_one_file(filepath):
-            files = list_files(filepath, source.reader_class.extensions)
+        reader = spark.read.format(source.name()).option("timebase", time_base).option("packbytes", pack_bytes)
+        one = is_one_file(filepath)
+        if one:
+            head = header_of(source.reader_class, filepath, sidecar)
+        files = [(filepath, file_size(filepath))] if one else list_files(filepath, source.reader_class.extensions)
+        if hasattr(source.reader_class, "count"):
+            reader = reader.option("rowcounts", counted(spark, source.reader_class, files, pack_bytes, time_base))
+        load = reader.load
+        if not one:
             return cls(spark, load(filepath), *catalogue(spark, source.reader_class, files, sidecar))
-        head = header_of(source.reader_class, filepath, sidecar)
         rows = channel_rows(filepath, head)
         return cls(spark, load(filepath) if rows else None, spark.createDataFrame(rows, CHANNELS), spark.createDataFrame(metadata_rows(filepath, head), METADATA))
 

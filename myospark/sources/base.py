@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 from abc import ABC, abstractmethod
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from math import inf
 
@@ -55,9 +55,13 @@ class Pack(InputPartition):
         self.ranges = ranges
 
 
-def packed(files: list[tuple[str, int]], most: int, opening: int, cut: bool = True) -> list[Pack]:
+def byte_ranges(path: str, size: int, most: int) -> list[tuple[str, int, int]]:
+    return [(path, a, min(size, a + most)) for a in range(0, max(1, size), most)]
+
+
+def packed(files: list[tuple[str, int]], most: int, opening: int, may_split: Callable[[str], bool] = lambda path: True) -> list[Pack]:
     """Cut files into ranges of at most ``most`` bytes and put them, large ones first, into packs that hold no more; a file that must stay whole may be a larger pack."""
-    ranges = [(path, a, min(size, a + most) if cut else size) for path, size in files for a in range(0, max(1, size), most if cut else max(1, size))]
+    ranges = [one for path, size in files for one in (byte_ranges(path, size, most) if may_split(path) else [(path, 0, size)])]
     packs: list[Pack] = []
     room = 0
     for one in sorted(ranges, key=lambda r: (r[1] - r[2], r[0], r[1])):
@@ -102,8 +106,6 @@ class RecordingReader(Pushdown, DataSourceReader, ABC):
 
     #: Names of files that a folder of recordings may hold.
     extensions: tuple[str, ...] = ()
-    #: Whether byte ranges of a file may be read by different tasks.
-    splittable = True
 
     def __init__(self, path: str, options: dict, asked: Pushdown | None = None) -> None:
         super().__init__()
@@ -116,6 +118,11 @@ class RecordingReader(Pushdown, DataSourceReader, ABC):
     @abstractmethod
     def read_header(path: str) -> Header: ...
 
+    @staticmethod
+    def may_split(path: str, options: dict) -> bool:
+        """Whether byte ranges of a file may be read by different tasks."""
+        return True
+
     @abstractmethod
     def units(self) -> tuple[int, int, int, int]:
         """Number of units, the first one's byte, bytes of a unit (0: the file cannot be entered midway), and units in a slice."""
@@ -199,7 +206,7 @@ class FolderReader(Pushdown, DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         files = [f for f in self.files if self.recordings is None or f[0] in self.recordings]
         most = int(self.options.get("packbytes", PACK_BYTES))
-        return packed(files, most, int(self.options.get("opencost", OPEN_COST)), self.kind.splittable) or [Pack([])]
+        return packed(files, most, int(self.options.get("opencost", OPEN_COST)), lambda path: self.kind.may_split(path, self.options)) or [Pack([])]
 
     def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
         for path, begin, stop in partition.ranges:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import CHANNELS, METADATA, written
-from .base import Header, RecordingReader
+from .base import Header, RecordingReader, byte_ranges
 from .files import read_bytes
 
 NAMES = [f.name for f in CHANNELS.fields]
@@ -49,3 +50,31 @@ def catalogue(spark: SparkSession, reader: type[RecordingReader], files: list[tu
         return names.mapInPandas(read, schema)
 
     return job(channel_rows, CHANNELS), job(metadata_rows, METADATA)
+
+
+def counted(spark: SparkSession, reader: type[RecordingReader], files: list[tuple[str, int]], most: int, time_base: str = "shared") -> str:
+    """What the reader of a text needs to split files of more than ``most`` bytes: the rows in each range of ``most`` bytes.
+
+    Tasks count the rows, a range each. The driver gets one number a range, and with a time base for each channel also the
+    number of samples of each channel, as a JSON object by path.
+    """
+    large = [one for path, size in files if size > most for one in byte_ranges(path, size, most)]
+    if not large:
+        return "{}"
+    own = time_base != "shared"
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(path, begin, *reader(path, {}).count(begin, end, own)) for path, begin, end in frame.itertuples(index=False)]
+            yield pd.DataFrame(found, columns=["path", "begin", "rows", "ends"])
+
+    ranges = spark.createDataFrame(large, "path string, begin long, end long").repartition(min(len(large), 10_000))
+    out: dict[str, dict] = {}
+    for path, begin, rows, ends in sorted(map(tuple, ranges.mapInPandas(count, "path string, begin long, rows long, ends array<long>").collect())):
+        known = out.setdefault(path, {"begin": [], "rows": [], "lengths": [0] * len(ends)})
+        before = known.pop("total", 0)
+        known["lengths"] = [before + n if n else was for n, was in zip(ends, known["lengths"], strict=True)]
+        known["begin"].append(begin)
+        known["rows"].append(rows)
+        known["total"] = before + rows
+    return json.dumps(out)

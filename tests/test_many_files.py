@@ -1,5 +1,8 @@
 """Folders of recordings, discontinuous files, and the writer as a data source."""
 
+import csv
+import io
+import json
 import os
 import subprocess
 import sys
@@ -17,6 +20,7 @@ from myospark.sinks.edf import ANNOTATION_BYTES, header_bytes
 from myospark.sources import base
 from myospark.sources.edf import EdfReader, RecordClock, parse_header
 from myospark.sources.files import list_files
+from myospark.sources.trigno import TrignoReader, line_blocks
 
 
 def sessions(spark, n, channels=2, samples=2500, rate=1000.0):
@@ -205,3 +209,76 @@ def test_a_write_survives_a_lost_task(spark, tmp_path):
     for name in os.listdir(tmp_path / "plain"):
         assert (tmp_path / "plain" / name).read_bytes() == (tmp_path / "out" / name).read_bytes()
     assert parse_header(str(tmp_path / "out" / "s0.edf"))["records"] == 3
+
+
+LABELS = "Label: EMG1 Sampling frequency: 2000.0 Unit: mV Domain: time\nLabel: ACC 1 Sampling frequency: 148.1481 Unit: g Domain: time\n\nX[s],\"EMG1\",\"X[s]\",\"ACC 1\"\n"
+
+
+def row_by_row(text):
+    """Samples of a text, by the csv module over the whole of it."""
+    rows = list(csv.reader(io.StringIO(text[len(LABELS) :])))
+    rows = [r for r in rows if any(c.strip() for c in r)]
+    return [(i, *(float(r[at]) if at < len(r) and r[at].strip() else None for at in (1, 3))) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("time_base", ["shared", "channel"])
+def test_texts_by_ranges(spark, tmp_path, end, time_base):
+    lines = []
+    for i in range(900):
+        lines.append(f"{i},{i * 0.5 - 3},{i},{'' if i % 7 == 0 or i > 700 else i}")
+        if i % 50 == 3:
+            lines += ["", " , ,,", '"","","",""']
+        if i % 90 == 5:
+            lines += [f"{i},1e3", f'{i},"{i}",0,+7.5,9,9', f" {i} , {i} ,0, 4"]
+    text = LABELS + end.join(lines)
+    p = tmp_path / "a.csv"
+    p.write_bytes(b"\xef\xbb\xbf" + text.encode())
+    want = row_by_row(text)
+    lasts = [len(want)] * 2 if time_base == "shared" else [max(i for i, *v in want if v[k] is not None) + 1 for k in range(2)]
+    for most in (1 << 20, 1000, 97, 13):
+        rec = Recording.from_file(spark, str(p), "trigno", time_base, pack_bytes=most)
+        if most == 1000:
+            assert rec.signals.rdd.getNumPartitions() > 10
+        for k, name in enumerate(("EMG1", "ACC 1")):
+            got = [(r[0], None if np.isnan(r[1]) else r[1]) for r in rec.signals.where(F.col("channel") == name).orderBy("sample_index").select("sample_index", "value").collect()]
+            assert got == [(i, v[k]) for i, *v in want][: lasts[k]]
+        if most > 97:
+            (tmp_path / f"f{most}").mkdir()
+            (tmp_path / f"f{most}" / "b.csv").write_bytes(p.read_bytes())
+            (tmp_path / f"f{most}" / "c.csv").write_text(LABELS + "0,1,0,2")
+            both = Recording.from_file(spark, str(tmp_path / f"f{most}"), "trigno", time_base, pack_bytes=most).signals
+            assert both.where(F.col("recording_id").endswith("b.csv")).drop("recording_id").exceptAll(rec.signals.drop("recording_id")).count() == 0
+            assert both.count() == rec.signals.count() + 2
+
+
+def test_ranges_of_a_text_that_bounds_leave(tmp_path):
+    p = str(tmp_path / "a.csv")
+    with open(p, "w") as f:
+        f.write(LABELS + "".join(f"0,{i},0,1\n" for i in range(1000)))
+    counts = json.dumps({p: {"begin": [0, 1000, 5000], "rows": [100, 500, 400], "lengths": [1000, 1000]}})
+    reader = TrignoReader(p, {"rowcounts": counts})
+    assert [(s.first, s.last) for s in reader.within()] == [(0, 100), (100, 600), (600, 1000)]
+    list(reader.pushFilters([GreaterThanOrEqual(("sample_index",), 200), LessThanOrEqual(("t",), 0.25)]))
+    assert [(s.first, s.last) for s in reader.within()] == [(100, 600)]
+
+
+def test_a_line_break_within_quotes(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text(LABELS + '0,"1\n2",0,1\n')
+    with pytest.raises(Exception, match="line break within quotes"):
+        Recording.from_file(spark, str(p)).signals.count()
+    with pytest.raises(Exception, match="line break within quotes"):
+        Recording.from_file(spark, str(p), pack_bytes=len(LABELS)).signals.count()
+
+
+def test_lines_longer_than_a_block(tmp_path):
+    p = tmp_path / "a.csv"
+    lines = [b"a" * n + b"\n" for n in (3, 50, 0, 7, 200, 1)] + [b"end"]
+    p.write_bytes(b"".join(lines))
+    size = p.stat().st_size
+    for most in (1, 5, 64, 1000):
+        for block in (4, 33, 1000):
+            got = [b"".join(line_blocks(str(p), a, min(size, a + most), block)) for a in range(0, size, most)]
+            assert b"".join(got) == b"".join(lines)
+            assert all(not g or g.endswith((b"\n", b"end")) for g in got)
