@@ -136,8 +136,7 @@ def trigno_read_ranges(spark, d):
 @_query(f"SELECT * FROM ({_LINES_SQL}) WHERE channel = 'ACC 1' AND sample_index BETWEEN 20000 AND 40000")
 def trigno_read_some_ranges(spark, d):
     """A channel and a range of samples: ranges of the text without them are not opened, and other columns are not parsed."""
-    rec = _lines_recording(spark, d).select_channels("ACC 1")
-    return _samples(Recording(spark, rec.signals.where(F.col("sample_index").between(20_000, 40_000)), rec.channels))
+    return _samples(_lines_recording(spark, d).select_channels("ACC 1").between(20_000, 40_000, by="sample_index"))
 
 
 def _words(spark: SparkSession, d: str, bits: int) -> Iterable[bytes]:
@@ -232,9 +231,21 @@ def bdf_read(spark, d):
     return _samples(Recording.from_file(spark, scratch_file(spark, "a.bdf", edf_blocks(spark, d, True)), "edf"))
 
 
+_READ = _edf_sql(2**15)
+_TWO_SQL = f"""SELECT a.sample_index, a.value AS emg, b.value AS acc FROM ({_READ}) a JOIN ({_READ}) b USING (sample_index)
+    WHERE a.channel = 'EMG1' AND b.channel = 'left' AND a.t >= 1e2"""
+
+
+@_query(_TWO_SQL)
+def edf_two_channels(spark, d):
+    """Two channels of one loaded table side by side: each of its scans has filters of its own."""
+    signals = Recording.from_file(spark, scratch_file(spark, "a.edf", edf_blocks(spark, d, False)), "edf").signals
+    one, other = (signals.where(F.col("channel") == c).select("sample_index", "t", (F.round("value", 9) + F.lit(0.0)).alias(v)) for c, v in (("EMG1", "emg"), ("left", "acc")))
+    return one.where("t >= 1e2").drop("t").join(other.drop("t"), "sample_index")
+
+
 def _between(rec: Recording, low: float, high: float) -> Recording:
-    rec = rec.select_channels("left")
-    return Recording(rec.spark, rec.signals.where(F.col("t").between(low, high)), rec.channels)
+    return rec.select_channels("left").between(low, high)
 
 
 @_query(f"SELECT * FROM ({_edf_sql(2**15)}) WHERE channel = 'left' AND t BETWEEN 1e2 AND 4e2")

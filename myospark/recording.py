@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from typing import Any
 
 import numpy as np
@@ -19,16 +21,17 @@ from .sources.catalogue import catalogue, channel_rows, counted, header_of, meta
 from .sources.files import file_size, is_one_file, list_files
 from .sources.registry import importer, register
 
-#: Up to so many channels are named to the readers of files.
+#: Up to so many channels of a type are named to the readers of files.
 FEW_NAMES = 100
 
 
 class Recording:
     """Handles are cheap: every operation is a plan over the three tables, and runs when rows are asked for."""
 
-    def __init__(self, spark: SparkSession, signals: DataFrame | None = None, channels: DataFrame | None = None, metadata: DataFrame | None = None) -> None:
+    def __init__(self, spark: SparkSession, signals: DataFrame | None = None, channels: DataFrame | None = None, metadata: DataFrame | None = None, read: Callable[..., DataFrame] | None = None) -> None:
+        """``read`` loads the same samples anew, or fewer of them by what a load may be asked for (``sources.base.Asked``)."""
         self.spark = spark
-        self.signals = signals
+        self._keep(signals, read)
         self.channels = channels if channels is not None else spark.createDataFrame([], CHANNELS)
         self.metadata = metadata if metadata is not None else spark.createDataFrame([], METADATA)
 
@@ -42,18 +45,39 @@ class Recording:
         """
         source = importer(importer_name)
         register(spark)
-        reader = spark.read.format(source.name()).option("timebase", time_base).option("packbytes", pack_bytes)
+        settings = {"timebase": time_base, "packbytes": pack_bytes}
         one = is_one_file(filepath)
         if one:
             head = header_of(source.reader_class, filepath, sidecar)
         files = [(filepath, file_size(filepath))] if one else list_files(filepath, source.reader_class.extensions)
         if hasattr(source.reader_class, "count"):
-            reader = reader.option("rowcounts", counted(spark, source.reader_class, files, pack_bytes, time_base))
-        load = reader.load
+            settings["rowcounts"] = counted(spark, source.reader_class, files, pack_bytes, time_base)
+
+        def read(**asked: Any) -> DataFrame:
+            """A table of its own for each set of options."""
+            return spark.read.format(source.name()).options(**settings, **{k: json.dumps(v) for k, v in asked.items()}).load(filepath)
+
         if not one:
-            return cls(spark, load(filepath), *catalogue(spark, source.reader_class, files, sidecar))
+            return cls(spark, read(), *catalogue(spark, source.reader_class, files, sidecar), read)
         rows = channel_rows(filepath, head)
-        return cls(spark, load(filepath) if rows else None, spark.createDataFrame(rows, CHANNELS), spark.createDataFrame(metadata_rows(filepath, head), METADATA))
+        return cls(spark, read() if rows else None, spark.createDataFrame(rows, CHANNELS), spark.createDataFrame(metadata_rows(filepath, head), METADATA), read)
+
+    def _keep(self, signals: DataFrame | None, read: Callable[..., DataFrame] | None) -> None:
+        self.signals, self._read, self._read_as = signals, read, signals
+
+    def _reader(self) -> Callable[..., DataFrame]:
+        """Loads samples by what is asked for. Samples that come from no file, or were set since, stay as they are."""
+        signals = self.signals
+        return self._read if self._read is not None and signals is self._read_as else lambda **asked: signals
+
+    def _narrowed(self, rows: Callable[[DataFrame], DataFrame], table: DataFrame, /, **asked: Any) -> Recording:
+        """Some of the samples: readers of files are asked for no others, and ``rows`` settles which."""
+        before = self._reader()
+
+        def read(**more: Any) -> DataFrame:
+            return rows(before(**narrower(asked, more)))
+
+        return Recording(self.spark, read(), table, self.metadata, read)
 
     def _names(self) -> list[str]:
         """Names of channels in order; one that several recordings have counts once."""
@@ -94,7 +118,8 @@ class Recording:
             chans = of_type(self.channels, channel_type)
             if chans.limit(1).count() == 0:
                 raise ValueError(f"No channels found of type: {channel_type}")
-            signals = selected_samples(self.signals, chans)
+            names = few_names(chans)
+            out = self._narrowed(lambda samples: selected_samples(samples, chans, names), chans, **({} if names is None else {"channels": names}))
         else:
             wanted = list(dict.fromkeys([channels] if isinstance(channels, str) else channels))
             kinds: dict[str, set[str]] = {}
@@ -107,15 +132,30 @@ class Recording:
                 wanted = [c for c in wanted if channel_type in kinds[c]]
                 if not wanted:
                     raise ValueError(f"None of the selected channels are of type: {channel_type}")
-            signals, chans = select_channels(self.signals, wanted), select_channels(self.channels, wanted)
+            chans = select_channels(self.channels, wanted)
             if channel_type is not None:
                 chans = chans.where(F.col("channel_type") == channel_type)
-                if any(len(kinds[c]) > 1 for c in wanted):  # of another type in some recording
-                    signals = selected_samples(signals, chans)
+            mixed = channel_type is not None and any(len(kinds[c]) > 1 for c in wanted)  # of another type in some recording
+            out = self._narrowed(lambda samples: selected_samples(samples, chans, wanted) if mixed else select_channels(samples, wanted), chans, channels=wanted)
         if inplace:
-            self.signals, self.channels = signals, chans
+            self._keep(out.signals, out._read)
+            self.channels = chans
             return self
-        return Recording(self.spark, signals, chans, self.metadata)
+        return out
+
+    def between(self, low: float | None = None, high: float | None = None, by: str = "t") -> Recording:
+        """Samples from ``low`` to ``high``, both included, by t or by sample_index; files are read only where such samples may be."""
+        self._loaded()
+        if by not in ("t", "sample_index"):
+            raise ValueError(f"a range is by t or by sample_index, not {by}")
+        name = "time" if by == "t" else "sample"
+        bounds = {f"{end}{name}": float(x) for end, x in (("from", low), ("to", high)) if x is not None}
+
+        def rows(samples: DataFrame) -> DataFrame:
+            samples = samples if low is None else samples.where(F.col(by) >= low)
+            return samples if high is None else samples.where(F.col(by) <= high)
+
+        return self._narrowed(rows, self.channels, **bounds)
 
     def channel_types(self) -> DataFrame:
         return self.channels.select("channel_type").distinct()
@@ -168,7 +208,8 @@ class Recording:
         missing = [c for c in wanted if c not in names]
         if missing:
             raise ValueError(f"Channels not found: {missing}")
-        data = self.signals.where(F.col("channel").isin(wanted))
+        bounds = {"fromtime": float(time_range[0]), "totime": float(time_range[1])} if time_range else {}
+        data = self._reader()(channels=wanted, **bounds).where(F.col("channel").isin(wanted))
         if time_range:
             data = plotframe.time_range(data, *time_range)
         order = self.spark.createDataFrame([(c, i, len(wanted)) for i, c in enumerate(wanted)], "channel string, pos int, n int")
@@ -210,14 +251,28 @@ def of_type(channels: DataFrame, channel_type: str) -> DataFrame:
     return channels.where(F.col("channel_type") == channel_type).withColumn("channel_idx", F.row_number().over(order) - 1)
 
 
-def selected_samples(signals: DataFrame, channels: DataFrame) -> DataFrame:
+def narrower(some: dict, more: dict) -> dict:
+    """Both of two sets of what a load is asked for."""
+    out = {**some, **more}
+    for k in some.keys() & more.keys():
+        a, b = some[k], more[k]
+        out[k] = [c for c in a if c in set(b)] if isinstance(a, list) else max(a, b) if k.startswith("from") else min(a, b)
+    return out
+
+
+def few_names(channels: DataFrame) -> list[str] | None:
+    """Names of the channels, if there are no more than FEW_NAMES."""
+    names = sorted(r["channel"] for r in channels.select("channel").distinct().limit(FEW_NAMES + 1).collect())
+    return names if len(names) <= FEW_NAMES else None
+
+
+def selected_samples(signals: DataFrame, channels: DataFrame, names: list[str] | None) -> DataFrame:
     """Samples of the channels that a table lists, with its numbers: a join whose plan does not grow with their number.
 
-    Spark broadcasts the table where it is small, and else may filter the samples by a bloom filter of it. Readers of files
-    are told the names of up to FEW_NAMES channels, so that they decode no others.
+    Spark broadcasts the table where it is small, and else may filter the samples by a bloom filter of it. ``names`` are
+    those of the channels, where they are few.
     """
-    names = [r["channel"] for r in channels.select("channel").distinct().limit(FEW_NAMES + 1).collect()]
-    if len(names) <= FEW_NAMES:
+    if names is not None:
         signals = signals.where(F.col("channel").isin(names))
     return signals.drop("channel_idx").join(channels.select(*KEYS, "channel_idx"), KEYS)
 

@@ -14,7 +14,7 @@ from math import inf
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import SIGNALS
 from .files import is_one_file, list_files
@@ -74,45 +74,29 @@ def packed(files: list[tuple[str, int]], most: int, opening: int, may_split: Cal
     return packs
 
 
-class Pushdown:
-    """What filters ask for: names of channels and recordings are settled by the reader, bounds on sample_index or t only save work."""
+class Asked:
+    """What the options of a load ask for: ``channels`` and ``recordings`` (JSON lists of names), and bounds on sample_index
+    (``fromsample``, ``tosample``) and t (``fromtime``, ``totime``), which only save work: rows beside them may come.
 
-    def __init__(self) -> None:
-        self.wanted: set[str] | None = None
-        self.recordings: set[str] | None = None
-        self.bounds: dict[str, list[float]] = {"sample_index": [-inf, inf], "t": [-inf, inf]}
+    Options, not pushed filters: Spark keeps one Python reader for all scans of a loaded table, so a filter of one scan
+    would narrow the others.
+    """
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds are noted, and Spark applies them again to the rows."""
-        for f in filters:
-            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if column in ("channel", "recording_id") and isinstance(f, (EqualTo, In)):
-                names, kept = {f.value} if isinstance(f, EqualTo) else set(f.value), "wanted" if column == "channel" else "recordings"
-                now = getattr(self, kept)
-                setattr(self, kept, names if now is None else now & names)
-                continue
-            if column in self.bounds and isinstance(getattr(f, "value", None), (int, float)):
-                low, high = self.bounds[column]
-                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
-                    low = max(low, f.value)
-                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
-                    high = min(high, f.value)
-                self.bounds[column] = [low, high]
-            yield f
+    def __init__(self, options: dict) -> None:
+        self.wanted, self.recordings = (set(json.loads(options[k])) if k in options else None for k in ("channels", "recordings"))
+        self.bounds = {c: (float(options.get(f"from{k}", -inf)), float(options.get(f"to{k}", inf))) for c, k in (("sample_index", "sample"), ("t", "time"))}
 
 
-class RecordingReader(Pushdown, DataSourceReader, ABC):
+class RecordingReader(Asked, DataSourceReader, ABC):
     """Reads slices of one file's samples: units of a fixed number of bytes, or a whole file that has no such units."""
 
     #: Names of files that a folder of recordings may hold.
     extensions: tuple[str, ...] = ()
 
-    def __init__(self, path: str, options: dict, asked: Pushdown | None = None) -> None:
-        super().__init__()
+    def __init__(self, path: str, options: dict) -> None:
+        super().__init__(options)
         self.path, self.options = path, options
         self.header = self.read_header(path)
-        if asked is not None:
-            self.wanted, self.recordings, self.bounds = asked.wanted, asked.recordings, asked.bounds
 
     @staticmethod
     @abstractmethod
@@ -196,11 +180,11 @@ class RecordingReader(Pushdown, DataSourceReader, ABC):
                 )
 
 
-class FolderReader(Pushdown, DataSourceReader):
+class FolderReader(Asked, DataSourceReader):
     """Reads many files of one kind. The driver knows their names and sizes; headers are read where the samples are."""
 
     def __init__(self, kind: type[RecordingReader], files: list[tuple[str, int]], options: dict) -> None:
-        super().__init__()
+        super().__init__(options)
         self.kind, self.files, self.options = kind, files, options
 
     def partitions(self) -> list[InputPartition]:
@@ -210,7 +194,7 @@ class FolderReader(Pushdown, DataSourceReader):
 
     def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
         for path, begin, stop in partition.ranges:
-            one = self.kind(path, self.options, self)
+            one = self.kind(path, self.options)
             for part in one.within(begin, stop):
                 yield from one.read(part)
 

@@ -19,7 +19,6 @@ def importer(name: str) -> type[RecordingSource]:
 
 
 def register(spark: SparkSession) -> None:
-    """Make the formats known to the session and let filters on channel reach their readers."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the formats known to the session."""
     for source in IMPORTERS.values():
         spark.dataSource.register(source)

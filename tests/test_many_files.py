@@ -11,7 +11,6 @@ import textwrap
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import GreaterThanOrEqual, In, LessThanOrEqual
 
 from myospark.recording import Recording
 from myospark.schema import CHANNELS
@@ -70,7 +69,7 @@ def test_packs_are_even_and_headers_stay_unread(spark, tmp_path, monkeypatch):
     packs = reader.partitions()
     assert sorted(r for p in packs for r in p.ranges) == sorted((path, a, min(a + 9000, n)) for path, n in files for a in range(0, n, 9000))
     assert max(sum(b - a + 100 for _, a, b in p.ranges) for p in packs) <= 9100 and len(packs) < sum(len(p.ranges) for p in packs)
-    list(reader.pushFilters([In(("recording_id",), (files[2][0],))]))
+    reader = base.FolderReader(EdfReader, files, {"packbytes": "9000", "recordings": json.dumps([files[2][0]])})
     assert {r[0] for p in reader.partitions() for r in p.ranges} == {files[2][0]}
 
 
@@ -123,8 +122,7 @@ def test_bounds_on_time_choose_records(tmp_path, monkeypatch):
     monkeypatch.setattr(source, "BLOCK_SAMPLES", 1)
     path = gapped(tmp_path / "d.edf", [k * 10 for k in range(1000)])
     for low, high in ((5000.0, 5020.0), (-5.0, 0.5), (1e9, 2e9), (9990.5, 1e9)):
-        reader = EdfReader(path, {})
-        list(reader.pushFilters([GreaterThanOrEqual(("t",), low), LessThanOrEqual(("t",), high)]))
+        reader = EdfReader(path, {"fromtime": str(low), "totime": str(high)})
         want = {k for k in range(1000) if k * 10 + 0.75 >= low and k * 10 <= high}
         got = [k for p in reader.partitions() for k in range(p.first, p.end)]
         assert want <= set(got) and len(got) <= len(want) + 2
@@ -259,7 +257,7 @@ def test_ranges_of_a_text_that_bounds_leave(tmp_path):
     counts = json.dumps({p: {"begin": [0, 1000, 5000], "rows": [100, 500, 400], "lengths": [1000, 1000]}})
     reader = TrignoReader(p, {"rowcounts": counts})
     assert [(s.first, s.last) for s in reader.within()] == [(0, 100), (100, 600), (600, 1000)]
-    list(reader.pushFilters([GreaterThanOrEqual(("sample_index",), 200), LessThanOrEqual(("t",), 0.25)]))
+    reader = TrignoReader(p, {"rowcounts": counts, "fromsample": "200", "totime": "0.25"})
     assert [(s.first, s.last) for s in reader.within()] == [(100, 600)]
 
 
@@ -282,3 +280,38 @@ def test_lines_longer_than_a_block(tmp_path):
             got = [b"".join(line_blocks(str(p), a, min(size, a + most), block)) for a in range(0, size, most)]
             assert b"".join(got) == b"".join(lines)
             assert all(not g or g.endswith((b"\n", b"end")) for g in got)
+
+
+@pytest.mark.parametrize("pack", [1 << 20, 600])
+@pytest.mark.parametrize("kind", ["trigno", "edf"])
+def test_scans_of_one_table_do_not_narrow_each_other(spark, tmp_path, kind, pack):
+    """Filters, joins and unions over one recording, and parts of it, in any order."""
+    if kind == "edf":
+        sessions(spark, 1, samples=3000).to_edf_folder(str(tmp_path / "o"))
+        p, names, n = str(tmp_path / "o" / "s0.edf"), ("EMG0", "EMG1"), 3000
+    else:
+        p, names, n = str(tmp_path / "a.csv"), ("EMG1", "ACC 1"), 500
+        (tmp_path / "a.csv").write_text(LABELS + "".join(f"0,{i},0,{-i}\n" for i in range(n)))
+    rec = Recording.from_file(spark, p, kind, pack_bytes=pack)
+    a, b = (rec.signals.where(F.col("channel") == c) for c in names)
+    early = rec.signals.where("sample_index < 10")
+    each = lambda df: {r["channel"]: r["count"] for r in df.groupBy("channel").count().collect()}
+    for _ in range(2):
+        assert (a.count(), b.count(), early.count(), rec.signals.count()) == (n, n, 20, 2 * n)
+        assert each(a.unionByName(b)) == dict.fromkeys(names, n) == each(rec.signals)
+        assert each(early.unionByName(a)) == {names[0]: n + 10, names[1]: 10}
+        assert a.select("sample_index").join(b.where("sample_index >= 7").select("sample_index"), "sample_index").count() == n - 7
+    part = rec.select_channels(names[1]).between(5, 20, by="sample_index")
+    late = part.between(10, 1000, by="sample_index").between(0.0)
+    assert (part.signals.count(), late.signals.count(), rec.signals.count()) == (16, 11, 2 * n)
+    assert part.select_channels([names[1]]).signals.count() == 16
+    t = late.signals.agg(F.min("t"), F.max("t")).first()
+    assert rec.between(t[0], t[1]).signals.count() == 22 and rec.between().signals.count() == 2 * n
+    assert rec.plot_frame([names[0]], time_range=(t[0], t[1])).count() == 11
+    both = rec.select_channels(list(names))
+    both.select_channels(names[0], inplace=True)
+    assert each(both.signals) == {names[0]: n} and each(both.between(high=3, by="sample_index").signals) == {names[0]: 4}
+    rec.signals = rec.signals.where("sample_index < 3")
+    assert rec.select_channels(names[0]).signals.count() == 3
+    with pytest.raises(ValueError, match="by t or by sample_index"):
+        rec.between(0, 1, by="value")
