@@ -114,14 +114,16 @@ def scratch_text(spark: SparkSession, name: str, head: bytes, lines: DataFrame)
     return f"{folder}/{name}"
 
 
-_LINES = "WITH n AS (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS i FROM lineitem)"
+#: The first two repeat in the tables; with the others, equal rows are equal lines.
+_IN_ORDER = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag"]
+_LINES = f"WITH n AS (SELECT *, row_number() OVER (ORDER BY {", ".join(_IN_ORDER)}) - 1 AS i FROM lineitem)"
 _LINES_SQL = f"""{_LINES} SELECT 'EMG1' AS channel, 'EMG' AS channel_type, 'mV' AS physical_dimension, 'n/a' AS prefilter, i AS sample_index, round(i / 2000e0, 9) AS t, round(l_extendedprice, 9) + 0e0 AS value FROM n
     UNION ALL SELECT 'ACC 1', 'ACC', 'g', 'n/a', i, round(i / 2000e0, 9), l_quantity FROM n WHERE l_returnflag <> 'R'"""
 
 
 def _lines_recording(spark: SparkSession, d: str) -> Recording:
     """A text of all rows of lineitem, in order, read by ranges of a quarter of a megabyte."""
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber")
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").orderBy(*_IN_ORDER)
     lines = rows.select(F.concat_ws(",", F.lit("0"), "l_extendedprice", F.lit("0"), F.when(F.col("l_returnflag") == "R", "").otherwise(F.col("l_quantity").cast("string"))))
     head = b'Label: EMG1 Sampling frequency: 2000.0 Unit: mV Domain: time\nLabel: ACC 1 Sampling frequency: 148.1481 Unit: g Domain: time\n\nX[s],"EMG1","X[s]","ACC 1"\n'
     return Recording.from_file(spark, scratch_text(spark, "lines.csv", head, lines), "trigno", pack_bytes=1 << 18)
