@@ -120,17 +120,46 @@ def scaling(stats: DataFrame, bits: int | Column, rounded: bool = False) -> Data
     return out
 
 
+def _step_size(bits: int) -> Column:
+    return (F.col("v_max") - F.col("v_min")) / 2.0**bits
+
+
+def _rounding_sums(step: Column) -> list[Column]:
+    """Of samples rounded to steps: the largest error, and the mean squares of errors and of samples."""
+    v = F.col("value")
+    e = v - F.when(step == 0, F.lit(NAN)).otherwise(F.rint(v / F.nullif(step, F.lit(0.0))) * step)
+    return [F.max(F.abs(e)), F.avg(e * e), F.avg(v * v)]
+
+
+def _rounding_figures(noise: Column, power: Column) -> tuple[Column, Column]:
+    """RMSE and SNR."""
+    noise = F.when(F.isnan(noise), noise).otherwise(F.greatest(noise, F.lit(FLOAT64_EPS)))
+    return F.sqrt(noise), 10 * log10_signed(power / noise)
+
+
+def _loss_sums(factor: Column, low: Column, high: Column) -> list[Column]:
+    """Of samples scaled, rounded, clipped and scaled back: whether any is above the bound, the largest relative error, whether any differs."""
+    v = F.col("value")
+    back = F.greatest(F.least(F.rint(v * factor), high.cast("double")), low.cast("double")) / factor
+    above = F.abs(v) > FLOAT32_EPS * 1e3
+    inner = (F.col("sample_index") >= 5) & (F.col("sample_index") < F.col("n") - 5)
+    diff = F.abs(v - back)
+    return [F.bool_or(above), F.max(F.when(above & inner, diff / F.nullif(F.abs(v), F.lit(0.0))).otherwise(0.0)), F.bool_or(diff > 0)]
+
+
+def _loss_figure(some: Column, loss: Column, differs: Column) -> Column:
+    pct = loss * 100
+    return F.when(~some, 0.0).when((pct < FLOAT32_EPS) & differs, 1e-6).otherwise(pct)
+
+
 def quantize(signals: DataFrame, bits: int, keys: list[str] | None = None) -> DataFrame:
     """Step size, largest error, RMSE and SNR of rounding to 2^bits steps of the channel's range. A flat channel has NaN errors."""
     keys = keys or KEYS
-    steps = channel_stats(signals, keys).select(*keys, ((F.col("v_max") - F.col("v_min")) / 2.0**bits).alias("step_size"))
-    q = F.when(F.col("step_size") == 0, F.lit(NAN)).otherwise(F.rint(F.col("value") / F.nullif(F.col("step_size"), F.lit(0.0))) * F.col("step_size"))
-    errors = signals.join(known_rows(steps), keys).withColumn("_e", F.col("value") - q)
-    out = errors.groupBy(*keys, "step_size").agg(
-        F.max(F.abs("_e")).alias("max_error"), F.avg(F.col("_e") * F.col("_e")).alias("_noise"), F.avg(F.col("value") * F.col("value")).alias("_power")
-    )
-    noise = F.when(F.isnan("_noise"), F.col("_noise")).otherwise(F.greatest(F.col("_noise"), F.lit(FLOAT64_EPS)))
-    return out.select(*keys, "step_size", "max_error", F.sqrt("_noise").alias("rmse"), (10 * log10_signed(F.col("_power") / noise)).alias("snr"))
+    steps = channel_stats(signals, keys).select(*keys, _step_size(bits).alias("step_size"))
+    sums = [c.alias(name) for c, name in zip(_rounding_sums(F.col("step_size")), ("max_error", "_noise", "_power"), strict=True)]
+    out = signals.join(known_rows(steps), keys).groupBy(*keys, "step_size").agg(*sums)
+    rmse, snr = _rounding_figures(F.col("_noise"), F.col("_power"))
+    return out.select(*keys, "step_size", "max_error", rmse.alias("rmse"), snr.alias("snr"))
 
 
 def precision_loss(signals: DataFrame, limits: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -141,18 +170,32 @@ def precision_loss(signals: DataFrame, limits: DataFrame, keys: list[str] | None
     """
     keys = keys or KEYS
     joined = signals.join(known_rows(limits.select(*keys, "n", "scaling_factor", "digital_min", "digital_max")), keys)
-    v, f = F.col("value"), F.col("scaling_factor")
-    back = F.greatest(F.least(F.rint(v * f), F.col("digital_max").cast("double")), F.col("digital_min").cast("double")) / f
-    above = F.abs(v) > FLOAT32_EPS * 1e3
-    inner = (F.col("sample_index") >= 5) & (F.col("sample_index") < F.col("n") - 5)
-    diff = F.abs(v - back)
-    out = joined.groupBy(*keys).agg(
-        F.bool_or(above).alias("_any"),
-        F.max(F.when(above & inner, diff / F.nullif(F.abs(v), F.lit(0.0))).otherwise(0.0)).alias("_loss"),
-        F.bool_or(diff > 0).alias("_diff"),
-    )
-    pct = F.col("_loss") * 100
-    return out.select(*keys, F.when(~F.col("_any"), 0.0).when((pct < FLOAT32_EPS) & F.col("_diff"), 1e-6).otherwise(pct).alias("precision_loss"))
+    sums = [c.alias(name) for c, name in zip(_loss_sums(F.col("scaling_factor"), F.col("digital_min"), F.col("digital_max")), ("_any", "_loss", "_diff"), strict=True)]
+    return joined.groupBy(*keys).agg(*sums).select(*keys, _loss_figure(F.col("_any"), F.col("_loss"), F.col("_diff")).alias("precision_loss"))
+
+
+def export_figures(signals: DataFrame, depths: tuple[int, ...] = (16, 24), keys: list[str] | None = None) -> DataFrame:
+    """What ``quantize`` and ``precision_loss`` tell at several bit depths, one row per channel and depth, from two scans in all.
+
+    The first scan finds the channels' ranges, and so the limits at every depth; the second sums for all depths at once.
+    """
+    keys = keys or KEYS
+    stats = channel_stats(signals, keys)
+    for b in depths:
+        at = F.struct(_step_size(b).alias("step"), F.col("scaling_factor").alias("factor"), F.col("digital_min").alias("low"), F.col("digital_max").alias("high"))
+        stats = scaling(stats, b).select(*stats.columns, at.alias(f"_at{b}"))
+    limits = stats.select(*keys, "n", *[f"_at{b}" for b in depths])
+    sums = []
+    for b in depths:
+        at = F.col(f"_at{b}")
+        sums += [F.first(at.step).alias(f"step{b}")]
+        sums += [c.alias(f"sum{b}_{k}") for k, c in enumerate(_rounding_sums(at.step) + _loss_sums(at.factor, at.low, at.high))]
+    rows = []
+    for b in depths:
+        error, noise, power, *loss = (F.col(f"sum{b}_{k}") for k in range(6))
+        rmse, snr = _rounding_figures(noise, power)
+        rows.append(F.struct(F.lit(b).alias("bits"), F.col(f"step{b}").alias("step_size"), error.alias("max_error"), rmse.alias("rmse"), snr.alias("snr"), _loss_figure(*loss).alias("precision_loss")))
+    return signals.join(known_rows(limits), keys).groupBy(*keys).agg(*sums).select(*keys, F.inline(F.array(*rows)))
 
 
 def digital_code() -> Column:

@@ -320,9 +320,9 @@ def physical_limits_rounded(spark, d):
     return an.scaling(an.channel_stats(lineitem(spark, d)), 16, rounded=True).select("channel", "physical_min", "physical_max")
 
 
-def _quant_sql(bits: int) -> str:
-    return f"""WITH {_LI_SQL}, s AS (SELECT channel, (max(value) - min(value)) / {2.0**bits}e0 AS step_size FROM li GROUP BY channel),
-    e AS (SELECT channel, step_size, value, value - round_even(value / step_size, 0) * step_size AS e FROM li JOIN s USING (channel)),
+def _quant_sql(bits: int, rows: str = _LI_SQL, table: str = "li") -> str:
+    return f"""WITH {rows}, s AS (SELECT channel, (max(value) - min(value)) / {2.0**bits}e0 AS step_size FROM {table} GROUP BY channel),
+    e AS (SELECT channel, step_size, value, value - round_even(value / step_size, 0) * step_size AS e FROM {table} JOIN s USING (channel)),
     a AS (SELECT channel, step_size, max(abs(e)) AS max_error, avg(e * e) AS noise, avg(value * value) AS power FROM e GROUP BY ALL)
     SELECT channel, round(step_size, 9) AS step_size, round(max_error, 9) AS max_error, round(sqrt(noise), 9) AS rmse, round(10 * log10(power / greatest(noise, {_EPS64})), 4) AS snr FROM a"""
 
@@ -341,17 +341,25 @@ def quantization_24(spark, d):
     return _quant(spark, d, 24)
 
 
-@_query(
-    f"""WITH {_EV_SQL}, {_stats_sql('ev')}, {_scale_sql(16)},
+def _loss_sql(bits: int) -> str:
+    return f"""WITH {_EV_SQL}, {_stats_sql('ev')}, {_scale_sql(bits)},
     x AS (SELECT channel, sample_index, n, value, greatest(least(round_even(value * scaling_factor, 0), digital_max), digital_min) / scaling_factor AS back FROM ev JOIN sc USING (channel)),
     a AS (SELECT channel, bool_or(abs(value) > {_EPS32} * 1e3) AS above, bool_or(abs(value - back) > 0) AS diff,
           max(CASE WHEN abs(value) > {_EPS32} * 1e3 AND sample_index >= 5 AND sample_index < n - 5 THEN abs(value - back) / abs(value) ELSE 0 END) * 100 AS pct FROM x GROUP BY channel)
     SELECT channel, round(CASE WHEN NOT above THEN 0e0 WHEN pct < {_EPS32} AND diff THEN 1e-6 ELSE pct END, 6) AS precision_loss FROM a"""
-)
+
+
+@_query(_loss_sql(16))
 def precision_loss(spark, d):
     return an.precision_loss(events(spark, d, index=True), an.scaling(an.channel_stats(events(spark, d)), 16)).select("channel", _r("precision_loss"))
 
 
+@_query(" UNION ALL ".join(f"SELECT channel, {b} AS bits, step_size, max_error, rmse, snr, precision_loss FROM ({_quant_sql(b, _EV_SQL, 'ev')}) JOIN ({_loss_sql(b)}) USING (channel)" for b in (16, 24)))
+def export_figures(spark, d):
+    """Both bit depths, errors and loss, from one scan for ranges and one for sums."""
+    return an.export_figures(events(spark, d, index=True)).select("channel", "bits", _r("step_size", 9), _r("max_error", 9), _r("rmse", 9), _r("snr", 4), _r("precision_loss"))
+
+
 def _digit_sql(bits: int, tail: str) -> str:
     return f"""WITH {_EV_SQL}, {_stats_sql('ev')}, {_scale_sql(bits)},
     g AS (SELECT channel, sample_index, value, sc.* EXCLUDE (channel, n), least(greatest(round_even((value - physical_min) * (digital_max - digital_min) / (physical_max - physical_min) + digital_min, 0), digital_min), digital_max)::INTEGER AS digital FROM ev JOIN sc USING (channel)) {tail}"""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import plotframe
-from .operators.analysis import KEYS, analysis_of, channel_stats, precision_loss, quantize, scaling, suitability, summary_text, type_summary
+from .operators.analysis import KEYS, analysis_of, channel_stats, export_figures, precision_loss, quantize, scaling, suitability, summary_text, type_summary
 from .schema import CHANNELS, METADATA, SIGNALS, read_back, written
 from .sinks.edf import export_edf, export_recordings
 from .sinks.tsv import channels_tsv
@@ -174,15 +174,32 @@ class Recording:
     def channel_counts(self) -> DataFrame:
         return self.channels.groupBy("channel_type").count()
 
+    @property
+    def metadata(self) -> DataFrame:
+        """The rows that were loaded, and those that were set since: one union, however many calls set them."""
+        return self._metadata.unionByName(self.spark.createDataFrame(list(self._set.values()), METADATA)) if self._set else self._metadata
+
+    @metadata.setter
+    def metadata(self, rows: DataFrame) -> None:
+        self._metadata, self._set, self._next = rows, {}, None
+
+    def _numbered(self, value: Any) -> tuple[str | None, int, str]:
+        text, kind = written(value)
+        seq, self._next = self._next, self._next + 1
+        return text, seq, kind
+
     def set_metadata(self, key: str, value: Any) -> None:
         """Keep a value under a key: text, numbers, booleans, dates, None, and lists or dicts of these. The last one written counts."""
-        seq = (self.metadata.agg(F.max("seq")).first()[0] or 0) + 1
-        text, kind = written(value)
-        self.metadata = self.metadata.unionByName(self.spark.createDataFrame([("recording", key, text, seq, kind)], METADATA))
+        if self._next is None:
+            self._next = (self._metadata.agg(F.max("seq")).first()[0] or 0) + 1
+        self._set[key] = ("recording", key, *self._numbered(value))
 
     def get_metadata(self, key: str) -> Any:
         """The value last written under a key, of the type it had; None without one."""
-        row = self.metadata.where(F.col("key") == key).orderBy(F.desc("seq")).first()
+        if key in self._set:
+            _, _, text, _, kind = self._set[key]
+            return read_back(text, kind)
+        row = self._metadata.where(F.col("key") == key).orderBy(F.desc("seq")).first()
         return read_back(row["value"], row["kind"]) if row else None
 
     def analysis(self) -> DataFrame:
@@ -198,6 +215,11 @@ class Recording:
         self._loaded()
         return precision_loss(self.signals, scaling(channel_stats(self.signals), bits))
 
+    def export_figures(self, depths: tuple[int, ...] = (16, 24)) -> DataFrame:
+        """Quantization and precision loss at several bit depths at once."""
+        self._loaded()
+        return export_figures(self.signals, depths)
+
     def summary(self) -> str:
         return summary_text(type_summary(self.analysis()))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from myospark.operators.analysis import channel_stats, precision_loss, quantize, scaling
-from myospark.recording import Recording
+from myospark.recording import Recording, latest_metadata
 
 
 @pytest.fixture()
@@ -186,3 +186,38 @@ def test_precision_loss(spark):  # AGG-4, B12, B30
     assert precision_loss(zero.signals, scaling(channel_stats(zero.signals), 16)).first()["precision_loss"] == 0.0
     ramp, _ = limits(spark, np.linspace(0, 1, 100), 16)
     assert precision_loss(ramp.signals, scaling(channel_stats(ramp.signals), 16)).first()["precision_loss"] == pytest.approx(50, abs=5)
+
+
+def test_figures_of_several_depths_in_two_scans(spark, monkeypatch):
+    n = 400
+    r = Recording(spark)
+    r.add_channel("a", np.sin(np.arange(n) / 9) * 3, 100.0, "mV")
+    r.add_channel("flat", np.full(n, 2.0), 100.0, "mV")
+    r.add_channel("zero", np.zeros(n), 100.0, "mV")
+    r.add_channel("gap", np.where(np.arange(n) == 7, np.nan, np.arange(n) - 50.0), 100.0, "mV")
+    got = {(x["channel"], x["bits"]): x for x in r.export_figures().collect()}
+    assert len(got) == 8
+    for bits in (16, 24):
+        one = {x["channel"]: x for x in r.quantization(bits).collect()}
+        loss = {x["channel"]: x["precision_loss"] for x in r.precision_loss(bits).collect()}
+        for c in ("a", "flat", "zero", "gap"):
+            have = got[c, bits]
+            assert [have[k] for k in ("step_size", "max_error", "rmse", "snr")] == pytest.approx([one[c][k] for k in ("step_size", "max_error", "rmse", "snr")], nan_ok=True)
+            assert have["precision_loss"] == pytest.approx(loss[c], nan_ok=True)
+    assert Recording(spark, r.signals.where("false"), r.channels).export_figures().count() == 0
+
+
+def test_many_metadata_calls_are_one_union(rec):
+    rec.set_metadata("first", 1)
+    plan = lambda: rec.metadata._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    depth = plan()
+    for i in range(300):
+        rec.set_metadata(f"k{i % 100}", i)
+    assert plan() == depth and rec.metadata.where("key like 'k%'").count() == 100
+    assert rec.get_metadata("k7") == 207 and rec.get_metadata("first") == 1
+    part = rec.select_channels([rec.get_channels_by_type("EMG")[0]])
+    part.set_metadata("k7", "mine")
+    assert (part.get_metadata("k7"), part.get_metadata("k8"), rec.get_metadata("k7")) == ("mine", 208, 207)
+    assert latest_metadata(part.metadata).where("key = 'k7'").first()["value"] == "mine"
+    rec.metadata = part.metadata
+    assert rec.get_metadata("k7") == "mine"
