@@ -132,9 +132,9 @@ def _rounding_sums(step: Column) -> list[Column]:
 
 
 def _rounding_figures(noise: Column, power: Column) -> tuple[Column, Column]:
-    """RMSE and SNR."""
-    noise = F.when(F.isnan(noise), noise).otherwise(F.greatest(noise, F.lit(FLOAT64_EPS)))
-    return F.sqrt(noise), 10 * log10_signed(power / noise)
+    """RMSE, and SNR over a noise of no less than the smallest step of a double."""
+    least = F.when(F.isnan(noise), noise).otherwise(F.greatest(noise, F.lit(FLOAT64_EPS)))
+    return F.sqrt(noise), 10 * log10_signed(power / least)
 
 
 def _loss_sums(factor: Column, low: Column, high: Column) -> list[Column]:

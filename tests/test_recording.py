@@ -221,3 +221,17 @@ def test_many_metadata_calls_are_one_union(rec):
     assert latest_metadata(part.metadata).where("key = 'k7'").first()["value"] == "mine"
     rec.metadata = part.metadata
     assert rec.get_metadata("k7") == "mine"
+
+
+def test_figures_below_the_least_noise(spark):
+    """By NumPy: an RMSE smaller than the floor of the SNR's noise stays as it is."""
+    v = np.arange(200) % 11 / 1000.0
+    r = Recording(spark).add_channel("a", v, 100.0, "mV")
+    both = {x["bits"]: x for x in r.export_figures().collect()}
+    for bits in (16, 24):
+        step = (v.max() - v.min()) / 2.0**bits
+        e = v - np.rint(v / step) * step
+        noise = np.mean(e * e)
+        want = [step, np.abs(e).max(), np.sqrt(noise), 10 * np.log10(np.mean(v * v) / max(noise, np.finfo(float).eps))]
+        for row in (both[bits], r.quantization(bits).first()):
+            assert [row[k] for k in ("step_size", "max_error", "rmse", "snr")] == pytest.approx(want, rel=1e-6)
