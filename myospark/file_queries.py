@@ -99,10 +99,15 @@ def trigno_read(spark, d):
     return _samples(Recording.from_file(spark, scratch_file(spark, "t.csv", text()), "trigno"))
 
 
+def spark_path(folder: str) -> str:
+    """A plain path is local, as it is for the readers of files; Spark needs to be told."""
+    return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+
 def scratch_text(spark: SparkSession, name: str, head: bytes, lines: DataFrame) -> str:
     """A new file of a head and the lines that tasks wrote, partition by partition, in the order of these."""
     folder = scratch_folder(spark)
-    lines.write.text(f"{folder}/parts" if "://" in folder or folder.startswith("file:") else f"file://{folder}/parts")
+    lines.write.text(f"{spark_path(folder)}/parts")
     system, at = locate(folder)
     parts = sorted(i.path for i in system.get_file_info(fs.FileSelector(f"{at}/parts")) if i.path.rsplit("/", 1)[1].startswith("part-"))
     with system.open_output_stream(f"{at}/{name}") as out:
@@ -333,3 +338,40 @@ def bdf_round_trip(spark, d):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         return _there_and_back(spark, d, 2e4)
+
+
+_STORED = """WITH n AS (SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts) - 1 AS i FROM events),
+    s AS (SELECT event_type AS channel, i AS sample_index, CASE WHEN event_type = 'error' THEN (us - min(us) OVER ()) / 1e6 WHEN event_type = 'click' THEN i / 50e0 ELSE i / 1000e0 END AS t, value::DOUBLE AS value FROM n)
+    SELECT channel, sample_index, round(t, 9) AS t, value FROM s"""
+
+
+def _stored_events(spark: SparkSession, d: str) -> Recording:
+    """Events kept in a store: one type with the times that they have, one at a rate of its own, the others at the first one's."""
+    from .queries import events
+
+    data = events(spark, d, index=True).drop("t")
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    origin = e.agg(F.min("us")).first()[0]
+    since = with_ordinal(e.where("event_type = 'error'"), ["event_type"], ["us"], F.floor(F.col("us") / 3_600_000_000)).select(F.col("event_type").alias("channel"), "sample_index", ((F.col("us") - origin) / 1e6).alias("_since"))
+    names = sorted(r["channel"] for r in data.select("channel").distinct().collect())  # a handful of event types
+    names.sort(key=lambda c: (c == "click", c))
+    channels = spark.createDataFrame([("recording", i, c, "EMG", 50.0 if c == "click" else 1000.0, "mV", "n/a", *[None] * 9) for i, c in enumerate(names)], Recording(spark).channels.schema)
+    timed = data.join(since, ["channel", "sample_index"], "left").join(F.broadcast(channels.select("channel", "channel_idx", "sample_frequency")), "channel")
+    timed = timed.withColumn("t", F.coalesce("_since", F.col("sample_index") / F.col("sample_frequency"))).drop("_since", "sample_frequency")
+    return Recording.from_store(spark, Recording(spark, timed, channels).to_store(f"{spark_path(scratch_folder(spark))}/store"))
+
+
+def _stored_rows(rec: Recording) -> DataFrame:
+    return rec.signals.select("channel", "sample_index", F.round("t", 9).alias("t"), "value")
+
+
+@_query(_STORED)
+def store_round_trip(spark, d):
+    """All events kept in Parquet by channel and time, and read back: times that follow a rate are not stored."""
+    return _stored_rows(_stored_events(spark, d))
+
+
+@_query(f"SELECT * FROM ({_STORED}) WHERE channel IN ('click', 'error') AND t BETWEEN 2e0 AND 2e5")
+def store_between(spark, d):
+    """Two channels and a range of time: bounds on sample_index for each rate, and on the times that are stored, reach the scan."""
+    return _stored_rows(_stored_events(spark, d).select_channels(["click", "error"]).between(2.0, 2e5))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .operators import plotframe
 from .operators.analysis import KEYS, analysis_of, channel_stats, export_figures, precision_loss, quantize, scaling, suitability, summary_text, type_summary
+from .plans import store
 from .schema import CHANNELS, METADATA, SIGNALS, read_back, written
 from .sinks.edf import export_edf, export_recordings
 from .sinks.tsv import channels_tsv
@@ -62,6 +63,18 @@ class Recording:
         rows = channel_rows(filepath, head)
         return cls(spark, read() if rows else None, spark.createDataFrame(rows, CHANNELS), spark.createDataFrame(metadata_rows(filepath, head), METADATA), read)
 
+    @classmethod
+    def from_store(cls, spark: SparkSession, folder: str) -> Recording:
+        """What ``to_store`` kept; channels and bounds on t or sample_index leave few row groups to read."""
+        read, channels, metadata = store.load(spark, folder)
+        return cls(spark, read(), channels, metadata, read)
+
+    def to_store(self, folder: str, files: int | None = None, row_group_bytes: int = store.ROW_GROUP_BYTES) -> str:
+        """Keep samples, channels and metadata in a new folder of Parquet tables, laid out by channel and time."""
+        self._loaded()
+        store.save(self.signals, self.channels, self.metadata, folder, files, row_group_bytes)
+        return folder
+
     def _keep(self, signals: DataFrame | None, read: Callable[..., DataFrame] | None) -> None:
         self.signals, self._read, self._read_as = signals, read, signals
 
