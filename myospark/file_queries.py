@@ -195,6 +195,14 @@ def otb_read_compressed(spark, d):
     return _otb(spark, d, 16, True)
 
 
+@_query(_OTB_16)
+def otb_read_unpacked(spark, d):
+    """A compressed archive that a task unpacks first, read in ranges of a sixteenth of a megabyte."""
+    n = spark.read.parquet(f"{d}/events.parquet").count()
+    path = scratch_file(spark, "s.otb+", (gzip.compress(b) for b in otb_blocks(_words(spark, d, 16), n * 4, 16)))
+    return _samples(Recording.from_file(spark, [path], "otb", pack_bytes=1 << 16, unpack_folder=scratch_folder(spark)))
+
+
 @_query(_otb_sql(24, "(event_id * 91 % 65536 - 32768) * 256 + event_id * 7 % 256", "(user_id * 17 % 65536 - 32768) * 256 + user_id % 256"))
 def otb_read_24(spark, d):
     """A value is two consecutive words of its channel: the signed high one, and one whose low byte counts."""

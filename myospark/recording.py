@@ -18,8 +18,8 @@ from .schema import CHANNELS, METADATA, SIGNALS, read_back, written
 from .sinks.edf import export_edf, export_recordings
 from .sinks.tsv import channels_tsv
 from .sources.base import PACK_BYTES
-from .sources.catalogue import catalogue, channel_rows, counted, header_of, metadata_rows
-from .sources.files import file_size, is_one_file, list_files
+from .sources.catalogue import catalogue, channel_rows, counted, header_of, metadata_rows, unpacked
+from .sources.files import file_size, is_one_file, list_files, must_exist
 from .sources.registry import importer, register
 
 #: Up to so many channels of a type are named to the readers of files.
@@ -37,20 +37,28 @@ class Recording:
         self.metadata = metadata if metadata is not None else spark.createDataFrame([], METADATA)
 
     @classmethod
-    def from_file(cls, spark: SparkSession, filepath: str | list[str], importer_name: str = "trigno", time_base: str = "shared", sidecar: bool = False, pack_bytes: int = PACK_BYTES) -> Recording:
+    def from_file(cls, spark: SparkSession, filepath: str | list[str], importer_name: str = "trigno", time_base: str = "shared", sidecar: bool = False, pack_bytes: int = PACK_BYTES, unpack_folder: str | None = None) -> Recording:
         """Read a file by a named importer: trigno, otb or edf. Only the header is read now; of texts larger than
         ``pack_bytes``, tasks count the rows first, so that ranges of them can be read apart.
 
         A folder, a pattern or a list of files makes one handle for all of them, each a recording by its path: now they are
         only listed, and tasks read the headers. With ``sidecar`` channel types come from each file's channels.tsv.
+
+        With ``unpack_folder``, a folder that the cluster shares, tasks unpack compressed archives there first, so that ranges
+        of them can be read apart. What is there from an earlier call is used again; it stays until it is deleted.
         """
         source = importer(importer_name)
         register(spark)
         settings = {"timebase": time_base, "packbytes": pack_bytes}
         one = is_one_file(filepath)
+        files = None if one else list_files(filepath, source.reader_class.extensions)
+        if unpack_folder is not None and hasattr(source.reader_class, "unpack"):
+            if one:
+                must_exist(filepath)
+            settings["unpacked"] = unpacked(spark, source.reader_class.unpack, [filepath] if one else [path for path, _ in files], unpack_folder)
         if one:
-            head = header_of(source.reader_class, filepath, sidecar)
-        files = [(filepath, file_size(filepath))] if one else list_files(filepath, source.reader_class.extensions)
+            head = header_of(source.reader_class, filepath, sidecar, settings)
+            files = [(filepath, file_size(filepath))]
         if hasattr(source.reader_class, "count"):
             settings["rowcounts"] = counted(spark, source.reader_class, files, pack_bytes, time_base)
 
@@ -59,7 +67,7 @@ class Recording:
             return spark.read.format(source.name()).options(**settings, **{k: json.dumps(v) for k, v in asked.items()}).load(filepath)
 
         if not one:
-            return cls(spark, read(), *catalogue(spark, source.reader_class, files, sidecar), read)
+            return cls(spark, read(), *catalogue(spark, source.reader_class, files, sidecar, settings), read)
         rows = channel_rows(filepath, head)
         return cls(spark, read() if rows else None, spark.createDataFrame(rows, CHANNELS), spark.createDataFrame(metadata_rows(filepath, head), METADATA), read)
 

@@ -96,11 +96,16 @@ class RecordingReader(Asked, DataSourceReader, ABC):
     def __init__(self, path: str, options: dict) -> None:
         super().__init__(options)
         self.path, self.options = path, options
-        self.header = self.read_header(path)
+        self.header = self.read_header(path, options)
 
     @staticmethod
     @abstractmethod
-    def read_header(path: str) -> Header: ...
+    def read_header(path: str, options: dict | None = None) -> Header: ...
+
+    @staticmethod
+    def sizes(files: list[tuple[str, int]], options: dict) -> list[tuple[str, int]]:
+        """Names and bytes that ranges are cut from."""
+        return files
 
     @staticmethod
     def may_split(path: str, options: dict) -> bool:
@@ -211,4 +216,4 @@ class RecordingSource(DataSource):
         path, options = self.options.get("path") or json.loads(self.options["paths"]), dict(self.options)
         if is_one_file(path):
             return self.reader_class(path, options)
-        return FolderReader(self.reader_class, list_files(path, self.reader_class.extensions), options)
+        return FolderReader(self.reader_class, self.reader_class.sizes(list_files(path, self.reader_class.extensions), options), options)

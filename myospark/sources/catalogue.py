@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +26,9 @@ def metadata_rows(path: str, head: Header) -> list[tuple]:
     return [(path, k, text, i, kind) for i, (k, v) in enumerate(head.metadata) for text, kind in [written(v)]]
 
 
-def header_of(reader: type[RecordingReader], path: str, sidecar: bool = False) -> Header:
+def header_of(reader: type[RecordingReader], path: str, sidecar: bool = False, options: dict | None = None) -> Header:
     """A file's header. With ``sidecar`` channel types come from the channels.tsv beside it, which keeps types that the file's own fields lose."""
-    head = reader.read_header(path)
+    head = reader.read_header(path, options)
     if sidecar:
         table = pd.read_csv(io.BytesIO(read_bytes(os.path.splitext(path)[0] + "_channels.tsv")), sep="\t", keep_default_na=False)
         kinds = {str(n)[:16]: k for n, k in zip(table["name"], table["channel_type"], strict=True)}
@@ -37,14 +37,14 @@ def header_of(reader: type[RecordingReader], path: str, sidecar: bool = False) -
     return head
 
 
-def catalogue(spark: SparkSession, reader: type[RecordingReader], files: list[tuple[str, int]], sidecar: bool = False) -> tuple[DataFrame, DataFrame]:
+def catalogue(spark: SparkSession, reader: type[RecordingReader], files: list[tuple[str, int]], sidecar: bool = False, options: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """The tables of channels and of metadata of all files, each a job of its own that reads headers where it runs."""
     names = spark.createDataFrame([(path,) for path, _ in files], "path string")
 
     def job(rows_of, schema):
         def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                rows = [row for path in frame["path"] for row in rows_of(path, header_of(reader, path, sidecar))]
+                rows = [row for path in frame["path"] for row in rows_of(path, header_of(reader, path, sidecar, options))]
                 yield pd.DataFrame(rows, columns=[f.name for f in schema.fields]).astype(object)
 
         return names.mapInPandas(read, schema)
@@ -78,3 +78,15 @@ def counted(spark: SparkSession, reader: type[RecordingReader], files: list[tupl
         known["rows"].append(rows)
         known["total"] = before + rows
     return json.dumps(out)
+
+
+def unpacked(spark: SparkSession, unpack: Callable[[str, str], tuple[str, int] | None], paths: list[str], folder: str) -> str:
+    """Unpack the compressed ones of the files into a folder that the cluster shares, a task each; what it gives for each, as JSON by path."""
+
+    def job(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [(path, *done) for path in frame["path"] for done in [unpack(path, folder)] if done is not None]
+            yield pd.DataFrame(found, columns=["path", "stem", "size"])
+
+    names = spark.createDataFrame([(path,) for path in paths], "path string").repartition(min(len(paths), 10_000))
+    return json.dumps({r["path"]: (r["stem"], r["size"]) for r in names.mapInPandas(job, "path string, stem string, size long").collect()})

@@ -116,7 +116,7 @@ class EdfReader(RecordingReader):
         self._ranges: dict[tuple[float, float], tuple[int, int]] = {}
 
     @staticmethod
-    def read_header(path: str) -> Header:
+    def read_header(path: str, options: dict | None = None) -> Header:
         try:
             h = parse_header(path)
         except Exception as e:

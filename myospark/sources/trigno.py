@@ -150,7 +150,7 @@ class TrignoReader(RecordingReader):
         return path in json.loads(options.get("rowcounts", "{}"))
 
     @staticmethod
-    def read_header(path: str) -> Header:
+    def read_header(path: str, options: dict | None = None) -> Header:
         must_exist(path)
         read = 0
 

@@ -220,6 +220,74 @@ def test_compressed_otb(spark, tmp_path, how):
     packed.write_bytes({"gz": gzip, "bz2": bz2, "xz": lzma}[how].compress(open(plain, "rb").read()))
     r = Recording.from_file(spark, str(packed), "otb")
     assert samples(r, "CH2") == [1, 2, 3] and samples(r, "CH1") == samples(Recording.from_file(spark, plain, "otb"), "CH1")
+    u = Recording.from_file(spark, str(packed), "otb", unpack_folder=str(tmp_path / "unpacked"))
+    assert sorted(u.signals.collect()) == sorted(r.signals.collect()) and u.channels.collect() == r.channels.collect() and u.metadata.collect() == r.metadata.collect()
+
+
+def big_otb(tmp_path, n=3000, **how):
+    import gzip
+
+    plain = otb(tmp_path / "a.otb+", [[k % 1000 - 500, k % 77] for k in range(n)], **how)
+    packed = tmp_path / "b.otb+"
+    data = open(plain, "rb").read()
+    packed.write_bytes(gzip.compress(data[:1000]) + gzip.compress(data[1000:]))  # two members
+    return plain, str(packed)
+
+
+def test_unpacked_archives_are_read_in_ranges(spark, tmp_path):
+    """Also beside plain ones; what is there is used again, and a changed archive is unpacked anew."""
+    plain, packed = big_otb(tmp_path)
+    folder = str(tmp_path / "unpacked")
+    r = Recording.from_file(spark, [plain, packed], "otb", pack_bytes=2000, unpack_folder=folder)
+    parts = r.signals.where(f"recording_id = '{packed}'").selectExpr("spark_partition_id() AS p").distinct().count()
+    assert parts >= 6
+    assert sorted(os.listdir(folder)) == sorted(f"{os.listdir(folder)[0].split('.')[0]}.{x}" for x in ("sig", "xml"))
+    rows = lambda rec, path: sorted(tuple(x)[1:] for x in rec.signals.where(f"recording_id = '{path}'").collect())
+    assert rows(r, packed) == rows(r, plain) and len(rows(r, packed)) == 6000
+    ranged = r.select_channels("CH2").between(100, 150, by="sample_index")
+    assert ranged.signals.where(f"recording_id = '{packed}'").count() == 51
+    before = {f: os.stat(os.path.join(folder, f)).st_mtime_ns for f in os.listdir(folder)}
+    Recording.from_file(spark, packed, "otb", unpack_folder=folder)
+    assert before == {f: os.stat(os.path.join(folder, f)).st_mtime_ns for f in os.listdir(folder)}
+    big_otb(tmp_path, 50)
+    assert Recording.from_file(spark, packed, "otb", unpack_folder=folder).signals.count() == 100
+
+
+def test_compressed_archives_stream_by_blocks(tmp_path, monkeypatch):
+    from myospark.sources import otb as source
+
+    plain, packed = big_otb(tmp_path)
+    monkeypatch.setattr(source, "BLOCK_SAMPLES", 200)
+    held = []
+    frombuffer = np.frombuffer
+    monkeypatch.setattr(source.np, "frombuffer", lambda raw, **k: held.append(len(raw)) or frombuffer(raw, **k))
+    read = lambda path, **options: [tuple(r.values()) for reader in [source.OtbReader(path, options)] for p in reader.partitions() for b in reader.read(p) for r in b.drop_columns(["recording_id"]).to_pylist()]
+    assert sorted(read(packed)) == sorted(read(plain)) and max(held[: len(held) // 2]) == 400
+    held.clear()
+    some = read(packed, fromsample="1010", tosample="1020")
+    assert {r[2] for r in some} >= set(range(1010, 1021)) and held == [400]
+
+
+def test_broken_archives_are_not_unpacked(spark, tmp_path):
+    import gzip
+
+    from myospark.sources.otb import unpack
+
+    _, packed = big_otb(tmp_path)
+    data = open(packed, "rb").read()
+    cut = tmp_path / "cut.otb+"
+    cut.write_bytes(data[: len(data) // 2])
+    other = tmp_path / "other.otb+"
+    other.write_bytes(b"no archive" * 100)
+    empty = tmp_path / "empty.otb+"
+    empty.write_bytes(gzip.compress(b"\0" * 10240))
+    for path in (cut, other, empty):
+        with pytest.raises(ValueError):
+            unpack(str(path), str(tmp_path / "unpacked"))
+    left = os.listdir(tmp_path / "unpacked")
+    assert not [f for f in left if not f.endswith(".xml")]
+    with pytest.raises(FileNotFoundError):
+        Recording.from_file(spark, str(tmp_path / "none.otb+"), "otb", unpack_folder=str(tmp_path / "unpacked"))
 
 
 def test_the_export_is_logged(spark, tmp_path, caplog):  # SNK-4

@@ -64,7 +64,7 @@ def test_names_of_files(tmp_path):
 def test_packs_are_even_and_headers_stay_unread(spark, tmp_path, monkeypatch):
     sessions(spark, 6).to_edf_folder(str(tmp_path / "o"))
     files = list_files(str(tmp_path / "o"), EdfReader.extensions)
-    monkeypatch.setattr(EdfReader, "read_header", staticmethod(lambda path: pytest.fail("a header was read on the driver")))
+    monkeypatch.setattr(EdfReader, "read_header", staticmethod(lambda path, options=None: pytest.fail("a header was read on the driver")))
     reader = base.FolderReader(EdfReader, files, {"packbytes": "9000", "opencost": "100"})
     packs = reader.partitions()
     assert sorted(r for p in packs for r in p.ranges) == sorted((path, a, min(a + 9000, n)) for path, n in files for a in range(0, n, 9000))
