@@ -16,7 +16,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, P, materialize, release
+from .common import BROADCAST_ROWS, HOT_ROWS, P, hot_keys, join_hot, join_keyed, materialize, release
 
 #: The patterns of the base kinds, in their order.
 _LOCAL = "A-Za-z0-9._%+-"
@@ -207,50 +207,82 @@ def _texts(words: DataFrame, key: str, name: str) -> DataFrame:
     return words.select(key, "text_key").distinct().groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
-def weighed(docs: DataFrame, found: DataFrame, posterior: float = POSTERIOR, fewest: int = FEWEST) -> tuple[DataFrame, DataFrame] | None:
-    """Candidate pairs with their figures (entity, term, n_context, n_pair, n_term, n_entity, p, bits), and where their terms are held.
+def _tells(support: int, posterior: float, bits: float, evidence: float) -> Column:
+    """Whether figures of a pair (n_context, n_pair, p, bits) make its term disclose its entity."""
+    sure = (F.col("n_context") >= support) | (F.col("n_pair") * F.col("bits") >= evidence)
+    return (F.col("p") >= posterior) & (F.col("bits") >= bits) & sure
+
+
+def _with_share(pairs: DataFrame, holding: str, total: int) -> DataFrame:
+    """Add p and bits, where ``holding`` texts hold the term."""
+    p = F.least(F.lit(1.0), F.col("n_pair") / F.col(holding))
+    return pairs.withColumn("p", p).withColumn("bits", F.log2(F.col("p") * F.lit(float(total)) / F.col("n_entity")))
+
+
+def _hot(pairs: DataFrame, key: str, rows: int) -> DataFrame | None:
+    return hot_keys(pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "n", rows) if rows > HOT_ROWS else None
+
+
+def _of_terms(words: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """Rows of ``n`` terms; a term may be in any share of the rows, so these never meet by it."""
+    return words.join(F.broadcast(terms), "term") if n <= BROADCAST_ROWS else join_keyed(words, terms, "term", "inner")
+
+
+def weighed(
+    docs: DataFrame, found: DataFrame, posterior: float = POSTERIOR, fewest: int = FEWEST, support: int = 0, bits: float = float("-inf"), evidence: float = EVIDENCE, total: int | None = None
+) -> tuple[DataFrame, DataFrame] | None:
+    """Candidate pairs with their figures (entity, term, n_context, n_pair, n_term, n_entity, p, bits), and where their terms are held; None without any.
 
     Candidates are pairs of an entity and a term with ``fewest`` different contexts of the entity that hold the term. All shares are of different texts, so that copies of a document count once above and below: p is
     texts that hold the term beside the entity / texts that hold it, bits what p exceeds the entity's share of all texts by.
+    A term is in at least as many texts as it is among those with entities. What the thresholds rule out by these alone is
+    no candidate, and without candidates the other texts are not read. ``total`` is the number of different texts, if known.
     """
     near = _contexts(found).select(F.explode("entities").alias("entity"), "context", "text_key", "term")
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("context").alias("n_context"), F.count_distinct("text_key").alias("n_pair"))
     pairs = materialize(pairs.where(F.col("n_context") >= fewest))
-    # A term is in at least as many texts as it is among those with entities: that alone rules out common words.
-    among = _texts(_words(found), "term", "n_among")
-    terms = pairs.groupBy("term").agg(F.max("n_pair").alias("n_pair")).join(among, "term").where(F.col("n_pair") >= posterior * F.col("n_among"))
-    known = materialize(terms.select("term"))
+    n_pairs = pairs.count()
+    if n_pairs == 0:
+        release(pairs)
+        return None
+    if total is None:
+        total = docs.select(_text_key()).distinct().count()
+    hot = _hot(pairs, "term", n_pairs)
+    spans = found.select(_text_key(), F.explode("spans").alias("s")).select("text_key", F.explode(_entities(F.col("s"))).alias("entity"))
+    bounded = join_hot(pairs, _texts(_words(found), "term", "n_among"), ["term"], hot)
+    bounded = join_hot(bounded, _texts(spans, "entity", "n_entity"), ["entity"], _hot(pairs, "entity", n_pairs))
+    hopeful = materialize(_with_share(bounded, "n_among", total).where(_tells(support, posterior, bits, evidence)).drop("n_among", "p", "bits"))
+    release(pairs)
+    known = hopeful.select("term").distinct()
     n_terms = known.count()
     if n_terms == 0:
-        release(pairs, known)
+        release(hopeful)
         return None
-    held = materialize(_words(docs).join(F.broadcast(known) if n_terms <= BROADCAST_ROWS else known, "term"))
-    total = docs.select(_text_key()).distinct().count()
-    spans = found.select(_text_key(), F.explode("spans").alias("s")).select("text_key", F.explode(_entities(F.col("s"))).alias("entity"))
-    rated = pairs.join(_texts(held, "term", "n_term"), "term").join(_texts(spans, "entity", "n_entity"), "entity")
-    rated = rated.withColumn("p", F.least(F.lit(1.0), F.col("n_pair") / F.col("n_term")))
-    rated = materialize(rated.withColumn("bits", F.log2(F.col("p") * F.lit(float(total)) / F.col("n_entity"))))
-    release(pairs, known)
+    held = materialize(_of_terms(_words(docs), known, n_terms))
+    rated = materialize(_with_share(join_hot(hopeful, _texts(held, "term", "n_term"), ["term"], hot), "n_term", total))
+    release(hopeful)
     return rated, held
 
 
 def disclosing_terms(
-    docs: DataFrame, found: DataFrame, support: int = SUPPORT, posterior: float = POSTERIOR, bits: float = BITS, evidence: float = EVIDENCE
+    docs: DataFrame, found: DataFrame, support: int = SUPPORT, posterior: float = POSTERIOR, bits: float = BITS, evidence: float = EVIDENCE, total: int | None = None
 ) -> tuple[DataFrame, DataFrame] | None:
-    """Terms that disclose an entity, with figures, and (doc_id, text_key, term) where each is held; None without candidates.
+    """Terms that disclose an entity, with figures, and (doc_id, text_key, term) where each is held; None without any.
 
     Of the candidates (``weighed``) a term discloses the entity if p reaches ``posterior`` and bits ``bits``, and the pair has
     ``support`` different contexts, or n_pair * bits, what all its texts together say, reaches ``evidence``: 20 bits are a
     million to one against chance.
     """
-    got = weighed(docs, found, posterior, min(support, FEWEST))
+    got = weighed(docs, found, posterior, min(support, FEWEST), support, bits, evidence, total)
     if got is None:
         return None
     rated, held = got
-    sure = (F.col("n_context") >= support) | (F.col("n_pair") * F.col("bits") >= evidence)
-    strong = rated.where((F.col("p") >= posterior) & (F.col("bits") >= bits) & sure)
-    telling = materialize(strong.groupBy("term").agg(F.max("p").alias("p"), F.max("bits").alias("bits")))
-    where = materialize(held.join(telling.select("term"), "term").select("doc_id", "text_key", "term").distinct())
+    telling = materialize(rated.where(_tells(support, posterior, bits, evidence)).groupBy("term").agg(F.max("p").alias("p"), F.max("bits").alias("bits")))
+    n = telling.count()
+    if n == 0:
+        release(rated, held, telling)
+        return None
+    where = materialize(_of_terms(held, telling.select("term"), n).select("doc_id", "text_key", "term").distinct())
     release(rated, held)
     return telling, where
 
@@ -275,7 +307,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, **thresholds) -> DataFra
     """doc_id, text_key, spans (base) and span_list (with terms) for every row."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = materialize(base_spans(slim, "text").select("doc_id", _text_key(), "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")))
-    told = disclosing_terms(slim, found.where("text is not null").select("doc_id", "spans", "text"), **thresholds)
+    told = disclosing_terms(slim, found.where("text is not null").select("doc_id", "spans", "text"), total=found.select("text_key").distinct().count(), **thresholds)
     plain = found.select("doc_id", "text_key", "spans", F.col("spans").alias("span_list"))
     if told is None:
         return plain

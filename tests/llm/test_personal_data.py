@@ -6,8 +6,11 @@ import re
 import time
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from myospark.llm import common
+from myospark.llm import personal_data as module
 from myospark.llm.personal_data import EVIDENCE, WINDOW, base_spans, disclosing_terms, personal_data, sanitise, weighed
 
 WORD = re.compile(r"[^\W_]{4,}")
@@ -91,3 +94,74 @@ def test_overlapping_spans_leave_nothing_behind(make):
     assert clean[0] == "[CARD] x [EMAIL]" and not re.search("[0-9]", clean[1]) and clean[2] == clean[3] == ""
     assert clean[4] == "é" * 700 + " [EMAIL] " + "ü" * 700
     assert sanitise(docs.limit(0)).count() == 0
+
+
+def letters_and_noise():
+    """Three hosts with names of their own; one word stands beside every address of one host, and in no other text."""
+    rng = random.Random(9)
+    names = ["zorblatt", "quimby", "fnordley"]
+    texts = []
+    for i in range(240):
+        words = [f"filler{rng.randrange(200)}" for _ in range(rng.randrange(5, 40))]
+        if i % 6 == 0:
+            k = rng.choice([0, 0, 1, 2])
+            words.insert(rng.randrange(len(words)), f"{names[k]} u{rng.choice([k, i])}@host{k}.example {'signature' if k == 0 else ''}")
+        elif i % 50 == 7:
+            words.append(f"{rng.choice(names)}, x@")
+        texts.append(" ".join(words))
+    return texts + texts[:20]
+
+
+def brute_spans(texts):
+    """Base spans, and every place of a disclosing term that no base span overlaps, for texts with addresses only."""
+    n = len(set(texts))
+    telling = set()
+    for (_, term), (contexts, pair, held, entity) in brute_figures(texts).items():
+        bits = math.log2(min(1, pair / held) * n / entity)
+        if pair / held >= 0.5 and bits >= 3 and (contexts >= 3 or pair * bits >= EVIDENCE):
+            telling.add(term)
+    out = []
+    for text in texts:
+        base = [(m.start(), m.end()) for m in MAIL.finditer(text)]
+        terms = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text) if m[0] in telling]
+        spans = [(a, "email", b) for a, b in base] + [(a, "term", b) for a, b in terms if all(b <= x or y <= a for x, y in base)]
+        out.append(",".join(f"{kind}:{a}:{b}" for a, kind, b in sorted(spans)))
+    return out, telling
+
+
+def test_final_spans_against_brute_force(make):
+    texts = letters_and_noise()
+    want, telling = brute_spans(texts)
+    assert {"zorblatt", "signature"} <= telling and sum("term" in w for w in want) > 20
+    rows = {r["doc_id"]: r["spans"] for r in personal_data(make(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == want
+
+
+def test_hot_terms_and_hosts_are_split(make, monkeypatch):
+    """Every key is hot from the first rows on, and no list of terms is small enough to broadcast: the result stays."""
+    texts = letters_and_noise()
+    asked = []
+    keys = common.hot_keys
+    monkeypatch.setattr(module, "HOT_ROWS", 1)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(module, "hot_keys", lambda *a: asked.append(keys(*a)) or asked[-1])
+    rows = {r["doc_id"]: r["spans"] for r in personal_data(make(texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute_spans(texts)[0]
+    assert len(asked) == 2 and all(a is not None for a in asked)
+
+
+def test_bounds_rule_out_without_reading_the_rest(make, monkeypatch):
+    """Words that stand in many texts with entities disclose nothing; only those texts are searched for words."""
+    texts = [f"hello filler{i} from user{i}@host{i}.example and goodbye" for i in range(30)] + [f"plain{i} words" for i in range(10)]
+    seen = []
+    words = module._words
+    monkeypatch.setattr(module, "_words", lambda df: seen.append(df.count()) or words(df))
+    assert all(r["n_term"] == 0 for r in personal_data(make(texts)).collect())
+    assert set(seen) <= {30}
+
+
+@pytest.mark.parametrize("texts", [[], [None, ""], ["a@b.example"]])
+def test_no_candidates(make, texts):
+    assert [r["n_term"] for r in personal_data(make(texts)).collect()] == [0] * len(texts)
