@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P
 from .textkernels import CHUNK_BYTES, chunks, windows, words
 
 #: The 64 byte classes of letter trigrams. Letters A-Z and a-z are 1 to 26, other ASCII bytes 0, bytes of multi-byte characters 27 to 63.
@@ -130,10 +129,3 @@ def bounded_sample(ids: DataFrame, most: int, seed: int) -> DataFrame:
     """At most ``most`` rows with the smallest hash of their id: the same rows in every run. ``ids`` has a column id."""
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("id")).cast("binary"))
     return ids.orderBy(order, "id").limit(most)
-
-
-def fetch_texts(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> list:
-    """Texts of a bounded list of ids with the other columns of ``chosen``, collected: the training sample."""
-    small = F.broadcast(chosen.withColumnRenamed("id", P + "id"))  # bounded by the sample's limit
-    found = docs.select(F.col(id_col).alias(P + "doc"), F.col(text_col).alias(P + "text")).join(small, F.col(P + "doc") == F.col(P + "id"))
-    return found.drop(P + "doc").withColumnRenamed(P + "text", "text").withColumnRenamed(P + "id", "id").collect()
