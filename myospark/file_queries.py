@@ -8,11 +8,12 @@ import gzip
 import tarfile
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .plans.adapters import with_ordinal
@@ -52,26 +53,53 @@ def scratch_folder(spark: SparkSession) -> str:
     return folder
 
 
-def scratch_file(spark: SparkSession, name: str, blocks: Iterable[bytes]) -> str:
-    """A new file of the blocks, written one by one."""
-    folder = scratch_folder(spark)
+def _join(folder: str, name: str, head: bytes, parts: Iterable[str], tail: bytes = b"") -> str:
+    """One file of a head, parts in order and a tail, copied as a stream; the folder of the parts goes."""
     system, at = locate(folder)
     with system.open_output_stream(f"{at}/{name}") as out:
-        for block in blocks:
-            out.write(block)
+        out.write(head)
+        for part in parts:
+            with system.open_input_stream(part) as f:
+                while block := f.read(4 << 20):
+                    out.write(block)
+        out.write(tail)
+    system.delete_dir(f"{at}/parts")
     return f"{folder}/{name}"
 
 
-def _rows(spark: SparkSession, d: str, columns: list, most: int = 10_000) -> Iterable[list]:
-    """Events in order of their id, in lists of rows: the driver holds one partition at a time."""
-    held = []
-    for row in spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("_at"), *columns).orderBy("_at").drop("_at").toLocalIterator():
-        held.append(tuple(row))
-        if len(held) == most:
-            yield held
-            held = []
-    if held:
-        yield held
+def scratch_binary(spark: SparkSession, name: str, head: bytes, rows: DataFrame, encode: Callable[[np.ndarray], bytes], tail: bytes = b"") -> str:
+    """A new file of a head, what ``encode`` makes of rows of whole numbers in order of the first column, and a tail.
+
+    Tasks write a part each, under a name of the attempt; the driver gets one row a part.
+    """
+    folder = scratch_folder(spark)
+    system, at = locate(folder)
+    system.create_dir(f"{at}/parts")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = locate(folder)
+        path, first = f"{at}/parts/{uuid.uuid4().hex}", None
+        with system.open_output_stream(path) as out:
+            for batch in batches:
+                if batch.num_rows:
+                    table = np.stack([c.to_numpy() for c in batch.columns])
+                    first = int(table[0, 0]) if first is None else first
+                    out.write(encode(table))
+        if first is not None:
+            yield pa.RecordBatch.from_pydict({"first": [first], "path": [path]})
+
+    longs = rows.select(*[F.col(c).cast("long").alias(c) for c in rows.columns])
+    parts = longs.orderBy(rows.columns[0]).mapInArrow(write, "first long, path string").collect()  # one row a part
+    return _join(folder, name, head, [r["path"] for r in sorted(parts)], tail)
+
+
+#: Label lines and the header of a text of two channels, with a repeated time column.
+_TEXT_HEAD = b'Label: EMG1 Sampling frequency: 2000.0 Unit: mV Domain: time\nLabel: ACC 1 Sampling frequency: 148.1481 Unit: g Domain: time\n\nX[s],"EMG1","X[s]","ACC 1"\n'
+
+
+def _text_lines(rows: DataFrame, first: str, second: str, filled: Column) -> DataFrame:
+    """Lines of both channels; the second one's cell is blank but where it is filled."""
+    return rows.select(F.concat_ws(",", F.lit("0"), first, F.lit("0"), F.when(filled, F.col(second).cast("string")).otherwise("")))
 
 
 _US = "epoch_us(ts)"
@@ -91,12 +119,8 @@ def _samples(rec: Recording) -> DataFrame:
 def trigno_read(spark, d):
     """A text of all events: label lines, a repeated time column, and a column with blank cells."""
 
-    def text() -> Iterable[bytes]:
-        yield b'Label: EMG1 Sampling frequency: 2000.0 Unit: mV Domain: time\nLabel: ACC 1 Sampling frequency: 148.1481 Unit: g Domain: time\n\nX[s],"EMG1","X[s]","ACC 1"\n'
-        for rows in _rows(spark, d, ["value", "user_id", "event_type"]):
-            yield "".join(f"0,{v},0,{'' if kind == 'error' else u}\n" for v, u, kind in rows).encode()
-
-    return _samples(Recording.from_file(spark, scratch_file(spark, "t.csv", text()), "trigno"))
+    rows = spark.read.parquet(f"{d}/events.parquet").orderBy("event_id")
+    return _samples(Recording.from_file(spark, scratch_text(spark, "t.csv", _TEXT_HEAD, _text_lines(rows, "value", "user_id", F.col("event_type") != "error")), "trigno"))
 
 
 def spark_path(folder: str) -> str:
@@ -110,13 +134,7 @@ def scratch_text(spark: SparkSession, name: str, head: bytes, lines: DataFrame)
     lines.write.text(f"{spark_path(folder)}/parts")
     system, at = locate(folder)
     parts = sorted(i.path for i in system.get_file_info(fs.FileSelector(f"{at}/parts")) if i.path.rsplit("/", 1)[1].startswith("part-"))
-    with system.open_output_stream(f"{at}/{name}") as out:
-        out.write(head)
-        for part in parts:
-            with system.open_input_stream(part) as f:
-                while block := f.read(4 << 20):
-                    out.write(block)
-    return f"{folder}/{name}"
+    return _join(folder, name, head, parts)
 
 
 #: The first two repeat in the tables; with the others, equal rows are equal lines.
@@ -129,9 +147,8 @@ _LINES_SQL = f"""{_LINES} SELECT 'EMG1' AS channel, 'EMG' AS channel_type, 'mV'
 def _lines_recording(spark: SparkSession, d: str) -> Recording:
     """A text of all rows of lineitem, in order, read by ranges of a quarter of a megabyte."""
     rows = spark.read.parquet(f"{d}/lineitem.parquet").orderBy(*_IN_ORDER)
-    lines = rows.select(F.concat_ws(",", F.lit("0"), "l_extendedprice", F.lit("0"), F.when(F.col("l_returnflag") == "R", "").otherwise(F.col("l_quantity").cast("string"))))
-    head = b'Label: EMG1 Sampling frequency: 2000.0 Unit: mV Domain: time\nLabel: ACC 1 Sampling frequency: 148.1481 Unit: g Domain: time\n\nX[s],"EMG1","X[s]","ACC 1"\n'
-    return Recording.from_file(spark, scratch_text(spark, "lines.csv", head, lines), "trigno", pack_bytes=1 << 18)
+    lines = _text_lines(rows, "l_extendedprice", "l_quantity", F.col("l_returnflag") != "R")
+    return Recording.from_file(spark, scratch_text(spark, "lines.csv", _TEXT_HEAD, lines), "trigno", pack_bytes=1 << 18)
 
 
 @_query(_LINES_SQL)
@@ -146,34 +163,44 @@ def trigno_read_some_ranges(spark, d):
     return _samples(_lines_recording(spark, d).select_channels("ACC 1").between(20_000, 40_000, by="sample_index"))
 
 
-def _words(spark: SparkSession, d: str, bits: int) -> Iterable[bytes]:
-    """Sample rows of two channels from all events; with 24 bits a sample is a row of high words and one of low ones."""
-    for rows in _rows(spark, d, ["event_id", "user_id"]):
-        e, u = np.array(rows, dtype=np.int64).T
+def _words(bits: int) -> Callable[[np.ndarray], bytes]:
+    """Sample rows of two channels from ids of events and users; with 24 bits a sample is a row of high words and one of low ones."""
+
+    def encode(rows: np.ndarray) -> bytes:
+        e, u = rows
         words = np.stack([e * 37 % 2001 - 1000, u % 100], axis=1)
         if bits == 24:
             words = np.stack([e * 91 % 65536 - 32768, u * 17 % 65536 - 32768, e * 7 % 256, u % 256], axis=1)
-        yield words.astype("<i2").tobytes()
+        return words.astype("<i2").tobytes()
 
+    return encode
 
-def otb_blocks(words: Iterable[bytes], size: int, bits: int) -> Iterable[bytes]:
-    """An archive of samples and their description, block by block."""
+
+def otb_ends(size: int, bits: int) -> tuple[bytes, bytes]:
+    """What an archive has before and after ``size`` bytes of samples: their entry, and that of their description."""
     xml = f"""<Device Name="Q" SampleFrequency="2000" ad_bits="{bits}" DeviceTotalChannels="2"><Channels>
     <Adapter ID="Due" Gain="200" ChannelStartIndex="0" HighPassFilter="10" LowPassFilter="500"><Channel Index="0" Muscle="TA"/></Adapter>
     <Adapter ID="Aux" ChannelStartIndex="1"><Channel Index="0" Description="Acceleration X"/></Adapter></Channels></Device>""".encode()
-    for name, n, blocks in (("s.sig", size, words), ("s.xml", len(xml), [xml])):
+    entries = []
+    for name, n in (("s.sig", size), ("s.xml", len(xml))):
         info = tarfile.TarInfo(name)
         info.size = n
-        yield info.tobuf()
-        yield from blocks
-        yield b"\0" * (-n % 512)
-    yield b"\0" * 1024
+        entries.append(info.tobuf())
+    return entries[0], b"\0" * (-size % 512) + entries[1] + xml + b"\0" * (-len(xml) % 512 + 1024)
+
+
+def _otb_file(spark: SparkSession, d: str, bits: int, packed: bool = False) -> str:
+    """An archive of all events; a compressed one is a member for each batch of samples."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    encode = _words(bits)
+    head, tail = otb_ends(events.count() * (8 if bits == 24 else 4), bits)
+    if packed:
+        head, tail = gzip.compress(head), gzip.compress(tail)
+    return scratch_binary(spark, "s.otb+", head, events.select("event_id", "user_id"), (lambda rows: gzip.compress(encode(rows))) if packed else encode, tail)
 
 
 def _otb(spark: SparkSession, d: str, bits: int, packed: bool = False) -> DataFrame:
-    n = spark.read.parquet(f"{d}/events.parquet").count()
-    blocks = otb_blocks(_words(spark, d, bits), n * (8 if bits == 24 else 4), bits)
-    return _samples(Recording.from_file(spark, scratch_file(spark, "s.otb+", (gzip.compress(b) for b in blocks) if packed else blocks), "otb"))
+    return _samples(Recording.from_file(spark, _otb_file(spark, d, bits, packed), "otb"))
 
 
 def _otb_sql(bits: int, first: str, second: str) -> str:
@@ -198,9 +225,7 @@ def otb_read_compressed(spark, d):
 @_query(_OTB_16)
 def otb_read_unpacked(spark, d):
     """A compressed archive that a task unpacks first, read in ranges of a sixteenth of a megabyte."""
-    n = spark.read.parquet(f"{d}/events.parquet").count()
-    path = scratch_file(spark, "s.otb+", (gzip.compress(b) for b in otb_blocks(_words(spark, d, 16), n * 4, 16)))
-    return _samples(Recording.from_file(spark, [path], "otb", pack_bytes=1 << 16, unpack_folder=scratch_folder(spark)))
+    return _samples(Recording.from_file(spark, [_otb_file(spark, d, 16, True)], "otb", pack_bytes=1 << 16, unpack_folder=scratch_folder(spark)))
 
 
 @_query(_otb_sql(24, "(event_id * 91 % 65536 - 32768) * 256 + event_id * 7 % 256", "(user_id * 17 % 65536 - 32768) * 256 + user_id % 256"))
@@ -209,24 +234,27 @@ def otb_read_24(spark, d):
     return _otb(spark, d, 24)
 
 
-def edf_blocks(spark: SparkSession, d: str, bdf: bool, gaps: bool = False) -> Iterable[bytes]:
+def edf_file(spark: SparkSession, d: str, bdf: bool = False, gaps: bool = False) -> str:
     """A record for each event, of one sample of each of two channels; with ``gaps`` it begins when the event did."""
     top, width, kind = (2**23, 3, b"BDF") if bdf else (2**15, 2, b"EDF")
     signal = {"dimension": "mV", "pmin": "-2.5", "pmax": "2.5", "dmin": -top, "dmax": top - 1, "samples": 1, "reserved": ""}
     heads = [signal | {"label": "EMG1", "transducer": "EMG sensor", "prefilter": "HP:20Hz LP:500Hz"}, signal | {"label": "left", "transducer": "Accelerometer", "prefilter": "", "dimension": "g"}]
     events = spark.read.parquet(f"{d}/events.parquet")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    first = events.agg(F.min(us)).first()[0]
     head = header_bytes(heads, events.count(), bdf)
-    yield head.replace(kind + b"+C", kind + b"+D") if gaps else head
-    at = 0
-    for rows in _rows(spark, d, ["event_id", "user_id", us]):
-        e, u, t = np.array(rows, dtype=np.int64).T
-        codes = np.stack([e * 31 % (2 * top) - top, u * 1009 % (2 * top) - top], axis=1).astype("<i4").view(np.uint8).reshape(len(rows), 2, 4)[:, :, :width].reshape(len(rows), -1)
-        onsets = [f"+{(x - first) // 1_000_000}.{(x - first) % 1_000_000:06d}" if gaps else f"+{at + k}" for k, x in enumerate(t.tolist())]
+    if gaps:
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        rows = events.select("event_id", "user_id", (us - events.agg(F.min(us)).first()[0]).alias("since"))
+    else:
+        rows = with_ordinal(events.select("event_id", "user_id"), [], ["event_id"], F.floor(F.col("event_id") / 65_536))
+
+    def encode(rows: np.ndarray) -> bytes:
+        e, u, at = rows
+        codes = np.stack([e * 31 % (2 * top) - top, u * 1009 % (2 * top) - top], axis=1).astype("<i4").view(np.uint8).reshape(len(e), 2, 4)[:, :, :width].reshape(len(e), -1)
+        onsets = [f"+{x // 1_000_000}.{x % 1_000_000:06d}" if gaps else f"+{x}" for x in at.tolist()]
         notes = [f"{o}\x14\x14\x00".encode().ljust(ANNOTATION_BYTES, b"\0") for o in onsets]
-        yield np.concatenate([codes, np.frombuffer(b"".join(notes), np.uint8).reshape(len(rows), -1)], axis=1).tobytes()
-        at += len(rows)
+        return np.concatenate([codes, np.frombuffer(b"".join(notes), np.uint8).reshape(len(e), -1)], axis=1).tobytes()
+
+    return scratch_binary(spark, "a.bdf" if bdf else "a.edf", head.replace(kind + b"+C", kind + b"+D") if gaps else head, rows, encode)
 
 
 def _edf_sql(top: int, t: str = "i / 1e0") -> str:
@@ -238,12 +266,12 @@ def _edf_sql(top: int, t: str = "i / 1e0") -> str:
 
 @_query(_edf_sql(2**15))
 def edf_read(spark, d):
-    return _samples(Recording.from_file(spark, scratch_file(spark, "a.edf", edf_blocks(spark, d, False)), "edf"))
+    return _samples(Recording.from_file(spark, edf_file(spark, d), "edf"))
 
 
 @_query(_edf_sql(2**23))
 def bdf_read(spark, d):
-    return _samples(Recording.from_file(spark, scratch_file(spark, "a.bdf", edf_blocks(spark, d, True)), "edf"))
+    return _samples(Recording.from_file(spark, edf_file(spark, d, bdf=True), "edf"))
 
 
 _READ = _edf_sql(2**15)
@@ -254,7 +282,7 @@ _TWO_SQL = f"""SELECT a.sample_index, a.value AS emg, b.value AS acc FROM ({_REA
 @_query(_TWO_SQL)
 def edf_two_channels(spark, d):
     """Two channels of one loaded table side by side: each of its scans has filters of its own."""
-    signals = Recording.from_file(spark, scratch_file(spark, "a.edf", edf_blocks(spark, d, False)), "edf").signals
+    signals = Recording.from_file(spark, edf_file(spark, d), "edf").signals
     one, other = (signals.where(F.col("channel") == c).select("sample_index", "t", (F.round("value", 9) + F.lit(0.0)).alias(v)) for c, v in (("EMG1", "emg"), ("left", "acc")))
     return one.where("t >= 1e2").drop("t").join(other.drop("t"), "sample_index")
 
@@ -266,19 +294,19 @@ def _between(rec: Recording, low: float, high: float) -> Recording:
 @_query(f"SELECT * FROM ({_edf_sql(2**15)}) WHERE channel = 'left' AND t BETWEEN 1e2 AND 4e2")
 def edf_read_a_second(spark, d):
     """A channel and a range of time: both reach the reader."""
-    return _samples(_between(Recording.from_file(spark, scratch_file(spark, "a.edf", edf_blocks(spark, d, False)), "edf"), 100.0, 400.0))
+    return _samples(_between(Recording.from_file(spark, edf_file(spark, d), "edf"), 100.0, 400.0))
 
 
 @_query(_edf_sql(2**15, "since"))
 def edf_read_gaps(spark, d):
     """A discontinuous file: every event is a record with an onset of its own."""
-    return _samples(Recording.from_file(spark, scratch_file(spark, "a.edf", edf_blocks(spark, d, False, True)), "edf"))
+    return _samples(Recording.from_file(spark, edf_file(spark, d, gaps=True), "edf"))
 
 
 @_query(f"SELECT * FROM ({_edf_sql(2**23, 'since')}) WHERE channel = 'left' AND t BETWEEN 1e5 AND 1.5e6")
 def bdf_read_gaps_a_range(spark, d):
     """Bounds on time in a discontinuous file become a range of records, found by bisection."""
-    return _samples(_between(Recording.from_file(spark, scratch_file(spark, "a.bdf", edf_blocks(spark, d, True, True)), "edf"), 1e5, 1.5e6))
+    return _samples(_between(Recording.from_file(spark, edf_file(spark, d, bdf=True, gaps=True), "edf"), 1e5, 1.5e6))
 
 
 @_query(

@@ -314,3 +314,43 @@ def test_scans_of_one_table_do_not_narrow_each_other(spark, tmp_path, kind, pack
     assert rec.select_channels(names[0]).signals.count() == 3
     with pytest.raises(ValueError, match="by t or by sample_index"):
         rec.between(0, 1, by="value")
+
+
+@pytest.mark.parametrize("name", ["trigno_read", "edf_read", "bdf_read_gaps_a_range", "edf_two_channels", "otb_read_24", "otb_read_unpacked"])
+def test_rows_of_files_do_not_pass_the_driver(spark, monkeypatch, name):
+    """Files of all events are made by tasks: the driver gets a row a part."""
+    from myospark.file_queries import QUERIES
+
+    kind, seen = type(spark.range(1)), []
+
+    def counted(call):
+        whole = getattr(kind, call)
+
+        def rows(df, *args, **kwargs):
+            got = list(whole(df, *args, **kwargs))
+            seen.append(len(got))
+            return got if call == "collect" else iter(got)
+
+        return rows
+
+    for call in ("collect", "toLocalIterator"):
+        monkeypatch.setattr(kind, call, counted(call))
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sum(seen) < 50
+
+
+def test_parts_of_a_file_are_in_order(spark):
+    from myospark.file_queries import scratch_binary
+
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(0, 5_000, 1, 7).selectExpr("4999 - id AS a", "id AS b")
+        path = scratch_binary(spark, "x.bin", b"head", rows, lambda table: table.T.astype("<i8").tobytes(), b"tail")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    data = open(path.removeprefix("file://"), "rb").read()
+    assert data[:4] == b"head" and data[-4:] == b"tail"
+    got = np.frombuffer(data[4:-4], "<i8").reshape(-1, 2)
+    assert (got[:, 0] == np.arange(5_000)).all() and (got.sum(axis=1) == 4_999).all()
+    assert len(os.listdir(os.path.dirname(path.removeprefix("file://")))) == 1
