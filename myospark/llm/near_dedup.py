@@ -7,22 +7,26 @@
    with all members. Pairs whose sketches are far apart go, at a distance that a similar pair exceeds less than once in
    a million; the rest is confirmed on full shingle sets.
 3. Links contract to components. A bucket whose members now are one component is settled: more links there cannot change
-   the result. In the others, members outside the hub's component meet the bucket's members of other components, by
-   sketch, and what is near is confirmed as before. After that no pair of a bucket is left open.
+   the result. In the others, members outside the hub's component walk along the bucket's members of other components
+   that are near by sketch, nearest first, a few steps a round: these pairs are confirmed as before, components contract,
+   and the next round skips what they settle. A member with no step left is done; when all are, no pair of a bucket is
+   left open. So a large group of copies costs a few pairs a member, not one for each two members.
 
 Hot buckets and hubs never meet in one task: joins on them broadcast the few hot keys (``join_hot``) and shuffle the rest;
 rows to confirm are dealt by hub and salt, with one copy of the hub's text for each SALT_ROWS of them; the members of an
-open bucket meet in blocks of BLOCK_ROWS by BLOCK_ROWS. A task streams over what it is dealt.
+open bucket meet in blocks of BLOCK_ROWS by BLOCK_ROWS, and a block tells a member its next steps only. A task streams
+over what it is dealt.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import P, bounded_batches, hot_keys, join_hot, materialize, release
@@ -33,6 +37,8 @@ WIDTH, SIMILARITY = 5, (75, 100)
 BANDS, ROWS, SKETCH_BITS = 44, 5, 1024
 SAMPLES, WORDS = BANDS * ROWS, SKETCH_BITS // 64
 SALT_ROWS, BLOCK_ROWS = 256, 1_024
+#: Steps that a member takes in the first round, and how many times more in each further one.
+STEPS, MORE_STEPS = 4, 16
 #: Ids of candidates are broadcast up to this number (8 bytes each), to spare the texts a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -153,27 +159,117 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, of_hub: DataFrame, hot: DataF
     return dealt.mapInArrow(confirm, "a long, b long")
 
 
-def _across(placed: DataFrame, sketches: DataFrame, tried: DataFrame) -> DataFrame:
-    """(hub, id): near pairs across components that a bucket still holds open, but for those tried before.
+def next_steps(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of blocks (band, key, bx, by, walks, id, comp, d, y, sketch, parity, n_shingles), a block's rows together, to (id, d, y).
 
-    ``placed`` has band, key, hub, id, comp. Members outside the component of the bucket's hub meet all members of other
-    components; the two sides are cut into blocks, and each block of one meets each of the other in a task of its own.
+    For each row that walks: at most ``most`` of the others in other components that may be similar, by distance of their
+    sketches and by id, from beyond the step (d, y) on. A task holds one block.
     """
+    num, den = SIMILARITY
+    limit = most_bits(num / den)
+
+    def met(block: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        walks, ids, comps, far, last, n = (block.column(c).to_numpy() for c in ("walks", "id", "comp", "d", "y", "n_shingles"))
+        sketch, parity = (pc.list_flatten(block.column(c)).to_numpy().view(np.uint64).reshape(-1, WORDS) for c in ("sketch", "parity"))
+        others = np.flatnonzero(~walks)
+        other_ids, other_sketch = ids[others], sketch[others]
+        for k in np.flatnonzero(walks):
+            d = np.bitwise_count(other_sketch ^ sketch[k]).sum(axis=1, dtype=np.int64)
+            at = np.flatnonzero((d <= limit) & (comps[others] != comps[k]) & ((d > far[k]) | ((d == far[k]) & (other_ids > last[k]))))
+            at = at[np.bitwise_count(parity[others[at]] ^ parity[k]).sum(axis=1, dtype=np.int64) * (den + num) <= (n[others[at]] + n[k]) * (den - num)]
+            at = at[np.lexsort((other_ids[at], d[at]))[:most]]
+            if len(at):
+                yield np.repeat(ids[k], len(at)), d[at], other_ids[at]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["id", "d", "y"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy() for k in range(4)])
+            cuts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                own = tuple(keys[:, a].tolist())
+                if own != now and held:
+                    found += met(pa.Table.from_batches(held))
+                    held = []
+                now = own
+                held.append(batch.slice(a, b - a))
+            if found:
+                yield told()
+                found = []
+        if held:
+            found += met(pa.Table.from_batches(held))
+        if found:
+            yield told()
+
+    return run
+
+
+def _open(seats: DataFrame, comps: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The members of the buckets that hold several components, but for hubs, with sketches, blocks and whether they are outside the hub's component."""
+    placed = materialize(seats.join(comps, "id", "left").select("band", "key", "hub", "id", F.coalesce("component", "id").alias("comp")))
     mixed = placed.groupBy("band", "key").agg(
         F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("id") == F.col("hub"), F.col("comp"))).alias("hub_comp")
     ).where("c0 <> c1 and n > 2")
     buckets = materialize(mixed.select("band", "key", "hub_comp", "n", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
     hot = hot_keys(buckets.select("band", "key", "n"), "n", _total(buckets))
-    members = join_hot(placed, buckets.drop("n"), ["band", "key"], hot).where("id <> hub")
-    open_ = materialize(members.join(sketches, "id").select("band", "key", "id", "comp", "s", "blocks", (F.col("comp") != F.col("hub_comp")).alias("out"), F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int").alias("block")))
+    members = join_hot(placed, buckets.drop("n"), ["band", "key"], hot)
+    known = members.join(sketches, "id").select("band", "key", "hub", "id", "comp", "s", "blocks", (F.col("comp") != F.col("hub_comp")).alias("out"), F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int").alias("block"))
+    open_ = materialize(known)
+    release(placed, buckets)
+    return open_
+
+
+def _steps(open_: DataFrame, walkers: DataFrame | None, most: int) -> DataFrame:
+    """(id, d, y): the next steps, ``most`` at most, of each walker, or of all members outside when none has walked.
+
+    A member that is outside the component of the bucket's hub meets all members of other components; the two sides are
+    cut into blocks, and each block of one meets each of the other in a group of its own.
+    """
+    members = open_.where("id <> hub")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    outside = open_.where("out").select("band", "key", F.col("block").alias("bx"), every.alias("by"), F.col("id").alias("x"), F.col("comp").alias("xc"), F.col("s").alias("xs"))
-    inside = open_.select("band", "key", every.alias("bx"), F.col("block").alias("by"), F.col("id").alias("y"), F.col("comp").alias("yc"), F.col("s").alias("ys"), F.col("out").alias("y_out"))
-    on = reduce(lambda a, b: a & b, [outside[c] == inside[c] for c in ("band", "key", "bx", "by")])
-    met = outside.join(inside, on & (F.col("xc") != F.col("yc")) & (~F.col("y_out") | (F.col("x") < F.col("y"))) & _near("xs", "ys"))
-    cross = materialize(met.select(F.col("x").alias("hub"), F.col("y").alias("id")).distinct().join(tried, ["hub", "id"], "left_anti"))
-    release(buckets, open_)
-    return cross
+    figures = ["s.sketch", "s.parity", "s.n_shingles"]
+    outside = members.where("out")
+    outside = outside.withColumn("d", F.lit(-1).cast("long")).withColumn("y", F.lit(0).cast("long")) if walkers is None else outside.join(walkers, "id")
+    walking = outside.select("band", "key", F.col("block").alias("bx"), every.alias("by"), F.lit(True).alias("walks"), "id", "comp", "d", "y", *figures)
+    inside = members.select("band", "key", every.alias("bx"), F.col("block").alias("by"), F.lit(False).alias("walks"), "id", "comp", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("y"), *figures)
+    block = ["band", "key", "bx", "by"]
+    dealt = walking.unionByName(inside).repartition(*block).sortWithinPartitions(*block)
+    found = dealt.mapInArrow(next_steps(most), "id long, d long, y long").distinct()
+    place = F.row_number().over(Window.partitionBy("id").orderBy("d", "y"))
+    return materialize(found.withColumn("place", place).where(F.col("place") <= most).drop("place"))
+
+
+def _settle(texts: DataFrame, seats: DataFrame, sketches: DataFrame, tried: DataFrame, comps: DataFrame) -> DataFrame:
+    """Components once no bucket has an open pair: rounds of steps, confirmation and contraction.
+
+    A member's steps are in one order in all rounds. One that it has passed was confirmed or rejected, and two members of
+    one component stay so; hence a member that had fewer steps than it was allowed has none left. ``tried`` are the pairs
+    (hub, id) confirmed or rejected before; ``seats`` are released.
+    """
+    walkers, most = None, STEPS
+    while True:
+        open_ = _open(seats, comps, sketches)
+        steps = _steps(open_, walkers, most)
+        fresh = materialize(steps.select(F.least("id", "y").alias("hub"), F.greatest("id", "y").alias("id")).distinct().join(tried, ["hub", "id"], "left_anti"))
+        of_hub, hot = _hot_hubs(fresh)
+        links = materialize(_confirmed(texts, fresh, of_hub, hot))
+        known = comps.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+        after = connected_components(known.unionByName(links)) if links.limit(1).count() else comps
+        last = F.max(F.struct("d", "y")).alias("last")
+        ahead = materialize(steps.groupBy("id").agg(F.count(F.lit(1)).alias("n"), last).where(F.col("n") == most).select("id", "last.d", "last.y"))
+        both = materialize(tried.unionByName(fresh))
+        release(steps, fresh, of_hub, links, tried, seats, *([] if walkers is None else [walkers]), *([] if after is comps else [comps]))
+        walkers, tried, comps, seats, most = ahead, both, after, open_, most * MORE_STEPS
+        if walkers.limit(1).count() == 0:
+            release(walkers, tried, seats)
+            return comps
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,12 +306,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = connected_components(_confirmed(texts, pairs, of_hub, hot))
     release(of_hub)
 
-    placed = materialize(seats.join(comps, "id", "left").select("band", "key", "hub", "id", F.coalesce("component", "id").alias("comp")))
-    fresh = _across(placed, sketches, pairs)
-    of_hub, hot = _hot_hubs(fresh)
-    known = comps.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
-    again = connected_components(known.unionByName(_confirmed(texts, fresh, of_hub, hot)))
-    release(seats, texts, pairs, comps, placed, fresh, of_hub)
+    again = _settle(texts, seats, sketches, pairs, comps)
+    release(texts)
 
     copies = reps.select("digest", "n")
     hot = hot_keys(copies, "n", _total(copies))

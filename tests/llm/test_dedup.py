@@ -237,3 +237,43 @@ def test_equal_ids_with_other_texts_stay(make, monkeypatch):
     for most in (250_000, 0):  # both ways of the join
         monkeypatch.setattr(exact_dedup, "BROADCAST_GONE", most)
         assert sorted(r["text"] for r in drop_copies(docs, keep="max").collect()) == ["A", "b", "c"]
+
+
+def test_a_large_group_costs_few_pairs_a_member(make, monkeypatch):
+    """Hubs that are similar to none of a group, whose members are to each other: what is confirmed does not grow with the square of their number."""
+    from myospark.llm import near_dedup
+
+    seen, confirmed = [], near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda texts, pairs, *more: seen.append(pairs.count()) or confirmed(texts, pairs, *more))
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(2_000)]
+    texts = []
+    for i in range(130):
+        words = list(base)
+        for at in rng.sample(range(2_000), 34 if i < 14 else 26):
+            words[at] = f"z{i}-{at}"
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make(texts)).collect()}
+    assert got == brute_components(list(range(len(texts))), brute_sets(texts))
+    assert sum(seen[1:]) < 15 * len(texts), seen
+
+
+@pytest.mark.parametrize("steps", [(1, 2), (4, 16)])
+def test_steps_of_any_number_find_all_links(make, monkeypatch, steps):
+    """Blocks of a few members, and members that meet many in vain before the one that they belong to."""
+    from myospark.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "STEPS", steps[0])
+    monkeypatch.setattr(near_dedup, "MORE_STEPS", steps[1])
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 7)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(200), rng.choice([3, 4, 5, 6])):
+            words[at] = f"z{i}-{at}"
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make(texts)).collect()}
+    comps = brute_components(list(range(len(texts))), brute_sets(texts))
+    assert got == comps and len(set(comps.values())) > 3
