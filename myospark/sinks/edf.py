@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
@@ -74,36 +73,61 @@ LAYOUT = (
 )
 
 
-def lay_out(rows: pd.DataFrame, part_bytes: int = PART_BYTES) -> pd.DataFrame:
-    """The file of one recording, from its channels' rows: limits as the header has them, places in a record, and what a part needs."""
-    rows = rows.sort_values("channel_idx").reset_index(drop=True)
-    bdf = bool(rows["file_bdf"][0])
-    out = rows.reindex(columns=[c.split()[0] for c in LAYOUT.split(", ")])
-    out[["spec", "tsv", "error"]] = None
-    limits = rows[["physical_min", "physical_max"]].map(lambda v: _number(v) if v == v else "nan")
-    out["physical_min"], out["physical_max"], out["rate"] = limits["physical_min"].astype(float), limits["physical_max"].astype(float), rows["sample_frequency"].fillna(0).astype(int)
-    for wrong, what in ((rows["has_nan"].fillna(True).astype(bool), "channels with missing samples cannot be written"), (out["physical_min"] == out["physical_max"], "the physical range vanishes in 8 characters"), (out["rate"] < 1, "the rate is below 1")):
-        if wrong.any():
-            out["error"] = f"{what}: {rows['channel'][wrong].tolist()}"
-            out[["rate", "at", "size", "records_in_part", "parts"]] = 0
+LAYOUT_NAMES = [c.split()[0] for c in LAYOUT.split(", ")]
+_ARROW_TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+LAYOUT_SCHEMA = pa.schema([(n, _ARROW_TYPES[t]) for n, t in (c.split() for c in LAYOUT.split(", "))])
+
+
+def lay_out(rows: list[dict], part_bytes: int = PART_BYTES) -> list[dict]:
+    """The file of one recording, from its channels' rows in order: limits as the header has them, places in a record, and what a part needs."""
+    bdf = bool(rows[0]["file_bdf"])
+    limits = [[_number(v) if v is not None and v == v else "nan" for v in (r["physical_min"], r["physical_max"])] for r in rows]
+    out = [
+        {n: r.get(n) for n in LAYOUT_NAMES} | {"physical_min": float(low), "physical_max": float(high), "rate": int(r["sample_frequency"] or 0), "spec": None, "tsv": None, "error": None}
+        for r, (low, high) in zip(rows, limits, strict=True)
+    ]
+    for wrong, what in (
+        ([r["has_nan"] is None or bool(r["has_nan"]) for r in rows], "channels with missing samples cannot be written"),
+        ([o["physical_min"] == o["physical_max"] for o in out], "the physical range vanishes in 8 characters"),
+        ([o["rate"] < 1 for o in out], "the rate is below 1"),
+    ):
+        if any(wrong):
+            error = f"{what}: {[r['channel'] for r, w in zip(rows, wrong, strict=True) if w]}"
+            for o in out:
+                o.update({"error": error, "rate": 0, "at": 0, "size": 0, "records_in_part": 0, "parts": 0})
             return out
-    size = int(out["rate"].sum())
+    size = sum(o["rate"] for o in out)
     width = 3 if bdf else 2
-    records = int(max(-(-rows["length"] // out["rate"])))
+    records = max(-(-int(r["length"]) // o["rate"]) for r, o in zip(rows, out, strict=True))
     in_part = max(1, part_bytes // (width * size))
-    out["at"], out["size"], out["records_in_part"], out["parts"] = out["rate"].cumsum() - out["rate"], size, in_part, -(-records // in_part)
-    place = np.rint(to_digital(rows["last"], out["physical_min"], out["physical_max"], rows["digital_min"], rows["digital_max"]))
-    last = np.minimum(np.maximum(place, rows["digital_min"]), rows["digital_max"]).astype(int)
-    heads = [
-        {"label": r.label, "transducer": r.transducer, "dimension": r.dimension, "pmin": low, "pmax": high, "dmin": r.digital_min, "dmax": r.digital_max, "prefilter": r.prefilter, "samples": rate, "reserved": ""}
-        for r, low, high, rate in zip(rows.itertuples(), limits["physical_min"], limits["physical_max"], out["rate"], strict=True)
-    ]
-    channels = [[int(v) for v in c] for c in zip(out["at"], out["rate"], rows["digital_min"], last, strict=True)]
-    out.loc[0, "spec"] = json.dumps({"header": header_bytes(heads, records, bdf).decode("latin-1"), "records": records, "in_part": in_part, "width": width, "size": size, "channels": channels})
-    out.loc[0, "tsv"] = tsv_text(rows)
+    heads, channels, at = [], [], 0
+    for r, o, (low, high) in zip(rows, out, limits, strict=True):
+        o.update({"at": at, "size": size, "records_in_part": in_part, "parts": -(-records // in_part)})
+        place = np.rint(to_digital(r["last"], o["physical_min"], o["physical_max"], r["digital_min"], r["digital_max"]))
+        channels.append([at, o["rate"], int(r["digital_min"]), int(min(max(place, r["digital_min"]), r["digital_max"]))])
+        heads.append({"label": r["label"], "transducer": r["transducer"], "dimension": r["dimension"], "pmin": low, "pmax": high, "dmin": r["digital_min"], "dmax": r["digital_max"], "prefilter": r["prefilter"], "samples": o["rate"], "reserved": ""})
+        at += o["rate"]
+    out[0]["spec"] = json.dumps({"header": header_bytes(heads, records, bdf).decode("latin-1"), "records": records, "in_part": in_part, "width": width, "size": size, "channels": channels})
+    out[0]["tsv"] = tsv_text(rows)
     return out
 
 
+def laid_out(batches: Iterator[pa.RecordBatch], part_bytes: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows of channels, sorted by recording and place, to LAYOUT: a batch holds many recordings, as a folder may have very many of a few channels."""
+    held: list[dict] = []
+    for batch in batches:
+        out: list[dict] = []
+        for row in batch.to_pylist():
+            if held and held[0]["recording_id"] != row["recording_id"]:
+                out += lay_out(held, part_bytes)
+                held = []
+            held.append(row)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=LAYOUT_SCHEMA)
+    if held:
+        yield pa.RecordBatch.from_pylist(lay_out(held, part_bytes), schema=LAYOUT_SCHEMA)
+
+
 class Part:
     """The codes of some records, put in place as they come."""
 
@@ -194,15 +218,19 @@ class EdfWriter(DataSourceArrowWriter):
             for name, first, n, path in message.runs if message else []:
                 runs.setdefault(name, []).append((first, n, path))
         source, staged = locate(self.staging)
+        target, folder = locate(self.folder)
+        made: set[str] = set()
         try:
             for name, own in runs.items():
-                target, at = locate(f"{self.folder.rstrip('/')}/{name}")
+                at = f"{folder.rstrip('/')}/{name}"
                 own.sort()
                 if [r[0] for r in own] != list(np.cumsum([0, *[r[1] for r in own[:-1]]])):
                     raise ValueError(f"parts of {name} are missing")
                 if not self.overwrite and target.get_file_info(at).type != fs.FileType.NotFound:
                     raise FileExistsError(f"{name} is there already")
-                target.create_dir(os.path.dirname(at), recursive=True)
+                if os.path.dirname(at) not in made:
+                    made.add(os.path.dirname(at))
+                    target.create_dir(os.path.dirname(at), recursive=True)
                 if len(own) == 1 and type(source) is type(target):
                     source.move(own[0][2], at)
                     continue
@@ -226,10 +254,13 @@ class EdfWriter(DataSourceArrowWriter):
 
 def _settled(rows: DataFrame, folder: str) -> DataFrame:
     """Per-channel rows, computed once: on the driver up to CHANNEL_ROWS, else as a table beside the staging folder, which stays for the caller."""
-    few = rows.limit(CHANNEL_ROWS + 1).collect()
-    if len(few) <= CHANNEL_ROWS:
-        return rows.sparkSession.createDataFrame(few, rows.schema)
-    rows.write.parquet(f"{folder}-layout")
+    rows = rows.persist()
+    try:
+        if rows.count() <= CHANNEL_ROWS:
+            return rows.sparkSession.createDataFrame(rows.toArrow(), rows.schema)
+        rows.write.parquet(f"{folder}-layout")
+    finally:
+        rows.unpersist()
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}-layout")
 
 
@@ -241,7 +272,9 @@ def planned_files(signals: DataFrame, channels: DataFrame, part_bytes: int = PAR
     formats = file_format(suited).withColumnRenamed("use_bdf", "file_bdf")
     both = suited.join(formats, "recording_id")
     scaled = scaling(both, F.when(F.col("file_bdf"), 24).otherwise(16), rounded=True)
-    return scaled.groupBy("recording_id").applyInPandas(lambda rows: lay_out(rows, part_bytes), LAYOUT)
+    # rows of channels are few bytes, and much work: without a number, adaptive execution puts all recordings into one task
+    tasks = max(int(scaled.sparkSession.conf.get("spark.sql.shuffle.partitions")), scaled.sparkSession.sparkContext.defaultParallelism)
+    return scaled.repartition(tasks, "recording_id").sortWithinPartitions("recording_id", "channel_idx").mapInArrow(lambda batches: laid_out(batches, part_bytes), LAYOUT)
 
 
 def placed_samples(signals: DataFrame, layout: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import csv
+import io
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,13 @@ def channels_tsv(channels: DataFrame) -> DataFrame:
     )
 
 
-def tsv_text(rows: pd.DataFrame) -> str:
+def tsv_text(rows: list[dict]) -> str:
     """The same as text, of one recording's channels in order."""
-    table = rows[["channel", "channel_type", "physical_dimension", "sample_frequency"]].rename(columns={"channel": "name"})
-    return table.assign(reference="n/a", status="good").to_csv(sep="\t", index=False)
+    out = io.StringIO()
+    lines = csv.writer(out, delimiter="\t", lineterminator="\n")
+    lines.writerow(["name", "channel_type", "physical_dimension", "sample_frequency", "reference", "status"])
+    lines.writerows([r["channel"], r["channel_type"], r["physical_dimension"], r["sample_frequency"], "n/a", "good"] for r in rows)
+    return out.getvalue()
 
 
 def edf_header_fields(channels: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -354,3 +354,15 @@ def test_parts_of_a_file_are_in_order(spark):
     got = np.frombuffer(data[4:-4], "<i8").reshape(-1, 2)
     assert (got[:, 0] == np.arange(5_000)).all() and (got.sum(axis=1) == 4_999).all()
     assert len(os.listdir(os.path.dirname(path.removeprefix("file://")))) == 1
+
+
+def test_recordings_are_laid_out_by_many_tasks(spark):
+    """Rows of channels are few bytes, but each recording costs work: they do not meet in one task."""
+    signals = spark.range(400).selectExpr("concat('r', id % 40) AS recording_id", "0 AS channel_idx", "'a' AS channel", "id div 40 AS sample_index", "double(id div 40) AS t", "double(id) AS value")
+    rows = [(f"r{k}", 0, "a", "EMG", 1.0, "mV", "n/a", *[None] * 9) for k in range(40)]
+    kept = sink.planned_files(signals, spark.createDataFrame(rows, CHANNELS)).persist()
+    assert kept.count() == len(rows)
+    layout = kept.withColumn("task", F.spark_partition_id()).collect()
+    kept.unpersist()
+    assert sorted(r["recording_id"] for r in layout) == sorted(r[0] for r in rows) and all(r["parts"] == 1 and r["spec"] for r in layout)
+    assert len({r["task"] for r in layout}) > 1
