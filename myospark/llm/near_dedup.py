@@ -6,11 +6,11 @@
 2. A bucket is what shares a band. Its smallest member is its hub; each other member makes a pair with the hub, never
    with all members. Pairs whose sketches are far apart go, at a distance that a similar pair exceeds less than once in
    a million; the rest is confirmed on full shingle sets.
-3. Links contract to components. A bucket whose members now are one component is settled: more links there cannot change
-   the result. In the others, members outside the hub's component walk along the bucket's members of other components
-   that are near by sketch, nearest first, a few steps a round: these pairs are confirmed as before, components contract,
-   and the next round skips what they settle. A member with no step left is done; when all are, no pair of a bucket is
-   left open. So a large group of copies costs a few pairs a member, not one for each two members.
+3. Links contract to components. A bucket whose members but for the hub now are one component is settled: more links there
+   cannot change the result. In the others, members outside the bucket's largest component walk along its members of other
+   components that are near by sketch, nearest first, a few steps a round: these pairs are confirmed as before, components
+   contract, and the next round reads only buckets where one still walks. A member with no step left is done; when all
+   are, no pair of a bucket is left open. So a large group of copies costs a few pairs a member, not one for each two.
 
 Hot buckets and hubs never meet in one task: joins on them broadcast the few hot keys (``join_hot``) and shuffle the rest;
 rows to confirm are dealt by hub and salt, with one copy of the hub's text for each SALT_ROWS of them; the members of an
@@ -211,36 +211,48 @@ def next_steps(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _open(seats: DataFrame, comps: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The members of the buckets that hold several components, but for hubs, with sketches, blocks and whether they are outside the hub's component."""
-    placed = materialize(seats.join(comps, "id", "left").select("band", "key", "hub", "id", F.coalesce("component", "id").alias("comp")))
-    mixed = placed.groupBy("band", "key").agg(
-        F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("id") == F.col("hub"), F.col("comp"))).alias("hub_comp")
-    ).where("c0 <> c1 and n > 2")
-    buckets = materialize(mixed.select("band", "key", "hub_comp", "n", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")))
+def _open(members: DataFrame, state: DataFrame, sketches: DataFrame | None = None) -> DataFrame:
+    """The members of the buckets where one still walks: band, key, ref, id, comp, s, walks, d, y and the number of blocks on either side.
+
+    A bucket's ``ref`` stands for one of its components, the one with most members at first, and for what that grows to.
+    Members outside it walk, so those of a bucket that is one component but for a few cost it no blocks of their own.
+    ``members`` has band, key and id at first, when all may walk, and then is this function's result; ``state`` has id,
+    component and the step (d, y) of those that have steps left. Sketches are joined at first only, and kept.
+    """
+    first = sketches is not None
+    kept = [F.lit(None).cast("long").alias("ref")] if first else ["ref", "s"]
+    step = [F.lit(-1).cast("long").alias("d"), F.lit(0).cast("long").alias("y")] if first else ["d", "y"]
+    seats = members if first else members.select("band", "key", "id", *kept)
+    placed = materialize(seats.join(state, "id", "left").select("band", "key", "id", *kept, F.coalesce("component", "id").alias("comp"), *step))
+    own = F.coalesce(F.max(F.col("id") == F.col("ref")), F.lit(False)).alias("own")
+    of_comp = placed.groupBy("band", "key", "comp").agg(own, F.count(F.lit(1)).alias("n"), F.min("id").alias("ref"), F.count("d").alias("walking"))
+    buckets = of_comp.groupBy("band", "key").agg(
+        F.max(F.struct("own", "n", "ref", "comp", "walking")).alias("top"), F.sum("n").alias("n"), F.sum("walking").alias("walking")
+    ).select("band", "key", "top.ref", F.col("top.comp").alias("ref_comp"), "n", (F.col("walking") - F.col("top.walking")).alias("outside"))
+    blocks = [F.ceil(F.col(n) / BLOCK_ROWS).cast("int").alias(to) for n, to in (("outside", "walk_blocks"), ("n", "blocks"))]
+    buckets = materialize(buckets.where("outside > 0").select("band", "key", "ref", "ref_comp", "n", *blocks))
     hot = hot_keys(buckets.select("band", "key", "n"), "n", _total(buckets))
-    members = join_hot(placed, buckets.drop("n"), ["band", "key"], hot)
-    known = members.join(sketches, "id").select("band", "key", "hub", "id", "comp", "s", "blocks", (F.col("comp") != F.col("hub_comp")).alias("out"), F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int").alias("block"))
-    open_ = materialize(known)
+    walks = (F.col("comp") != F.col("ref_comp")) & F.col("d").isNotNull()
+    known = join_hot(placed.drop("ref"), buckets.drop("n"), ["band", "key"], hot).withColumn("walks", walks).drop("ref_comp")
+    open_ = materialize(known.join(sketches, "id") if first else known)
     release(placed, buckets)
     return open_
 
 
-def _steps(open_: DataFrame, walkers: DataFrame | None, most: int) -> DataFrame:
-    """(id, d, y): the next steps, ``most`` at most, of each walker, or of all members outside when none has walked.
+def _steps(open_: DataFrame, most: int) -> DataFrame:
+    """(id, d, y): the next steps, ``most`` at most, of each member that walks.
 
-    A member that is outside the component of the bucket's hub meets all members of other components; the two sides are
-    cut into blocks, and each block of one meets each of the other in a group of its own.
+    It meets all members of other components; the two sides are cut into blocks of their own, and each block of one meets
+    each of the other in a group.
     """
-    members = open_.where("id <> hub")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    seat = lambda n: F.pmod(F.xxhash64("id", F.lit(9)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     figures = ["s.sketch", "s.parity", "s.n_shingles"]
-    outside = members.where("out")
-    outside = outside.withColumn("d", F.lit(-1).cast("long")).withColumn("y", F.lit(0).cast("long")) if walkers is None else outside.join(walkers, "id")
-    walking = outside.select("band", "key", F.col("block").alias("bx"), every.alias("by"), F.lit(True).alias("walks"), "id", "comp", "d", "y", *figures)
-    inside = members.select("band", "key", every.alias("bx"), F.col("block").alias("by"), F.lit(False).alias("walks"), "id", "comp", F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("y"), *figures)
+    walking = open_.where("walks").select("band", "key", seat("walk_blocks").alias("bx"), every("blocks").alias("by"), F.lit(True).alias("walks"), "id", "comp", "d", "y", *figures)
+    still = [F.lit(0).cast("long").alias(c) for c in ("d", "y")]
+    others = open_.select("band", "key", every("walk_blocks").alias("bx"), seat("blocks").alias("by"), F.lit(False).alias("walks"), "id", "comp", *still, *figures)
     block = ["band", "key", "bx", "by"]
-    dealt = walking.unionByName(inside).repartition(*block).sortWithinPartitions(*block)
+    dealt = walking.unionByName(others).repartition(*block).sortWithinPartitions(*block)
     found = dealt.mapInArrow(next_steps(most), "id long, d long, y long").distinct()
     place = F.row_number().over(Window.partitionBy("id").orderBy("d", "y"))
     return materialize(found.withColumn("place", place).where(F.col("place") <= most).drop("place"))
@@ -250,13 +262,16 @@ def _settle(texts: DataFrame, seats: DataFrame, sketches: DataFrame, tried: Data
     """Components once no bucket has an open pair: rounds of steps, confirmation and contraction.
 
     A member's steps are in one order in all rounds. One that it has passed was confirmed or rejected, and two members of
-    one component stay so; hence a member that had fewer steps than it was allowed has none left. ``tried`` are the pairs
-    (hub, id) confirmed or rejected before; ``seats`` are released.
+    one component stay so; hence a member that had fewer steps than it was allowed has none left. A bucket's ref component
+    only grows, so a member that does not walk at first never has to, and a round reads the buckets that walkers of the
+    last one have left open. Hubs have met all of their buckets. ``tried`` are the pairs (hub, id) confirmed or rejected
+    before; ``seats`` are released.
     """
-    walkers, most = None, STEPS
+    state, most = comps, STEPS
+    open_ = _open(seats.where("id <> hub").select("band", "key", "id"), state, sketches)
+    release(seats)
     while True:
-        open_ = _open(seats, comps, sketches)
-        steps = _steps(open_, walkers, most)
+        steps = _steps(open_, most)
         fresh = materialize(steps.select(F.least("id", "y").alias("hub"), F.greatest("id", "y").alias("id")).distinct().join(tried, ["hub", "id"], "left_anti"))
         of_hub, hot = _hot_hubs(fresh)
         links = materialize(_confirmed(texts, fresh, of_hub, hot))
@@ -264,12 +279,15 @@ def _settle(texts: DataFrame, seats: DataFrame, sketches: DataFrame, tried: Data
         after = connected_components(known.unionByName(links)) if links.limit(1).count() else comps
         last = F.max(F.struct("d", "y")).alias("last")
         ahead = materialize(steps.groupBy("id").agg(F.count(F.lit(1)).alias("n"), last).where(F.col("n") == most).select("id", "last.d", "last.y"))
-        both = materialize(tried.unionByName(fresh))
-        release(steps, fresh, of_hub, links, tried, seats, *([] if walkers is None else [walkers]), *([] if after is comps else [comps]))
-        walkers, tried, comps, seats, most = ahead, both, after, open_, most * MORE_STEPS
-        if walkers.limit(1).count() == 0:
-            release(walkers, tried, seats)
+        release(steps, of_hub, links, *([] if after is comps else [comps]))
+        comps = after
+        if ahead.limit(1).count() == 0:
+            release(ahead, fresh, tried, open_)
             return comps
+        both, state, before = materialize(tried.unionByName(fresh)), materialize(comps.join(ahead, "id", "full")), open_
+        open_ = _open(before, state)
+        release(tried, fresh, ahead, state, before)
+        tried, most = both, most * MORE_STEPS
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -277,3 +277,56 @@ def test_steps_of_any_number_find_all_links(make, monkeypatch, steps):
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make(texts)).collect()}
     comps = brute_components(list(range(len(texts))), brute_sets(texts))
     assert got == comps and len(set(comps.values())) > 3
+
+
+def test_sketches_are_joined_once_and_rounds_read_open_buckets(make, monkeypatch):
+    """A large group that a few others keep open for several rounds: its members meet sketches once, and later rounds read only where one walks."""
+    from myospark.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "STEPS", 1)
+    monkeypatch.setattr(near_dedup, "MORE_STEPS", 2)
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(200), rng.choice([3, 4, 5, 6])):
+            words[at] = f"z{i}-{at}"
+        texts.append(" ".join(words))
+    rounds, joined, open_ = [], [], near_dedup._open
+
+    def count(members, comps, sketches=None):
+        out = open_(members, comps, sketches)
+        rounds.append(out.count())
+        joined.extend([] if sketches is None else rounds[-1:])
+        return out
+
+    monkeypatch.setattr(near_dedup, "_open", count)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make(texts)).collect()}
+    assert got == brute_components(list(range(len(texts))), brute_sets(texts))
+    assert len(rounds) > 2 and rounds[-1] < rounds[0], rounds
+    assert sum(joined) <= near_dedup.BANDS * len(texts) and len(joined) == 1, (rounds, joined)
+
+
+def test_members_of_the_largest_component_do_not_walk(make, monkeypatch):
+    """Buckets of one large component and a few others, whatever their hub: walkers and rows dealt grow with the others."""
+    from myospark.llm import near_dedup
+
+    shapes, steps = [], near_dedup._steps
+
+    def count(members, *more):
+        shapes.append((members.select("id").distinct().count(), members.where("walks").select("id").distinct().count() if "walks" in members.columns else members.where("out").select("id").distinct().count()))
+        return steps(members, *more)
+
+    monkeypatch.setattr(near_dedup, "_steps", count)
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(200), 6 if i < 6 else 2):
+            words[at] = f"z{i}-{at}"
+        texts.append(" ".join(words))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make(texts)).collect()}
+    assert got == brute_components(list(range(len(texts))), brute_sets(texts))
+    assert shapes and shapes[0][1] <= 6, shapes
